@@ -1,14 +1,22 @@
 """Closed-form gap curves over the nearest observed knots of a row.
 
-``left`` and ``right`` hold up to three observed knots per side in position order (see ``layout``);
-each function is a column of the row's value at its own abscissa.
+``left`` and ``right`` hold the nearest observed knots per side in position order (see ``layout``); each
+function is a column of the row's value at its own abscissa. ``let`` names a value that is used several
+times, so that neither the plan nor the generated code repeats it.
 """
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column, functions as F
 
 
+def let(value: Column, body: Callable[[Column], Column]) -> Column:
+    """Evaluates ``value`` once per row and hands it to ``body``."""
+    return F.get(F.transform(F.array(value), body), F.lit(0))
+
+
 def _left(i: int) -> Column:
     return F.get("left", F.size("left") - i)
 
@@ -25,8 +33,16 @@ def here(axis: str) -> Column:
     return F.col(axis).cast("double")
 
 
+def _gap(a: Column, b: Column, axis: str) -> Column:
+    return axis_of(b, axis) - axis_of(a, axis)
+
+
 def _secant(a: Column, b: Column, axis: str) -> Column:
-    return (b["value"] - a["value"]) / (axis_of(b, axis) - axis_of(a, axis))
+    return (b["value"] - a["value"]) / _gap(a, b, axis)
+
+
+def _knots() -> Column:
+    return F.struct(*[_left(i).alias(f"l{i}") for i in (1, 2, 3)], *[_right(i).alias(f"r{i}") for i in (1, 2, 3)])
 
 
 def ffill() -> Column:
@@ -57,69 +73,98 @@ def nearest(axis: str) -> Column:
     return F.when(a.isNotNull() & b.isNotNull(), F.when(to_left <= to_right, a["value"]).otherwise(b["value"]))
 
 
-def _hermite(a, b, da, db, axis):
-    h = axis_of(b, axis) - axis_of(a, axis)
-    t = (here(axis) - axis_of(a, axis)) / h
-    return (
-        (1 + 2 * t) * (1 - t) * (1 - t) * a["value"] + t * (1 - t) * (1 - t) * h * da
-        + t * t * (3 - 2 * t) * b["value"] + t * t * (t - 1) * h * db
-    )
+def _hermite(a: Column, b: Column, h: Column, da: Column, db: Column, axis: str) -> Column:
+    """Cubic with the given end slopes, read off at the row."""
+    def curve(t):
+        return (
+            (1 + 2 * t) * (1 - t) * (1 - t) * a["value"] + t * (1 - t) * (1 - t) * h * da
+            + t * t * (3 - 2 * t) * b["value"] + t * t * (t - 1) * h * db
+        )
+
+    return let((here(axis) - axis_of(a, axis)) / h, curve)
 
 
-def _pchip_inner(p, k, n, axis):
-    h0, h1 = axis_of(k, axis) - axis_of(p, axis), axis_of(n, axis) - axis_of(k, axis)
-    d0, d1 = _secant(p, k, axis), _secant(k, n, axis)
+def _pchip_inner(h0, h1, d0, d1):
+    """Weighted harmonic mean of the secants, 0 where they change sign."""
     w0, w1 = 2 * h1 + h0, h1 + 2 * h0
     return F.when(d0 * d1 <= 0, F.lit(0.0)).otherwise((w0 + w1) / (w0 / d0 + w1 / d1))
 
 
-def _pchip_end(k, n1, n2, axis):
-    """Slope at an end knot ``k`` from the next two inwards; with two knots the secant."""
-    h0 = F.abs(axis_of(n1, axis) - axis_of(k, axis))
-    h1 = F.abs(axis_of(n2, axis) - axis_of(n1, axis))
-    d0, d1 = _secant(k, n1, axis), _secant(n1, n2, axis)
-    m = ((2 * h0 + h1) * d0 - h0 * d1) / (h0 + h1)
-    bent = (
-        F.when(F.signum(m) != F.signum(d0), F.lit(0.0))
-        .when((F.signum(d0) != F.signum(d1)) & (F.abs(m) > 3 * F.abs(d0)), 3 * d0)
-        .otherwise(m)
+def _pchip_end(h0, h1, d0, d1):
+    """Slope at an end knot from the two steps inwards; with a single step its secant."""
+    def bounded(m):
+        return (
+            F.when(F.signum(m) != F.signum(d0), F.lit(0.0))
+            .when((F.signum(d0) != F.signum(d1)) & (F.abs(m) > 3 * F.abs(d0)), 3 * d0)
+            .otherwise(m)
+        )
+
+    return F.when(d1.isNull(), d0).otherwise(let(((2 * h0 + h1) * d0 - h0 * d1) / (h0 + h1), bounded))
+
+
+def _steps(axis: str, **pairs: tuple[Column, Column]) -> Column:
+    """Step widths ``h_name`` and secants ``d_name`` of the named knot pairs."""
+    return F.struct(
+        *[_gap(a, b, axis).alias(f"h_{n}") for n, (a, b) in pairs.items()],
+        *[_secant(a, b, axis).alias(f"d_{n}") for n, (a, b) in pairs.items()],
     )
-    return F.when(n2.isNull(), d0).otherwise(bent)
 
 
 def pchip(axis: str) -> Column:
     """Monotone cubic Hermite; leading gaps stay missing, trailing ones follow the last piece."""
-    l1, l2, l3, r1, r2 = _left(1), _left(2), _left(3), _right(1), _right(2)
-    da = F.when(l2.isNull(), _pchip_end(l1, r1, r2, axis)).otherwise(_pchip_inner(l2, l1, r1, axis))
-    db = F.when(r2.isNull(), _pchip_end(r1, l1, l2, axis)).otherwise(_pchip_inner(l1, r1, r2, axis))
-    inner = _hermite(l1, r1, da, db, axis)
-    ta = F.when(l3.isNull(), _secant(l2, l1, axis)).otherwise(_pchip_inner(l3, l2, l1, axis))
-    tail = _hermite(l2, l1, ta, _pchip_end(l1, l2, l3, axis), axis)
-    return (
-        F.when(l1.isNull(), F.lit(None))
-        .when(r1.isNotNull(), inner)
-        .when(l2.isNull(), l1["value"])
-        .otherwise(tail)
-    )
+    def shape(k):
+        def inner(s):
+            da = F.when(s["d_a"].isNull(), _pchip_end(s["h_m"], s["h_b"], s["d_m"], s["d_b"])).otherwise(
+                _pchip_inner(s["h_a"], s["h_m"], s["d_a"], s["d_m"]))
+            db = F.when(s["d_b"].isNull(), _pchip_end(s["h_m"], s["h_a"], s["d_m"], s["d_a"])).otherwise(
+                _pchip_inner(s["h_m"], s["h_b"], s["d_m"], s["d_b"]))
+            return _hermite(k["l1"], k["r1"], s["h_m"], da, db, axis)
+
+        def tail(s):
+            da = F.when(s["d_b"].isNull(), s["d_a"]).otherwise(_pchip_inner(s["h_b"], s["h_a"], s["d_b"], s["d_a"]))
+            db = _pchip_end(s["h_a"], s["h_b"], s["d_a"], s["d_b"])
+            return _hermite(k["l2"], k["l1"], s["h_a"], da, db, axis)
+
+        between = _steps(axis, a=(k["l2"], k["l1"]), m=(k["l1"], k["r1"]), b=(k["r1"], k["r2"]))
+        beyond = _steps(axis, a=(k["l2"], k["l1"]), b=(k["l3"], k["l2"]))
+        return (
+            F.when(k["l1"].isNull(), F.lit(None))
+            .when(k["r1"].isNotNull(), let(between, inner))
+            .when(k["l2"].isNull(), k["l1"]["value"])
+            .otherwise(let(beyond, tail))
+        )
+
+    return let(_knots(), shape)
 
 
 def akima(axis: str) -> Column:
     """Akima piece between the neighbours; secants beyond the ends are extended linearly."""
-    l1, l2, l3, r1, r2, r3 = _left(1), _left(2), _left(3), _right(1), _right(2), _right(3)
-    s0 = _secant(l1, r1, axis)
-    a1, a2 = _secant(l2, l1, axis), _secant(l3, l2, axis)
-    b1, b2 = _secant(r1, r2, axis), _secant(r2, r3, axis)
-    a1x = F.coalesce(a1, 2 * s0 - b1, s0)
-    b1x = F.coalesce(b1, 2 * s0 - a1, s0)
-    a2x = F.coalesce(a2, 2 * a1x - s0)
-    b2x = F.coalesce(b2, 2 * b1x - s0)
-
     def slope(m1, m2, m3, m4):
         right, left = F.abs(m4 - m3), F.abs(m2 - m1)
         return F.when(right + left > 0, (right * m2 + left * m3) / (right + left)).otherwise((m2 + m3) / 2)
 
-    curve = _hermite(l1, r1, slope(a2x, a1x, s0, b1x), slope(a1x, s0, b1x, b2x), axis)
-    return F.when(l1.isNotNull() & r1.isNotNull(), curve)
+    def shape(k):
+        def near(s):
+            m, a, b = s["d_m"], s["d_a"], s["d_b"]
+            first = F.struct(F.coalesce(a, 2 * m - b, m).alias("a"), F.coalesce(b, 2 * m - a, m).alias("b"))
+
+            def far(n):
+                second = F.struct(
+                    F.coalesce(s["d_aa"], 2 * n["a"] - m).alias("a"), F.coalesce(s["d_bb"], 2 * n["b"] - m).alias("b")
+                )
+                return let(second, lambda o: _hermite(
+                    k["l1"], k["r1"], s["h_m"], slope(o["a"], n["a"], m, n["b"]), slope(n["a"], m, n["b"], o["b"]), axis
+                ))
+
+            return let(first, far)
+
+        steps = _steps(
+            axis, m=(k["l1"], k["r1"]), a=(k["l2"], k["l1"]), aa=(k["l3"], k["l2"]), b=(k["r1"], k["r2"]),
+            bb=(k["r2"], k["r3"]),
+        )
+        return F.when(k["l1"].isNotNull() & k["r1"].isNotNull(), let(steps, near))
+
+    return let(_knots(), shape)
 
 
 def lagrange(axis: str, left: int, total: int) -> Column:
@@ -131,21 +176,24 @@ def lagrange(axis: str, left: int, total: int) -> Column:
     nl, nr = F.size("left"), F.size("right")
     take_l = F.least(nl, F.greatest(F.lit(left), F.lit(total) - nr))
     take_r = F.least(nr, F.lit(total) - take_l)
-    knots = F.concat(
+    chosen = F.concat(
         F.slice("left", F.greatest(nl - take_l + 1, F.lit(1)), take_l), F.slice("right", F.lit(1), take_r)
     )
     x = here(axis)
 
-    def term(acc, k):
-        basis = F.aggregate(
-            knots, F.lit(1.0),
-            lambda p, j: p * F.when(j["pos"] == k["pos"], F.lit(1.0)).otherwise(
-                (x - axis_of(j, axis)) / (axis_of(k, axis) - axis_of(j, axis))
-            ),
-        )
-        return acc + k["value"] * basis
+    def polynomial(knots):
+        def term(acc, k):
+            basis = F.aggregate(
+                knots, F.lit(1.0),
+                lambda p, j: p * F.when(j["pos"] == k["pos"], F.lit(1.0)).otherwise(
+                    (x - axis_of(j, axis)) / (axis_of(k, axis) - axis_of(j, axis))
+                ),
+            )
+            return acc + k["value"] * basis
 
-    return F.when((nl > 0) & (nr > 0), F.aggregate(knots, F.lit(0.0), term))
+        return F.aggregate(knots, F.lit(0.0), term)
+
+    return F.when((nl > 0) & (nr > 0), let(chosen, polynomial))
 
 
 def knn_temporal(k: int = 3) -> Column:
@@ -161,25 +209,26 @@ def knn_temporal(k: int = 3) -> Column:
         ),
         1, k,
     )
-    return F.when(
-        F.size(near) > 0, F.aggregate(near, F.lit(0.0), lambda a, n: a + n["v"]) / F.size(near)
-    )
+    return let(near, lambda a: F.when(F.size(a) > 0, F.aggregate(a, F.lit(0.0), lambda s, n: s + n["v"]) / F.size(a)))
 
 
 def ar1_bridge(mean: Column, phi: Column) -> Column:
     """Conditional mean of a stationary AR(1) given the neighbours ``k`` steps back and ``m`` ahead."""
     a, b = _left(1), _right(1)
-    k = (F.col("pos") - a["pos"]).cast("double")
-    m = (b["pos"] - F.col("pos")).cast("double")
-    da, db = a["value"] - mean, b["value"] - mean
-    pk, pm = F.pow(phi, k), F.pow(phi, m)
-    both = mean + (pk * (1 - pm * pm) * da + pm * (1 - pk * pk) * db) / (1 - pk * pk * pm * pm)
-    return (
-        F.when(a.isNotNull() & b.isNotNull(), both)
-        .when(a.isNotNull(), mean + pk * da)
-        .otherwise(mean + pm * db)
+    facts = F.struct(
+        F.pow(phi, (F.col("pos") - a["pos"]).cast("double")).alias("k"),
+        F.pow(phi, (b["pos"] - F.col("pos")).cast("double")).alias("m"),
+        (a["value"] - mean).alias("a"), (b["value"] - mean).alias("b"),
     )
 
+    def bridge(f):
+        k, m = f["k"], f["m"]
+        both = mean + (k * (1 - m * m) * f["a"] + m * (1 - k * k) * f["b"]) / (1 - k * k * m * m)
+        return F.when(k.isNotNull() & m.isNotNull(), both).when(k.isNotNull(), mean + k * f["a"]).otherwise(
+            mean + m * f["b"])
+
+    return let(facts, bridge)
+
 
 def local_quadratic(axis: str) -> Column:
     """Least-squares parabola through the observed rows of ``_near``, read off at the row itself.
@@ -187,26 +236,30 @@ def local_quadratic(axis: str) -> Column:
     Abscissae are centred on the row and scaled to the window, so the wanted value is the constant
     term. Two distinct rows give a line, one its value.
     """
-    scale = F.array_max(F.transform("_near", lambda k: F.abs(axis_of(k, axis) - here(axis))))
+    offsets = F.transform("_near", lambda k: F.struct((axis_of(k, axis) - here(axis)).alias("u"), k["value"].alias("v")))
+    names = ("s0", "s1", "s2", "s3", "s4", "t0", "t1", "t2")
+    zero = F.struct(*[F.lit(0.0).alias(n) for n in names])
 
-    def total(power: int, weighted: bool) -> Column:
+    def sums(rows, scale):
         def add(acc, k):
-            u = (axis_of(k, axis) - here(axis)) / scale
-            t = F.lit(1.0)
-            for _ in range(power):
-                t = t * u
-            return acc + (t * k["value"] if weighted else t)
-
-        return F.aggregate("_near", F.lit(0.0), add)
-
-    s = [total(p, False) for p in range(5)]
-    t = [total(p, True) for p in range(3)]
-    det = s[0] * (s[2] * s[4] - s[3] * s[3]) - s[1] * (s[1] * s[4] - s[2] * s[3]) + s[2] * (s[1] * s[3] - s[2] * s[2])
-    num = t[0] * (s[2] * s[4] - s[3] * s[3]) - s[1] * (t[1] * s[4] - s[3] * t[2]) + s[2] * (t[1] * s[3] - s[2] * t[2])
-    line = (t[0] * s[2] - s[1] * t[1]) / (s[0] * s[2] - s[1] * s[1])
-    n = F.size("_near")
-    return (
-        F.when(n >= 3, num / det)
-        .when(n == 2, line)
-        .when(n == 1, F.get("_near", F.lit(0))["value"])
-    )
+            return let(k["u"] / scale, lambda u: F.struct(
+                (acc["s0"] + 1).alias("s0"), (acc["s1"] + u).alias("s1"), (acc["s2"] + u * u).alias("s2"),
+                (acc["s3"] + u * u * u).alias("s3"), (acc["s4"] + u * u * u * u).alias("s4"),
+                (acc["t0"] + k["v"]).alias("t0"), (acc["t1"] + u * k["v"]).alias("t1"),
+                (acc["t2"] + u * u * k["v"]).alias("t2"),
+            ))
+
+        return F.aggregate(rows, zero, add)
+
+    def solve(m):
+        s0, s1, s2, s3, s4, t0, t1, t2 = [m[n] for n in names]
+        det = s0 * (s2 * s4 - s3 * s3) - s1 * (s1 * s4 - s2 * s3) + s2 * (s1 * s3 - s2 * s2)
+        num = t0 * (s2 * s4 - s3 * s3) - s1 * (t1 * s4 - s3 * t2) + s2 * (t1 * s3 - s2 * t2)
+        line = (t0 * s2 - s1 * t1) / (s0 * s2 - s1 * s1)
+        return F.when(s0 >= 3, num / det).when(s0 == 2, line).when(s0 == 1, t0)
+
+    def fit(rows):
+        widest = F.array_max(F.transform(rows, lambda k: F.abs(k["u"])))
+        return let(widest, lambda w: let(sums(rows, w), solve))
+
+    return let(offsets, fit)

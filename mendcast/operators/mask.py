@@ -18,7 +18,7 @@ from pyspark.sql import Column, DataFrame, Window as W, functions as F
 
 from mendcast.functions.draws import exponential_draw
 from mendcast.functions.percentiles import exact_median
-from mendcast.layout import BLOCK
+from mendcast.layout import BLOCK, materialise
 from mendcast.operators.grid import experiment_grid
 
 TECHNIQUES = ("MCAR", "MAR", "MNAR")
@@ -74,9 +74,14 @@ def degrade(points: DataFrame, grid: DataFrame, keep_truth: bool = False, block:
 
 def _degrade_native(points: DataFrame, grid: DataFrame, block: int) -> DataFrame:
     ids = ["series_id", *CELL]
-    size = points.groupBy("series_id").agg(F.count("*").alias("_n"))
-    series = size.join(exact_median(points, ["series_id"], "value", "_median"), "series_id", "left")
-    cells = grid.join(size, "series_id").select(
+    # one row per series and one per cell: stored, since three passes read them
+    series = points.groupBy("series_id").agg(F.count("*").alias("_n"))
+    if grid.where(F.col("technique") == "MAR").isEmpty():
+        series = series.withColumn("_median", F.lit(None).cast("double"))
+    else:
+        series = series.join(exact_median(points, ["series_id"], "value", "_median"), "series_id", "left")
+    series = materialise(series)
+    cells = grid.join(series, "series_id").select(
         *ids, "seed", F.floor(F.col("_n") * F.col("rate")).alias("quota")
     )
     slim = points.select("series_id", "pos", "value")
@@ -97,7 +102,7 @@ def _degrade_native(points: DataFrame, grid: DataFrame, block: int) -> DataFrame
         .where((F.col("late") == F.col("at_late")) & (F.col("bucket") == F.col("at_bucket")))
         .select(*ids, "late", "key", "pos", "nth")
     )
-    cutoff = (
+    cutoff = materialise(
         edge.withColumn("_rn", F.row_number().over(W.partitionBy(*ids).orderBy("key", "pos")))
         .where(F.col("_rn") == F.col("nth"))
         .select(*ids, F.col("late").alias("cut_late"), F.col("key").alias("cut_key"), F.col("pos").alias("cut_pos"))

@@ -27,7 +27,7 @@ def detect_csv_format(spark: SparkSession, path: str) -> DataFrame:
 
     The first candidate with two columns and a number after the index wins, else comma and dot.
     """
-    lines = spark.read.text(path).select(
+    lines = spark.read.option("recursiveFileLookup", True).text(path).select(
         F.col("_metadata.file_path").alias("file"), F.col("_metadata.file_block_start").alias("_at"),
         F.monotonically_increasing_id().alias("_id"), "value",
     ).where(F.col("_at") == 0)
@@ -45,28 +45,35 @@ def detect_csv_format(spark: SparkSession, path: str) -> DataFrame:
     return row.withColumn("_f", F.get(options, rank)).select("file", "_f.sep", "_f.decimal")
 
 
+def _series_name() -> Column:
+    """File stem; for files inside a folder written by Spark the folder's name (value of ``key=value``)."""
+    path = F.regexp_replace(F.col("_metadata.file_path"), r"/part-[^/]*$", "")
+    return F.regexp_replace(F.regexp_extract(path, r"([^/]*)$", 1), r"^[^=]*=|\.csv$", "")
+
+
 def read_series_csv(
     spark: SparkSession, glob: str, fmt_by_pattern: Mapping[str, tuple[str, str]] | None = None,
     default: tuple[str, str] = DEFAULT_FORMAT,
 ) -> DataFrame:
     """Raw rows ``series_id, input_ord, raw_index, raw_value`` of many two-column files.
 
-    The format is chosen by the first pattern contained in the file name. File names are file metadata,
-    so each read lists only its own files. ``input_ord`` orders the lines of a file across its splits.
+    The format is chosen by the first pattern contained in the path. Paths are file metadata, so each
+    read opens only its own files. ``input_ord`` orders the lines of a file across its splits.
     """
     plans, taken = [], F.lit(False)
-    name = F.col("_metadata.file_name")
+    name = F.col("_metadata.file_path")
     for pattern, (sep, dec) in [*(fmt_by_pattern or {}).items(), (None, default)]:
         mine = ~taken if pattern is None else F.contains(name, F.lit(pattern)) & ~taken
         raw = (
             spark.read.option("header", True).option("sep", sep).option("nullValue", "")
+            .option("recursiveFileLookup", True)
             .schema("raw_index string, raw_value string").csv(glob).where(mine)
         )
         value = F.col("raw_value") if dec == "." else F.regexp_replace("raw_value", ",", ".")
         row_in_task = F.monotonically_increasing_id().bitwiseAND(F.lit((1 << 33) - 1))
         plans.append(
             raw.select(
-                F.regexp_replace(name, r"\.csv$", "").alias("series_id"),
+                _series_name().alias("series_id"),
                 (F.col("_metadata.file_block_start").cast("decimal(38,0)") * F.lit(1 << 33).cast("decimal(12,0)")
                  + row_in_task).cast("decimal(38,0)").alias("input_ord"),
                 "raw_index", value.alias("raw_value"),
