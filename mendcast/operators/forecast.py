@@ -10,6 +10,8 @@ import math
 from collections.abc import Callable, Sequence
 from dataclasses import dataclass
 
+import numpy as np
+import pandas as pd
 from pyspark.sql import Column, DataFrame, Window as W, functions as F
 
 from mendcast.layout import BLOCK, add_block, config_keys, materialise, with_halo, with_observed_rank
@@ -396,9 +398,6 @@ def forecast_trend(points, h, changepoints=0, block=BLOCK):
 
 def _piecewise_trend(points: DataFrame, h, changepoints: int, block: int) -> DataFrame:
     """Normal equations are summed per source in one aggregate; a small system is solved per source row."""
-    import numpy as np
-    import pandas as pd
-
     keys, attrs = config_keys(points), _attributes(points)
     facts = observed_tail(points, TAIL, block)
     sample = even_subsample(points.select(*keys, "pos", "value")).where(F.col("value").isNotNull())

@@ -135,11 +135,12 @@ def run_custom_technique(name: str, points: DataFrame, cells: DataFrame) -> Data
     keys = ["series_id", "technique", "rate_percent", "iteration"]
     rows = _sized(points, ["series_id"]).join(cells, "series_id").withColumn("truth", F.col("value"))
     out = rows.drop("rate", "seed")
+    kept = out.columns
 
     def mask(pdf: pd.DataFrame) -> pd.DataFrame:
         pdf = pdf.sort_values("pos")
         pdf["value"] = fn(pdf["value"].copy(), float(pdf["rate"].iloc[0]), int(pdf["seed"].iloc[0])).to_numpy()
-        return pdf[out.columns]
+        return pdf[kept]
 
     columns = [*keys, *[c for c in points.columns if c not in ("series_id", "value")], "value", "truth"]
     return rows.groupBy(*keys).applyInPandas(mask, out.schema).select(*columns)

@@ -29,16 +29,23 @@ def table(spark: SparkSession, sf: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf}/{name}.parquet")
 
 
-def rounded(df: DataFrame, dp: int = 6, only: tuple = ()) -> DataFrame:
+def _nudge(dp: int) -> float:
+    """Moves exact decimal ties (means of prices, midpoints) off the rounding edge, where the last bit would decide."""
+    return 3.7e-3 * 10.0**-dp
+
+
+def rounded(df: DataFrame, dp: int = 6) -> DataFrame:
     """Doubles rounded for comparison across engines."""
     return df.select(*[
-        F.round(c, dp).alias(c) if t == "double" and (not only or c in only) else F.col(c) for c, t in df.dtypes
+        F.round(F.col(c) + F.lit(_nudge(dp)), dp).alias(c) if t == "double" else F.col(c) for c, t in df.dtypes
     ])
 
 
 def rsql(sql: str, cols: str, dp: int = 6) -> str:
     """The same in SQL; adding 0 turns a negative zero into zero."""
-    replaced = ", ".join(f'round("{c}", {dp}) + 0.0 AS "{c}"' for c in cols.split())
+    replaced = ", ".join(
+        f'round("{c}" + CAST({_nudge(dp)!r} AS DOUBLE), {dp}) + CAST(0 AS DOUBLE) AS "{c}"' for c in cols.split()
+    )
     return f"SELECT * REPLACE ({replaced}) FROM ({sql})"
 
 
