@@ -4,6 +4,8 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, Window as W, functions as F
 
+from mendcast.layout import attach_salted
+
 SKETCH = 100_000
 
 
@@ -26,10 +28,15 @@ def exact_percentiles(df: DataFrame, keys: list[str], value: str, probs: dict[st
         F.count("*").alias("_n"),
         F.percentile_approx("_v", wanted, SKETCH).alias("_cuts"),
     )
-    cut = rows.join(cuts, marker).withColumn(
-        "_bucket", F.size(F.filter("_cuts", lambda c: c < F.col("_v")))
-    )
+    # the row id, not the value, spreads a hot group: one value may fill most of it
+    tagged = rows.withColumn("_id", F.monotonically_increasing_id())
     by = [*marker, "_bucket"]
+
+    def bucketed(facts: DataFrame) -> DataFrame:
+        return attach_salted(tagged, facts, marker, "_id").withColumn(
+            "_bucket", F.size(F.filter("_cuts", lambda c: c < F.col("_v")))
+        )
+
     before = W.partitionBy(*marker).orderBy("_bucket").rowsBetween(W.unboundedPreceding, -1)
     ranks = {}
     for name, p in probs.items():
@@ -38,17 +45,18 @@ def exact_percentiles(df: DataFrame, keys: list[str], value: str, probs: dict[st
     hit = F.lit(False)
     for low, high, _ in ranks.values():
         for k in (low, high):
-            hit = hit | ((F.col("_lo") <= k) & (k < F.col("_lo") + F.col("_c")))
+            hit = hit | ((F.col("_below") <= k) & (k < F.col("_below") + F.col("_c")))
     kept = (
-        cut.groupBy(*by).agg(F.count("*").alias("_c"), F.max("_n").alias("_n"))
-        .withColumn("_lo", F.coalesce(F.sum("_c").over(before), F.lit(0)))
+        bucketed(cuts).groupBy(*by).agg(F.count("*").alias("_c"), F.max("_n").alias("_n"))
+        .withColumn("_below", F.coalesce(F.sum("_c").over(before), F.lit(0)))
         .where(hit)
-        .select(*by, "_lo")
+        .groupBy(*marker).agg(F.map_from_entries(F.collect_list(F.struct("_bucket", "_below"))).alias("_kept"))
     )
     ends = (
-        cut.select(*by, "_v", "_n").join(kept, by)
-        .groupBy(*by, "_v").agg(F.count("*").alias("_c"), F.max("_lo").alias("_lo"), F.max("_n").alias("_n"))
-        .withColumn("_end", F.col("_lo") + F.sum("_c").over(W.partitionBy(*by).orderBy("_v")))
+        bucketed(cuts.join(kept, marker))
+        .withColumn("_below", F.element_at("_kept", F.col("_bucket"))).where(F.col("_below").isNotNull())
+        .groupBy(*by, "_v").agg(F.count("*").alias("_c"), F.max("_below").alias("_below"), F.max("_n").alias("_n"))
+        .withColumn("_end", F.col("_below") + F.sum("_c").over(W.partitionBy(*by).orderBy("_v")))
     )
     aggs = []
     for name, (low, high, _) in ranks.items():
@@ -69,11 +77,11 @@ def exact_median(df: DataFrame, keys: list[str], value: str, name: str = "median
 
 
 def exact_mode(df: DataFrame, keys: list[str], value: str, name: str = "mode") -> DataFrame:
-    """Most frequent value per group, the smallest of ties; counts are combined before any row is compared."""
+    """Most frequent number per group, the smallest of ties; counts are combined before any row is compared."""
     marker = keys or ["_all"]
     rows = df.where(F.col(value).isNotNull()).withColumn("_v", F.col(value))
     if not keys:
         rows = rows.withColumn("_all", F.lit(1))
     counts = rows.groupBy(*marker, "_v").agg(F.count("*").alias("_c"))
-    top = counts.groupBy(*marker).agg(F.max("_c").alias("_c"))
-    return counts.join(top, [*marker, "_c"]).groupBy(*marker).agg(F.min("_v").alias(name)).select(*keys, name)
+    top = F.max(F.struct("_c", (-F.col("_v")).alias("_m")))
+    return counts.groupBy(*marker).agg(top.alias("_t")).select(*keys, (-F.col("_t._m")).alias(name))

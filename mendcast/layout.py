@@ -110,6 +110,45 @@ def with_halo(points: DataFrame, before: int, after: int, block: int = BLOCK, by
     )
 
 
+def attach_by_block(
+    rows: DataFrame, facts: DataFrame, keys: list[str] | None = None, by: str = "pos", block: int = BLOCK
+) -> DataFrame:
+    """Joins one row of ``facts`` per series to its points without gathering the series.
+
+    A fact row is repeated once per block of its series (``_last`` = largest ``by``), so the join key holds the
+    block and a long series is spread over as many tasks as it has blocks. Series without facts drop out.
+    """
+    keys = keys or config_keys(rows)
+    spread = facts.withColumn(
+        "_b", F.explode(F.sequence(F.lit(0).cast("long"), F.expr(f"_last div {int(block)}").cast("long")))
+    ).drop("_last")
+    return rows.withColumn("_b", F.expr(f"`{by}` div {int(block)}")).join(spread, [*keys, "_b"]).drop("_b")
+
+
+HOT_GROUPS = 1000
+ROWS_PER_SALT = 1 << 20
+
+
+def attach_salted(rows: DataFrame, facts: DataFrame, keys: list[str], spread_by: str) -> DataFrame:
+    """Same for rows without a position: ``facts`` has the group size ``_n``, hot groups are salted.
+
+    Hot means more than a thousandth of all rows, so there are never more than ``HOT_GROUPS`` of them and
+    only their keys are broadcast. Each gets one salt per ``ROWS_PER_SALT`` rows; other groups keep salt 0.
+    """
+    share = facts.agg((F.sum("_n") / HOT_GROUPS).alias("s")).scalar()
+    salts = F.ceil(F.col("_n") / ROWS_PER_SALT)
+    sized = facts.withColumn(
+        "_salts", F.when((F.col("_n") > share) & (F.col("_n") > ROWS_PER_SALT), salts).otherwise(F.lit(1))
+    )
+    hot = F.broadcast(sized.where(F.col("_salts") > 1).select(*keys, F.col("_salts").alias("_k")))
+    salted = sized.withColumn("_salt", F.explode(F.sequence(F.lit(0).cast("long"), F.col("_salts") - 1))).drop("_salts")
+    return (
+        rows.join(hot, keys, "left")
+        .withColumn("_salt", F.pmod(F.xxhash64(spread_by), F.coalesce("_k", F.lit(1).cast("long"))))
+        .join(salted, [*keys, "_salt"]).drop("_salt", "_k")
+    )
+
+
 def knot() -> Column:
     return F.struct("pos", F.col("x").cast("double").alias("x"), "value")
 
@@ -173,7 +212,8 @@ def _carry(edges: DataFrame, keys: list[str], k: int) -> DataFrame:
 def with_knots(points: DataFrame, k: int = 1, block: int = BLOCK) -> DataFrame:
     """Adds ``left`` and ``right``: up to ``k`` nearest observed knots on each side, in position order.
 
-    An observed row counts as its own nearest neighbour on both sides.
+    An observed row counts as its own nearest neighbour on both sides. Points, summaries and windows share
+    the partitioning by key and block.
     """
     keys = config_keys(points)
     by = [*keys, "block"]

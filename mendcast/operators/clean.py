@@ -6,7 +6,7 @@ from collections.abc import Sequence
 
 from pyspark.sql import Column, DataFrame, functions as F
 
-from mendcast.layout import assign_positions, config_keys
+from mendcast.layout import assign_positions, attach_by_block, attach_salted, config_keys
 
 
 def coerce_numeric(col: Column | str) -> Column:
@@ -27,17 +27,19 @@ def clean_index(df: DataFrame, index: str = "raw_index", key: str = "series_id")
     kinds = rows.groupBy(key).agg(
         F.when(F.bool_and(F.col("_num").isNotNull()), F.lit("numeric"))
         .when(F.bool_and(F.col("_time").isNotNull()), F.lit("datetime"))
-        .otherwise(F.lit("string")).alias("axis")
+        .otherwise(F.lit("string")).alias("axis"),
+        F.count("*").alias("_n"),
     )
+    tagged = rows.withColumn("_id", F.monotonically_increasing_id())
     return (
-        rows.join(kinds, key)
+        attach_salted(tagged, kinds, [key], "_id")
         .withColumn("ts", F.when(F.col("axis") == "datetime", F.col("_time")))
         .withColumn(
             "x",
             F.when(F.col("axis") == "numeric", F.col("_num"))
             .when(F.col("axis") == "datetime", F.unix_micros("_time").cast("double")),
         )
-        .drop("_num", "_time")
+        .drop("_num", "_time", "_id", "_n")
     )
 
 
@@ -101,12 +103,12 @@ def temporal_split(points: DataFrame, n_test: int) -> DataFrame:
     keys = config_keys(points)
     n = F.col("_n")
     take = F.when(n > n_test, F.lit(n_test)).otherwise(F.greatest(F.lit(1), F.floor(n / 5)))
-    sizes = points.groupBy(*keys).agg(F.count("*").alias("_n")).withColumn(
+    sizes = points.groupBy(*keys).agg(F.count("*").alias("_n"), F.max("pos").alias("_last")).withColumn(
         "_cut", F.when(take < n, n - take)
     )
     part = F.when(F.col("pos") >= F.col("_cut"), F.lit("test")).when(F.col("_cut").isNotNull(), F.lit("train"))
     return (
-        points.join(sizes, keys)
+        attach_by_block(points, sizes)
         .withColumn("part", part)
         .withColumn("step", F.when(F.col("part") == "test", F.col("pos") - F.col("_cut") + 1))
         .drop("_n", "_cut")
@@ -185,9 +187,9 @@ def search_any_column(df: DataFrame, term: str) -> DataFrame:
 def min_length_filter(points: DataFrame, n: int = 10, strict: bool = True) -> DataFrame:
     """Series with more than (or at least) ``n`` observed points."""
     keys = config_keys(points)
-    seen = F.count("value")
-    ok = points.groupBy(*keys).agg(seen.alias("_n")).where(F.col("_n") > n if strict else F.col("_n") >= n)
-    return points.join(ok.select(*keys), keys, "left_semi")
+    sizes = points.groupBy(*keys).agg(F.count("value").alias("_n"), F.max("pos").alias("_last"))
+    ok = sizes.where(F.col("_n") > n if strict else F.col("_n") >= n).drop("_n")
+    return attach_by_block(points, ok)
 
 
 def validate_complete(points: DataFrame) -> DataFrame:

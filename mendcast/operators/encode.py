@@ -10,11 +10,12 @@ import math
 
 from pyspark.sql import Column, DataFrame, functions as F
 
-from mendcast.layout import config_keys
+from mendcast.layout import attach_by_block, config_keys
 
 
 def _with_length(points: DataFrame, keys: list[str]) -> DataFrame:
-    return points.join(points.groupBy(*keys).agg(F.count("*").alias("_n")), keys)
+    sizes = points.groupBy(*keys).agg(F.count("*").alias("_n"), F.max("pos").alias("_last"))
+    return attach_by_block(points, sizes, keys)
 
 
 def resample_linear(points: DataFrame, size: int = 512) -> DataFrame:
@@ -173,7 +174,7 @@ def _stretch(profile: DataFrame, points: DataFrame, low: float, high: float) ->
         F.transform(F.sort_array(F.collect_list(F.struct("i", "v"))), lambda e: e["v"]).alias("_p")
     )
     facts = points.groupBy(*keys).agg(
-        F.count("*").alias("_n"), F.min("value").alias("_lo"), F.max("value").alias("_hi")
+        F.count("*").alias("_n"), F.min("value").alias("_lo"), F.max("value").alias("_hi"), F.max("pos").alias("_last")
     ).join(packed, keys)
     at = F.when(F.col("_n") > 1, F.col("pos") * (F.size("_p") - 1) / (F.col("_n") - 1)).otherwise(F.lit(0.0))
     base = F.floor(F.col("_at")).cast("int")
@@ -182,7 +183,7 @@ def _stretch(profile: DataFrame, points: DataFrame, low: float, high: float) ->
     value = a + (b - a) * (F.col("_at") - base)
     span = F.col("_hi") - F.col("_lo")
     mapped = F.when(span > 0, (value - low) / (high - low) * span + F.col("_lo")).otherwise(F.col("_lo"))
-    return points.join(facts, keys).withColumn("_at", at).select(
+    return attach_by_block(points, facts, keys).withColumn("_at", at).select(
         *[mapped.alias("value") if c == "value" else F.col(c) for c in points.columns]
     )
 

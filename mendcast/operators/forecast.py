@@ -14,7 +14,7 @@ import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame, Window as W, functions as F
 
-from mendcast.layout import BLOCK, add_block, config_keys, materialise, with_halo, with_observed_rank
+from mendcast.layout import BLOCK, add_block, attach_by_block, config_keys, materialise, with_halo, with_observed_rank
 
 SOURCE_COLUMNS = ("source_type", "series_id", "technique", "rate_percent", "iteration", "model")
 TAIL = 20
@@ -100,7 +100,7 @@ def difference_stats(points: DataFrame, block: int = BLOCK) -> DataFrame:
 def even_subsample(points: DataFrame, max_points: int = 500) -> DataFrame:
     """Rows at int(linspace(0, n-1, max_points)); shorter series stay whole. A map-side test per row."""
     keys = config_keys(points)
-    n = points.groupBy(*keys).agg(F.count("*").alias("_n"))
+    n = points.groupBy(*keys).agg(F.count("*").alias("_n"), F.max("pos").alias("_last"))
     step = (F.col("_n") - 1) / F.lit(float(max_points - 1))
     guess = F.ceil(F.col("pos") / step)
 
@@ -110,7 +110,7 @@ def even_subsample(points: DataFrame, max_points: int = 500) -> DataFrame:
         return inside & (place == F.col("pos"))
 
     hit = at(guess - 1) | at(guess) | at(guess + 1)
-    return points.join(n, keys).where((F.col("_n") <= max_points) | hit).drop("_n")
+    return attach_by_block(points, n).where((F.col("_n") <= max_points) | hit).drop("_n")
 
 
 def trend_stats(points: DataFrame, max_points: int = 500) -> DataFrame:
@@ -156,12 +156,12 @@ def holt_stats(points: DataFrame, alpha: float, beta: float, season: int | None
         )
         offsets = (
             phase.groupBy(*keys)
-            .agg((F.sum("_s") / F.sum("_c")).alias("_mean"),
+            .agg((F.sum("_s") / F.sum("_c")).alias("_mean"), F.sum("_c").alias("_k"),
                  F.map_from_entries(F.collect_list(F.struct("_p", "_a"))).alias("_a"))
             .withColumn("_season", F.transform_values("_a", lambda k, v: v - F.col("_mean")))
-            .select(*keys, "_season")
+            .select(*keys, "_season", (F.col("_k") - 1).alias("_last"))
         )
-        rows = rows.join(offsets, keys)
+        rows = attach_by_block(rows, offsets, by="rank", block=block)
         y = y - F.element_at("_season", F.expr(f"rank % {int(season)}"))
     det = 1 - alpha
     m = (F.col("n_obs") - 1 - F.col("rank")).cast("double")
@@ -434,11 +434,11 @@ def _piecewise_trend(points: DataFrame, h, changepoints: int, block: int) -> Dat
 def zscore(points: DataFrame) -> tuple[DataFrame, DataFrame]:
     """Standardised points and the statistics (mean, sample deviation; 0 only centres)."""
     keys = config_keys(points)
-    stats = points.groupBy(*keys).agg(F.avg("value").alias("mean"), F.stddev_samp("value").alias("_s")).select(
-        *keys, "mean", F.when(F.col("_s") > 0, F.col("_s")).otherwise(F.lit(1.0)).alias("scale")
-    )
-    scaled = points.join(stats, keys).withColumn("value", (F.col("value") - F.col("mean")) / F.col("scale"))
-    return scaled.drop("mean", "scale"), stats
+    stats = points.groupBy(*keys).agg(
+        F.avg("value").alias("mean"), F.stddev_samp("value").alias("_s"), F.max("pos").alias("_last")
+    ).withColumn("scale", F.when(F.col("_s") > 0, F.col("_s")).otherwise(F.lit(1.0))).drop("_s")
+    scaled = attach_by_block(points, stats).withColumn("value", (F.col("value") - F.col("mean")) / F.col("scale"))
+    return scaled.drop("mean", "scale"), stats.drop("_last")
 
 
 def unzscore(preds: DataFrame, stats: DataFrame) -> DataFrame:

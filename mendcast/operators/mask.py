@@ -4,7 +4,7 @@ Each row gets the exponential key ``-ln(u)/w`` (Efraimidis and Spirakis); the ``
 keys of a series are masked. Instead of ranking whole series, the cut-off key is found first:
 
 1. rows are counted in buckets of ``ln(key)``. That logarithm has density at most 1/e per unit for any
-   weights, so buckets of width ``block/n`` hold fewer than ``block`` rows each;
+   weights, so buckets as wide as the wanted share of rows hold fewer rows than that share;
 2. only the bucket in which the count reaches the quota is ranked;
 3. a narrow pass compares every row with its cell's cut-off.
 
@@ -18,11 +18,12 @@ from pyspark.sql import Column, DataFrame, Window as W, functions as F
 
 from mendcast.functions.draws import exponential_draw
 from mendcast.functions.percentiles import exact_median
-from mendcast.layout import BLOCK, materialise
+from mendcast.layout import BLOCK, attach_by_block, materialise
 from mendcast.operators.grid import experiment_grid
 
 TECHNIQUES = ("MCAR", "MAR", "MNAR")
 CELL = ("technique", "rate_percent", "iteration")
+BLOCKS_PER_BUCKET = 16  # a million rows per bucket keep both the bucket table and the ranked bucket small
 
 
 def _weight(technique: Column) -> Column:
@@ -34,7 +35,7 @@ def _weight(technique: Column) -> Column:
 def _keyed(points: DataFrame, cells: DataFrame) -> DataFrame:
     """points x cells with the order of masking: ``late`` (weight 0 goes last), ``key``, ``pos``."""
     rows = (
-        points.join(cells, "series_id")
+        attach_by_block(points, cells, ["series_id"])
         .withColumn("_cell", F.explode("_cells"))
         .select("*", "_cell.*").drop("_cells", "_cell")
     )
@@ -75,7 +76,7 @@ def degrade(points: DataFrame, grid: DataFrame, keep_truth: bool = False, block:
 def _degrade_native(points: DataFrame, grid: DataFrame, block: int) -> DataFrame:
     ids = ["series_id", *CELL]
     # one row per series and one per cell: stored, since three passes read them
-    series = points.groupBy("series_id").agg(F.count("*").alias("_n"))
+    series = points.groupBy("series_id").agg(F.count("*").alias("_n"), F.max("pos").alias("_last"))
     if grid.where(F.col("technique") == "MAR").isEmpty():
         series = series.withColumn("_median", F.lit(None).cast("double"))
     else:
@@ -86,7 +87,7 @@ def _degrade_native(points: DataFrame, grid: DataFrame, block: int) -> DataFrame
     )
     slim = points.select("series_id", "pos", "value")
 
-    bucket = F.floor(F.ln("key") * F.ceil(F.col("_n") / block))
+    bucket = F.floor(F.ln("key") * F.ceil(F.col("_n") / (block * BLOCKS_PER_BUCKET)))
     keyed = _keyed(slim, _with_cells(series, cells.where("quota > 0"))).withColumn("bucket", bucket)
     order = W.partitionBy(*ids).orderBy("late", "bucket")
     reach = (

@@ -13,7 +13,7 @@ from pyspark.sql import Column, DataFrame, Window as W, functions as F
 
 from mendcast.functions import curves as c
 from mendcast.functions.percentiles import exact_median, exact_mode
-from mendcast.layout import BLOCK, config_keys, with_halo, with_knots
+from mendcast.layout import BLOCK, attach_by_block, config_keys, with_halo, with_knots
 
 
 @dataclass(frozen=True)
@@ -82,18 +82,18 @@ def ar1_fit(points: DataFrame, block: int = BLOCK) -> DataFrame:
 
 def _series_stats(points: DataFrame, wanted: set[str], block: int) -> DataFrame | None:
     keys = config_keys(points)
-    parts = []
-    if "mean" in wanted:
-        parts.append(points.groupBy(*keys).agg(F.avg("value").alias("_mean")))
+    if not wanted:
+        return None
+    parts = [points.groupBy(*keys).agg(F.avg("value").alias("_mean"), F.max("pos").alias("_last"))]
     if "median" in wanted:
         parts.append(exact_median(points, keys, "value", "_median"))
     if "mode" in wanted:
         parts.append(exact_mode(points, keys, "value", "_mode"))
     if "ar1" in wanted:
         parts.append(ar1_fit(points, block))
-    out = None
-    for p in parts:
-        out = p if out is None else out.join(p, keys, "left")
+    out = parts[0]
+    for p in parts[1:]:
+        out = out.join(p, keys, "left")
     return out
 
 
@@ -112,7 +112,6 @@ def merge_keep_observed(observed: Column | str, filled: Column | str) -> Column:
 
 
 def _prepared(points: DataFrame, methods: Sequence[Method], settings: Settings, block: int) -> DataFrame:
-    keys = config_keys(points)
     rows = points
     if any(m.rolling for m in methods):
         rows = _rolling_rows(rows, settings.half_window, block)
@@ -122,7 +121,7 @@ def _prepared(points: DataFrame, methods: Sequence[Method], settings: Settings,
     elif "block" in rows.columns:
         rows = rows.drop("block")
     stats = _series_stats(points, set().union(*[m.stats for m in methods]), block)
-    return rows if stats is None else rows.join(stats, keys, "left")
+    return rows if stats is None else attach_by_block(rows, stats, block=block)
 
 
 def reconstruct(

@@ -56,8 +56,8 @@ def draws(spark, sf):
 def _single(name, fn, technique):
     @query(name, f"WITH {EV}, {masked_sql('ev', 'm', (technique,))} SELECT series_id, pos, value FROM m")
     def run(spark, sf):
-        # small blocks, so that the cut-off is found across buckets
-        return fn(ev_user(spark, sf), 0.2, SEED, block=16).select("series_id", "pos", "value")
+        # smallest blocks, so that the cut-off is found across buckets
+        return fn(ev_user(spark, sf), 0.2, SEED, block=1).select("series_id", "pos", "value")
 
 
 _single("mask_mcar", mask.mask_mcar, "MCAR")
