@@ -138,7 +138,7 @@ def run_custom_technique(name: str, points: DataFrame, cells: DataFrame) -> Data
     kept = out.columns
 
     def mask(pdf: pd.DataFrame) -> pd.DataFrame:
-        pdf = pdf.sort_values("pos")
+        pdf = pdf.sort_values("pos").reset_index(drop=True)
         pdf["value"] = fn(pdf["value"].copy(), float(pdf["rate"].iloc[0]), int(pdf["seed"].iloc[0])).to_numpy()
         return pdf[kept]
 
@@ -155,7 +155,7 @@ def run_custom_model(name: str, degraded: DataFrame) -> DataFrame:
     keys = config_keys(degraded)
 
     def repair(pdf: pd.DataFrame) -> pd.DataFrame:
-        pdf = pdf.sort_values("pos")
+        pdf = pdf.sort_values("pos").reset_index(drop=True)
         filled = pd.Series(fn(pdf["value"].copy())).to_numpy()
         pdf["value"] = pdf["value"].where(pdf["value"].notna(), filled)
         return pdf
@@ -174,7 +174,7 @@ def run_custom_forecaster(name: str, points: DataFrame, horizons: DataFrame, key
     schema = ", ".join(f"`{k}` {dict(points.dtypes)[k]}" for k in keys) + ", step bigint, predicted double"
 
     def predict(pdf: pd.DataFrame) -> pd.DataFrame:
-        pdf = pdf.sort_values("pos")
+        pdf = pdf.sort_values("pos").reset_index(drop=True)
         h = int(pdf["h"].iloc[0])
         values = pd.Series(fn(pdf["value"].dropna().reset_index(drop=True), h)).to_numpy()
         out = pd.DataFrame({"step": range(1, h + 1), "predicted": values})

@@ -151,7 +151,7 @@ def read_degraded(spark, sf):
     return out.select("series_id", "technique", "rate_percent", "iteration", "x", "value")
 
 
-@query("export_filtered_csv")
+@query("export_filtered_csv", "SELECT o_orderkey, o_totalprice FROM orders WHERE o_orderstatus = 'O'")
 def export_filtered_csv(spark, sf):
     """Filtered orders written sorted and read back."""
     path = f"{scratch_dir(spark)}/mendcast/export-{spark.sparkContext.startTime}-{abs(hash(sf))}"
