@@ -4,11 +4,16 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, Window as W, functions as F
 
-from mendcast.layout import attach_salted
+from mendcast.layout import attach_salted, materialise
 
 SKETCH = 100_000
 
 
+def _stored(facts: DataFrame) -> DataFrame:
+    """One row per group, read several times below: stored, so that each pass over the rows runs once."""
+    return materialise(facts)
+
+
 def exact_percentiles(df: DataFrame, keys: list[str], value: str, probs: dict[str, float]) -> DataFrame:
     """Linear-interpolated percentiles, exact, one column per entry of ``probs``.
 
@@ -24,18 +29,21 @@ def exact_percentiles(df: DataFrame, keys: list[str], value: str, probs: dict[st
     rows = rows.select(*marker, "_v")
     steps = (2.0 / SKETCH, 1e-3, 3e-2)
     wanted = sorted({min(1.0, max(0.0, p + s * d)) for p in probs.values() for d in steps for s in (-1, 1)})
-    cuts = rows.groupBy(*marker).agg(
+    cuts = _stored(rows.groupBy(*marker).agg(
         F.count("*").alias("_n"),
         F.percentile_approx("_v", wanted, SKETCH).alias("_cuts"),
-    )
+    ))
     # the row id, not the value, spreads a hot group: one value may fill most of it
     tagged = rows.withColumn("_id", F.monotonically_increasing_id())
     by = [*marker, "_bucket"]
 
     def bucketed(facts: DataFrame) -> DataFrame:
-        return attach_salted(tagged, facts, marker, "_id").withColumn(
-            "_bucket", F.size(F.filter("_cuts", lambda c: c < F.col("_v")))
-        )
+        if keys:
+            both = attach_salted(tagged, facts, marker, "_id")
+        else:
+            one = facts.select(F.struct(*[c for c in facts.columns if c != "_all"]).alias("_f")).scalar()
+            both = rows.withColumn("_f", one).select("*", "_f.*")
+        return both.withColumn("_bucket", F.size(F.filter("_cuts", lambda c: c < F.col("_v"))))
 
     before = W.partitionBy(*marker).orderBy("_bucket").rowsBetween(W.unboundedPreceding, -1)
     ranks = {}
@@ -53,7 +61,7 @@ def exact_percentiles(df: DataFrame, keys: list[str], value: str, probs: dict[st
         .groupBy(*marker).agg(F.map_from_entries(F.collect_list(F.struct("_bucket", "_below"))).alias("_kept"))
     )
     ends = (
-        bucketed(cuts.join(kept, marker))
+        bucketed(_stored(cuts.join(kept, marker)))
         .withColumn("_below", F.element_at("_kept", F.col("_bucket"))).where(F.col("_below").isNotNull())
         .groupBy(*by, "_v").agg(F.count("*").alias("_c"), F.max("_below").alias("_below"), F.max("_n").alias("_n"))
         .withColumn("_end", F.col("_below") + F.sum("_c").over(W.partitionBy(*by).orderBy("_v")))

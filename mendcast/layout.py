@@ -130,7 +130,7 @@ ROWS_PER_SALT = 1 << 20
 
 
 def attach_salted(rows: DataFrame, facts: DataFrame, keys: list[str], spread_by: str) -> DataFrame:
-    """Same for rows without a position: ``facts`` has the group size ``_n``, hot groups are salted.
+    """Same for rows without a position: ``facts`` (a stored table) has the group size ``_n``, hot groups are salted.
 
     Hot means more than a thousandth of all rows, so there are never more than ``HOT_GROUPS`` of them and
     only their keys are broadcast. Each gets one salt per ``ROWS_PER_SALT`` rows; other groups keep salt 0.

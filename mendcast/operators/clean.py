@@ -6,7 +6,7 @@ from collections.abc import Sequence
 
 from pyspark.sql import Column, DataFrame, functions as F
 
-from mendcast.layout import assign_positions, attach_by_block, attach_salted, config_keys
+from mendcast.layout import assign_positions, attach_by_block, attach_salted, config_keys, materialise
 
 
 def coerce_numeric(col: Column | str) -> Column:
@@ -24,12 +24,12 @@ def clean_index(df: DataFrame, index: str = "raw_index", key: str = "series_id")
     """
     text = F.trim(F.col(index).cast("string"))
     rows = df.withColumn("_num", coerce_numeric(text)).withColumn("_time", F.try_to_timestamp(text))
-    kinds = rows.groupBy(key).agg(
+    kinds = materialise(rows.groupBy(key).agg(
         F.when(F.bool_and(F.col("_num").isNotNull()), F.lit("numeric"))
         .when(F.bool_and(F.col("_time").isNotNull()), F.lit("datetime"))
         .otherwise(F.lit("string")).alias("axis"),
         F.count("*").alias("_n"),
-    )
+    ))
     tagged = rows.withColumn("_id", F.monotonically_increasing_id())
     return (
         attach_salted(tagged, kinds, [key], "_id")

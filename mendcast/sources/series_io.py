@@ -6,7 +6,7 @@ from collections.abc import Mapping, Sequence
 
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
-from mendcast.layout import assign_positions, epoch_micros
+from mendcast.layout import assign_positions, epoch_micros, materialise
 from mendcast.operators.clean import coerce_numeric
 from mendcast.sources.names import normalize_id, parse_degraded_name
 
@@ -231,6 +231,8 @@ def external_ingest(
     checks = checks.fillna(
         0, [f"{t}_{w}" for t in ("train", "test", "clean") for w in ("rows", "missing")]
     )
+    # one row per entry, read by all four results
+    checks = materialise(checks)
     has_clean = F.col("train_clean").isNotNull()
     rules = {
         "technique must be one token": (F.col("technique") == "") | F.contains("technique", F.lit("_")),
