@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window as W, functions as F
 
 from mendcast.functions.percentiles import exact_mode, exact_percentiles
+from mendcast.layout import attach_salted, materialise
 
 TINY = 1e-9  # fixed value: keeps min-max scaling finite
 GPU_CORES = 4.0  # fixed value: a full GPU counts as four cores
@@ -76,7 +77,11 @@ def quality_x_cost_join(pred_results: DataFrame, cost: DataFrame, metric: str) -
 
 
 def cost_restricted_to_quality_datasets(cost: DataFrame, quality: DataFrame) -> DataFrame:
-    return cost.join(quality.select("dataset_name").distinct(), "dataset_name", "left_semi")
+    """Cost rows of data sets that occur in the quality rows; one data set may hold most of them."""
+    allowed = quality.select("dataset_name").distinct()
+    sizes = cost.groupBy("dataset_name").agg(F.count("*").alias("_n")).join(allowed, "dataset_name", "left_semi")
+    tagged = cost.withColumn("_id", F.monotonically_increasing_id())
+    return attach_salted(tagged, materialise(sizes), ["dataset_name"], "_id").select(*cost.columns)
 
 
 def models_without_cost(quality: DataFrame, cost: DataFrame) -> DataFrame:

@@ -39,7 +39,8 @@ def forecast_sources(train: DataFrame, repaired: DataFrame | None) -> DataFrame:
 def clean_train_allowlist(points: DataFrame, ingest: DataFrame) -> DataFrame:
     """Points of series whose ingest entry has a clean training series."""
     allowed = ingest.where(F.col("has_clean_train")).select("series_id").distinct()
-    return points.join(allowed, "series_id", "left_semi")
+    ends = points.groupBy("series_id").agg(F.max("pos").alias("_last")).join(allowed, "series_id")
+    return attach_by_block(points, ends, ["series_id"])
 
 
 def _attributes(points: DataFrame) -> list[str]:

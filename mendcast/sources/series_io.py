@@ -6,7 +6,7 @@ from collections.abc import Mapping, Sequence
 
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
-from mendcast.layout import assign_positions, epoch_micros, materialise
+from mendcast.layout import assign_positions, attach_by_block, epoch_micros, materialise
 from mendcast.operators.clean import coerce_numeric
 from mendcast.sources.names import normalize_id, parse_degraded_name
 
@@ -198,31 +198,32 @@ def external_ingest(
     )
     src = points.select(F.col("series_id").alias("source"), "pos", "ts", "x", "value")
     whole = m.where(F.col("series").isNotNull())
-    sizes = src.join(whole.select(F.col("series").alias("source")).distinct(), "source", "left_semi").groupBy(
-        "source").agg(F.count("*").alias("_n"))
-    cuts = whole.join(sizes.withColumnRenamed("source", "series"), "series", "left").withColumn(
+    sizes = materialise(src.groupBy("source").agg(F.count("*").alias("_n"), F.max("pos").alias("_last")))
+    cuts = whole.join(sizes.drop("_last").withColumnRenamed("source", "series"), "series", "left").withColumn(
         "_cut", F.coalesce("_n", F.lit(0)) - F.col("n_test")
     )
-    split = src.join(cuts.select(F.col("series").alias("source"), "id", "_cut"), "source")
-    pairs = m.where(F.col("series").isNull())
 
-    def take(ref):
-        return src.join(pairs.select(F.col(ref).alias("source"), "id"), "source")
+    def take(entries, ref, *extra):
+        """Points of the referenced sources; the join key holds the block, so long sources stay spread."""
+        named = entries.where(F.col(ref).isNotNull()).select(F.col(ref).alias("source"), "id", *extra)
+        return attach_by_block(src, named.join(sizes.drop("_n"), "source"), ["source"])
+
+    split = take(cuts, "series", "_cut")
+    pairs = m.where(F.col("series").isNull())
 
     body = ["id", "pos", "ts", "x", "value"]
-    train_rows = split.where(F.col("pos") < F.col("_cut")).select(*body).unionByName(take("train").select(*body))
+    train_rows = split.where(F.col("pos") < F.col("_cut")).select(*body).unionByName(take(pairs, "train").select(*body))
     test_rows = (
         split.where(F.col("pos") >= F.col("_cut"))
         .withColumn("pos", F.col("pos") - F.greatest("_cut", F.lit(0))).select(*body)
-        .unionByName(take("test").select(*body))
+        .unionByName(take(pairs, "test").select(*body))
     )
-    clean_rows = src.join(
-        m.where(F.col("train_clean").isNotNull()).select(F.col("train_clean").alias("source"), "id"), "source"
-    ).select(*body)
+    clean_rows = take(m, "train_clean").select(*body)
 
     def facts(df, tag):
         return df.groupBy("id").agg(
-            F.count("*").alias(f"{tag}_rows"), F.count_if(F.col("value").isNull()).alias(f"{tag}_missing")
+            F.count("*").alias(f"{tag}_rows"), F.count_if(F.col("value").isNull()).alias(f"{tag}_missing"),
+            F.max("pos").alias(f"{tag}_last"),
         )
 
     checks = m.join(cuts.select("id", F.col("_n")), "id", "left")
@@ -249,16 +250,19 @@ def external_ingest(
     }
     broken = F.array_compact(F.array(*[F.when(F.coalesce(c, F.lit(False)), F.lit(r)) for r, c in rules.items()]))
     violations = checks.select("id", F.explode(broken).alias("rule"))
-    good = checks.where(F.size(broken) == 0).select("id", "technique", "rate_percent", "iteration",
-                                                    has_clean.alias("has_clean_train"))
-    degraded = train_rows.join(good, "id").select(
+    good = checks.where(F.size(broken) == 0).withColumn("has_clean_train", has_clean)
+
+    def kept(rows, tag, *extra):
+        return attach_by_block(rows, good.select("id", *extra, F.col(f"{tag}_last").alias("_last")), ["id"])
+
+    degraded = kept(train_rows, "train", "technique", "rate_percent", "iteration", "has_clean_train").select(
         F.col("id").alias("series_id"), "technique", "rate_percent", "iteration", "has_clean_train",
         "pos", "ts", "x", "value",
     )
-    test = test_rows.join(good.select("id"), "id").select(
+    test = kept(test_rows, "test").select(
         F.col("id").alias("series_id"), "pos", (F.col("pos") + 1).alias("step"), "ts", "x", "value"
     )
-    train = clean_rows.join(good.select("id"), "id").select(
+    train = kept(clean_rows, "clean").select(
         F.col("id").alias("series_id"), "pos", "ts", "x", "value"
     )
     return degraded, test, train, violations
