@@ -186,7 +186,7 @@ def clean_train_allowlist(spark, sf):
 
 
 # ---- one learner over all series -------------------------------------------------------------------
-# small ensembles here; the defaults of the library are those of the reference configuration
+# small ensembles here; the defaults of the library are larger
 
 def _features(spark, sf):
     return stored(spark, sf, "li_lags", lambda: fc.lag_features(li_day(spark, sf), 5))
