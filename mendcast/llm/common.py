@@ -65,3 +65,45 @@ class WordTable:
 
 def frame(columns: dict) -> pd.DataFrame:
     return pd.DataFrame(columns)
+
+
+def shared_files(path: str):
+    """(file system, path) of a folder that all executors see, for files that Spark has no writer for."""
+    from pyarrow import fs
+
+    scheme, sep, rest = path.partition("://")
+    if sep and scheme in ("s3a", "s3n"):
+        path = f"s3://{rest}"
+    if path.startswith("file:/") and not path.startswith("file://"):
+        path = "file://" + path[len("file:"):]
+    return fs.FileSystem.from_uri(path)
+
+
+#: Arrow types by the names that Spark uses in schema strings.
+ARROW = {"long": "int64", "int": "int32", "double": "float64", "string": "string", "boolean": "bool", "binary": "binary"}
+
+
+def map_batches(rows: DataFrame, make, derived: dict[str, str]) -> DataFrame:
+    """``_id`` of every row unchanged, with derived columns.
+
+    ``make()`` runs once per task and returns a function from an Arrow batch to one list or array for each derived column.
+    """
+    import pyarrow as pa
+
+    kind = dict(rows.dtypes)["_id"]
+
+    def run(batches):
+        work = make()
+        for batch in batches:
+            found = work(batch)
+            arrays = [pa.array(found[c], pa.type_for_alias(ARROW[t])) if t in ARROW else found[c] for c, t in derived.items()]
+            yield pa.RecordBatch.from_arrays([batch.column(batch.schema.get_field_index("_id")), *arrays], ["_id", *derived])
+
+    return rows.mapInArrow(run, ", ".join([f"_id {kind}"] + [f"{c} {t}" for c, t in derived.items()]))
+
+
+def vocabulary(name: str) -> str:
+    """Where a public vocabulary file is installed."""
+    import public_tokenizers
+
+    return public_tokenizers.path(name)

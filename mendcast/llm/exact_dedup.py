@@ -57,15 +57,18 @@ def build_index(entries: DataFrame, capacity: int) -> DataFrame:
 
 
 def chains(docs: DataFrame, index: DataFrame, id_col: str, text_col: str) -> DataFrame:
-    """Rows of shared hashes grouped by their bytes: (``_h``, ``text_sha256``, ``keep_id``, ``group_size``)."""
-    shared = index.where(F.col("_n") > 1).select("_h")
-    return (
+    """Texts that occur more than once, found by their bytes: (``_h``, ``text_sha256``, ``keep_id``, ``group_size``, ``bucket``).
+
+    All texts are grouped, not only those that the index calls shared: a join that picks the shared ones first would either
+    broadcast a list that grows with the table or send a frequent text's rows to one task before they are added up.
+    """
+    grouped = (
         docs.select(F.col(id_col).alias("_id"), one_spaced(text_or_empty(text_col)).alias("_text"))
-        .withColumn("_h", F.xxhash64("_text"))
-        .join(shared, "_h", "left_semi")
-        .groupBy("_h", "_text").agg(F.min("_id").alias("keep_id"), F.count("*").alias("group_size"))
+        .groupBy(F.xxhash64("_text").alias("_h"), "_text").agg(F.min("_id").alias("keep_id"), F.count("*").alias("group_size"))
+        .where(F.col("group_size") > 1)
         .select("_h", F.sha2("_text", 256).alias("text_sha256"), "keep_id", "group_size")
     )
+    return grouped.join(index.where(F.col("_n") > 1).select("_h", "bucket"), "_h")
 
 
 def exact_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", capacity: int = 4096) -> DataFrame:
@@ -76,13 +79,14 @@ def exact_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
         .select("_id", F.xxhash64("_text").alias("_h"), F.sha2("_text", 256).alias("text_sha256"))
         .withColumn("_row", F.monotonically_increasing_id())
     )
-    heads = chains(docs, build_index(entries, capacity), id_col, text_col).where(F.col("group_size") > 1)
+    heads = chains(docs, build_index(entries, capacity), id_col, text_col)
     first = (
         entries.groupBy("_h", "text_sha256")
         .agg(F.min_by("_row", F.coalesce(F.col("_id").cast("long"), F.lit(LAST))).alias("_first"), F.count("*").alias("_k"))
         .where(F.col("_k") > 1).drop("_k")
     )
-    joined = entries.join(heads.join(first, ["_h", "text_sha256"]), ["_h", "text_sha256"], "left")
+    facts = materialise(heads.join(first, ["_h", "text_sha256"]))  # stored, so that the next join can split a frequent text
+    joined = entries.join(facts, ["_h", "text_sha256"], "left")
     alone = F.col("group_size").isNull()
     return joined.select(
         F.col("_id").alias(id_col),

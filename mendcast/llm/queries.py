@@ -6,8 +6,8 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from mendcast.llm import exact_dedup, mixing
-from mendcast.llm.common import table
+from mendcast.llm import exact_dedup, fertility, language_id, mixing, separator_scan, suffix_dedup, toxicity, warc
+from mendcast.llm.common import table, vocabulary
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLE: dict[str, str] = {}
@@ -70,3 +70,33 @@ FROM r WHERE epoch < budget // total OR start < budget % total
 @query("op8_temperature_mixing", MIX_SQL)
 def _(spark, sf):
     return mixing.mix_plan(table(spark, sf, "documents"))
+
+
+@query("op2_fertility_quality")
+def _(spark, sf):
+    return fertility.fertility_quality(table(spark, sf, "documents"), vocabulary("piece_bpe_32k.model"))
+
+
+@query("op4_separator_scan")
+def _(spark, sf):
+    return separator_scan.document_token_counts(table(spark, sf, "documents"), vocabulary("word_bpe_49k.json"))
+
+
+@query("op7_gzip_normaliser")
+def _(spark, sf):
+    return warc.archive_round_trip(table(spark, sf, "pages"), least_bytes=0)
+
+
+@query("op1_ftrl_language")
+def _(spark, sf):
+    return language_id.identify_language(table(spark, sf, "documents"))
+
+
+@query("op9_segment_toxicity")
+def _(spark, sf):
+    return toxicity.detect_toxicity(table(spark, sf, "documents"), table(spark, sf, "labels"))
+
+
+@query("op10_suffix_dedup")
+def _(spark, sf):
+    return suffix_dedup.remove_repeats(table(spark, sf, "documents"))
