@@ -3,9 +3,10 @@
 from __future__ import annotations
 
 import numpy as np
-import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
+from mendcast.layout import materialise
+
 SPACE = r"[\x20\x09-\x0D]+"
 
 
@@ -36,6 +37,11 @@ def mix64(x: np.ndarray) -> np.ndarray:
     return x ^ (x >> np.uint64(33))
 
 
+def numbered(docs: DataFrame) -> DataFrame:
+    """Stored: ``_row``, a number for every row, and ``_doc``, all columns of the row, whatever their names."""
+    return materialise(docs.select(F.monotonically_increasing_id().alias("_row"), F.struct(*[docs[c] for c in docs.columns]).alias("_doc")))
+
+
 class WordTable:
     """Bounded memo from words to small integers with one derived value per word.
 
@@ -63,10 +69,6 @@ class WordTable:
         return np.fromiter(map(index.__getitem__, words), np.int64, len(words))
 
 
-def frame(columns: dict) -> pd.DataFrame:
-    return pd.DataFrame(columns)
-
-
 def shared_files(path: str):
     """(file system, path) of a folder that all executors see, for files that Spark has no writer for."""
     from pyarrow import fs

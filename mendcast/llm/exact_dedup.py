@@ -103,6 +103,9 @@ def keep_first_of_equal(docs: DataFrame, id_col: str = "doc_id", text_col: str =
         exact_dedup(docs, id_col, text_col).where("kept")
         .select(F.col(id_col).alias("_kept_id"), F.col("text_sha256").alias("_kept_sha")).distinct()
     )
-    keyed = docs.withColumn("_kept_id", F.col(id_col)).withColumn("_kept_sha", F.sha2(one_spaced(text_or_empty(text_col)), 256))
-    same = [keyed["_kept_id"].eqNullSafe(kept["_kept_id"]), keyed["_kept_sha"] == kept["_kept_sha"]]
-    return keyed.join(kept, same, "left_semi").dropDuplicates(["_kept_id", "_kept_sha"]).select(*docs.columns)
+    keyed = docs.select(
+        F.struct(*[docs[c] for c in docs.columns]).alias("_doc"), docs[id_col].alias("_its_id"),
+        F.sha2(one_spaced(F.coalesce(docs[text_col], F.lit(""))), 256).alias("_its_sha"),
+    )
+    same = [F.col("_its_id").eqNullSafe(F.col("_kept_id")), F.col("_its_sha") == F.col("_kept_sha")]
+    return keyed.join(kept, same, "left_semi").dropDuplicates(["_its_id", "_its_sha"]).select("_doc.*")

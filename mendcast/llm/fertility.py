@@ -3,7 +3,9 @@
 Every word is cut by a public vocabulary. Three measures describe how well the vocabulary fits a text: characters per
 token, share of byte-fallback tokens, and token entropy relative to the entropy of as many different tokens. Texts of one
 group (their language, else their dominant script) give a centre and a spread (median and interquartile range) of each
-measure over the whole table, from mergeable sketches. A text outside the band of centre plus or minus ``width`` spreads is rejected.
+measure over the whole table, from mergeable sketches. Short texts scatter more, so differences from the centre are scaled by
+the root of the number of tokens (up to ``settled``) before the spread is taken. A text outside the band of centre plus or minus
+``width`` spreads is rejected.
 Byte fallback is rejected above its band only; both other measures on either side, but few characters per token and low
 entropy are what junk shows.
 
@@ -18,13 +20,16 @@ import numpy as np
 from pyspark.sql import Column, DataFrame, functions as F
 
 from mendcast.layout import materialise
-from mendcast.llm.common import WordTable, map_batches
+from mendcast.llm.common import WordTable, map_batches, numbered
 
 STATS = {
     "lang": "string", "n_words": "long", "word_chars": "long", "n_symbols": "long", "n_dup_lines": "long", "n_repeat_words": "long",
     "script": "string", "n_tokens": "long", "chars_per_token": "double", "fallback_share": "double", "token_entropy": "double",
 }
 SYMBOLS = "#*$%&|<>"
+WIDTH, SETTLED = 4.0, 1000
+#: Least spread that is taken for real, in the scaled measure.
+FLOOR = {"chars_per_token": 0.5, "fallback_share": 0.1, "token_entropy": 0.3}
 MEASURES = ("chars_per_token", "fallback_share", "token_entropy")
 #: First code point of each script's block and its name; a text belongs to the script that most of its letters fall in.
 SCRIPTS = (
@@ -127,33 +132,35 @@ def base_failed(least_words: int = 50, repeat_percent: int = 50) -> Column:
     return (F.col("n_words") < least_words) | (100 * F.col("n_repeat_words") > repeat_percent * F.col("n_words"))
 
 
-def fertility_bands(stats: DataFrame, width: float, least: int) -> DataFrame:
-    """Centre and half-width of every measure per group, over the documents that passed the base rule."""
-    quartiles = {m: F.percentile_approx(m, [0.25, 0.5, 0.75], 1000) for m in MEASURES}
-    found = (
-        stats.where(~F.col("base_failed")).groupBy("_group")
-        .agg(F.count("*").alias("_n"), *[q.alias(m) for m, q in quartiles.items()])
-        .where(F.col("_n") >= least)
-    )
-    floor = {"chars_per_token": 0.1, "fallback_share": 0.01, "token_entropy": 0.01}
-    return found.select(
-        "_group",
-        *[F.col(m)[1].alias(f"{m}_centre") for m in MEASURES],
-        *[(F.lit(width) * F.greatest(F.col(m)[2] - F.col(m)[0], F.lit(floor[m]))).alias(f"{m}_reach") for m in MEASURES],
-    )
+def fertility_bands(stats: DataFrame, least: int, settled: int) -> DataFrame:
+    """Centre and spread of every measure per group, over the documents that passed the base rule."""
+    passed = stats.where(~F.col("base_failed"))
+    centres = passed.groupBy("_group").agg(
+        F.count("*").alias("_n"), *[F.percentile_approx(m, 0.5, 1000).alias(f"{m}_centre") for m in MEASURES]
+    ).where(F.col("_n") >= least)
+    spread = [
+        (F.percentile_approx(scaled(m, settled), 0.75, 1000) - F.percentile_approx(scaled(m, settled), 0.25, 1000)).alias(f"{m}_spread")
+        for m in MEASURES
+    ]
+    return centres.join(passed.join(centres, "_group").groupBy("_group").agg(*spread), "_group")
+
+
+def scaled(m: str, settled: int) -> Column:
+    return (F.col(m) - F.col(f"{m}_centre")) * F.sqrt(F.least(F.col("n_tokens"), F.lit(settled)))
 
 
 def fertility_quality(
-    docs: DataFrame, vocabulary: str, width: float = 4.0, least: int = 20,
+    docs: DataFrame, vocabulary: str, width: float = WIDTH, least: int = 20, settled: int = SETTLED,
     id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang",
 ) -> DataFrame:
     """One row per document: id, base counts, measures, ``base_failed``, ``verdict`` (why it goes, null if kept), ``kept``."""
     stats = materialise(text_measures(docs, vocabulary, id_col, text_col, lang_col)).withColumn("base_failed", base_failed()).withColumn(
         "_group", F.coalesce(F.concat(F.lit("lang "), "lang"), F.concat(F.lit("script "), "script"))
     )
-    bands = fertility_bands(stats, width, least)
-    below = {m: F.col(m) < F.col(f"{m}_centre") - F.col(f"{m}_reach") for m in MEASURES}
-    above = {m: F.col(m) > F.col(f"{m}_centre") + F.col(f"{m}_reach") for m in MEASURES}
+    bands = fertility_bands(stats, least, settled)
+    reach = {m: F.lit(width) * F.greatest(f"{m}_spread", F.lit(FLOOR[m])) for m in MEASURES}
+    below = {m: scaled(m, settled) < -reach[m] for m in MEASURES}
+    above = {m: scaled(m, settled) > reach[m] for m in MEASURES}
     verdict = F.coalesce(
         F.when(F.col("base_failed"), F.lit("base rule")),
         F.when(below["chars_per_token"], F.lit("few characters per token")),
@@ -172,6 +179,7 @@ def fertility_quality(
 
 def keep_fertile(docs: DataFrame, vocabulary: str, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang") -> DataFrame:
     """``docs`` without the rejected ones, all columns kept. The stage form of ``fertility_quality``."""
-    stored = materialise(docs.withColumn("_row", F.monotonically_increasing_id()))
-    kept = fertility_quality(stored, vocabulary, id_col="_row", text_col=text_col, lang_col=lang_col).where("kept").select("_row")
-    return stored.join(kept, "_row", "left_semi").select(*docs.columns)
+    stored = numbered(docs)
+    view = stored.select("_row", F.col(f"_doc.{text_col}").alias("text"), F.col(f"_doc.{lang_col}").alias("lang"))
+    kept = fertility_quality(view, vocabulary, id_col="_row").where("kept").select("_row")
+    return stored.join(kept, "_row", "left_semi").select("_doc.*")

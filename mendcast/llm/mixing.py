@@ -22,7 +22,7 @@ import math
 from pyspark.sql import Column, DataFrame, Window as W, functions as F
 
 from mendcast.layout import materialise
-from mendcast.llm.common import one_spaced, text_or_empty
+from mendcast.llm.common import numbered, one_spaced, text_or_empty
 
 GRID, ROUNDS = 64, 6
 BLOCK_DOCS = 4096
@@ -142,6 +142,7 @@ def mix_documents(
     id_col: str = "doc_id", source_col: str = "source", text_col: str = "text",
 ) -> DataFrame:
     """The documents themselves, all columns, once per epoch that takes them. The stage form of ``mix_plan``."""
-    stored = materialise(docs.withColumn("_row", F.monotonically_increasing_id()))
-    plan = _plan(_narrow(stored, id_col, source_col, text_col, F.col("_row")), evenness, max_repeats, budget_share, seed)
-    return stored.join(plan.select("_row"), "_row").select(*docs.columns)
+    stored = numbered(docs)
+    view = stored.select("_row", *[F.col(f"_doc.{c}").alias(c) for c in dict.fromkeys((id_col, source_col, text_col))])
+    plan = _plan(_narrow(view, id_col, source_col, text_col, F.col("_row")), evenness, max_repeats, budget_share, seed)
+    return stored.join(plan.select("_row"), "_row").select("_doc.*")

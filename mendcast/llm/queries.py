@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from mendcast.llm import exact_dedup, fertility, language_id, mixing, separator_scan, suffix_dedup, toxicity, warc
+from mendcast.llm import exact_dedup, fertility, jaccard_join, language_id, mixing, packing, separator_scan, suffix_dedup, toxicity, warc
 from mendcast.llm.common import table, vocabulary
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -100,3 +100,13 @@ def _(spark, sf):
 @query("op10_suffix_dedup")
 def _(spark, sf):
     return suffix_dedup.remove_repeats(table(spark, sf, "documents"))
+
+
+@query("op5_jaccard_join")
+def _(spark, sf):
+    return jaccard_join.near_duplicate_classes(table(spark, sf, "documents"))
+
+
+@query("op3_bm25_packing")
+def _(spark, sf):
+    return packing.pack_by_retrieval(table(spark, sf, "documents"), vocabulary("word_bpe_49k.json"))

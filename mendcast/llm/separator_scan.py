@@ -87,7 +87,8 @@ def scan_blocks(files: DataFrame, folder: str, separator: int, block_tokens: int
                     "place": pd.array([*at, None], "Int64"), "nth": np.arange(len(at) + 1), "found": len(at),
                 })
 
-    return blocks.repartition("file", "block").mapInPandas(scan, "file string, block long, tokens long, place long, nth long, found long")
+    # a number is given because these few rows do not show how much each has to read
+    return blocks.repartition(max(1, blocks.count())).mapInPandas(scan, "file string, block long, tokens long, place long, nth long, found long")
 
 
 def separator_scan(files: DataFrame, folder: str, separator: int = END_OF_TEXT, block_tokens: int = BLOCK_TOKENS) -> DataFrame:

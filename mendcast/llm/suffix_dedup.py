@@ -152,9 +152,25 @@ def _texts(docs: DataFrame, text_col: str) -> DataFrame:
 
 
 def marked_runs(texts: DataFrame) -> DataFrame:
-    """(``mark``, ``_h``, ``_len``, ``start``, ``n``): each task gives the runs of equal texts once."""
+    """(``mark``, ``_h``, ``_len``, ``start``, ``n``, ``more``): one row for each mark of a text.
+
+    ``more`` packs the further runs of the same mark in the same text, as periodic text has them, so a mark has as many rows
+    as texts. Each task gives equal texts once.
+    """
     import pyarrow as pa
 
+    def one(data: bytes, marks: Marks):
+        mark, first, n = marks.runs(data)
+        order = np.argsort(mark, kind="stable")
+        ranked = mark[order]
+        heads = np.flatnonzero(np.concatenate(([True], ranked[1:] != ranked[:-1])))
+        more = [None] * len(heads)
+        for k in np.flatnonzero(np.diff(np.append(heads, len(ranked))) > 1):
+            rest = order[heads[k] + 1: heads[k + 1] if k + 1 < len(heads) else len(ranked)]
+            more[k] = np.stack((first[rest], n[rest])).astype("<i4").tobytes()
+        lead = order[heads]
+        return mark[lead].view(np.int64), first[lead].astype(np.int32), n[lead].astype(np.int32), more
+
     def run(batches):
         marks, seen = Marks(), set()
         for batch in batches:
@@ -162,34 +178,54 @@ def marked_runs(texts: DataFrame) -> DataFrame:
                 if size < LENGTH or (h, size) in seen:
                     continue
                 seen.add((h, size))
-                mark, first, n = marks.runs(text.as_py().encode("utf-8"))
+                mark, first, n, more = one(text.as_py().encode("utf-8"), marks)
                 yield pa.RecordBatch.from_arrays(
-                    [pa.array(mark.view(np.int64)), pa.array(np.full(len(mark), h)), pa.array(np.full(len(mark), size, np.int32)),
-                     pa.array(first.astype(np.int32)), pa.array(n.astype(np.int32))],
-                    ["mark", "_h", "_len", "start", "n"],
+                    [pa.array(mark), pa.array(np.full(len(mark), h)), pa.array(np.full(len(mark), size, np.int32)),
+                     pa.array(first), pa.array(n), pa.array(more, pa.binary())],
+                    ["mark", "_h", "_len", "start", "n", "more"],
                 )
 
-    return texts.mapInArrow(run, "mark long, _h long, _len int, start int, n int")
+    return texts.mapInArrow(run, "mark long, _h long, _len int, start int, n int, more binary")
 
 
 def shared_runs(texts: DataFrame) -> DataFrame:
-    """Runs whose mark also belongs to another run, gathered per text; ``count`` is the number of runs of the mark."""
-    place = F.xxhash64("_h", "_len", "start")
+    """Runs whose mark also belongs to another run, gathered per text; ``count`` is the number of texts with the mark."""
+    place = F.xxhash64("_h", "_len")
     of_mark = W.partitionBy("mark")
     return (
         marked_runs(texts).withColumn("_place", place)
         .withColumn("_low", F.min("_place").over(of_mark)).withColumn("_high", F.max("_place").over(of_mark))
         .withColumn("count", F.count("*").over(of_mark))
-        .where(F.col("_low") != F.col("_high"))
-        .groupBy("_h", "_len").agg(F.collect_set(F.struct("start", "n", "mark", "count")).alias("runs"))
+        .where((F.col("_low") != F.col("_high")) | F.col("more").isNotNull())
+        .groupBy("_h", "_len").agg(F.collect_set(F.struct("start", "n", "mark", "count", "more")).alias("runs"))
     )
 
 
 def run_bytes(suspects: DataFrame, hot: int) -> DataFrame:
-    """(``mark``, ``salt``, ``content``, ``bytes``, ``_h``, ``_len``, ``start``); runs of hot marks come as single starts."""
+    """(``mark``, ``salt``, ``content``, ``bytes``, ``_h``, ``_len``, ``starts``): each different run of a text with all its places.
+
+    Runs of hot marks come as single starts.
+    """
     import pyarrow as pa
 
-    kinds = {"mark": pa.int64(), "salt": pa.int32(), "content": pa.binary(), "bytes": pa.binary(), "_h": pa.int64(), "_len": pa.int32(), "start": pa.int32()}
+    kinds = {
+        "mark": pa.int64(), "salt": pa.int32(), "content": pa.binary(), "bytes": pa.binary(), "_h": pa.int64(), "_len": pa.int32(),
+        "starts": pa.list_(pa.int32()),
+    }
+
+    def pieces(data: bytes, r: dict):
+        first, n = [r["start"]], [r["n"]]
+        if r["more"] is not None:
+            more = np.frombuffer(r["more"], "<i4").reshape(2, -1).tolist()
+            first, n = first + more[0], n + more[1]
+        salts = r["count"] // hot + 1
+        for p, k in zip(first, n):
+            if salts == 1:
+                yield 0, data[p: p + k + LENGTH - 1], p
+                continue
+            for q in range(p, p + k):
+                part = data[q: q + LENGTH]
+                yield zlib.crc32(part) % salts, part, q
 
     def cut(batches):
         for batch in batches:
@@ -197,28 +233,24 @@ def run_bytes(suspects: DataFrame, hot: int) -> DataFrame:
             for h, size, text, runs in zip(*(batch.column(c) for c in ("_h", "_len", "_text", "runs"))):
                 h, size, data = h.as_py(), size.as_py(), text.as_py().encode("utf-8")
                 for r in runs.as_py():
-                    first, salts = r["start"], r["count"] // hot + 1
-                    if salts == 1:
-                        part = data[first: first + r["n"] + LENGTH - 1]
-                        rows.append((r["mark"], 0, hashlib.md5(part).digest(), part, h, size, first))
-                        continue
-                    for p in range(first, first + r["n"]):
-                        part = data[p: p + LENGTH]
-                        rows.append((r["mark"], zlib.crc32(part) % salts, hashlib.md5(part).digest(), part, h, size, p))
+                    places: dict = {}
+                    for salt, part, p in pieces(data, r):
+                        places.setdefault((salt, part), []).append(p)
+                    rows.extend((r["mark"], salt, hashlib.md5(part).digest(), part, h, size, ps) for (salt, part), ps in places.items())
                 if len(rows) > 20_000:
                     yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows), kinds.values())], list(kinds))
                     rows = []
             if rows:
                 yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows), kinds.values())], list(kinds))
 
-    return suspects.mapInArrow(cut, "mark long, salt int, content binary, bytes binary, _h long, _len int, start int")
+    return suspects.mapInArrow(cut, "mark long, salt int, content binary, bytes binary, _h long, _len int, starts array<int>")
 
 
 def repeated_starts(runs: DataFrame) -> DataFrame:
     """(``mark``, ``salt``, ``content``, ``spans``): the starts of a run, from 0, whose 200 bytes begin elsewhere too."""
     import pyarrow as pa
 
-    distinct = runs.groupBy("mark", "salt", "content", "bytes").agg(F.count("*").alias("times"))
+    distinct = runs.groupBy("mark", "salt", "content", "bytes").agg(F.sum(F.size("starts")).alias("times"))
     spans_type = pa.list_(pa.struct([("from", pa.int32()), ("to", pa.int32())]))
 
     def solve(rows):
@@ -266,7 +298,8 @@ def removed_spans(docs: DataFrame, text_col: str = "text", hot: int = HOT) -> tu
     solved = repeated_starts(runs)
     spans = (
         runs.drop("bytes").join(solved, ["mark", "salt", "content"])
-        .select("_h", "_len", "start", F.explode("spans").alias("s"))
+        .select("_h", "_len", "starts", F.explode("spans").alias("s"))
+        .select("_h", "_len", "s", F.explode("starts").alias("start"))
         .groupBy("_h", "_len")
         .agg(F.collect_list(F.struct((F.col("start") + F.col("s.from")).alias("from"), (F.col("start") + F.col("s.to")).alias("to"))).alias("starts"))
     )

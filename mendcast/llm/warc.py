@@ -27,6 +27,7 @@ from mendcast.llm.common import shared_files, text_or_empty
 CRLF = b"\r\n"
 ARCHIVE_BYTES = 1 << 28
 PIECE = 1 << 20
+READ_BYTES = 1 << 24
 RESULT = "_id {id}, payload_bytes long, payload_digest string, record_type string, refers_to {id}"
 
 
@@ -165,7 +166,9 @@ def normalise_archives(archives: DataFrame, source: str, target: str) -> DataFra
 
     files, root = shared_files(target)
     files.create_dir(root, recursive=True)
-    return materialise(archives.repartition("file").mapInPandas(rewrite, "file string, offset long, length long"))
+    # a number is given because the list of names is far too small for Spark to see the work behind it
+    spread = archives.repartition(max(1, archives.count()))
+    return materialise(spread.mapInPandas(rewrite, "file string, offset long, length long"))
 
 
 def read_records(index: DataFrame, folder: str, kind: str = "long") -> DataFrame:
@@ -193,7 +196,8 @@ def read_records(index: DataFrame, folder: str, kind: str = "long") -> DataFrame
             out = pd.DataFrame(rows, columns=columns)
             yield out.astype({"_id": "Int64", "refers_to": "Int64"})
 
-    spread = index.repartition("file", F.expr("offset div 33554432")).sortWithinPartitions("file", "offset")
+    parts = 1 + (index.agg(F.sum("length")).first()[0] or 0) // READ_BYTES
+    spread = index.repartitionByRange(parts, "file", "offset").sortWithinPartitions("file", "offset")
     return spread.mapInPandas(read, RESULT.format(id=kind))
 
 
