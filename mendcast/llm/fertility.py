@@ -27,7 +27,7 @@ STATS = {
     "script": "string", "n_tokens": "long", "chars_per_token": "double", "fallback_share": "double", "token_entropy": "double",
 }
 SYMBOLS = "#*$%&|<>"
-WIDTH, SETTLED = 4.0, 1000
+WIDTH, SETTLED = 3.5, 4000
 #: Least spread that is taken for real, in the scaled measure.
 FLOOR = {"chars_per_token": 0.5, "fallback_share": 0.1, "token_entropy": 0.3}
 MEASURES = ("chars_per_token", "fallback_share", "token_entropy")

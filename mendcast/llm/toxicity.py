@@ -31,8 +31,8 @@ from pyspark.sql import DataFrame, functions as F
 from mendcast.llm.common import WordTable, crc_of_id, map_batches
 
 BUCKETS = 1 << 20
-PREFIXES = (4, 5, 6, 7, 8)
-PRIOR, SUPPORT, DRIFT, SIGNIFICANT = 1.0, 5, 0.5, 0.05
+PREFIXES = (4, 5, 6)
+PRIOR, SUPPORT, DRIFT, SIGNIFICANT = 1.0, 5, 0.8, 0.05
 SAMPLE = 8000
 STEP, LOWEST = 0.05, -8.0
 TRIMMED = "".join(chr(i) for i in range(33, 127) if not chr(i).isalnum())
@@ -123,8 +123,9 @@ def solve_lambda(values: np.ndarray, counts: np.ndarray) -> float:
     p = counts / max(counts.sum(), 1)
     if not (values[counts > 0] > 0).any() or (p * values).sum() >= 0:
         return 1.0
+    values, p = values[p > 0], p[p > 0]
     low, high = 1e-6, 1.0
-    while (p * np.exp(high * values)).sum() < 1 and high < 64:
+    while (p * np.exp(high * values)).sum() < 1 and high < 32:
         high *= 2
     for _ in range(60):
         mid = (low + high) / 2
