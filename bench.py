@@ -5,6 +5,7 @@ from __future__ import annotations
 import json
 import os
 import sys
+import tempfile
 import time
 
 sys.path.insert(0, os.path.dirname(os.path.abspath(__file__)))
@@ -15,11 +16,12 @@ def main() -> None:
     cpus = os.environ.get("BENCH_CPUS", "8")
     from pyspark.sql import SparkSession, functions as F
 
+    scratch = tempfile.mkdtemp(prefix="bench-")  # one machine: driver and executors share it
     spark = (
         SparkSession.builder.master(f"local[{cpus}]").appName("mendcast-bench")
         .config("spark.ui.enabled", "false").config("spark.ui.showConsoleProgress", "false")
         .config("spark.sql.shuffle.partitions", cpus).config("spark.driver.memory", "16g")
-        .config("spark.sql.session.timeZone", "UTC").getOrCreate()
+        .config("spark.sql.session.timeZone", "UTC").config("spark.checkpoint.dir", f"file://{scratch}").getOrCreate()
     )
     spark.sparkContext.setLogLevel("ERROR")
 

@@ -11,8 +11,10 @@ block edge travels in a summary table with one short row per block.
 
 from __future__ import annotations
 
+import re
 import tempfile
 import uuid
+from contextlib import contextmanager
 
 from pyspark.sql import Column, DataFrame, SparkSession, Window as W, functions as F
 
@@ -28,12 +30,17 @@ def config_keys(df: DataFrame) -> list[str]:
 
 
 def scratch_dir(spark: SparkSession) -> str:
-    """Shared folder for materialised tables: the one the cluster names, else a private one (tests)."""
+    """Folder for stored tables that the driver and all executors share.
+
+    A cluster must name it. Only a session that runs inside one process (``local`` or ``local[n]``) gets a folder of its own.
+    """
     sc = spark.sparkContext
     named = spark.conf.get("spark.checkpoint.dir", None)
     if named:
         return named.rstrip("/")
     if sc.getCheckpointDir() is None:
+        if not re.fullmatch(r"local(\[[^\]]*\])?", sc.master):
+            raise ValueError("stored tables need a shared folder: set spark.checkpoint.dir or call setCheckpointDir")
         sc.setCheckpointDir(tempfile.mkdtemp(prefix="mendcast-"))
     return sc.getCheckpointDir().rstrip("/")
 
@@ -45,10 +52,30 @@ def materialise(df: DataFrame) -> DataFrame:
     later reads keep column pruning and filter pushdown.
     """
     path = f"{scratch_dir(df.sparkSession)}/mendcast/{uuid.uuid4().hex}"
+    for tables in _RUNS:
+        tables.append(path)
     df.write.parquet(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
+_RUNS: list[list[str]] = []
+
+
+@contextmanager
+def scratch_run(spark: SparkSession):
+    """Deletes the tables stored inside the block when it ends. Results must be written before that."""
+    tables: list[str] = []
+    _RUNS.append(tables)
+    try:
+        yield tables
+    finally:
+        _RUNS.remove(tables)
+        jvm = spark.sparkContext._jvm
+        for path in tables:
+            where = jvm.org.apache.hadoop.fs.Path(path)
+            where.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(where, True)
+
+
 def epoch_micros(df: DataFrame, column: str) -> Column:
     """Microseconds since the epoch as DOUBLE, independent of the session time zone for naive timestamps."""
     if dict(df.dtypes)[column] == "timestamp_ntz":

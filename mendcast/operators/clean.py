@@ -74,8 +74,8 @@ def clean_series(raw: DataFrame, values: Sequence[str] = ("raw_value",)) -> tupl
         "_index", F.coalesce(F.col("x").cast("string"), F.col("raw_index").cast("string"))
     )
     unique = dedupe_index_keep_first(kept, ["series_id", "_index"], "input_ord")
-    # text axes have no x and keep their input order
-    placed = assign_positions(unique, ["series_id"], ["x", "input_ord"])
+    # text axes have no x and are sorted by their text
+    placed = assign_positions(unique, ["series_id"], ["x", "_index", "input_ord"])
     points = placed.select(
         "series_id", "pos", "ts", F.coalesce("x", F.col("pos").cast("double")).alias("x"),
         F.col(values[0]).alias("value"), *values[1:],
@@ -94,7 +94,8 @@ def clean_series(raw: DataFrame, values: Sequence[str] = ("raw_value",)) -> tupl
 
 
 def temporal_split(points: DataFrame, n_test: int) -> DataFrame:
-    """Last ``n_test`` points are ``test``; shorter series give a fifth, at least one point.
+    """Last ``n_test`` points are ``test``; series that are not longer than ``n_test`` give a fifth, at least one point
+    (``split_report`` calls them shortened).
 
     A series of one point cannot be split and gets no part. ``step`` numbers the test rows from 1.
     """
@@ -129,14 +130,14 @@ def train_val_split(points: DataFrame, frac: float = 0.2) -> DataFrame:
     ).drop("rank", "n_obs")
 
 
-def split_report(split_points: DataFrame) -> DataFrame:
-    """Sizes, test share and status per series."""
+def split_report(split_points: DataFrame, n_test: int) -> DataFrame:
+    """Sizes, test share and status per series: ``shortened`` if fewer than the ``n_test`` points asked for could be held out."""
     return split_points.groupBy("series_id").agg(
         F.count("*").alias("n_total"),
         F.count_if(F.col("part") == "train").alias("n_train"),
         F.count_if(F.col("part") == "test").alias("n_test"),
     ).withColumn("test_share", F.col("n_test") / F.col("n_total")).withColumn(
-        "status", F.when(F.col("n_test") > 0, F.lit("ok")).otherwise(F.lit("too short"))
+        "status", F.when(F.col("n_test") == 0, "too short").when(F.col("n_test") < n_test, "shortened").otherwise("ok")
     )
 
 

@@ -182,9 +182,10 @@ def model_statistics(results: DataFrame, metric: str, lower: bool, key: str = "m
 # ---- pivots ----------------------------------------------------------------------------------------
 
 def _pivot(df: DataFrame, row: str, column: str, values: Sequence, metric: str, agg: str = "avg") -> DataFrame:
-    """Wide form of the aggregated table. Without given column values Spark looks them up (and refuses too many)."""
+    """Wide form of the aggregated table; its columns are ``values`` or else all that the small aggregated table has."""
     long = df.dropna(subset=[row, column]).groupBy(row, column).agg(getattr(F, agg)(metric).alias("_v"))
-    return long.groupBy(row).pivot(column, list(values) or None).agg(F.first("_v", ignorenulls=True))
+    names = list(values) or [r[0] for r in long.select(column).distinct().orderBy(column).collect()]
+    return long.groupBy(row).pivot(column, names).agg(F.first("_v", ignorenulls=True))
 
 
 def pivot_model_technique(
@@ -234,21 +235,20 @@ def row_best_worst_flags(pivot_long: DataFrame, lower: bool, tol: float = 1e-6,
     )
 
 
-def best_worst_topk(results: DataFrame, metric: str, lower: bool, k: int = 10, key="model", halves=False) -> DataFrame:
-    """First and last ``k`` of the sorted means; with ``halves`` k is at most half of more than two models."""
+def best_worst_topk(results: DataFrame, metric: str, lower: bool, k: int | None = None, key="model") -> DataFrame:
+    """Every model with its place from both ends of the sorted means; ``k`` keeps the first places of either end."""
     means = _reconstructed(results).dropna(subset=[key]).groupBy(key).agg(F.avg(metric).alias("mean")).where(
         F.col("mean").isNotNull()
     )
     order = W.orderBy(_direction("mean", lower), key)  # one row per model
     n = F.count("*").over(W.partitionBy())
-    limit = F.when(n > 2, F.least(F.lit(k), F.floor(n / 2))).otherwise(n) if halves else F.lit(k)
-    ranked = means.withColumn("_r", F.row_number().over(order)).withColumn("_n", n).withColumn("_k", limit)
-    sides = F.array_compact(F.array(
-        F.when(F.col("_r") <= F.col("_k"), F.struct(F.lit("best").alias("side"), F.col("_r").alias("place"))),
-        F.when(F.col("_r") > F.col("_n") - F.col("_k"),
-               F.struct(F.lit("worst").alias("side"), (F.col("_n") - F.col("_r") + 1).cast("int").alias("place"))),
-    ))
-    return ranked.select(key, "mean", F.explode(sides).alias("_s")).select("_s.side", "_s.place", key, "mean")
+    ranked = means.withColumn("_r", F.row_number().over(order)).withColumn("_n", n)
+    sides = F.array(
+        F.struct(F.lit("best").alias("side"), F.col("_r").alias("place")),
+        F.struct(F.lit("worst").alias("side"), (F.col("_n") - F.col("_r") + 1).cast("int").alias("place")),
+    )
+    placed = ranked.select(key, "mean", F.explode(sides).alias("_s")).select("_s.side", "_s.place", key, "mean")
+    return placed if k is None else placed.where(F.col("place") <= k)
 
 
 # ---- iterations and row views ----------------------------------------------------------------------
@@ -268,14 +268,17 @@ def iteration_variance(pred_results: DataFrame, metric: str) -> DataFrame:
     ).orderBy(F.desc_nulls_last("cv"), "prediction_model")
 
 
-def prediction_rows(pred_results: DataFrame, metric: str, n: int = 100) -> DataFrame:
-    """First ``n`` forecast rows in the fixed five-key order (a report; Spark keeps n rows per task)."""
+def prediction_rows(pred_results: DataFrame, metric: str, n: int | None = None) -> DataFrame:
+    """Forecast rows in the fixed key order; ``n`` gives a page of the first rows."""
     cols = ["dataset_name", "technique", "rate_percent", "reconstruction_model", "prediction_model", "prediction_iteration"]
     order = ["reconstruction_model", "prediction_model", "dataset_name", "technique", "rate_percent", "prediction_iteration", metric]
     extra = ["n_samples"] if "n_samples" in pred_results.columns else []
-    return (
+    rows = (
         pred_results.where(F.col(metric).isNotNull()).select(*cols, metric, *extra)
-        .orderBy(*[F.asc_nulls_last(c) for c in order], *[F.asc_nulls_last(c) for c in extra]).limit(n)
+        .orderBy(*[F.asc_nulls_last(c) for c in order], *[F.asc_nulls_last(c) for c in extra])
+    )
+    return (
+        (rows if n is None else rows.limit(n))
         .withColumnRenamed("dataset_name", "dataset")
         .withColumnRenamed("rate_percent", "rate").withColumnRenamed("reconstruction_model", "recon_model")
         .withColumnRenamed("prediction_model", "pred_model").withColumnRenamed("prediction_iteration", "pred_iter")

@@ -9,7 +9,6 @@ from mendcast.layout import attach_salted, materialise
 
 TINY = 1e-9  # fixed value: keeps min-max scaling finite
 GPU_CORES = 4.0  # fixed value: a full GPU counts as four cores
-SALTS = 64
 
 
 def _range_of(df: DataFrame, columns: list[str]) -> Column:
@@ -118,31 +117,27 @@ def tradeoff_ranking(
     ).orderBy("rank")
 
 
-def _front(df: DataFrame, q: str, cost: str, salt: list[str]) -> DataFrame:
-    """Rows not dominated inside their salt group: best quality at strictly lower cost, and at equal cost."""
-    cheaper = W.partitionBy(*salt).orderBy(cost).rangeBetween(W.unboundedPreceding, W.currentRow)
-    running = df.withColumn("_same", F.min(q).over(W.partitionBy(*salt, cost))).withColumn("_upto", F.min(q).over(cheaper))
-    step = running.groupBy(*salt, cost).agg(F.min("_upto").alias("_upto"))
-    before = F.lag("_upto").over(W.partitionBy(*salt).orderBy(cost))
-    step = step.withColumn("_before", before).drop("_upto")
-    keys = [*salt, cost]
-    return running.drop("_upto").join(step, keys).where(
-        (F.col(q) <= F.col("_same")) & (F.col("_before").isNull() | (F.col(q) < F.col("_before")))
-    ).select(*df.columns)
-
-
 def pareto_front(df: DataFrame, quality: str, cost: str, lower: bool = True) -> DataFrame:
     """Rows no other row beats on one side without losing on the other; ties stay.
 
-    Dominance is transitive, so each of ``SALTS`` groups first drops what it dominates itself; only
-    the survivors meet in one group.
+    Only the best quality of each cost can be on the front. Those are sorted by cost over range partitions; the best quality at
+    any lower cost is a running minimum inside the partition and one row per earlier partition.
     """
     rows = df.where(F.col(quality).isNotNull() & F.col(cost).isNotNull()).withColumn(
         "_q", F.col(quality) if lower else -F.col(quality)
     )
-    salted = rows.withColumn("_salt", F.pmod(F.xxhash64(*df.columns), F.lit(SALTS)))
-    local = _front(salted, "_q", cost, ["_salt"]).withColumn("_salt", F.lit(0))
-    return _front(local, "_q", cost, ["_salt"]).select(*df.columns)
+    best = materialise(
+        rows.groupBy(F.col(cost).alias("_cost")).agg(F.min("_q").alias("_best")).orderBy("_cost")
+        .withColumn("_part", F.spark_partition_id())
+    )
+    earlier = best.groupBy("_part").agg(F.min("_best").alias("_least")).select(
+        "_part", F.min("_least").over(W.orderBy("_part").rowsBetween(W.unboundedPreceding, -1)).alias("_earlier")
+    )
+    inside = F.min("_best").over(W.partitionBy("_part").orderBy("_cost").rowsBetween(W.unboundedPreceding, -1))
+    cheaper = F.least("_inside", "_earlier")
+    front = best.withColumn("_inside", inside).join(earlier, "_part").where(cheaper.isNull() | (F.col("_best") < cheaper))
+    on = (rows[cost] == front["_cost"]) & (rows["_q"] == front["_best"])
+    return rows.join(front, on, "left_semi").select(*df.columns)
 
 
 def compute_mix(perf: DataFrame) -> DataFrame:

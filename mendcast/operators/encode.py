@@ -10,7 +10,7 @@ import math
 
 from pyspark.sql import Column, DataFrame, functions as F
 
-from mendcast.layout import attach_by_block, config_keys
+from mendcast.layout import attach_by_block, attach_salted, config_keys, materialise
 
 
 def _with_length(points: DataFrame, keys: list[str]) -> DataFrame:
@@ -157,33 +157,39 @@ def encode_mask(degraded: DataFrame, size: int = 512, time_axis_only: bool = Fal
 
 
 def scale_to_uint8(matrix: DataFrame) -> DataFrame:
-    """Min-max to 0..255, truncated; a constant matrix becomes 0."""
+    """Min-max to 0..255, truncated; a constant matrix becomes 0.
+
+    The level is rounded to six digits before it is truncated, so a value next to a whole number does not depend on its last bit.
+    """
     keys = config_keys(matrix)
-    ends = matrix.groupBy(*keys).agg(F.min("v").alias("_lo"), F.max("v").alias("_hi"))
+    ends = materialise(matrix.groupBy(*keys).agg(F.min("v").alias("_lo"), F.max("v").alias("_hi"), F.count("*").alias("_n")))
     span = F.col("_hi") - F.col("_lo")
-    return matrix.join(ends, keys).select(
-        *keys, "i", "j",
-        F.when(span > 0, F.floor((F.col("v") - F.col("_lo")) / span * 255)).otherwise(F.lit(0)).cast("int").alias("v"),
+    level = F.round((F.col("v") - F.col("_lo")) / span * 255, 6)
+    spread = matrix.withColumn("_cell", F.struct("i", "j"))
+    return attach_salted(spread, ends, keys, "_cell").select(
+        *keys, "i", "j", F.when(span > 0, F.floor(level)).otherwise(F.lit(0)).cast("int").alias("v")
     )
 
 
 def _stretch(profile: DataFrame, points: DataFrame, low: float, high: float) -> DataFrame:
-    """Profile values (``i``, ``v``) stretched over the positions and mapped from [low, high] to the observed range."""
+    """Profile values (``i``, ``v``) stretched over the positions and mapped from [low, high] to the observed range.
+
+    Every position is joined with the profile entry below it, which carries its successor, so neither a profile nor a series is
+    gathered anywhere.
+    """
     keys = config_keys(points)
-    packed = profile.groupBy(*keys).agg(
-        F.transform(F.sort_array(F.collect_list(F.struct("i", "v"))), lambda e: e["v"]).alias("_p")
-    )
+    entry = F.col("i").cast("long")
+    following = profile.select(*keys, (entry - 1).alias("_i"), F.col("v").alias("_b"))
+    entries = profile.select(*keys, entry.alias("_i"), F.col("v").alias("_a")).join(following, [*keys, "_i"], "left")
     facts = points.groupBy(*keys).agg(
         F.count("*").alias("_n"), F.min("value").alias("_lo"), F.max("value").alias("_hi"), F.max("pos").alias("_last")
-    ).join(packed, keys)
-    at = F.when(F.col("_n") > 1, F.col("pos") * (F.size("_p") - 1) / (F.col("_n") - 1)).otherwise(F.lit(0.0))
-    base = F.floor(F.col("_at")).cast("int")
-    a = F.get("_p", base)
-    b = F.coalesce(F.get("_p", base + 1), a)
-    value = a + (b - a) * (F.col("_at") - base)
+    ).join(profile.groupBy(*keys).agg(F.count("*").alias("_size")), keys)
+    at = F.when(F.col("_n") > 1, F.col("pos") * (F.col("_size") - 1) / (F.col("_n") - 1)).otherwise(F.lit(0.0))
+    value = F.col("_a") + (F.coalesce("_b", "_a") - F.col("_a")) * (F.col("_at") - F.col("_i"))
     span = F.col("_hi") - F.col("_lo")
     mapped = F.when(span > 0, (value - low) / (high - low) * span + F.col("_lo")).otherwise(F.col("_lo"))
-    return attach_by_block(points, facts, keys).withColumn("_at", at).select(
+    placed = attach_by_block(points, facts, keys).withColumn("_at", at).withColumn("_i", F.floor("_at").cast("long"))
+    return placed.join(entries, [*keys, "_i"]).select(
         *[mapped.alias("value") if c == "value" else F.col(c) for c in points.columns]
     )
 

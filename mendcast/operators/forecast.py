@@ -114,11 +114,11 @@ def even_subsample(points: DataFrame, max_points: int = 500) -> DataFrame:
     return attach_by_block(points, n).where((F.col("_n") <= max_points) | hit).drop("_n")
 
 
-def trend_stats(points: DataFrame, max_points: int = 500) -> DataFrame:
-    """Least-squares line over the position of an even subsample."""
+def trend_stats(points: DataFrame) -> DataFrame:
+    """Least-squares line over the positions of all points: one partial aggregate."""
     keys = config_keys(points)
     t = F.col("pos").cast("double")
-    return even_subsample(points.select(*keys, "pos", "value"), max_points).groupBy(*keys).agg(
+    return points.groupBy(*keys).agg(
         F.regr_slope("value", t).alias("_slope"), F.regr_intercept("value", t).alias("_level0")
     )
 
@@ -391,7 +391,7 @@ def forecast_ari1(points, h, block=BLOCK):
 
 
 def forecast_trend(points, h, changepoints=0, block=BLOCK):
-    """Line through the even subsample; with ``changepoints`` its slope may change at even places."""
+    """Line through all points; with ``changepoints`` its slope may change at even places."""
     if not changepoints:
         return _predict(points, {"trend": FORECASTERS["trend"]}, h, block=block)
     return _piecewise_trend(points, h, changepoints, block)
@@ -401,9 +401,9 @@ def _piecewise_trend(points: DataFrame, h, changepoints: int, block: int) -> Dat
     """Normal equations are summed per source in one aggregate; a small system is solved per source row."""
     keys, attrs = config_keys(points), _attributes(points)
     facts = observed_tail(points, TAIL, block)
-    sample = even_subsample(points.select(*keys, "pos", "value")).where(F.col("value").isNotNull())
+    seen = points.select(*keys, "pos", "value").where(F.col("value").isNotNull())
     # time is scaled to the length of the source; knots lie evenly inside it
-    rows = sample.join(facts.select(*keys, "last_pos"), keys).withColumn(
+    rows = attach_by_block(seen, facts.select(*keys, "last_pos", F.col("last_pos").alias("_last")), keys).withColumn(
         "_t", F.col("pos") / F.greatest(F.col("last_pos"), F.lit(1))
     )
     places = [(i + 1) / (changepoints + 1) for i in range(changepoints)]

@@ -1,4 +1,8 @@
-"""Whole runs composed from the operators; every step is a DataFrame, nothing runs until it is read."""
+"""Whole runs composed from the operators.
+
+Steps are DataFrames, but some start jobs while they are built: ordinals, cut-offs and percentiles are stored tables, and so
+is the degraded table, which masks every point once however many repairs read it. ``layout.scratch_run`` removes them.
+"""
 
 from __future__ import annotations
 
@@ -54,7 +58,7 @@ def _clean(spark, cfg):
 def _degraded(train, cfg):
     grid = experiment_grid(train, cfg.techniques, cfg.rates, cfg.iterations, cfg.seed)
     masked = degrade(train, grid, keep_truth=True, block=cfg.block)
-    return masked.withColumn("masked", F.col("value").isNull())
+    return materialise(masked.withColumn("masked", F.col("value").isNull()))  # read by every repair and by the scores
 
 
 def _parts(split):
@@ -77,14 +81,21 @@ def _repair_and_score(train, cfg):
 def pipeline_reconstruction(spark: SparkSession, cfg: RunConfig) -> dict[str, DataFrame]:
     """clean, split, degrade, reconstruct, score."""
     points, report = _clean(spark, cfg)
+    _must_have(points, "clean", [])
     split = clean.temporal_split(points, cfg.n_test)
     train, test = _parts(split)
+    _must_have(test, "split", ["clean"])
     degraded, repaired, scores = _repair_and_score(train, cfg)
     out = {"points": points, "split": split, "test": test, "degraded": degraded, "repaired": repaired,
            "recon_results": scores}
     return out if report is None else {"clean_report": report, **out}
 
 
+def _must_have(rows: DataFrame, step: str, completed: list[str]) -> None:
+    if rows.isEmpty():
+        raise StepFailed(step, "no rows", completed)
+
+
 def _forecast_and_score(sources, train, test, cfg):
     horizon = test.groupBy("series_id").agg(F.count("*").alias("h"))
     preds = fc.forecast(sources, cfg.forecasters, horizon, cfg.block)
@@ -110,10 +121,10 @@ def pipeline_full(spark: SparkSession, cfg: RunConfig) -> dict[str, DataFrame]:
     """
     out = pipeline_reconstruction(spark, cfg)
     train, test = _parts(out["split"])
+    out["repaired"] = materialise(out["repaired"])  # a result of its own and the source of the forecasts
     # read twice below (training history and forecast sources), so cut the plan here
     sources = materialise(fc.forecast_sources(train, out["repaired"]))
-    if cfg.learner and sources.isEmpty():
-        raise StepFailed("train", "no training rows", ["clean", "split", "degrade", "reconstruct", "score"])
+    _must_have(sources, "train" if cfg.learner else "predict", ["clean", "split", "degrade", "reconstruct", "score"])
     out.update(_forecast_and_score(sources, train, test, cfg))
     return out
 
@@ -121,7 +132,10 @@ def pipeline_full(spark: SparkSession, cfg: RunConfig) -> dict[str, DataFrame]:
 def pipeline_external(spark: SparkSession, manifest: DataFrame, cfg: RunConfig) -> dict[str, DataFrame]:
     """ingest, reconstruct, train, predict, score; neither masking nor repair scores."""
     points, _ = _clean(spark, cfg)
+    _must_have(points, "clean", [])
     degraded, test, train, violations = external_ingest(points, manifest, cfg.require_train_missing)
+    degraded = materialise(degraded)
+    _must_have(degraded, "ingest", ["clean"])
     repaired = reconstruct(degraded, cfg.models, block=cfg.block)
     allowed = fc.clean_train_allowlist(train, degraded.select("series_id", "has_clean_train").distinct())
     sources = materialise(fc.forecast_sources(allowed, repaired))

@@ -1,12 +1,13 @@
 """User methods: masks, repairs, forecasters and metrics next to the built-in ones.
 
-Two contracts are accepted for every kind:
-
-* ``kind="frame"`` - a DataFrame transform (or, for metrics, a function building an aggregate Column).
-  Runs like a built-in and has no size limit.
-* ``kind="series"`` - a pandas function over one whole series, as grouped pandas function. One series
-  is then held by one task by definition, so jobs refuse series longer than ``MAX_SERIES_ROWS`` with
-  an error instead of shortening them.
+Contracts:
+
+* ``kind="frame"`` (default) - a DataFrame transform, or for metrics a function that builds an aggregate Column, which Spark
+  merges from partial results. Runs like a built-in.
+* ``kind="block"`` - for repairs: a pandas function over a block of a series and ``halo`` rows on either side of it. Long series
+  are spread over their blocks.
+* ``kind="series"`` - a pandas function over one whole series. One task then holds one series by definition; this form is
+  there for methods that exist as such functions.
 """
 
 from __future__ import annotations
@@ -18,15 +19,14 @@ import pandas as pd
 from pyspark.sql import DataFrame, functions as F
 
 from mendcast.functions.metrics import PRED_METRICS, PRED_RESERVED, RECON_METRICS, RECON_RESERVED, Metric
-from mendcast.layout import config_keys
-
-MAX_SERIES_ROWS = 5_000_000
+from mendcast.layout import BLOCK, config_keys, with_halo
 
 
 @dataclass(frozen=True)
 class Plugin:
     fn: Callable
-    kind: str = "series"
+    kind: str = "frame"
+    halo: int = 0
     gpu: bool = False
     deterministic: bool = True
 
@@ -42,26 +42,27 @@ def _register(table: dict, name: str, plugin: Plugin, overwrite: bool) -> None:
         raise ValueError("name must be a non-empty string")
     if not callable(plugin.fn):
         raise TypeError("a callable is required")
-    if plugin.kind not in ("series", "frame"):
-        raise ValueError("kind must be 'series' or 'frame'")
+    kinds = ("series", "frame", "block") if table is _MODELS else ("series", "frame")
+    if plugin.kind not in kinds:
+        raise ValueError(f"kind must be one of {kinds}")
     if name in table and not overwrite:
         raise ValueError(f"{name!r} is already registered")
     table[name] = plugin
 
 
-def register_missingness_technique(name, fn, overwrite=False, kind="series"):
+def register_missingness_technique(name, fn, overwrite=False, kind="frame"):
     """``(series, rate, seed) -> series`` or ``(points, cells) -> degraded with truth``."""
     _register(_TECHNIQUES, name, Plugin(fn, kind), overwrite)
 
 
-def register_reconstruction_model(name, fn, overwrite=False, kind="series"):
-    """``(series) -> series`` or ``(points) -> points``. Takes precedence over a built-in of that name."""
-    _register(_MODELS, name, Plugin(fn, kind), overwrite)
+def register_reconstruction_model(name, fn, overwrite=False, kind="frame", halo=0):
+    """``(points) -> points``, or ``(series) -> series`` over blocks or whole series. Takes precedence over a built-in of that name."""
+    _register(_MODELS, name, Plugin(fn, kind, halo), overwrite)
 
 
-def register_prediction_model(name, fn, gpu=False, deterministic=True, overwrite=False, kind="series"):
+def register_prediction_model(name, fn, gpu=False, deterministic=True, overwrite=False, kind="frame"):
     """``(train, horizon) -> values`` or ``(points, horizons) -> predictions``."""
-    _register(_FORECASTERS, name, Plugin(fn, kind, gpu, deterministic), overwrite)
+    _register(_FORECASTERS, name, Plugin(fn, kind, gpu=gpu, deterministic=deterministic), overwrite)
 
 
 def _register_metric(table, builtin, reserved, metric: Metric, overwrite):
@@ -79,7 +80,7 @@ def _register_metric(table, builtin, reserved, metric: Metric, overwrite):
     table[key] = metric
 
 
-def register_reconstruction_metric(key, label, lower_is_better, compute, overwrite=False, kind="series"):
+def register_reconstruction_metric(key, label, lower_is_better, compute, overwrite=False, kind="frame"):
     """``(y_true, y_pred) -> float`` over arrays, or over Columns with ``kind="frame"``."""
     expr, fn = (compute, None) if kind == "frame" else (None, compute)
     metric = Metric(key.strip().lower(), label, lower_is_better, expr, compute=fn)
@@ -87,7 +88,7 @@ def register_reconstruction_metric(key, label, lower_is_better, compute, overwri
 
 
 def register_prediction_metric(
-    key, label, lower_is_better, compute, needs_train=False, value_is_percent=False, overwrite=False, kind="series"
+    key, label, lower_is_better, compute, needs_train=False, value_is_percent=False, overwrite=False, kind="frame"
 ):
     """``(y_true, y_pred[, train]) -> float`` over arrays, or over Columns with ``kind="frame"``."""
     expr, fn = (compute, None) if kind == "frame" else (None, compute)
@@ -116,24 +117,13 @@ def custom_forecasters() -> dict[str, Plugin]:
     return dict(_FORECASTERS)
 
 
-def _sized(df: DataFrame, keys: list[str]) -> DataFrame:
-    """Fails the job when a group is too long for a whole-series function."""
-    n = df.groupBy(*keys).agg(F.count("*").alias("_n"))
-    message = F.concat(
-        F.lit("series too long for a whole-series plug-in, register it with kind='frame': "),
-        F.concat_ws("/", *[F.col(k).cast("string") for k in keys]),
-    )
-    checked = n.where(F.when(F.col("_n") > MAX_SERIES_ROWS, F.raise_error(message)).otherwise(F.lit(True)))
-    return df.join(checked.select(*keys), keys)
-
-
 def run_custom_technique(name: str, points: DataFrame, cells: DataFrame) -> DataFrame:
     plugin = _TECHNIQUES[name]
     if plugin.kind == "frame":
         return plugin.fn(points, cells)
     fn = plugin.fn
     keys = ["series_id", "technique", "rate_percent", "iteration"]
-    rows = _sized(points, ["series_id"]).join(cells, "series_id").withColumn("truth", F.col("value"))
+    rows = points.join(cells, "series_id").withColumn("truth", F.col("value"))
     out = rows.drop("rate", "seed")
     kept = out.columns
 
@@ -160,7 +150,17 @@ def run_custom_model(name: str, degraded: DataFrame) -> DataFrame:
         pdf["value"] = pdf["value"].where(pdf["value"].notna(), filled)
         return pdf
 
-    done = _sized(degraded, keys).select(*degraded.columns).groupBy(*keys).applyInPandas(repair, degraded.schema)
+    if plugin.kind == "block":
+        columns = degraded.columns
+
+        def repair_block(pdf: pd.DataFrame) -> pd.DataFrame:
+            done = repair(pdf)
+            return done.loc[~done["halo"], columns]
+
+        cut = with_halo(degraded, plugin.halo, plugin.halo, BLOCK)
+        done = cut.groupBy(*keys, "block").applyInPandas(repair_block, degraded.schema)
+    else:
+        done = degraded.groupBy(*keys).applyInPandas(repair, degraded.schema)
     return done.withColumn("model", F.lit(name)).select(*rest, "model", "value")
 
 
@@ -170,7 +170,7 @@ def run_custom_forecaster(name: str, points: DataFrame, horizons: DataFrame, key
     if plugin.kind == "frame":
         return plugin.fn(points, horizons)
     fn = plugin.fn
-    rows = _sized(points, keys).select(*keys, "pos", "value").join(horizons, "series_id")
+    rows = points.select(*keys, "pos", "value").join(horizons, "series_id")
     schema = ", ".join(f"`{k}` {dict(points.dtypes)[k]}" for k in keys) + ", step bigint, predicted double"
 
     def predict(pdf: pd.DataFrame) -> pd.DataFrame:
@@ -214,9 +214,9 @@ def add_custom_metrics(
             row[key] = float(fn(t, p, train=history)) if needs else float(fn(t, p))
         return row
 
-    slim = _sized(pairs.select(*by, "t", "p"), ["series_id"]) if "series_id" in by else pairs.select(*by, "t", "p")
+    slim = pairs.select(*by, "t", "p")
     if train is not None and any(m.needs_train for m in own):
-        history = _sized(train.select("series_id", "pos", "value"), ["series_id"])
+        history = train.select("series_id", "pos", "value")
 
         def both(pdf: pd.DataFrame, hist: pd.DataFrame) -> pd.DataFrame:
             past = hist.sort_values("pos")["value"].dropna().to_numpy()

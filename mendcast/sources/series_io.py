@@ -108,9 +108,12 @@ def typed_degraded(raw: DataFrame) -> DataFrame:
     )
 
 
-def read_degraded(spark: SparkSession, glob: str) -> DataFrame:
-    """Degraded points from ``{dataset}_{technique}_{rate}p_{iteration}.csv`` files."""
-    rows = typed_degraded(read_series_csv(spark, glob))
+def read_degraded(
+    spark: SparkSession, glob: str, fmt_by_pattern: Mapping[str, tuple[str, str]] | None = None,
+    default: tuple[str, str] = DEFAULT_FORMAT,
+) -> DataFrame:
+    """Degraded points from ``{dataset}_{technique}_{rate}p_{iteration}.csv`` files; formats as in ``read_series_csv``."""
+    rows = typed_degraded(read_series_csv(spark, glob, fmt_by_pattern, default))
     return assign_positions(rows, ["series_id", "technique", "rate_percent", "iteration"], ["input_ord"]).drop(
         "input_ord"
     )
@@ -269,31 +272,53 @@ def external_ingest(
 
 
 def write_points(df: DataFrame, path: str, overwrite: bool = False, fmt: str = "parquet") -> None:
-    """Writes points partitioned by configuration; without ``overwrite`` finished cells are skipped.
+    """Writes points cell by cell; a cell is one series under one configuration.
 
-    Skipping is an anti join on the keys already present, so a rerun adds only what is missing.
+    Without ``overwrite`` cells that the table holds with as many rows as ``df`` are finished and skipped; a cell with another
+    number of rows was left half-written and is replaced. With ``overwrite`` every cell of ``df`` is replaced. Other cells stay:
+    the partitions touched are merged in a stored table first and then swapped in.
     """
+    spark = df.sparkSession
     parts = [c for c in ("technique", "rate_percent", "model") if c in df.columns]
     keys = [c for c in ("series_id", "technique", "rate_percent", "iteration", "model") if c in df.columns]
-    mode = "overwrite" if overwrite else "append"
-    if not overwrite:
-        done = _existing(df.sparkSession, path, df, fmt)
-        if done is not None:
-            df = df.join(done.select(*keys).distinct(), keys, "left_anti")
-    writer = df.write.mode(mode).partitionBy(*parts) if parts else df.write.mode(mode)
-    (writer.option("header", True) if fmt == "csv" else writer).format(fmt).save(path)
+
+    def save(rows, mode):
+        writer = rows.write.mode(mode).partitionBy(*parts) if parts else rows.write.mode(mode)
+        writer = writer.option("partitionOverwriteMode", "dynamic") if mode == "overwrite" and parts else writer
+        (writer.option("header", True) if fmt == "csv" else writer).format(fmt).save(path)
+
+    def among(rows, cells, columns, how):
+        return rows.join(cells, [rows[c].eqNullSafe(cells[c]) for c in columns], how)
+
+    old = _existing(spark, path, df, fmt)
+    if old is None:
+        return save(df, "append")
+    new_cells = df.groupBy(*keys).agg(F.count("*").alias("_n"))
+    old_cells = old.groupBy(*keys).agg(F.count("*").alias("_n"))
+    done = new_cells.limit(0) if overwrite else old_cells
+    todo = materialise(among(new_cells, done, [*keys, "_n"], "left_anti").select(*keys))
+    rows = among(df, todo, keys, "left_semi")
+    if among(old_cells, todo, keys, "left_semi").isEmpty():
+        return save(rows, "append")
+    touched = todo.select(*parts).distinct()
+    rest = among(old, todo, keys, "left_anti")
+    rest = among(rest, touched, parts, "left_semi") if parts else rest
+    save(materialise(rows.unionByName(rest)), "overwrite")
 
 
 write_results = write_points
 
 
 def _existing(spark: SparkSession, path: str, like: DataFrame, fmt: str) -> DataFrame | None:
+    """The stored table, or None if there is none yet."""
     from pyspark.errors import AnalysisException
 
     try:
         reader = spark.read.schema(like.schema)
         return (reader.option("header", True) if fmt == "csv" else reader).format(fmt).load(path)
-    except AnalysisException:
+    except AnalysisException as e:
+        if e.getCondition() != "PATH_NOT_FOUND":
+            raise
         return None
 
 

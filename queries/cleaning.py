@@ -52,7 +52,7 @@ typed AS (SELECT raw.*, kind.axis, try_cast(raw_value AS DOUBLE) AS v,
     WHEN 'datetime' THEN CAST(epoch_us(try_cast(raw_index AS TIMESTAMP)) AS DOUBLE) END AS x
   FROM raw JOIN kind USING (series_id)),
 uniq AS (SELECT * FROM typed WHERE v IS NOT NULL QUALIFY row_number() OVER (PARTITION BY series_id, raw_index ORDER BY input_ord) = 1),
-cleaned AS (SELECT series_id, row_number() OVER (PARTITION BY series_id ORDER BY x, input_ord) - 1 AS pos, x, v AS value FROM uniq)"""
+cleaned AS (SELECT series_id, row_number() OVER (PARTITION BY series_id ORDER BY x, raw_index, input_ord) - 1 AS pos, x, v AS value FROM uniq)"""
 
 
 def _raw(spark, sf):
@@ -126,13 +126,13 @@ def temporal_split(spark, sf):
   count(*) FILTER (part = 'test') AS n_test, count(*) FILTER (part = 'test') / CAST(count(*) AS DOUBLE) AS test_share,
   CASE WHEN count(*) FILTER (part = 'test') > 0 THEN 'ok' ELSE 'too short' END AS status FROM split GROUP BY series_id""", "test_share"))
 def split_report(spark, sf):
-    return rounded(cl.split_report(cl.temporal_split(ev_user(spark, sf), 60)))
+    return rounded(cl.split_report(cl.temporal_split(ev_user(spark, sf), 60), 60))
 
 
 @query("split_totals", f"""WITH {EV}, {SPLIT} SELECT 'ok' AS status, count(DISTINCT series_id) AS n_series,
   count(*) FILTER (part = 'train') AS n_train, count(*) FILTER (part = 'test') AS n_test FROM split""")
 def split_totals(spark, sf):
-    return cl.split_totals(cl.split_report(cl.temporal_split(ev_user(spark, sf), 60)))
+    return cl.split_totals(cl.split_report(cl.temporal_split(ev_user(spark, sf), 60), 60))
 
 
 @query("train_val_split", f"""WITH {EVH}, o AS (SELECT series_id, pos, value, row_number() OVER (PARTITION BY series_id ORDER BY pos) - 1 AS r,

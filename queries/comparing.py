@@ -118,7 +118,7 @@ def pivot_recon_rate(spark, sf):
     return rounded(cp.pivot_recon_rate(pred_results(spark, sf), "mape", "A", values=RATES))
 
 
-_BR = ("Brand#11", "Brand#13", "Brand#25")
+_BR = tuple(f"Brand#{i}{j}" for i in range(1, 6) for j in range(1, 6))
 
 
 @query("pivot_pred_recon", rsql(f"WITH {PRED} SELECT prediction_model, " + ", ".join(
@@ -142,11 +142,11 @@ def row_best_worst_flags(spark, sf):
 
 
 @query("best_worst_topk", rsql(f"""WITH {PRED}, g AS (SELECT reconstruction_model, avg(mape) AS mean FROM pred WHERE {RECON} GROUP BY ALL),
-  r AS (SELECT *, row_number() OVER (ORDER BY mean, reconstruction_model) AS r, count(*) OVER () AS n FROM g), k AS (SELECT *, CASE WHEN n > 2 THEN least(10, n // 2) ELSE n END AS k FROM r)
-SELECT 'best' AS side, CAST(r AS INTEGER) AS place, reconstruction_model, mean FROM k WHERE r <= k
-UNION ALL SELECT 'worst', CAST(n - r + 1 AS INTEGER), reconstruction_model, mean FROM k WHERE r > n - k""", "mean"))
+  r AS (SELECT *, row_number() OVER (ORDER BY mean, reconstruction_model) AS r, count(*) OVER () AS n FROM g)
+SELECT 'best' AS side, CAST(r AS INTEGER) AS place, reconstruction_model, mean FROM r
+UNION ALL SELECT 'worst', CAST(n - r + 1 AS INTEGER), reconstruction_model, mean FROM r""", "mean"))
 def best_worst_topk(spark, sf):
-    return rounded(cp.best_worst_topk(pred_results(spark, sf), "mape", True, 10, "reconstruction_model", halves=True))
+    return rounded(cp.best_worst_topk(pred_results(spark, sf), "mape", True, key="reconstruction_model"))
 
 
 @query("iteration_series", rsql(f"WITH {PRED} SELECT prediction_model, prediction_iteration, avg(mape) AS mean FROM pred GROUP BY ALL", "mean"))
@@ -162,9 +162,9 @@ def iteration_variance(spark, sf):
 
 @query("prediction_rows", f"""WITH {PRED} SELECT dataset_name AS dataset, technique, rate_percent AS rate, reconstruction_model AS recon_model,
   prediction_model AS pred_model, prediction_iteration AS pred_iter, mape, n_samples FROM pred WHERE mape IS NOT NULL
-  ORDER BY reconstruction_model NULLS LAST, prediction_model, dataset_name, technique NULLS LAST, rate_percent NULLS LAST, prediction_iteration, mape, n_samples LIMIT 100""")
+  ORDER BY reconstruction_model NULLS LAST, prediction_model, dataset_name, technique NULLS LAST, rate_percent NULLS LAST, prediction_iteration, mape, n_samples""")
 def prediction_rows(spark, sf):
-    return cp.prediction_rows(pred_results(spark, sf), "mape", 100)
+    return cp.prediction_rows(pred_results(spark, sf), "mape")
 
 
 @query("raw_browser", "SELECT s_suppkey, s_name, s_nationkey, s_acctbal FROM supplier WHERE contains(CAST(s_suppkey AS VARCHAR), '7') OR contains(lower(s_name), '7') "
@@ -222,7 +222,7 @@ def significance_codes(spark, sf):
     return _codes(spark, sf).select("model_a", "model_b", "code")
 
 
-_MX = ("Brand#11", "Brand#13", "Brand#25")
+_MX = _BR
 
 
 @query("significance_matrix", f"WITH {TTEST} SELECT model_a, " + ", ".join(

@@ -64,25 +64,17 @@ def encode_spectrogram(spark, sf):
 
 
 @query("encode_mask", f"""WITH {DEG}, c AS (SELECT series_id, count(*) AS n FROM deg GROUP BY ALL),
-sp AS (SELECT DISTINCT deg.series_id, CAST(floor(pos * {N} / n) AS INTEGER) AS s FROM deg JOIN c USING (series_id) WHERE pos < 40 AND value IS NULL)
+sp AS (SELECT DISTINCT deg.series_id, CAST(floor(pos * {N} / n) AS INTEGER) AS s FROM deg JOIN c USING (series_id) WHERE value IS NULL)
 SELECT c.series_id, CAST(a AS INTEGER) AS i, CAST(b AS INTEGER) AS j, CAST(CASE WHEN EXISTS (SELECT 1 FROM sp WHERE sp.series_id = c.series_id AND (sp.s = a OR sp.s = b)) THEN 1 ELSE 0 END AS DOUBLE) AS v
 FROM c, range(0, {N}) x(a), range(0, {N}) y(b)""")
 def encode_mask(spark, sf):
-    """Values missing only among the first forty positions, so that some stripes stay free."""
-    d = ev_deg(spark, sf).withColumn("value", F.when(F.col("pos") >= 40, F.lit(0.0)).otherwise(F.col("value")))
-    return en.encode_mask(d, N).select("series_id", "i", "j", "v")
+    return en.encode_mask(ev_deg(spark, sf), N).select("series_id", "i", "j", "v")
 
 
 @query("scale_to_uint8", f"""WITH {GAF}, m AS (SELECT {CELLS}, {_GAF} AS v FROM {PAIRED}), r AS (SELECT *, min(v) OVER (PARTITION BY series_id) AS lo, max(v) OVER (PARTITION BY series_id) AS hi FROM m)
-SELECT series_id, i, j, CAST(CASE WHEN hi > lo THEN floor(round((v - lo) / (hi - lo) * 255, 9)) ELSE 0 END AS INTEGER) AS v FROM r WHERE (v - lo) / (hi - lo) * 255 - floor((v - lo) / (hi - lo) * 255) BETWEEN 1e-6 AND 1 - 1e-6""")
+SELECT series_id, i, j, CAST(CASE WHEN hi > lo THEN floor(round((v - lo) / (hi - lo) * 255, 6)) ELSE 0 END AS INTEGER) AS v FROM r""")
 def scale_to_uint8(spark, sf):
-    """Cells on the edge between two integers depend on the last bit and are left out of the comparison."""
-    matrix = stored(spark, sf, "gaf", lambda: en.encode_gaf(ev_user(spark, sf), N))
-    ends = matrix.groupBy("series_id").agg(F.min("v").alias("lo"), F.max("v").alias("hi"))
-    at = (F.col("raw") - F.col("lo")) / (F.col("hi") - F.col("lo")) * 255
-    raw = matrix.withColumnRenamed("v", "raw").join(ends, "series_id").withColumn("f", at - F.floor(at))
-    clear = raw.where((F.col("f") >= 1e-6) & (F.col("f") <= 1 - 1e-6)).select("series_id", "i", "j")
-    return en.scale_to_uint8(matrix).join(clear, ["series_id", "i", "j"])
+    return en.scale_to_uint8(stored(spark, sf, "gaf", lambda: en.encode_gaf(ev_user(spark, sf), N)))
 
 
 def _stretch_sql(profile: str, low: str, span: str) -> str:

@@ -212,7 +212,7 @@ PRED = """pred AS (SELECT l_linestatus AS dataset_name,
 def training_rows(spark, sf):
     """Training metrics per supplier order: model by part size class."""
     li, part = table(spark, sf, "lineitem"), table(spark, sf, "part")
-    joined = li.join(part.select("p_partkey", "p_size"), li.l_partkey == part.p_partkey).where("l_linenumber = 1")
+    joined = li.join(part.select("p_partkey", "p_size"), li.l_partkey == part.p_partkey)
     return joined.select(
         F.concat(F.lit("fc_"), (F.col("p_size") % 7).cast("string")).alias("model"), F.col("l_quantity").alias("time_seconds"),
         F.when(F.col("l_tax") > 0, F.col("l_tax") * 100).alias("cpu_cores_used"), F.col("l_extendedprice").alias("memory_mb"),
@@ -223,4 +223,4 @@ def training_rows(spark, sf):
 TRAINING = """training AS (SELECT 'fc_' || CAST(p_size % 7 AS VARCHAR) AS model, l_quantity AS time_seconds,
   CASE WHEN l_tax > 0 THEN l_tax * 100 END AS cpu_cores_used, l_extendedprice AS memory_mb,
   CASE WHEN p_size % 3 = 0 THEN l_discount * 100 END AS gpu_percent
-  FROM lineitem JOIN part ON l_partkey = p_partkey WHERE l_linenumber = 1)"""
+  FROM lineitem JOIN part ON l_partkey = p_partkey)"""

@@ -108,7 +108,8 @@ def even_subsample(spark, sf):
     return rounded(fc.even_subsample(li_day(spark, sf)).select("series_id", "pos", "value"), 8)
 
 
-@query("forecast_trend", rsql(f"""WITH {SUB}, f AS (SELECT series_id, regr_slope(value, pos) AS s, regr_intercept(value, pos) AS c FROM sub GROUP BY ALL)
+@query("forecast_trend", rsql(f"""WITH {LI}, n AS (SELECT series_id, max(pos) AS last_pos FROM li GROUP BY ALL),
+f AS (SELECT series_id, regr_slope(value, pos) AS s, regr_intercept(value, pos) AS c FROM li GROUP BY ALL)
 SELECT series_id, CAST(i AS BIGINT) AS step, last_pos + i AS pos, c + s * (last_pos + i) AS predicted FROM n JOIN f USING (series_id), range(1, 31) g(i)""", "predicted"))
 def forecast_trend(spark, sf):
     return _show(fc.forecast_trend(li_day(spark, sf), 30), 6)

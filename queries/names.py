@@ -142,12 +142,11 @@ def read_series_csv(spark, sf):
     return raw.select("series_id", "raw_index", F.expr("try_cast(trim(raw_value) AS DOUBLE)").alias("value"))
 
 
-@query("read_degraded", """SELECT 'std_' || event_type AS series_id, 'EXTERNAL' AS technique, CAST(0 AS INTEGER) AS rate_percent,
+@query("read_degraded", """SELECT CASE WHEN event_type IN ('error', 'view') THEN 'eu_' ELSE 'std_' END || event_type AS series_id, 'EXTERNAL' AS technique, CAST(0 AS INTEGER) AS rate_percent,
   CAST(1 AS INTEGER) AS iteration, CAST(epoch_us(date_trunc('second', ts)) AS DOUBLE) AS x,
-  CASE WHEN event_id % 9 <> 4 THEN value END AS value FROM events WHERE event_type NOT IN ('error', 'view')""")
+  CASE WHEN event_id % 9 <> 4 THEN value END AS value FROM events""")
 def read_degraded(spark, sf):
-    # only the files in the standard format
-    out = io.read_degraded(spark, _csv_folder(spark, sf) + "/file=std_*")
+    out = io.read_degraded(spark, _csv_folder(spark, sf), {"eu_": (";", ",")})
     return out.select("series_id", "technique", "rate_percent", "iteration", "x", "value")
 
 
@@ -170,3 +169,30 @@ def write_points_skip_existing(spark, sf):
     io.write_points(points.where(F.col("series_id") < "5"), path, overwrite=True)
     io.write_points(points, path)
     return spark.read.parquet(path).groupBy("series_id").agg(F.count("*").alias("n"))
+
+
+@query("write_points_overwrite_cell", """SELECT CAST(user_id AS VARCHAR) AS series_id, technique, count(*) AS n FROM events, (VALUES ('A'), ('B')) t(technique)
+WHERE technique = 'A' OR user_id % 2 = 0 OR event_id % 2 = 0 GROUP BY ALL""")
+def write_points_overwrite_cell(spark, sf):
+    """Half of each series is stored under two techniques; two overwrites replace all cells of one and some of the other."""
+    from queries.fixtures import table
+
+    path = f"{scratch_dir(spark)}/mendcast/cells-{spark.sparkContext.startTime}-{abs(hash(sf))}"
+    e = table(spark, sf, "events").select(F.col("user_id").cast("string").alias("series_id"), "event_id", "value")
+    both = e.withColumn("technique", F.explode(F.array(F.lit("A"), F.lit("B"))))
+    io.write_points(both.where("event_id % 2 = 0"), path, overwrite=True)
+    io.write_points(both.where("technique = 'A'"), path, overwrite=True)
+    io.write_points(both.where("technique = 'B' AND series_id % 2 = 0"), path, overwrite=True)
+    return spark.read.parquet(path).groupBy("series_id", "technique").agg(F.count("*").alias("n"))
+
+
+@query("write_points_partial_cell", "SELECT CAST(user_id AS VARCHAR) AS series_id, count(*) AS n, sum(event_id)::BIGINT AS ids FROM events GROUP BY ALL")
+def write_points_partial_cell(spark, sf):
+    """A run that broke off left every third row; the next write completes those cells and doubles none."""
+    from queries.fixtures import table
+
+    path = f"{scratch_dir(spark)}/mendcast/partial-{spark.sparkContext.startTime}-{abs(hash(sf))}"
+    e = table(spark, sf, "events").select(F.col("user_id").cast("string").alias("series_id"), "event_id", "value")
+    io.write_points(e.where("event_id % 3 = 0"), path, overwrite=True)
+    io.write_points(e, path)
+    return spark.read.parquet(path).groupBy("series_id").agg(F.count("*").alias("n"), F.sum("event_id").alias("ids"))

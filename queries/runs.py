@@ -81,10 +81,21 @@ def plugin_repair_frame(spark, sf):
 
 @query("plugin_repair_series", rsql(f"WITH {EV}, {masked_sql('ev', 'deg')} SELECT series_id, pos, coalesce(value, 42) AS value FROM deg", "value"))
 def plugin_repair_series(spark, sf):
-    rg.register_reconstruction_model("constant_42", lambda s: s.fillna(42.0), overwrite=True)
+    rg.register_reconstruction_model("constant_42", lambda s: s.fillna(42.0), overwrite=True, kind="series")
     return rounded(rp.reconstruct(ev_deg(spark, sf), ["constant_42"]).select("series_id", "pos", "value"))
 
 
+def _near_mean(series):
+    return series.fillna(series.rolling(5, center=True, min_periods=1).mean())
+
+
+@query("plugin_repair_block", rsql(f"""WITH {EV}, {masked_sql('ev', 'deg')} SELECT series_id, pos,
+  coalesce(value, avg(value) OVER (PARTITION BY series_id ORDER BY pos ROWS BETWEEN 2 PRECEDING AND 2 FOLLOWING)) AS value FROM deg""", "value"))
+def plugin_repair_block(spark, sf):
+    rg.register_reconstruction_model("near_mean", _near_mean, overwrite=True, kind="block", halo=2)
+    return rounded(rp.reconstruct(ev_deg(spark, sf), ["near_mean"]).select("series_id", "pos", "value"))
+
+
 def _head_mask(series, rate, seed):
     series.iloc[: int(len(series) * rate)] = None
     return series
@@ -93,7 +104,7 @@ def _head_mask(series, rate, seed):
 @query("plugin_mask_series", f"""WITH {EV}, c AS (SELECT *, count(*) OVER (PARTITION BY series_id) AS n FROM ev)
 SELECT series_id, pos, CASE WHEN pos < floor(n * CAST(0.2 AS DOUBLE)) THEN NULL ELSE value END AS value FROM c""")
 def plugin_mask_series(spark, sf):
-    rg.register_missingness_technique("HEAD", _head_mask, overwrite=True)
+    rg.register_missingness_technique("HEAD", _head_mask, overwrite=True, kind="series")
     points = ev_user(spark, sf)
     return mask.degrade(points, grid_for(points, ("HEAD",))).select("series_id", "pos", "value")
 
@@ -101,7 +112,7 @@ def plugin_mask_series(spark, sf):
 @query("plugin_metric", rsql(f"""WITH {EV}, {masked_sql('ev', 'deg')}, {KNOTS} SELECT series_id, max(abs(truth - coalesce(value, {_line('pos')}))) AS worst,
   max(abs(truth - coalesce(value, {_line('pos')}))) AS worst_frame FROM kn WHERE value IS NULL AND {_line('pos')} IS NOT NULL GROUP BY ALL""", "worst worst_frame"))
 def plugin_metric(spark, sf):
-    rg.register_reconstruction_metric("worst", "Worst", True, lambda t, p: abs(t - p).max(), overwrite=True)
+    rg.register_reconstruction_metric("worst", "Worst", True, lambda t, p: abs(t - p).max(), overwrite=True, kind="series")
     rg.register_reconstruction_metric("worst_frame", "Worst", True, lambda t, p: F.max(F.abs(t - p)), overwrite=True, kind="frame")
     rep = rp.reconstruct(ev_deg(spark, sf).withColumn("masked", F.col("value").isNull()), ["linear"])
     return rounded(sc.score_reconstruction(sc.pairs_from_truth(rep), ["worst", "worst_frame"]).select("series_id", "worst", "worst_frame"))
@@ -112,5 +123,5 @@ SELECT series_id, CAST(i AS BIGINT) AS step, predicted FROM a, range(1, 4) g(i)"
 def plugin_forecaster(spark, sf):
     from mendcast.operators import forecast as fc
 
-    rg.register_prediction_model("flat_mean", lambda train, h: [train.mean()] * h, overwrite=True)
+    rg.register_prediction_model("flat_mean", lambda train, h: [train.mean()] * h, overwrite=True, kind="series")
     return rounded(fc.forecast(ev_deg(spark, sf), ["flat_mean"], 3).select("series_id", "step", "predicted"))

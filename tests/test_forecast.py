@@ -93,7 +93,7 @@ def test_sources_guard_and_plugins(make):
     train = make({"s": [1.0, 2.0, 4.0]})
     rep = train.withColumns({"technique": F.lit("MCAR"), "rate_percent": F.lit(10), "iteration": F.lit(1), "model": F.lit("mean")})
     src = fc.forecast_sources(train, rep)
-    rg.register_prediction_model("mean_of_all", lambda s, h: [s.mean()] * h)
+    rg.register_prediction_model("mean_of_all", lambda s, h: [s.mean()] * h, kind="series")
     out = fc.to_prediction_keys(fc.forecast(src, ["last_value", "mean_of_all"], 2))
     rows = {(r.source_type, r.reconstruction_model, r.prediction_model): r.predicted for r in out.where("step = 2").collect()}
     assert rows == {

@@ -32,7 +32,7 @@ def test_run_stops_at_the_failing_step(spark, points):
         pl.pipeline_full(spark, pl.RunConfig(points=points, n_test=5, models=("nope",)))
     with pytest.raises(pl.StepFailed) as e:
         pl.pipeline_full(spark, pl.RunConfig(points=points.limit(0), n_test=5, learner="linear"))
-    assert e.value.step == "train" and e.value.completed[-1] == "score"
+    assert e.value.step == "clean" and e.value.completed == []
 
 
 def test_raw_rows_to_scores(spark):
@@ -44,8 +44,8 @@ def test_raw_rows_to_scores(spark):
 
 
 def test_user_methods(points):
-    rg.register_missingness_technique("FIRST", lambda s, rate, seed: s.where(s.index >= int(len(s) * rate)))
-    rg.register_reconstruction_model("linear", lambda s: s.fillna(42.0))
+    rg.register_missingness_technique("FIRST", lambda s, rate, seed: s.where(s.index >= int(len(s) * rate)), kind="series")
+    rg.register_reconstruction_model("linear", lambda s: s.fillna(42.0), kind="series")
     with pytest.raises(ValueError):
         rg.register_reconstruction_model("linear", len)
     with pytest.raises(ValueError):
@@ -60,11 +60,19 @@ def test_user_methods(points):
     assert rg.custom_forecasters()["gpu_one"].gpu and not rg.custom_forecasters()["gpu_one"].deterministic
 
 
-def test_long_series_are_refused_not_cut(points, monkeypatch):
-    monkeypatch.setattr(rg, "MAX_SERIES_ROWS", 50)
-    rg.register_reconstruction_model("slow", lambda s: s.fillna(0.0))
-    with pytest.raises(Exception, match="too long"):
-        rp.reconstruct(points, ["slow"]).collect()
+def test_block_form_equals_the_whole_series(points, monkeypatch):
+    monkeypatch.setattr(rg, "BLOCK", 8)
+
+    def near_mean(s):
+        return s.fillna(s.rolling(5, center=True, min_periods=1).mean())
+
+    rg.register_reconstruction_model("blocks", near_mean, kind="block", halo=2)
+    rg.register_reconstruction_model("whole", near_mean, kind="series")
+    gaps = points.withColumn("value", F.when(F.col("pos") % 3 != 1, F.col("value")))
+    rows = rp.reconstruct(gaps, ["blocks", "whole"]).groupBy("series_id", "pos").agg(F.countDistinct("value").alias("n"), F.count("value").alias("c")).collect()
+    assert rows and all(r.n == 1 and r.c == 2 for r in rows)
+    with pytest.raises(ValueError):
+        rg.register_prediction_model("b", len, kind="block")
 
 
 def test_sweep(points):
@@ -78,3 +86,10 @@ def test_sweep(points):
     assert {r.param for r in wide.collect()} == {2, 6}
     with pytest.raises(ValueError):
         sw.sweep_scores(deg, [1], "mean")
+
+
+def test_run_stops_when_nothing_can_be_held_out(spark, points):
+    one = points.where("pos = 0")
+    with pytest.raises(pl.StepFailed) as e:
+        pl.pipeline_full(spark, pl.RunConfig(points=one, n_test=5))
+    assert e.value.step == "split" and e.value.completed == ["clean"]

@@ -58,7 +58,7 @@ def test_loss(spark):
 
 
 def test_user_metrics(recon, pred):
-    rg.register_reconstruction_metric("worst", "Worst", True, lambda t, p: abs(t - p).max())
+    rg.register_reconstruction_metric("worst", "Worst", True, lambda t, p: abs(t - p).max(), kind="series")
     rg.register_reconstruction_metric("bias", "Bias", True, lambda t, p: F.avg(p - t), kind="frame")
     r = sc.score_reconstruction(recon.withColumn("p", F.when(F.col("pos") == 1, 2.5).otherwise(F.col("t")))).first()
     assert r.worst == 0.5 and r.bias == pytest.approx(0.5 / 3)
@@ -66,7 +66,7 @@ def test_user_metrics(recon, pred):
         with pytest.raises(err):
             rg.register_reconstruction_metric(bad, "x", True, len)
     pairs, train = pred
-    rg.register_prediction_metric("first", "First", True, lambda t, p, train: float(train[0]), needs_train=True)
+    rg.register_prediction_metric("first", "First", True, lambda t, p, train: float(train[0]), needs_train=True, kind="series")
     assert sc.score_prediction(pairs, train, ["first", "mae"]).first().first == 5.0
     with pytest.raises(ValueError):
         rg.register_prediction_metric("n_samples", "x", True, len)

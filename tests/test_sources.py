@@ -42,9 +42,9 @@ def test_cleaning_rules(spark):
 
 def test_split(make):
     parts = cl.temporal_split(make({"a": [1.0] * 50, "b": [1.0] * 9, "c": [1.0], "d": [1.0] * 3}), 10)
-    got = {r.series_id: r for r in cl.split_report(parts).collect()}
+    got = {r.series_id: r for r in cl.split_report(parts, 10).collect()}
     assert {k: (r.n_train, r.n_test, r.status) for k, r in got.items()} == {
-        "a": (40, 10, "ok"), "b": (8, 1, "ok"), "c": (0, 0, "too short"), "d": (2, 1, "ok")}
+        "a": (40, 10, "ok"), "b": (8, 1, "shortened"), "c": (0, 0, "too short"), "d": (2, 1, "shortened")}
     assert [r.pos for r in parts.where("series_id = 'a' AND step = 1").collect()] == [40]
     with pytest.raises(ValueError):
         cl.temporal_split(parts, 0)
@@ -79,3 +79,48 @@ def test_writes_skip_finished_cells(spark, make, tmp_path):
     io.export_filtered_csv(make({"a": [3.0, 1.0, 2.0]}), str(tmp_path / "csv"), ["value"])
     back = spark.read.option("header", True).csv(str(tmp_path / "csv"))
     assert sorted(float(r.value) for r in back.collect()) == [1.0, 2.0, 3.0]
+
+
+def test_text_axis_is_sorted(spark):
+    raw = spark.createDataFrame([("s", 1, "c", "1"), ("s", 2, "a", "2"), ("s", 3, "b", "3")], "series_id string, input_ord bigint, raw_index string, raw_value string")
+    assert [r.value for r in cl.clean_series(raw)[0].orderBy("pos").collect()] == [2.0, 3.0, 1.0]
+
+
+def test_writer_replaces_cells_only(spark, tmp_path):
+    schema = "series_id string, technique string, rate_percent int, pos bigint, value double"
+    rows = [(s, t, 10, p, 1.0) for s in "ab" for t in ("X", "Y") for p in range(3)]
+    path = f"file://{tmp_path}/t"
+    stored = lambda: sorted(tuple(r) for r in spark.read.parquet(path).select("series_id", "technique", "rate_percent", "pos", "value").collect())
+    io.write_points(spark.createDataFrame(rows, schema), path, overwrite=True)
+    new = [("a", "X", 10, p, 2.0) for p in range(2)]
+    io.write_points(spark.createDataFrame(new, schema), path, overwrite=True)
+    want = sorted([r for r in rows if (r[0], r[1]) != ("a", "X")] + new)
+    assert stored() == want
+    io.write_points(spark.createDataFrame(rows, schema), path)  # one cell is short of a row and is completed, others are skipped
+    assert stored() == sorted(rows)
+    io.write_points(spark.createDataFrame(rows, schema), path)
+    assert stored() == sorted(rows)
+
+
+def test_unnamed_scratch_folder_is_an_error_on_a_cluster():
+    from types import SimpleNamespace
+
+    from mendcast import layout
+
+    context = SimpleNamespace(master="spark://host:7077", getCheckpointDir=lambda: None)
+    session = SimpleNamespace(sparkContext=context, conf=SimpleNamespace(get=lambda key, default: default))
+    with pytest.raises(ValueError):
+        layout.scratch_dir(session)
+    session.conf = SimpleNamespace(get=lambda key, default: "hdfs://shared/")
+    assert layout.scratch_dir(session) == "hdfs://shared"
+
+
+def test_scratch_run_leaves_nothing(spark):
+    import os
+
+    from mendcast import layout
+
+    with layout.scratch_run(spark) as tables:
+        kept = layout.materialise(spark.range(5))
+        assert kept.count() == 5 and len(tables) == 1 and os.path.isdir(tables[0].removeprefix("file://"))
+    assert not os.path.exists(tables[0].removeprefix("file://"))
