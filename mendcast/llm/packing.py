@@ -20,7 +20,7 @@ import numpy as np
 from pyspark.sql import DataFrame, functions as F
 
 from mendcast.layout import materialise
-from mendcast.llm.common import map_batches, mix64
+from mendcast.llm.common import mix64
 from mendcast.llm.tokens import WordwiseTokens
 
 WINDOW, END = 2048, 1
@@ -53,49 +53,63 @@ class Words:
         return (mix64(np.add.reduceat(parts, first)) % np.uint64(BUCKETS)).astype(np.int64)
 
 
-def tokenise(docs: DataFrame, vocabulary: str, id_col: str, text_col: str) -> DataFrame:
-    """Stored: ``_id``, ``ids`` (16-bit, with the end id) and the two smallest word hashes ``near``, ``next``."""
+def tokenise(docs: DataFrame, vocabulary: str, id_col: str, text_col: str) -> tuple[DataFrame, DataFrame]:
+    """Stored documents and stored word counts.
+
+    Documents: ``_id``, ``ids`` (16-bit, with the end id), ``tokens`` and the two smallest word hashes ``near``, ``next``. Counts: one row per
+    task, written after its documents; ``ids`` packs buckets and document frequencies, ``near`` and ``next`` are documents and words.
+    """
+    import pyarrow as pa
+
     rows = docs.select(F.col(id_col).alias("_id"), F.col(text_col).alias("_text"))
+    names, kinds = ["_id", "ids", "tokens", "near", "next"], [pa.binary(), pa.int64(), pa.int64(), pa.int64()]
 
-    def maker():
+    def run(batches):
         tokens, words = WordwiseTokens(vocabulary, plain=False), Words(vocabulary)
-
-        def work(batch) -> dict:
-            out = {"ids": [], "tokens": [], "near": [], "next": []}
+        seen, n_docs, n_words, kind = np.zeros(BUCKETS, np.int32), 0, 0, None
+        for batch in batches:
+            kind = batch.schema.field("_id").type
+            out = []
             for text in batch.column("_text"):
                 ids = tokens.encode(text.as_py())
-                least = np.unique(mix64(words.of(ids).astype(np.uint64) + np.uint64(1)).view(np.int64))[:2]
-                out["ids"].append(np.append(ids, np.uint16(END)).astype("<u2").tobytes())
-                out["tokens"].append(len(ids) + 1)
-                out["near"].append(int(least[0]) if len(least) else 0)
-                out["next"].append(int(least[-1]) if len(least) else 0)
-            return out
-
-        return work
-
-    return materialise(map_batches(rows, maker, {"ids": "binary", "tokens": "long", "near": "long", "next": "long"}))
-
-
-def word_statistics(stored: DataFrame, vocabulary: str) -> tuple[np.ndarray, float]:
+                of = words.of(ids)
+                used = np.unique(of)
+                seen[used] += 1
+                n_docs, n_words = n_docs + 1, n_words + len(of)
+                least = np.sort(mix64(used.astype(np.uint64) + np.uint64(1)).view(np.int64))[:2]
+                out.append((
+                    np.append(ids, np.uint16(END)).astype("<u2").tobytes(), len(ids) + 1,
+                    int(least[0]) if len(least) else 0, int(least[-1]) if len(least) else 0,
+                ))
+            if out:
+                columns = [pa.array(c, t) for c, t in zip(zip(*out), kinds)]
+                yield pa.RecordBatch.from_arrays([batch.column("_id"), *columns], names)
+        if kind is not None:
+            at = np.flatnonzero(seen)
+            packed = np.stack((at, seen[at])).astype("<i4").tobytes()
+            yield pa.RecordBatch.from_arrays(
+                [pa.nulls(1, kind), *[pa.array([v], t) for v, t in zip((packed, -1, n_docs, n_words), kinds)]], names
+            )
+
+    kind = dict(rows.dtypes)["_id"]
+    stored = materialise(rows.mapInArrow(run, f"_id {kind}, ids binary, tokens long, near long, next long"))
+    return stored.where("tokens > 0"), stored.where("tokens < 0")
+
+
+def word_statistics(counts: DataFrame) -> tuple[np.ndarray, float]:
     """Inverse document frequency per bucket and mean words per document over all documents."""
     import pyarrow as pa
 
-    def count(batches):
-        words, seen, docs, length = Words(vocabulary), np.zeros(BUCKETS, np.int64), 0, 0
+    def unpack(batches):
         for batch in batches:
             for ids in batch.column("ids"):
-                of = words.of(np.frombuffer(ids.as_buffer(), "<u2")[:-1])
-                seen[np.unique(of)] += 1
-                docs, length = docs + 1, length + len(of)
-        at = np.flatnonzero(seen)
-        yield pa.RecordBatch.from_arrays([pa.array([-2, -1, *at], pa.int64()), pa.array([length, docs, *seen[at]], pa.int64())], ["bucket", "n"])
-
-    sums = stored.select("ids").mapInArrow(count, "bucket long, n long").groupBy("bucket").agg(F.sum("n").alias("n")).toPandas()
-    n = dict(zip(sums["bucket"], sums["n"]))
-    docs, length = n.get(-1, 0), n.get(-2, 0)
+                at, n = np.frombuffer(ids.as_buffer(), "<i4").reshape(2, -1)
+                yield pa.RecordBatch.from_arrays([pa.array(at), pa.array(n.astype(np.int64))], ["bucket", "n"])
+
+    sums = counts.select("ids").mapInArrow(unpack, "bucket int, n long").groupBy("bucket").agg(F.sum("n").alias("n")).toPandas()
+    docs, length = counts.agg(F.coalesce(F.sum("near"), F.lit(0)), F.coalesce(F.sum("next"), F.lit(0))).first()
     df = np.zeros(BUCKETS)
-    inner = sums[sums["bucket"] >= 0]
-    df[inner["bucket"].to_numpy()] = inner["n"].to_numpy()
+    df[sums["bucket"].to_numpy()] = sums["n"].to_numpy()
     return np.log(1 + (docs - df + 0.5) / (df + 0.5)).astype(np.float32), length / docs if docs else 1.0
 
 
@@ -182,8 +196,8 @@ def pack_by_retrieval(
     """One row per piece: id, ``start``, ``length``, ``ids_crc32``, ``doc_tokens``, ``sequence_id``, ``offset`` and, if asked, ``ids``."""
     import pyarrow as pa
 
-    stored = tokenise(docs, vocabulary, id_col, text_col)
-    idf, mean_words = word_statistics(stored, vocabulary)
+    stored, counts = tokenise(docs, vocabulary, id_col, text_col)
+    idf, mean_words = word_statistics(counts)
     shared = docs.sparkSession.sparkContext.broadcast((idf, mean_words))
     total = stored.agg(F.sum("tokens")).first()[0] or 0
     shards = max(1, -(-total // shard_tokens))

@@ -1,18 +1,33 @@
 """Token ids of whole texts by a public vocabulary whose tokens never span white space.
 
-Such a vocabulary cuts every word on its own, so the ids of a text are the ids of its words in order. Words repeat, and
-a bounded memo of encoded words makes a text a join of byte strings.
+Such a vocabulary cuts a text into runs of letters, single digits and runs of marks, and every piece on its own, so the ids of a
+text are the ids of its pieces in order. Pieces repeat: a bounded memo makes a text a join of byte strings. Words with
+characters outside ``PLAIN`` go through the whole tokenizer.
 """
 
 from __future__ import annotations
 
 import os
+import re
+from array import array
 
 import numpy as np
 
-from mendcast.llm.common import WordTable
-
 END_OF_TEXT = 49407
+KNOWN = 500_000
+#: Latin letters whose lower case is one letter in any implementation, digits, and marks that are neither letter nor apostrophe;
+#: "<" is left out because special tokens begin with it.
+UPPER, LOWER, MARKS = "A-ZÀ-ÖØ-ÞĀ-įĲ-ſ", "a-zß-öø-įĲ-ſ", r"""-.,!?;:*#$%&|()\[\]{}"/\\@+=_~^`>"""
+PLAIN = f"{UPPER}{LOWER}0-9{MARKS}"
+ODD = re.compile(rf"[^{PLAIN}\x20\x09-\x0D]")
+PIECES = re.compile(rf"[{LOWER}]+|[0-9]|[{MARKS}]+")
+
+
+def byte_letters() -> list[str]:
+    """The printable letter that stands for each byte in byte-level vocabularies: itself, or the next unused one from 256 on."""
+    shown = {*range(33, 127), *range(161, 173), *range(174, 256)}
+    others = iter(range(256, 512))
+    return [chr(b) if b in shown else chr(next(others)) for b in range(256)]
 
 
 class WordwiseTokens:
@@ -24,13 +39,34 @@ class WordwiseTokens:
 
         self.tokenizer = Tokenizer.from_file(vocabulary)
         self.tokenizer.encode_special_tokens = plain
-        self.memo = WordTable(self._cut)
+        self.model = self.tokenizer.model
+        self.letters = byte_letters()
+        self.known: dict[str, bytes] = {}
+        self.odd: dict[str, bytes] = {}
+
+    def _joined(self, pieces: list[str]) -> bytes:
+        known = self.known
+        if len(known) > KNOWN:
+            known.clear()
+        cut = self.model.tokenize
+        for p in set(pieces).difference(known):
+            shown = p if p.isascii() else "".join([self.letters[b] for b in p.encode("utf-8")])
+            known[p] = array("H", [t.id for t in cut(shown)]).tobytes()
+        return b"".join(map(known.__getitem__, pieces))
 
-    def _cut(self, words: list[bytes]) -> list[bytes]:
-        texts = [w.decode("utf-8") for w in words]
-        return [np.array(e.ids, "<u2").tobytes() for e in self.tokenizer.encode_batch(texts, add_special_tokens=False)]
+    def _word(self, word: str) -> bytes:
+        if not ODD.search(word):
+            return self._joined(PIECES.findall(word.lower()))
+        if word not in self.odd:
+            if len(self.odd) > KNOWN:
+                self.odd.clear()
+            self.odd[word] = array("H", self.tokenizer.encode(word, add_special_tokens=False).ids).tobytes()
+        return self.odd[word]
 
     def encode(self, text: str | None) -> np.ndarray:
-        words = (text or "").encode("utf-8").split()
-        ids = self.memo.ids(words)
-        return np.frombuffer(b"".join(map(self.memo.values.__getitem__, ids)), "<u2")
+        text = text or ""
+        if ODD.search(text):
+            ids = b"".join(self._word(w.decode("utf-8")) for w in text.encode("utf-8").split())
+        else:
+            ids = self._joined(PIECES.findall(text.lower()))
+        return np.frombuffer(ids, "<u2")
