@@ -29,13 +29,14 @@ import numpy as np
 from pyspark.sql import DataFrame, Window as W, functions as F
 
 from mendcast.layout import materialise
-from mendcast.llm.common import WordTable, map_batches, mix64, numbered
+from mendcast.llm.common import map_batches, mix64, numbered
 
 WORDS, PERCENT = 5, 75
 FIRST_BAND, RATIO, SPARE, SPARE_SHARE = 64, 4, 16, 0.15
 STEPS = 24
 SCHEME_BITS = 5
-STAR_ROUNDS = 3
+STAR_ROUNDS = 2
+KNOWN_WORDS = 500_000
 
 
 def most_different(a: int, b: int, percent: int) -> int:
@@ -85,6 +86,11 @@ class Band:
         """Segments 0 .. limit - 1 are indexed; never fewer for a larger set, so a smaller one's choice is always present."""
         return self.limits[min(STEPS - 1, max(0, np.searchsorted(self.edges, n, side="right") - 1))]
 
+    def filled(self, tokens: np.ndarray) -> int:
+        """How many of the indexed segments are not empty."""
+        segment = (tokens % np.uint64(self.segments)).astype(np.int64)
+        return int(np.count_nonzero(np.bincount(segment, minlength=self.segments)[: self.limit(len(tokens))]))
+
     def signatures(self, tokens: np.ndarray) -> np.ndarray:
         segment = tokens % np.uint64(self.segments)
         kept = segment < np.uint64(self.limit(len(tokens)))
@@ -115,21 +121,27 @@ class Schemes:
         smallest = -(-n * self.percent // 100)
         return any(k == 0 or k in self.single for k in range(band_of(smallest), band_of(n) + 1))
 
-    def of(self, tokens: np.ndarray) -> list[tuple[int, np.ndarray, int]]:
-        """(scheme, signatures, number to probe); 0 to probe for sets that are only looked up."""
-        n, band = len(tokens), band_of(len(tokens))
-        out = []
+    def uses(self, n: int) -> list[tuple[int, int]]:
+        """(scheme, number to probe) of a set of size n; 0 to probe where it is only looked up."""
+        band, out = band_of(n), []
         if self.uses_single(n):
             probe = most_different(n, largest_partner(n, self.percent), self.percent) + 1
-            out.append((0, mix64(tokens + np.uint64(7)) << np.uint64(SCHEME_BITS), probe if band == 0 or band in self.single else 0))
+            out.append((0, probe if band == 0 or band in self.single else 0))
         if band:
-            own = self.band(band)
-            out.append((band, own.signatures(tokens), own.need(n)))
-            if largest_partner(n, self.percent) >= own.high:
-                above = self.band(band + 1)
-                out.append((band + 1, above.signatures(tokens), above.need(n)))
+            out.append((band, self.band(band).need(n)))
+            if largest_partner(n, self.percent) >= self.band(band).high:
+                out.append((band + 1, self.band(band + 1).need(n)))
         return out
 
+    def total(self, scheme: int, tokens: np.ndarray) -> int:
+        return self.band(scheme).filled(tokens) if scheme else len(tokens)
+
+    def signatures(self, tokens: np.ndarray) -> np.ndarray:
+        """What a set is indexed by, under all schemes."""
+        return np.concatenate([
+            self.band(k).signatures(tokens) if k else mix64(tokens + np.uint64(7)) << np.uint64(SCHEME_BITS) for k, _ in self.uses(len(tokens))
+        ])
+
 
 class Shingles:
     """``of(text)``: the sorted distinct 64-bit shingles of a text."""
@@ -137,15 +149,25 @@ class Shingles:
     def __init__(self, words: int):
         import xxhash
 
-        self.words = words
-        self.memo = WordTable(lambda new: [xxhash.xxh3_64_intdigest(w) for w in new])
+        self.words, self.hash = words, xxhash.xxh3_64_intdigest
+        self.known: dict[bytes, int] = {}
+
+    def hashes(self, words: list[bytes]) -> np.ndarray:
+        """Word hashes through a bounded memo."""
+        known = self.known
+        try:
+            return np.fromiter(map(known.__getitem__, words), np.uint64, len(words))
+        except KeyError:
+            if len(known) > KNOWN_WORDS:
+                known.clear()
+            known.update((w, self.hash(w)) for w in words if w not in known)
+            return np.fromiter(map(known.__getitem__, words), np.uint64, len(words))
 
     def of(self, text: str | None) -> np.ndarray:
         words = (text or "").encode("utf-8").lower().split()
         if not words:
             return np.zeros(0, np.uint64)
-        ids = self.memo.ids(words)
-        hashes = np.fromiter(map(self.memo.values.__getitem__, ids), np.uint64, len(ids))
+        hashes = self.hashes(words)
         width = min(self.words, len(words))
         count = len(words) - width + 1
         total = np.full(count, width, np.uint64)
@@ -158,8 +180,8 @@ def set_key(tokens: np.ndarray) -> int:
     """64-bit identity of a set, 0 for the empty one. Of N sets about N * N / 2^65 pairs would be confused."""
     if not len(tokens):
         return 0
-    total = np.add.reduce(mix64(tokens ^ np.uint64(0xA5A5A5A5A5A5A5A5))) + np.uint64(len(tokens)) * np.uint64(0x9E3779B97F4A7C15)
-    return int(mix64(np.array([total])).view(np.int64)[0])
+    total = np.add.reduce(mix64(tokens ^ np.uint64(0xA5A5A5A5A5A5A5A5)), keepdims=True)
+    return int(mix64(total ^ mix64(np.array([len(tokens)], np.uint64))).view(np.int64)[0])
 
 
 def set_facts(docs: DataFrame, schemes: Schemes, words: int, id_col: str, text_col: str) -> DataFrame:
@@ -174,12 +196,12 @@ def set_facts(docs: DataFrame, schemes: Schemes, words: int, id_col: str, text_c
             out = {"n": [], "k": [], "scheme": [], "total": [], "probe": []}
             for text in batch.column("_text"):
                 tokens = shingles.of(text.as_py())
-                uses = schemes.of(tokens) if len(tokens) else []
+                uses = schemes.uses(len(tokens)) if len(tokens) else []
                 out["n"].append(len(tokens))
                 out["k"].append(set_key(tokens))
-                out["scheme"].append([u[0] for u in uses])
-                out["total"].append([len(u[1]) for u in uses])
-                out["probe"].append([u[2] for u in uses])
+                out["scheme"].append([k for k, _ in uses])
+                out["total"].append([schemes.total(k, tokens) for k, _ in uses])
+                out["probe"].append([p for _, p in uses])
             return out | {c: pa.array(out[c], pa.list_(pa.int32())) for c in ("scheme", "total", "probe")}
 
         return work
@@ -207,10 +229,10 @@ def index_entries(docs: DataFrame, schemes: Schemes, words: int, text_col: str)
                 if not len(tokens) or key in seen:
                     continue
                 seen.add(key)
-                for _, sig, _ in schemes.of(tokens):
-                    sigs.append(sig)
-                    keys.append(np.full(len(sig), key))
-                    held += len(sig)
+                sig = schemes.signatures(tokens)
+                sigs.append(sig)
+                keys.append(np.full(len(sig), key))
+                held += len(sig)
                 if held > 200_000:
                     yield flushed(sigs, keys)
                     sigs, keys, held = [], [], 0
@@ -232,9 +254,10 @@ def shared_segments(entries: DataFrame) -> DataFrame:
 
 
 def chosen_members(shared: DataFrame, facts: DataFrame) -> DataFrame:
-    """Stored: (``sig``, ``k``, ``n``, ``central``, ``chosen``) of the segments that some set probes.
+    """Stored: (``sig``, ``k``, ``n``, ``total``, ``have``, ``central``, ``chosen``) of the segments that some set probes.
 
-    A set probes its unshared segments first, so of the shared ones only as many are chosen as are still needed.
+    A set probes its unshared segments first, so of the shared ones only as many are chosen as are still needed. ``have`` of its
+    ``total`` segments are shared with some set.
     """
     rows = shared.withColumn("scheme", F.col("sig").bitwiseAND((1 << SCHEME_BITS) - 1).cast("int"))
     uses = (
@@ -243,13 +266,13 @@ def chosen_members(shared: DataFrame, facts: DataFrame) -> DataFrame:
     )
     per_set = rows.groupBy("k", "scheme").agg(F.count("*").alias("_shared")).join(uses, ["k", "scheme"])
     wanted = per_set.select(
-        "k", "scheme", "n", (F.col("_shared") / F.col("total")).alias("central"),
+        "k", "scheme", "n", "total", F.col("_shared").alias("have"), (F.col("_shared") / F.col("total")).alias("central"),
         F.when(F.col("probe") > 0, F.col("probe") - (F.col("total") - F.col("_shared"))).otherwise(0).alias("_wanted"),
     )
     cheapest = F.row_number().over(W.partitionBy("k", "scheme").orderBy("cost", "sig"))
     ranked = rows.join(wanted, ["k", "scheme"]).withColumn("chosen", cheapest <= F.col("_wanted"))
     probed = ranked.where("chosen").select("sig").distinct()
-    return materialise(ranked.join(probed, "sig", "left_semi").select("sig", "k", "n", "central", "chosen"))
+    return materialise(ranked.join(probed, "sig", "left_semi").select("sig", "k", "n", "total", "have", "central", "chosen"))
 
 
 def needed_sets(docs: DataFrame, facts: DataFrame, members: DataFrame, words: int, text_col: str) -> DataFrame:
@@ -310,8 +333,13 @@ def _labelled(members: DataFrame, labels: DataFrame | None) -> DataFrame:
     return members.join(labels, "k", "left").withColumn("label", F.coalesce("label", "k"))
 
 
-def _compatible(a: str, b: str, percent: int):
-    return 100 * F.least(a, b) >= percent * F.greatest(a, b)
+def _may_link(an: str, atotal: str, bn: str, bhave: str, percent: int):
+    """Whether a set of size ``an`` with ``atotal`` segments may link to a larger one that shares ``bhave`` segments with anyone.
+
+    Every segment of the smaller that the larger lacks is a difference, so all but H must be among those the larger shares.
+    """
+    different = F.floor((100 - percent) * (F.col(an) + F.col(bn)) / (100 + percent))
+    return (F.col(an) <= F.col(bn)) & (100 * F.col(an) >= percent * F.col(bn)) & (F.col(atotal) - F.col(bhave) <= different)
 
 
 def _pairs(rows: DataFrame, a: str, b: str, tried: DataFrame | None) -> DataFrame:
@@ -323,10 +351,11 @@ def star_pairs(members: DataFrame, labels: DataFrame | None, tried: DataFrame |
     """Each set with the most central set of the segments it shares with other components; one pair per set."""
     rows = _labelled(members, labels)
     pivots = (
-        rows.groupBy("sig").agg(F.max(F.struct("central", "k", "n", "label")).alias("p"))
-        .select("sig", F.col("p.k").alias("pk"), F.col("p.n").alias("pn"), F.col("p.label").alias("pl"))
+        rows.groupBy("sig").agg(F.max(F.struct("central", "k", "n", "label", "total", "have")).alias("p"))
+        .select("sig", *[F.col(f"p.{c}").alias(f"p{c}") for c in ("k", "n", "label", "total", "have")])
     )
-    met = rows.join(pivots, "sig").where((F.col("label") != F.col("pl")) & _compatible("n", "pn", percent))
+    linkable = _may_link("n", "total", "pn", "phave", percent) | _may_link("pn", "ptotal", "n", "have", percent)
+    met = rows.join(pivots, "sig").where((F.col("label") != F.col("plabel")) & linkable)
     often = met.groupBy("k", "pk").agg(F.count("*").alias("c"))
     first = often.withColumn("r", F.row_number().over(W.partitionBy("k").orderBy(F.desc("c"), "pk"))).where("r = 1")
     return _pairs(first, "k", "pk", tried)
@@ -341,10 +370,9 @@ def remaining_pairs(members: DataFrame, labels: DataFrame | None, tried: DataFra
     sizes = rows.groupBy("sig", "label").agg(F.count("*").alias("c"))
     top = sizes.groupBy("sig").agg(F.max(F.struct("c", "label")).alias("t"), F.count("*").alias("parts")).where("parts > 1")
     rows = rows.join(top.select("sig", F.col("t.label").alias("tl")), "sig").withColumn("small", F.col("label") != F.col("tl"))
-    probes = rows.where("chosen").select("sig", F.col("k").alias("a"), F.col("n").alias("an"), F.col("label").alias("al"), F.col("small").alias("asmall"))
-    met = F.col("al") != F.col("label")
+    probes = rows.where("chosen").select("sig", *[F.col(c).alias(f"a{c}") for c in ("k", "n", "label", "total", "small")])
     meet = probes.where("asmall").join(rows, "sig").unionByName(probes.where("NOT asmall").join(rows.where("small"), "sig"))
-    return _pairs(meet.where(met & (F.col("an") <= F.col("n")) & _compatible("an", "n", percent)), "a", "k", tried)
+    return _pairs(meet.where((F.col("alabel") != F.col("label")) & _may_link("an", "atotal", "n", "have", percent)), "ak", "k", tried)
 
 
 def near_duplicate_classes(
@@ -366,6 +394,8 @@ def near_duplicate_classes(
         for turn in range(STAR_ROUNDS + 1):
             form = star_pairs if turn < STAR_ROUNDS else remaining_pairs
             pairs = materialise(form(members, labels, tried, percent))
+            if pairs.isEmpty():
+                continue
             found = materialise(verified(pairs, sets, percent))
             tried = pairs if tried is None else tried.union(pairs)
             if found.isEmpty():
