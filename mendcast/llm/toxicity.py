@@ -28,6 +28,7 @@ from dataclasses import dataclass
 import numpy as np
 from pyspark.sql import DataFrame, functions as F
 
+from mendcast.layout import materialise
 from mendcast.llm.common import WordTable, crc_of_id, map_batches
 
 BUCKETS = 1 << 20
@@ -148,14 +149,18 @@ def fit_logistic(x: np.ndarray, y: np.ndarray, ridge: float = 1e-2) -> np.ndarra
 
 
 def labelled_rows(docs: DataFrame, labels: DataFrame, id_col: str, text_col: str, label_col: str, held_out_remainder: int) -> DataFrame:
-    """(``_id``, ``_text``, ``_label``) of the rows that may be learned from."""
+    """Stored: (``_id``, ``_text``, ``_label``) of the rows that may be learned from.
+
+    The join is always a shuffle of the texts that may be learned from, done once: whether labels are small enough to be sent
+    everywhere would change with the size of the table.
+    """
     given = (
         labels.where(F.col(label_col).isNotNull() & (crc_of_id(id_col) % 3 != held_out_remainder))
         .groupBy(F.col(id_col).alias("_key")).agg(F.max(F.col(label_col).cast("int")).alias("_label"))
     )
-    return docs.join(given, docs[id_col] == given["_key"]).select(
-        F.col("_key").cast("string").alias("_id"), docs[text_col].alias("_text"), (F.col("_label") > 0).cast("int").alias("_label")
-    )
+    texts = docs.where(crc_of_id(id_col) % 3 != held_out_remainder).select(F.col(id_col).alias("_doc"), F.col(text_col).alias("_text"))
+    joined = texts.join(given.hint("merge"), F.col("_doc") == F.col("_key"))
+    return materialise(joined.select(F.col("_key").cast("string").alias("_id"), "_text", (F.col("_label") > 0).cast("int").alias("_label")))
 
 
 def count_features(rows: DataFrame) -> ToxicModel | None:
