@@ -124,13 +124,14 @@ def temporal_split(spark, sf):
 
 @query("split_report", rsql(f"""WITH {EV}, {SPLIT} SELECT series_id, count(*) AS n_total, count(*) FILTER (part = 'train') AS n_train,
   count(*) FILTER (part = 'test') AS n_test, count(*) FILTER (part = 'test') / CAST(count(*) AS DOUBLE) AS test_share,
-  CASE WHEN count(*) FILTER (part = 'test') > 0 THEN 'ok' ELSE 'too short' END AS status FROM split GROUP BY series_id""", "test_share"))
+  CASE WHEN count(*) FILTER (part = 'test') = 0 THEN 'too short' WHEN count(*) FILTER (part = 'test') < 60 THEN 'shortened' ELSE 'ok' END AS status FROM split GROUP BY series_id""", "test_share"))
 def split_report(spark, sf):
     return rounded(cl.split_report(cl.temporal_split(ev_user(spark, sf), 60), 60))
 
 
-@query("split_totals", f"""WITH {EV}, {SPLIT} SELECT 'ok' AS status, count(DISTINCT series_id) AS n_series,
-  count(*) FILTER (part = 'train') AS n_train, count(*) FILTER (part = 'test') AS n_test FROM split""")
+@query("split_totals", f"""WITH {EV}, {SPLIT}, s AS (SELECT series_id, count(*) FILTER (part = 'train') AS a, count(*) FILTER (part = 'test') AS b FROM split GROUP BY ALL)
+SELECT CASE WHEN b = 0 THEN 'too short' WHEN b < 60 THEN 'shortened' ELSE 'ok' END AS status, count(*) AS n_series,
+  sum(a)::BIGINT AS n_train, sum(b)::BIGINT AS n_test FROM s GROUP BY ALL""")
 def split_totals(spark, sf):
     return cl.split_totals(cl.split_report(cl.temporal_split(ev_user(spark, sf), 60), 60))
 

@@ -118,7 +118,7 @@ def pivot_recon_rate(spark, sf):
     return rounded(cp.pivot_recon_rate(pred_results(spark, sf), "mape", "A", values=RATES))
 
 
-_BR = tuple(f"Brand#{i}{j}" for i in range(1, 6) for j in range(1, 6))
+_BR = tuple(f"Brand#{i}" for i in range(1, 26))
 
 
 @query("pivot_pred_recon", rsql(f"WITH {PRED} SELECT prediction_model, " + ", ".join(
