@@ -1,7 +1,9 @@
 """Quality rules: base counts of a text plus tokeniser fertility with rejection bands per language or script.
 
 Every word is cut by a public vocabulary. Three measures describe how well the vocabulary fits a text: characters per
-token, share of byte-fallback tokens, and token entropy relative to the entropy of as many different tokens. Texts of one
+token, share of byte-fallback tokens, and token entropy relative to the entropy of as many different tokens. Over a whole text the
+last falls with length, as words come back; so it is the mean over windows of ``WINDOW`` tokens that cover the whole text, of which
+all texts expect the same. A text that only repeats itself over longer stretches is left to the base rule. Texts of one
 group (their language, else their dominant script) give a centre and a spread (median and interquartile range) of each
 measure over the whole table, from mergeable sketches. Short texts scatter more, so differences from the centre are scaled by
 the root of the number of tokens (up to ``settled``) before the spread is taken. A text outside the band of centre plus or minus
@@ -28,6 +30,8 @@ STATS = {
 }
 SYMBOLS = "#*$%&|<>"
 WIDTH, SETTLED = 3.5, 4000
+#: Tokens in a window of the entropy, and windows that are sorted at once.
+WINDOW, AT_ONCE = 128, 4096
 #: Least spread that is taken for real, in the scaled measure.
 FLOOR = {"chars_per_token": 0.5, "fallback_share": 0.1, "token_entropy": 0.3}
 MEASURES = ("chars_per_token", "fallback_share", "token_entropy")
@@ -73,6 +77,27 @@ def repeated_lines(data: bytes) -> int:
     return repeats
 
 
+def window_entropy(tokens: np.ndarray) -> float:
+    """Mean entropy of windows of ``WINDOW`` tokens, each relative to that of as many different tokens.
+
+    Windows follow one another; where the last is short, it starts earlier and ends with the text. A shorter text is one window.
+    """
+    n = len(tokens)
+    if n < 2:
+        return 0.0
+    width = min(n, WINDOW)
+    whole = tokens[: n - n % width].reshape(-1, width)
+    parts = [whole[i: i + AT_ONCE] for i in range(0, len(whole), AT_ONCE)] + ([tokens[None, -width:]] if n % width else [])
+    lost = 0.0
+    for part in parts:
+        ranked = np.sort(part, axis=1)
+        first = np.ones(ranked.shape, bool)
+        first[:, 1:] = ranked[:, 1:] != ranked[:, :-1]
+        counts = np.diff(np.append(np.flatnonzero(first), first.size))
+        lost += float((counts * np.log(counts)).sum())
+    return 1.0 - lost / (sum(map(len, parts)) * width * np.log(width))
+
+
 def script_of(text: str) -> str:
     points = np.frombuffer(text.encode("utf-32-le", "surrogatepass"), np.uint32)
     points = points[(points > 0x7F) | ((points | 0x20) >= 0x61) & ((points | 0x20) <= 0x7A)]
@@ -104,15 +129,11 @@ def measurer(vocabulary: str):
         joined = b"".join(words)
         chars = len(joined) - int(np.count_nonzero((np.frombuffer(joined, np.uint8) & 0xC0) == 0x80))
         tokens = np.frombuffer(b"".join(map(memo.values.__getitem__, ids)), "<u2")
-        n, entropy, fallback = len(tokens), 0.0, 0.0
-        if n > 1:
-            used = np.bincount(tokens)
-            p = used[used > 0] / n
-            entropy = float(-(p * np.log(p)).sum() / np.log(n))
-            fallback = float(is_byte[tokens].mean())
+        n = len(tokens)
+        fallback = float(is_byte[tokens].mean()) if n > 1 else 0.0
         return (
             lang, len(words), chars, sum(map(data.count, SYMBOLS.encode())), repeated_lines(data), repeated_trigram_words(ids),
-            script_of(text), n, chars / n if n else 0.0, fallback, entropy,
+            script_of(text), n, chars / n if n else 0.0, fallback, window_entropy(tokens),
         )
 
     def work(batch) -> dict:

@@ -138,6 +138,93 @@ def test_fertility(docs, none, rows):
     assert fertility_quality(none, model).count() == 0 and keep_fertile(none, model).count() == 0
 
 
+def brute_entropy(tokens, width=128):
+    """Mean over windows of the Shannon entropy relative to the log of the window's length."""
+    n = len(tokens)
+    width = min(width, n)
+    if n < 2:
+        return 0.0
+    starts = [*range(0, n - width + 1, width), *([n - width] if n % width else [])]
+    shares = [[k / width for k in collections.Counter(tokens[i: i + width]).values()] for i in starts]
+    return sum(-sum(p * np.log(p) for p in s) for s in shares) / len(starts) / np.log(width)
+
+
+def brute_verdicts(rows, least=20, width=3.5, settled=4000):
+    """(id, text) to (measures, verdict), with the bands from sorted lists; rows are (id, text, lang) with a language."""
+    import sentencepiece
+
+    from mendcast.llm.common import vocabulary
+
+    sp = sentencepiece.SentencePieceProcessor(model_file=vocabulary("piece_bpe_32k.model"))
+    stats = []
+    for i, text, lang in rows:
+        words = WORD.findall(text or "")
+        tokens = [t for w in words for t in sp.encode(w)]
+        n, repeats = len(tokens), base_counts(text)[4]
+        found = (sum(map(len, words)) / n, sum(map(sp.is_byte, tokens)) / n, brute_entropy(tokens)) if n > 1 else (0.0, 0.0, 0.0)
+        stats.append((i, text, lang, n, found, len(words) < 50 or 100 * repeats > 50 * len(words)))
+    at = lambda values, q: sorted(values)[max(0, -int(-q * len(values) // 1) - 1)]
+    out = {}
+    bands = {}
+    for g in {s[2] for s in stats}:
+        passed = [s for s in stats if s[2] == g and not s[5]]
+        if len(passed) < least:
+            continue
+        for m, floor in enumerate((0.5, 0.1, 0.3)):
+            centre = at([s[4][m] for s in passed], 0.5)
+            scaled = [(s[4][m] - centre) * min(s[3], settled) ** 0.5 for s in passed]
+            bands[g, m] = centre, width * max(at(scaled, 0.75) - at(scaled, 0.25), floor)
+    for i, text, g, n, found, failed in stats:
+        verdict = "base rule" if failed else None
+        if not failed and (g, 0) in bands:
+            off = [(found[m] - bands[g, m][0]) * min(n, settled) ** 0.5 / bands[g, m][1] for m in range(3)]
+            why = ("few characters per token", off[0] < -1), ("many characters per token", off[0] > 1), ("byte fallback", off[1] > 1), ("low token entropy", off[2] < -1)
+            verdict = next((name for name, holds in why if holds), None)
+        out[i, text] = found, verdict
+    return out
+
+
+def zipf_prose(rng, n, words):
+    """Words that come back as in a language, so that a long text uses each often."""
+    return " ".join(rng.choices(words, [1 / (k + 3) for k in range(len(words))], k=n))
+
+
+def lengthy_rows(seed=21):
+    """Clean texts of 90 to 20,000 words in two languages, and two kinds of junk at several lengths."""
+    rng = random.Random(seed)
+    out = []
+    for g in ("aa", "bb"):
+        words = list(dict.fromkeys(prose(rng, 6000, "abcdefghilmnorstu").split()))
+        lengths = [int(90 * 16 ** (k / 79)) for k in range(80)] + [4000, 6000, 9000, 20000]
+        out += [(zipf_prose(rng, n, words), g, True) for n in lengths]
+        out += [(zipf_prose(rng, n, words[:12]), g, False) for n in (150, 400)]
+    return [(i, text, g, clean) for i, (text, g, clean) in enumerate(out)]
+
+
+def test_fertility_keeps_clean_long_texts(spark):
+    from mendcast.llm.common import vocabulary
+    from mendcast.llm.fertility import fertility_quality
+
+    data = lengthy_rows()
+    d = spark.createDataFrame([r[:3] for r in data], "doc_id bigint, text string, lang string").repartition(3)
+    got = {r.doc_id: r for r in fertility_quality(d, vocabulary("piece_bpe_32k.model")).collect()}
+    want = brute_verdicts([r[:3] for r in data])
+    for i, text, _, clean in data:
+        found, verdict = want[i, text]
+        assert np.allclose([got[i].chars_per_token, got[i].fallback_share, got[i].token_entropy], found) and got[i].verdict == verdict
+        assert got[i].verdict != "low token entropy" or not clean
+        assert got[i].kept or not clean or len(text.split()) < 4000
+        assert clean or not got[i].kept
+
+
+@pytest.mark.parametrize("n", [0, 1, 2, 127, 128, 129, 1000, 128 * 4096 + 5])
+def test_window_entropy(n):
+    from mendcast.llm.fertility import window_entropy
+
+    tokens = np.random.default_rng(n).integers(0, 300, n).astype("<u2")
+    assert window_entropy(tokens) == pytest.approx(brute_entropy(tokens.tolist()), abs=1e-9)
+
+
 def reference_ids(rows, plain):
     import public_tokenizers
     from tokenizers import Tokenizer
