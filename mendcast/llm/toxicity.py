@@ -1,7 +1,9 @@
 """Toxic passages by maximum-scoring segments over word log-odds, calibrated by extreme-value statistics.
 
 Word evidence: each word stands for itself and for its prefixes. For every such feature the labelled rows give the number of
-documents and of toxic documents that hold it, in a fixed number of hash buckets. With a Dirichlet prior whose mass
+documents and of toxic documents that hold it, added up over all of them by the feature's 63-bit hash: of N features about N^2 / 2^64
+pairs would be confused. Features that ``SUPPORT`` documents hold are stored; scoring reads them past the words of a batch of
+texts, so neither the driver nor a worker holds the table, which grows with the corpus. With a Dirichlet prior whose mass
 ``PRIOR`` is spread like the corpus, a feature seen in n documents of which t are toxic has the log-odds
 log((t + PRIOR) / (n * share + PRIOR)), share being the part of toxic documents; a word takes the value of its longest
 feature that at least ``SUPPORT`` documents hold. A constant ``DRIFT`` is subtracted, so that ordinary text loses score.
@@ -22,37 +24,35 @@ null labels and ids teach nothing; repeated rows count as rows; further columns
 
 from __future__ import annotations
 
-import zlib
 from dataclasses import dataclass
+from hashlib import blake2b
 
 import numpy as np
 from pyspark.sql import DataFrame, functions as F
 
 from mendcast.layout import materialise
-from mendcast.llm.common import WordTable, crc_of_id, map_batches
+from mendcast.llm.common import WordTable, crc_of_id, map_batches, shared_files
 
-BUCKETS = 1 << 20
 PREFIXES = (4, 5, 6)
 PRIOR, SUPPORT, DRIFT, SIGNIFICANT = 1.0, 5, 0.8, 0.05
 SAMPLE = 8000
 STEP, LOWEST = 0.05, -8.0
 TRIMMED = "".join(chr(i) for i in range(33, 127) if not chr(i).isalnum())
 LEVELS = len(PREFIXES) + 1
+#: Features of documents that a task adds up at once, and rows in a file of the stored table.
+HELD, FILE_ROWS = 2_000_000, 1 << 16
+NO_KEY, KEY_BITS = b"\xff" * 8, (1 << 63) - 1
 
 
-def features(words: list[bytes]) -> list[np.ndarray]:
-    """Buckets of every word, shortest prefix first; a level that a word is too short for is -1."""
+def features(words: list[bytes]) -> np.ndarray:
+    """Keys of every word, shortest prefix first; a level that a word is too short for is -1."""
     out = []
     for w in words:
         word = w.decode("utf-8").lower().strip(TRIMMED)
-        at = np.full(LEVELS, -1, np.int64)
-        if word:
-            for k, n in enumerate(PREFIXES):
-                if len(word) > n:
-                    at[k] = zlib.crc32(f"{n} {word[:n]}".encode()) % BUCKETS
-            at[-1] = zlib.crc32(word.encode()) % BUCKETS
-        out.append(at)
-    return out
+        names = [f"{n} {word[:n]}" if len(word) > n else "" for n in PREFIXES] + [word]
+        out.append(b"".join([blake2b(x.encode(), digest_size=8).digest() if x else NO_KEY for x in names]))
+    keys = np.frombuffer(b"".join(out), "<i8").reshape(-1, LEVELS)
+    return np.where(keys == -1, -1, keys & KEY_BITS)
 
 
 def level_log_odds(toxic: np.ndarray, seen: np.ndarray, share: float) -> np.ndarray:
@@ -61,15 +61,32 @@ def level_log_odds(toxic: np.ndarray, seen: np.ndarray, share: float) -> np.ndar
 
 @dataclass
 class ToxicModel:
-    """Counts per bucket; ``lam`` and ``log_k`` of the extreme-value law; logistic weights for (1, best, sum)."""
+    """Files with the counts per feature; ``lam`` and ``log_k`` of the extreme-value law; logistic weights for (1, best, sum)."""
 
-    toxic: np.ndarray
-    seen: np.ndarray
+    files: list[str]
     share: float
     lam: float = 1.0
     log_k: float = 0.0
     logistic: tuple = (0.0, 0.0, 0.0)
 
+    def counts(self, at: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Documents and toxic documents of every key; 0 for those that are not stored."""
+        import pyarrow.parquet as pq
+
+        want, place = np.unique(at, return_inverse=True)
+        found = np.zeros((2, len(want)), np.int64)
+        for name in self.files:
+            files, path = shared_files(name)
+            with files.open_input_file(path) as source:
+                stored = pq.ParquetFile(source)
+                for group in range(stored.num_row_groups):
+                    part = stored.read_row_group(group, ["key", "seen", "toxic"])
+                    keys = part["key"].to_numpy()
+                    where = np.minimum(np.searchsorted(want, keys), len(want) - 1)
+                    hit = (want[where] == keys) & (keys >= 0)
+                    found[:, where[hit]] = part["seen"].to_numpy()[hit], part["toxic"].to_numpy()[hit]
+        return found[0][place].reshape(at.shape), found[1][place].reshape(at.shape)
+
     def word_scores(self, label: int | None):
         """Function from words to scores. With a label, as if one document of that label had not been counted."""
         less_seen, less_toxic = (0 if label is None else 1), int(label == 1)
@@ -77,9 +94,9 @@ class ToxicModel:
         def score(words: list[bytes]) -> list[float]:
             if not words:
                 return []
-            at = np.stack(features(words))
-            seen = np.where(at >= 0, self.seen[at] - less_seen, 0)
-            toxic = np.where(at >= 0, self.toxic[at] - less_toxic, 0)
+            at = features(words)
+            seen, toxic = self.counts(at)
+            seen, toxic = seen - less_seen, toxic - less_toxic
             supported = seen >= SUPPORT
             level = LEVELS - 1 - supported[:, ::-1].argmax(axis=1)
             pick = np.arange(len(words))
@@ -89,6 +106,14 @@ class ToxicModel:
         return score
 
 
+def look_up_words(memo: WordTable, texts) -> None:
+    """Looks up the words of all these texts at once, so that the stored table is read once for them."""
+    words = set()
+    for text in texts:
+        words.update((text or "").encode("utf-8").split())
+    memo.ids(list(words))
+
+
 def maximal_segments(scores: np.ndarray) -> list[tuple[int, int, float]]:
     """All maximal segments of positive sum as (first, last, sum); only positive words are visited."""
     total = np.concatenate(([0.0], np.cumsum(scores)))
@@ -163,42 +188,48 @@ def labelled_rows(docs: DataFrame, labels: DataFrame, id_col: str, text_col: str
     return materialise(joined.select(F.col("_key").cast("string").alias("_id"), "_text", (F.col("_label") > 0).cast("int").alias("_label")))
 
 
+def added_up(clean: list[np.ndarray], toxic: list[np.ndarray]) -> list[np.ndarray]:
+    """(keys, documents, toxic documents) from the distinct keys of each clean and each toxic document."""
+    keys, seen = np.unique(np.concatenate([*clean, *toxic]), return_counts=True)
+    some, n = np.unique(np.concatenate([np.zeros(0, np.int64), *toxic]), return_counts=True)
+    among = np.zeros(len(keys), np.int64)
+    among[np.searchsorted(keys, some)] = n
+    return [keys, seen, among]
+
+
 def count_features(rows: DataFrame) -> ToxicModel | None:
-    """Documents and toxic documents per bucket over all rows; each task sends at most ``BUCKETS`` sums."""
+    """Documents and toxic documents per feature over all rows; each task sends sums over ``HELD`` features of its documents."""
     import pyarrow as pa
 
     def count(batches):
-        memo = WordTable(features)
-        seen, toxic, docs = np.zeros(BUCKETS, np.int64), np.zeros(BUCKETS, np.int64), [0, 0]
+        memo = WordTable(lambda words: [k.tobytes() for k in features(words)])
+        docs, held, size = [0, 0], ([], []), 0
+        packed = lambda *columns: pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in columns], ["key", "seen", "toxic"])
         for batch in batches:
             for text, label in zip(batch.column("_text"), batch.column("_label")):
                 docs[label.as_py()] += 1
                 words = list(set((text.as_py() or "").encode("utf-8").split()))
                 if words:
                     ids = memo.ids(words)
-                    at = np.unique(np.concatenate([memo.values[i] for i in ids]))
-                    at = at[at >= 0]
-                    seen[at] += 1
-                    if label.as_py():
-                        toxic[at] += 1
-        at = np.flatnonzero(seen)
-        yield pa.RecordBatch.from_arrays(
-            [pa.array([-1, *at], pa.int64()), pa.array([sum(docs), *seen[at]], pa.int64()), pa.array([docs[1], *toxic[at]], pa.int64())],
-            ["bucket", "seen", "toxic"],
-        )
-
-    sums = rows.select("_text", "_label").mapInArrow(count, "bucket long, seen long, toxic long").groupBy("bucket").agg(
-        F.sum("seen").cast("int").alias("seen"), F.sum("toxic").cast("int").alias("toxic")
-    ).where((F.col("seen") >= SUPPORT) | (F.col("bucket") < 0)).select(F.col("bucket").cast("int").alias("bucket"), "seen", "toxic").toPandas()
-    whole = sums[sums["bucket"] < 0]
-    n, n_toxic = int(whole["seen"].sum()), int(whole["toxic"].sum())
-    if not 0 < n_toxic < n:
+                    at = np.unique(np.frombuffer(b"".join(map(memo.values.__getitem__, ids)), np.int64))
+                    held[label.as_py()].append(at[at >= 0])
+                    size += len(at)
+                if size >= HELD:
+                    yield packed(*added_up(*held))
+                    held, size = ([], []), 0
+        if size:
+            yield packed(*added_up(*held))
+        yield packed([-1], [sum(docs)], [docs[1]])
+
+    sums = materialise(
+        rows.select("_text", "_label").mapInArrow(count, "key long, seen long, toxic long").groupBy("key")
+        .agg(F.sum("seen").alias("seen"), F.sum("toxic").alias("toxic")).where((F.col("seen") >= SUPPORT) | (F.col("key") < 0))
+    )
+    whole = sums.where("key < 0").first()
+    if whole is None or not 0 < whole["toxic"] < whole["seen"]:
         return None
-    model = ToxicModel(np.zeros(BUCKETS, np.int32), np.zeros(BUCKETS, np.int32), n_toxic / n)
-    inner = sums[sums["bucket"] >= 0]
-    model.seen[inner["bucket"].to_numpy()] = inner["seen"].to_numpy()
-    model.toxic[inner["bucket"].to_numpy()] = inner["toxic"].to_numpy()
-    return model
+    stored = materialise(sums.repartition(sums.count() // FILE_ROWS + 1))
+    return ToxicModel(sorted(stored.inputFiles()), whole["toxic"] / whole["seen"])
 
 
 def calibrate(model: ToxicModel, rows: DataFrame, n_rows: int, sample: int) -> ToxicModel:
@@ -213,6 +244,8 @@ def calibrate(model: ToxicModel, rows: DataFrame, n_rows: int, sample: int) -> T
 
         def work(batch) -> dict:
             out = {"label": [], "n": [], "sums": [], "bins": []}
+            for label, memo in enumerate(memos):
+                look_up_words(memo, [t.as_py() for t, at in zip(batch.column("_text"), batch.column("_label")) if at.as_py() == label])
             for text, label in zip(batch.column("_text"), batch.column("_label")):
                 memo = memos[label.as_py()]
                 ids = memo.ids((text.as_py() or "").encode("utf-8").split())
@@ -270,6 +303,8 @@ def score_documents(docs: DataFrame, model: ToxicModel | None, id_col: str = "do
             return float(score), found
 
         def work(batch) -> dict:
+            if memo is not None:
+                look_up_words(memo, (t.as_py() for t in batch.column("_text")))
             rows = [one(t.as_py()) for t in batch.column("_text")]
             return {"score": [r[0] for r in rows], "passages": pa.array([r[1] for r in rows], passage)}
 

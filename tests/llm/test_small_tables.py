@@ -492,6 +492,45 @@ def test_toxicity(spark, none):
     assert {r.score for r in detect_toxicity(d, lab.limit(0)).collect()} == {0.0}
 
 
+def test_toxic_words_are_told_apart(spark, monkeypatch):
+    """Counts equal those of whole strings, also for a word that shares its 20-bit hash with a toxic one."""
+    from mendcast.llm import toxicity
+
+    twin = next(w for w in (f"zq{i}" for i in range(1 << 26)) if (zlib.crc32(w.encode()) ^ zlib.crc32(b"vile")) % (1 << 20) == 0)
+    rng, data = random.Random(4), []
+    for i in range(120):
+        words = [prose(rng, 1) + rng.choice(["", "", "abab", "baba"]) for _ in range(60)]
+        if i % 4 == 0:
+            words[rng.randrange(60)] = rng.choice(["vile", "Vile,", "vile"])
+        data.append((i, " ".join(words), int(i % 4 == 0)))
+    extra = [(500, " ".join(["ff"] * 40 + [twin] * 9), None), (501, " ".join(["ff"] * 40 + ["zz99"] * 9), None)]
+    d = spark.createDataFrame(data + extra, "doc_id bigint, text string, toxic int").repartition(3)
+    lab = d.select("doc_id", "toxic")
+    if hasattr(toxicity, "FILE_ROWS"):
+        monkeypatch.setattr(toxicity, "FILE_ROWS", 50)
+    model = toxicity.count_features(toxicity.labelled_rows(d, lab, "doc_id", "text", "toxic", 3))
+    seen, toxic = collections.Counter(), collections.Counter()
+
+    def levels(word):
+        word = word.lower().strip(",")
+        return [word] + [(n, word[:n]) for n in (6, 5, 4) if len(word) > n]
+
+    for _, text, label in data:
+        held = {f for w in text.split() for f in levels(w)}
+        seen.update(held)
+        toxic.update(held if label else ())
+    words = sorted({w for r in data for w in r[1].split()}) + [twin, "zz99", "vilest"]
+    assert max(toxic.values()) >= 5 and len({k for k, n in seen.items() if n >= 5}) > 100
+    for label, less in ((None, (0, 0)), (0, (1, 0)), (1, (1, 1))):
+        want = []
+        for w in words:
+            f = next((f for f in levels(w) if seen[f] - less[0] >= 5), None)
+            want.append((0.0 if f is None else np.log((max(toxic[f] - less[1], 0) + 1) / ((seen[f] - less[0]) * 0.25 + 1))) - 0.8)
+        assert np.allclose(model.word_scores(label)([w.encode() for w in words]), want)
+    got = {r.doc_id: r for r in toxicity.detect_toxicity(d, lab, held_out_remainder=3).collect()}
+    assert got[500].score == got[501].score and got[500].n_passages == 0
+
+
 def test_pipeline_keeps_columns_and_whole_texts(spark, docs, none, rows):
     import corpus_pipeline
 
