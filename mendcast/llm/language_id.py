@@ -3,8 +3,10 @@
 Texts are lower-cased, everything but letters counts as a space, and n-grams of one to three characters fall into a fixed number
 of hash buckets. Document frequencies come from every row that may be learned from; they are at most ``BUCKETS`` counts. The
 weights are fitted by follow-the-regularised-leader with elastic-net penalties on a sample of labelled rows that holds
-``SAMPLE`` documents in expectation whatever the input size (rows are drawn by a hash of their id); a fifth of the sample
-is left out of the fit and sets the temperature that turns scores into probabilities.
+``SAMPLE`` documents in expectation whatever the input size (rows are drawn by a hash of their id). Of a language that would get
+fewer than ``LEAST`` of them, ``LEAST`` are drawn in expectation, or all if it has no more, so the sample holds at most
+``SAMPLE`` + ``LEAST`` for each language in expectation. Every fifth row of a language is left out of the fit and sets the
+temperature that turns scores into probabilities.
 
 Defined results: a text that is null or has no letter is ``und`` with score 0; without any labelled text every text is; rows with
 a null language teach nothing; ties go to the first language in order; repeated rows count as rows; further columns are
@@ -21,7 +23,7 @@ from pyspark.sql import DataFrame, functions as F
 from mendcast.llm.common import crc_of_id, map_batches
 
 BUCKETS = 1 << 16
-SAMPLE = 8000
+SAMPLE, LEAST = 8000, 500
 EPOCHS = 3
 ALPHA, BETA, L1, L2 = 1.0, 1.0, 0.02, 0.001
 UNDETERMINED = "und"
@@ -152,6 +154,15 @@ def best_temperature(scores: np.ndarray, ys: np.ndarray) -> float:
     return float(np.exp((low + high) / 2))
 
 
+def drawn_sample(rows: DataFrame, n: int, sample: int, least: int = LEAST) -> DataFrame:
+    """Rows of the sample out of ``n``: the same share of every language, raised to ``least`` rows in expectation."""
+    if n <= sample:
+        return rows
+    share = {r["_lang"]: min(1.0, max(sample / n, least / r["count"])) for r in rows.groupBy("_lang").count().collect()}
+    limits = F.create_map(*[F.lit(x) for lang, part in share.items() for x in (lang, int(part * (1 << 30)))])
+    return rows.where(F.pmod(F.xxhash64("_id"), F.lit(1 << 30)) < limits[F.col("_lang")])
+
+
 def fit(rows: DataFrame, sample: int = SAMPLE) -> LanguageModel | None:
     """Fits on ``rows`` (``_id``, ``_text``, ``_lang``); the sample is trained on in one task of bounded size."""
     import pyarrow as pa
@@ -160,8 +171,7 @@ def fit(rows: DataFrame, sample: int = SAMPLE) -> LanguageModel | None:
     if not n:
         return None
     idf = np.log((1.0 + n) / (1.0 + frequencies)) + 1.0
-    share = min(1.0, sample / n)
-    drawn = rows.where(F.pmod(F.xxhash64("_id"), F.lit(1 << 30)) < int(share * (1 << 30))) if share < 1 else rows
+    drawn = drawn_sample(rows, n, sample)
 
     def train(batches):
         grams, xs, ys, keys = Grams(), [], [], []
@@ -175,8 +185,10 @@ def fit(rows: DataFrame, sample: int = SAMPLE) -> LanguageModel | None:
         order = sorted(range(len(ys)), key=lambda i: (np.uint32(hash_text(keys[i])), keys[i], ys[i]))
         languages = sorted(set(ys))
         number = {c: i for i, c in enumerate(languages)}
-        held = [i for k, i in enumerate(order) if k % 5 == 4]
-        used = [i for k, i in enumerate(order) if k % 5 != 4]
+        held, used, met = [], [], dict.fromkeys(languages, 0)
+        for i in order:
+            met[ys[i]] += 1
+            (used if met[ys[i]] % 5 else held).append(i)
         w = ftrl([xs[i] for i in used], [number[ys[i]] for i in used], max(len(languages), 1))
         scores = np.array([w[:, xs[i][0]] @ xs[i][1] for i in held]).reshape(len(held), -1)
         t = best_temperature(scores, np.array([number[ys[i]] for i in held], int))

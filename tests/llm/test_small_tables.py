@@ -446,6 +446,20 @@ def test_language_id(spark, none):
     assert {r.lang_pred for r in identify_language(spark.createDataFrame(data[:5], "doc_id bigint, text string, lang string").selectExpr("doc_id", "text", "cast(null AS string) AS lang")).collect()} == {"und"}
 
 
+def test_rare_language_is_learned(spark):
+    """20 rows among 4,020 are learned from, though a sample of 40 rows would hold none of them in most draws."""
+    from mendcast.llm.language_id import drawn_sample, identify_language
+
+    rng = random.Random(12)
+    data = [(i, prose(rng, 12), "aa") for i in range(4000)] + [(9000 + i, prose(rng, 12, "uvwxyz"), "rare") for i in range(20)]
+    d = spark.createDataFrame(data, "doc_id bigint, text string, lang string").repartition(3)
+    rows = d.selectExpr("string(doc_id) AS _id", "text AS _text", "lang AS _lang")
+    n = {r["_lang"]: r["count"] for r in drawn_sample(rows, 4020, 40, 30).groupBy("_lang").count().collect()}
+    assert n["rare"] == 20 and n["aa"] < 80
+    got = identify_language(d, sample=40).collect()
+    assert all((r.lang_pred == "rare") == (r.doc_id >= 9000) for r in got)
+
+
 def all_maximal(scores):
     """Maximal segments by their definition, by trying all."""
     n, total = len(scores), np.concatenate(([0], np.cumsum(scores)))
