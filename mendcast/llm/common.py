@@ -23,6 +23,24 @@ def one_spaced(text: Column) -> Column:
     return F.regexp_replace(text, SPACE, " ")
 
 
+#: Bytes of UTF-8 text to lower-cased terms: ASCII letters, digits and everything beyond ASCII stay, the rest separates.
+TERM_BYTES = bytes(
+    b + 32 if 65 <= b <= 90 else b if 48 <= b <= 57 or 97 <= b <= 122 or b >= 128 else 32 for b in range(256)
+)
+
+
+def ascii_terms(text: bytes) -> list[bytes]:
+    """Maximal runs of digits, letters and characters beyond ASCII; only A-Z are lower-cased."""
+    return text.translate(TERM_BYTES).split()
+
+
+def utf8(column):
+    """The bytes of an Arrow column of strings."""
+    import pyarrow as pa
+
+    return column.cast(pa.large_binary() if pa.types.is_large_string(column.type) else pa.binary())
+
+
 def crc_of_id(name: str = "doc_id") -> Column:
     """Hash of a row's id that decides whether the row may be learned from."""
     return F.crc32(F.col(name).cast("string"))
