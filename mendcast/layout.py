@@ -51,9 +51,7 @@ def materialise(df: DataFrame) -> DataFrame:
     Unlike a cached or locally checkpointed frame the table survives the loss of executors, and
     later reads keep column pruning and filter pushdown.
     """
-    path = f"{scratch_dir(df.sparkSession)}/mendcast/{uuid.uuid4().hex}"
-    for tables in _RUNS:
-        tables.append(path)
+    path = new_table_path(df.sparkSession)
     df.write.parquet(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
@@ -61,6 +59,19 @@ def materialise(df: DataFrame) -> DataFrame:
 _RUNS: list[list[str]] = []
 
 
+def new_table_path(spark: SparkSession) -> str:
+    """A path of its own in the shared folder, deleted with the runs that are open now."""
+    path = f"{scratch_dir(spark)}/mendcast/{uuid.uuid4().hex}"
+    for tables in _RUNS:
+        tables.append(path)
+    return path
+
+
+def delete_stored(spark: SparkSession, path: str) -> None:
+    where = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    where.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(where, True)
+
+
 @contextmanager
 def scratch_run(spark: SparkSession):
     """Deletes the tables stored inside the block when it ends. Results must be written before that."""
@@ -69,11 +80,9 @@ def scratch_run(spark: SparkSession):
     try:
         yield tables
     finally:
-        _RUNS.remove(tables)
-        jvm = spark.sparkContext._jvm
+        _RUNS[:] = [open_run for open_run in _RUNS if open_run is not tables]
         for path in tables:
-            where = jvm.org.apache.hadoop.fs.Path(path)
-            where.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(where, True)
+            delete_stored(spark, path)
 
 
 def epoch_micros(df: DataFrame, column: str) -> Column:

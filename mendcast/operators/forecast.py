@@ -7,6 +7,7 @@ sums). States come from partial aggregates; steps and models are expanded from t
 from __future__ import annotations
 
 import math
+import time
 from collections.abc import Callable, Sequence
 from dataclasses import dataclass
 
@@ -14,7 +15,7 @@ import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame, Window as W, functions as F
 
-from mendcast.layout import BLOCK, add_block, attach_by_block, config_keys, materialise, with_halo, with_observed_rank
+from mendcast.layout import BLOCK, add_block, attach_by_block, config_keys, with_halo, with_observed_rank
 
 SOURCE_COLUMNS = ("source_type", "series_id", "technique", "rate_percent", "iteration", "model")
 TAIL = 20
@@ -500,11 +501,11 @@ def to_prediction_keys(preds: DataFrame) -> DataFrame:
     return out
 
 
-# ---- one learner over all series -------------------------------------------------------------------
+# ---- learners on lag features ----------------------------------------------------------------------
 
 def lag_features(points: DataFrame, lag: int = 10, block: int = BLOCK) -> DataFrame:
-    """``y, lag_1..lag_L`` for rows with a complete history; frames never leave their block."""
-    keys, attrs = config_keys(points), _attributes(points)
+    """``y, lag_1..lag_L`` for rows with a complete history; frames never leave their block. ``part`` of a row is kept."""
+    keys, attrs = config_keys(points), [*_attributes(points), *(["part"] if "part" in points.columns else [])]
     w = W.partitionBy(*keys, "block").orderBy("pos")
     rows = with_halo(points.select(*keys, *attrs, "pos", "value"), lag, 0, block)
     for i in range(1, lag + 1):
@@ -516,73 +517,199 @@ def lag_features(points: DataFrame, lag: int = 10, block: int = BLOCK) -> DataFr
     )
 
 
-def _with_identity(df: DataFrame) -> DataFrame:
-    return df.withColumn("series_code", F.pmod(F.xxhash64("series_id"), F.lit(1 << 20)).cast("double"))
+def _lag_names(features: DataFrame) -> list[str]:
+    return sorted((c for c in features.columns if c.startswith("lag_")), key=lambda c: int(c[4:]))
+
+
+#: Learners over all series and whether a seed changes nothing about them.
+LEARNERS = {"boosting": False, "linear": True}
 
 
 def train_global_lag_model(
     features: DataFrame, trees: int = 100, depth: int = 6, lr: float = 0.1, seed: int = 42, learner: str = "boosting",
-    identity: bool = False,
+    subsample: float = 1.0, tolerance: float = 0.01,
 ):
-    """One model over all series on lag features: boosted trees, or a linear model as the fast variant."""
+    """One model over all series on lag features: boosted trees, or a linear model as the fast variant.
+
+    With a column ``part`` only rows that are not ``val`` are fitted, and boosting stops when the loss of the ``val`` rows no longer
+    falls by more than ``tolerance`` of itself.
+    """
     from pyspark.ml import Pipeline
     from pyspark.ml.feature import VectorAssembler
     from pyspark.ml.regression import GBTRegressor, LinearRegression
 
-    lags = sorted((c for c in features.columns if c.startswith("lag_")), key=lambda c: int(c[4:]))
-    if identity:
-        features = _with_identity(features)
-    inputs = [*lags, *(["series_code"] if identity else [])]
-    assemble = VectorAssembler(inputCols=inputs, outputCol="features")
+    if learner not in LEARNERS:
+        raise KeyError(f"unknown learner {learner!r}")
+    assemble = VectorAssembler(inputCols=_lag_names(features), outputCol="features")
+    is_val = F.coalesce(F.col("part") == "val", F.lit(False)) if "part" in features.columns else F.lit(False)
     if learner == "linear":
         est = LinearRegression(featuresCol="features", labelCol="y", predictionCol="prediction", solver="normal")
-    else:
-        est = GBTRegressor(featuresCol="features", labelCol="y", predictionCol="prediction", maxIter=trees,
-                           maxDepth=depth, stepSize=lr, seed=seed)
+        return Pipeline(stages=[assemble, est]).fit(features.where(~is_val))
+    features = features.withColumn("is_val", is_val)
+    stop = {} if features.where("is_val").isEmpty() else {"validationIndicatorCol": "is_val", "validationTol": tolerance}
+    est = GBTRegressor(featuresCol="features", labelCol="y", predictionCol="prediction", maxIter=trees, maxDepth=depth, stepSize=lr,
+                       seed=seed, subsamplingRate=subsample, **stop)
     return Pipeline(stages=[assemble, est]).fit(features)
 
 
-def per_series_boosting(features: DataFrame, **kw):
-    """Boosting that can tell series apart: the same learner with a hashed series code as extra feature."""
-    return train_global_lag_model(features, identity=True, **kw)
+def training_metrics(model, features: DataFrame) -> dict:
+    """Trees kept (none for the linear learner) and mean squared errors of the fitted and of the validation rows."""
+    is_val = F.coalesce(F.col("part") == "val", F.lit(False)) if "part" in features.columns else F.lit(False)
+    error = F.pow(F.col("prediction") - F.col("y"), 2)
+    scored = model.transform(features.withColumn("_val", is_val)).agg(
+        F.avg(F.when(~F.col("_val"), error)).alias("final_train_loss"), F.avg(F.when(F.col("_val"), error)).alias("best_val_loss"))
+    last = model.stages[-1]
+    return {"epochs_trained": getattr(last, "getNumTrees", None), **scored.first().asDict()}
 
 
-REFRESH = 8  # steps between two materialisations of the growing plan
+def fit_replicates(
+    features: DataFrame, learners: Sequence[str], n: int = 1, base_seed: int = 42, **kw
+) -> tuple[dict[tuple[str, int], object], DataFrame]:
+    """Models by (learner, iteration) and the table of their training: seeds base+1..base+n, a deterministic learner once."""
+    models, rows = {}, []
+    for name, iteration, seed in _replicates(learners, n, base_seed):
+        start = time.time()
+        models[name, iteration] = model = train_global_lag_model(features, seed=seed, learner=name, **kw)
+        rows.append({"model": name, "iteration": iteration, "seed": seed, "time_seconds": time.time() - start, **training_metrics(model, features)})
+    return models, features.sparkSession.createDataFrame(
+        [tuple(r[c] for c in METRIC_COLUMNS) for r in rows],
+        "model string, iteration int, seed long, epochs_trained int, best_val_loss double, final_train_loss double, time_seconds double")
 
 
-def forecast_recursive(model, points: DataFrame, h: int | DataFrame, lag: int = 10, block: int = BLOCK) -> DataFrame:
-    """Each predicted step enters the history of the next; one row per source and step.
+METRIC_COLUMNS = ("model", "iteration", "seed", "epochs_trained", "best_val_loss", "final_train_loss", "time_seconds")
 
-    A history shorter than ``lag`` repeats its last value (0 without any).
-    """
-    keys, attrs = config_keys(points), _attributes(points)
+
+def _replicates(learners: Sequence[str], n: int, base_seed: int) -> list[tuple[str, int, int]]:
+    """The plan of ``grid.seed_replicates``: one row per model that is trained."""
+    from mendcast.operators.grid import seed_replicates
+
+    plan = seed_replicates([(name, LEARNERS[name]) for name in learners], n, base_seed).collect()  # learners x replicates
+    return sorted((r["model"], r["iteration"], r["seed"]) for r in plan)
+
+
+def _histories(points: DataFrame, h: int | DataFrame, lag: int, block: int) -> DataFrame:
+    """One row per source: ``hist`` (its last ``lag`` values, oldest first), ``h``, and ``_flat`` for sources that are too short."""
     state = observed_tail(points, lag, block).select(
-        *keys, *attrs, "last_pos", F.col("tail").alias("hist"), (F.size("tail") >= lag).alias("_full"),
-        F.coalesce(_last(), F.lit(0.0)).alias("_flat"),
-    )
+        *config_keys(points), *_attributes(points), "last_pos", F.col("tail").alias("hist"), F.coalesce(_last(), F.lit(0.0)).alias("_flat"))
     if isinstance(h, DataFrame):
-        state = state.join(h.select("series_id", "h"), "series_id")
-        last = h.agg(F.max("h")).first()[0]
+        return state.join(h.select("series_id", F.col("h").cast("int").alias("h")), "series_id")
+    return state.withColumn("h", F.lit(int(h)))
+
+
+def linear_step_weights(coefficients, intercept: float, h: int) -> tuple[np.ndarray, np.ndarray]:
+    """``(weights, constants)`` of steps 1..h on the last values, oldest first: first rows of the powers of the companion matrix.
+
+    A history (v, 1) moves by ``[[coefficients, intercept], [shift]]``; powers of two are squared, so h steps take log2(h) products of
+    row blocks.
+    """
+    lag = len(coefficients)
+    step = np.zeros((lag + 1, lag + 1))  # acts on (oldest .. newest, 1)
+    step[np.arange(lag - 1), np.arange(1, lag)] = 1.0
+    step[lag - 1, :lag], step[lag - 1, lag] = np.asarray(coefficients, float)[::-1], intercept
+    step[lag, lag] = 1.0
+    rows, power = step[lag - 1: lag], step
+    while len(rows) < h:
+        rows = np.concatenate((rows, rows @ power))
+        power = power @ power
+    return rows[:h, :lag], rows[:h, lag]
+
+
+def _linear_paths(states: DataFrame, model) -> DataFrame:
+    """Forecasts of a linear model: one product of histories and step weights per batch."""
+    import pyarrow as pa
+
+    coefficients, intercept = model.stages[-1].coefficients.toArray(), float(model.stages[-1].intercept)
+
+    def run(batches):
+        weights = constants = None
+        for batch in batches:
+            wanted = batch.column("h").to_numpy()
+            most = int(wanted.max()) if len(wanted) else 0
+            if weights is None or len(weights) < most:
+                weights, constants = linear_step_weights(coefficients, intercept, max(most, 1))
+            paths = [
+                (weights[:n] @ np.array(hist, float) + constants[:n]).tolist() if len(hist) == len(coefficients) else None
+                for hist, n in zip(batch.column("hist").to_pylist(), wanted)
+            ]
+            yield pa.RecordBatch.from_arrays([batch.column("_id"), pa.array(paths, pa.list_(pa.float64()))], ["_id", "path"])
+
+    return states.mapInArrow(run, f"_id {dict(states.dtypes)['_id']}, path array<double>")
+
+
+def _tree_model(model, lag: int) -> dict:
+    """The trees of a fitted ensemble as one row like those of ``per_series_boosting``: its nodes are read, (trees x 2^depth) of them."""
+    last = model.stages[-1]
+    row = {"lag": lag, "base": 0.0, "lr": 1.0, "depth": 0, "cuts": [], **{c: [] for c in ("tree", "node", "feature", "cut", "value")}}
+
+    def walk(tree, node, at, weight, depth):
+        inner = node.subtreeDepth() > 0
+        row["depth"] = max(row["depth"], depth)
+        for name, v in (("tree", tree), ("node", at), ("feature", node.split().featureIndex() if inner else -1), ("cut", len(row["cuts"]) if inner else 0),
+                        ("value", weight * node.prediction())):
+            row[name].append(v)
+        if inner:
+            row["cuts"].append(node.split().threshold())
+            walk(tree, node.leftChild(), 2 * at + 1, weight, depth + 1)
+            walk(tree, node.rightChild(), 2 * at + 2, weight, depth + 1)
+
+    for i, (tree, weight) in enumerate(zip(last._java_obj.trees(), last.treeWeights)):
+        walk(i, tree.rootNode(), 0, weight, 0)
+    return row
+
+
+def _tree_paths(states: DataFrame, row: dict) -> DataFrame:
+    """Forecasts of one ensemble for all sources; a source that has all its steps leaves the batch."""
+    import pyarrow as pa
+
+    from mendcast.operators.boosting import Forest
+
+    def run(batches):
+        forest = Forest(row)
+        for batch in batches:
+            hist, wanted = batch.column("hist").to_pylist(), batch.column("h").to_numpy()
+            full = [i for i, v in enumerate(hist) if len(v) == row["lag"]]
+            full.sort(key=lambda i: -wanted[i])
+            lags = np.array([hist[i][::-1] for i in full], float).reshape(len(full), row["lag"])
+            paths = [None] * len(hist)
+            for i in full:
+                paths[i] = []
+            live, step = len(full), 0
+            while live:
+                values = forest.predict_all(lags[:live])
+                for i, v in zip(full[:live], values.tolist()):
+                    paths[i].append(v)
+                lags[:live] = np.concatenate((values[:, None], lags[:live, :-1]), axis=1)
+                step += 1
+                while live and wanted[full[live - 1]] <= step:
+                    live -= 1
+            yield pa.RecordBatch.from_arrays([batch.column("_id"), pa.array(paths, pa.list_(pa.float64()))], ["_id", "path"])
+
+    return states.mapInArrow(run, f"_id {dict(states.dtypes)['_id']}, path array<double>")
+
+
+def forecast_recursive(
+    model, points: DataFrame, h: int | DataFrame, lag: int = 10, block: int = BLOCK, name: str = "lag_model", iteration: int = 1,
+) -> DataFrame:
+    """Each predicted step enters the history of the next; one row per source and step, in one pass over the sources.
+
+    ``model`` is a fitted pipeline of ``train_global_lag_model`` or the table of ``per_series_boosting``. A history shorter than ``lag``
+    repeats its last value (0 without any).
+    """
+    from mendcast.operators.boosting import forest_paths
+
+    keys, attrs = config_keys(points), _attributes(points)
+    state = _histories(points, h, lag, block)
+    rows = state.select(F.struct(*keys).alias("_id"), "hist", "h")
+    if isinstance(model, DataFrame):
+        known = model.select(F.struct(*keys).alias("_id"), *[c for c in model.columns if c not in keys])
+        paths = forest_paths(rows.join(known, "_id"))
+    elif hasattr(model.stages[-1], "coefficients"):
+        paths = _linear_paths(rows, model)
     else:
-        state, last = state.withColumn("h", F.lit(int(h))), int(h)
-    state = _with_identity(state).withColumn("path", F.array().cast("array<double>"))
-    state = materialise(state)
-    for step in range(1, last + 1):
-        known = F.when(F.col("_full"), F.col("hist")).otherwise(F.array_repeat("_flat", lag))
-        cols = [F.get(known, F.lit(lag - i)).alias(f"lag_{i}") for i in range(1, lag + 1)]
-        value = F.when(F.col("_full"), F.col("prediction")).otherwise(F.col("_flat"))
-        keep = [c for c in state.columns if c not in ("hist", "path")]
-        state = model.transform(state.select("*", *cols)).withColumn("_v", value).select(
-            *keep,
-            F.when(F.col("_full"), F.concat(F.slice("hist", 2, lag - 1), F.array("_v"))).otherwise(F.col("hist"))
-            .alias("hist"),
-            F.concat("path", F.array("_v")).alias("path"),
-        )
-        if step % REFRESH == 0 and step < last:
-            state = materialise(state)
-    return state.select(*keys, *attrs, "last_pos", "h", F.posexplode("path").alias("_i", "predicted")).where(
-        F.col("_i") < F.col("h")
-    ).select(
-        *keys, *attrs, F.lit("lag_model").alias("prediction_model"), F.lit(1).alias("prediction_iteration"),
+        paths = _tree_paths(rows, _tree_model(model, lag))
+    flat = F.array_repeat("_flat", F.col("h"))
+    out = state.withColumn("_id", F.struct(*keys)).join(paths, "_id", "left").withColumn("path", F.coalesce("path", flat))
+    return out.select(*keys, *attrs, "last_pos", F.posexplode("path").alias("_i", "predicted")).select(
+        *keys, *attrs, F.lit(name).alias("prediction_model"), F.lit(iteration).alias("prediction_iteration"),
         (F.col("_i") + 1).cast("long").alias("step"), (F.col("last_pos") + F.col("_i") + 1).alias("pos"), "predicted",
     )
