@@ -391,15 +391,48 @@ def forecast_ari1(points, h, block=BLOCK):
     return _predict(points, {"ari1": FORECASTERS["ari1"]}, h, block=block)
 
 
-def forecast_trend(points, h, changepoints=0, block=BLOCK):
-    """Line through all points; with ``changepoints`` its slope may change at even places."""
+def forecast_trend(points, h, changepoints=0, block=BLOCK, penalty=0.0):
+    """Line through all points; with ``changepoints`` its slope may change at even places.
+
+    ``penalty`` is the price of a change of slope: 0 fits all of them, a larger one keeps only those that pay (an L1 penalty
+    on the changes, in units of the mean squared error).
+    """
     if not changepoints:
         return _predict(points, {"trend": FORECASTERS["trend"]}, h, block=block)
-    return _piecewise_trend(points, h, changepoints, block)
+    return _piecewise_trend(points, h, changepoints, block, penalty)
+
 
+SWEEPS, SETTLED = 10_000, 1e-13
 
-def _piecewise_trend(points: DataFrame, h, changepoints: int, block: int) -> DataFrame:
-    """Normal equations are summed per source in one aggregate; a small system is solved per source row."""
+
+def sparse_coefficients(xx: np.ndarray, xy: np.ndarray, free: int, penalty: float) -> np.ndarray:
+    """Least squares with ``penalty`` times the sizes of all coefficients but the first ``free``, from moment matrices of many sources.
+
+    Coordinate descent: the free coefficients are solved together, every other one in turn by a soft threshold, for all sources at once.
+    """
+    n, k = xy.shape
+    beta = np.zeros((n, k))
+    live = np.arange(n)
+    for _ in range(SWEEPS):
+        a, b, old = xx[live], xy[live], beta[live].copy()
+        new = old.copy()
+        rest = b[:, :free] - np.einsum("nij,nj->ni", a[:, :free, free:], new[:, free:])
+        new[:, :free] = np.linalg.solve(a[:, :free, :free], rest[..., None])[..., 0]
+        for j in range(free, k):
+            pull = b[:, j] - np.einsum("nj,nj->n", a[:, j], new) + a[:, j, j] * new[:, j]
+            new[:, j] = np.sign(pull) * np.maximum(np.abs(pull) - penalty, 0.0) / a[:, j, j]
+        beta[live] = new
+        live = live[np.abs(new - old).max(axis=1) > SETTLED * (1 + np.abs(new).max(axis=1))]
+        if not len(live):
+            break
+    return beta
+
+
+RIDGE = 1e-9
+
+
+def _piecewise_trend(points: DataFrame, h, changepoints: int, block: int, penalty: float) -> DataFrame:
+    """Moments are means per source from one aggregate; small systems are solved for all sources of a batch together."""
     keys, attrs = config_keys(points), _attributes(points)
     facts = observed_tail(points, TAIL, block)
     seen = points.select(*keys, "pos", "value").where(F.col("value").isNotNull())
@@ -411,15 +444,16 @@ def _piecewise_trend(points: DataFrame, h, changepoints: int, block: int) -> Dat
     basis = [F.lit(1.0), F.col("_t"), *[F.greatest(F.col("_t") - p, F.lit(0.0)) for p in places]]
     k = len(basis)
     moments = rows.groupBy(*keys).agg(
-        F.array(*[F.sum(basis[i] * basis[j]) for i in range(k) for j in range(k)]).alias("_xx"),
-        F.array(*[F.sum(b * F.col("value")) for b in basis]).alias("_xy"),
+        F.array(*[F.avg(basis[i] * basis[j]) for i in range(k) for j in range(k)]).alias("_xx"),
+        F.array(*[F.avg(b * F.col("value")) for b in basis]).alias("_xy"),
     )
 
     @F.pandas_udf("array<double>")
     def solve(xx: pd.Series, xy: pd.Series) -> pd.Series:
-        a = np.stack(xx.to_numpy()).reshape(-1, k, k) + 1e-9 * np.eye(k)
-        b = np.stack(xy.to_numpy())[..., None]
-        return pd.Series(list(np.linalg.solve(a, b)[..., 0]))
+        a = np.stack(xx.to_numpy()).reshape(-1, k, k) + RIDGE * np.eye(k)
+        b = np.stack(xy.to_numpy())
+        out = sparse_coefficients(a, b, 2, penalty) if penalty > 0 else np.linalg.solve(a, b[..., None])[..., 0]
+        return pd.Series(list(out))
 
     states = _with_steps(
         facts.join(moments.select(*keys, solve("_xx", "_xy").alias("_coef")), keys, "left"), h

@@ -185,7 +185,9 @@ def distinct_filter_values(spark, sf):
 
 # quantities per brand differ just enough for all codes to occur; R2 is replaced by a brand-shifted value
 SHIFTED = f"{COST}, sh AS (SELECT model, time_seconds + CAST(substr(model, 7, 1) AS INTEGER) * CAST(0.4 AS DOUBLE) AS v FROM cost)"
-TTEST = f"""{SHIFTED}, g AS (SELECT model, count(v) AS n, avg(v) AS mean, var_samp(v) AS var FROM sh GROUP BY ALL),
+def _ttest_sql(rows: str) -> str:
+    """Pooled t-tests of ``sh`` (model, v), p by the finite cosine series."""
+    return f"""{rows}, g AS (SELECT model, count(v) AS n, avg(v) AS mean, var_samp(v) AS var FROM sh GROUP BY ALL),
 pr AS (SELECT a.model AS model_a, b.model AS model_b, a.mean AS mean_a, b.mean AS mean_b, a.n + b.n - 2 AS df,
   (a.mean - b.mean) / sqrt(((a.n - 1) * a.var + (b.n - 1) * b.var) / (a.n + b.n - 2) * (CAST(1 AS DOUBLE) / a.n + CAST(1 AS DOUBLE) / b.n)) AS t
   FROM g a, g b WHERE a.model <> b.model),
@@ -197,6 +199,9 @@ pv AS (SELECT *, greatest(0, 1 - CASE WHEN df % 2 = 0 THEN sin(th) * list_sum(li
 cd AS (SELECT *, CAST(CASE WHEN p < 0.01 THEN 2 WHEN p < 0.05 THEN 1 ELSE 0 END * CASE WHEN mean_a < mean_b THEN 1 ELSE -1 END AS INTEGER) AS code FROM pv)"""
 
 
+TTEST = _ttest_sql(SHIFTED)
+
+
 def _tests(spark, sf):
     c = cost_rows(spark, sf).select("model", (F.col("time_seconds") + F.substring("model", 7, 1).cast("int") * 0.4).alias("v"))
     return cp.pairwise_ttest(c, "v")
@@ -217,6 +222,17 @@ def pairwise_ttest(spark, sf):
     return rounded(_tests(spark, sf).select("model_a", "model_b", "t", "p"))
 
 
+# three groups with some ten thousand values each
+WIDE = "sh AS (SELECT l_returnflag AS model, l_quantity + CASE l_returnflag WHEN 'A' THEN CAST(0.3 AS DOUBLE) ELSE 0 END AS v FROM lineitem)"
+
+
+@query("pairwise_ttest_many_values", rsql(f"WITH {_ttest_sql(WIDE)} SELECT model_a, model_b, t, p FROM pv", "t p"))
+def pairwise_ttest_many_values(spark, sf):
+    v = F.col("l_quantity") + F.when(F.col("l_returnflag") == "A", 0.3).otherwise(0)
+    rows = table(spark, sf, "lineitem").select(F.col("l_returnflag").alias("model"), v.alias("v"))
+    return rounded(cp.pairwise_ttest(rows, "v").select("model_a", "model_b", "t", "p"))
+
+
 @query("significance_codes", f"WITH {TTEST} SELECT model_a, model_b, code FROM cd")
 def significance_codes(spark, sf):
     return _codes(spark, sf).select("model_a", "model_b", "code")

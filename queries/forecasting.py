@@ -2,10 +2,11 @@
 
 from pyspark.sql import functions as F
 
-from mendcast.operators import forecast as fc, repair as rp
+from mendcast.operators import clean as cl, forecast as fc, repair as rp
+from mendcast.operators.boosting import per_series_boosting as per_series
 from queries import query
 from queries.cleaning import EXTERNAL, _external
-from queries.fixtures import DEG, LI, ev_deg, li_day, rounded, rsql, stored
+from queries.fixtures import DEG, EV, LI, ev_deg, ev_user, li_day, rounded, rsql, stored
 from queries.repairing import KNOTS, _line
 from queries.scoring import train_12
 
@@ -115,9 +116,35 @@ def forecast_trend(spark, sf):
     return _show(fc.forecast_trend(li_day(spark, sf), 30), 6)
 
 
-@query("forecast_trend_changepoints")
+def gauss_sql(name: str, source: str, k: int) -> str:
+    """CTEs that solve the systems ``m`` (rows of k coefficients and a right side) of ``source`` (series_id, m) by elimination."""
+    row = "list_transform(m[i + 1], lambda v: v / m[i + 1][i + 1])"
+    return f"""{name}_g(series_id, i, m) AS (SELECT series_id, 0, m FROM {source}
+  UNION ALL SELECT series_id, i + 1, list_transform(range(1, {k + 1}), lambda r: CASE WHEN r = i + 1 THEN {row}
+    ELSE list_transform(range(1, {k + 2}), lambda c: m[r][c] - m[r][i + 1] * m[i + 1][c] / m[i + 1][i + 1]) END) FROM {name}_g WHERE i < {k}),
+{name} AS (SELECT series_id, list_transform(m, lambda r: r[{k + 1}]) AS b FROM {name}_g WHERE i = {k})"""
+
+
+KNOT = 5
+BASIS = ["1", "t", *[f"greatest(t - CAST({(i + 1) / (KNOT + 1)!r} AS DOUBLE), 0)" for i in range(KNOT)]]
+_MOMENTS = ", ".join("[" + ", ".join(
+    [f"avg({x} * {y})" + (f" + CAST({fc.RIDGE!r} AS DOUBLE)" if i == j else "") for j, y in enumerate(BASIS)] + [f"avg({x} * value)"]) + "]"
+    for i, x in enumerate(BASIS))
+
+
+@query("forecast_trend_changepoints", rsql(f"""WITH RECURSIVE {LI}, n AS (SELECT series_id, max(pos) AS last_pos FROM li GROUP BY ALL),
+x AS (SELECT li.*, CAST(pos AS DOUBLE) / last_pos AS t FROM li JOIN n USING (series_id)), mom AS (SELECT series_id, [{_MOMENTS}] AS m FROM x GROUP BY ALL),
+{gauss_sql('fit', 'mom', KNOT + 2)},
+s AS (SELECT series_id, CAST(i AS BIGINT) AS step, last_pos + i AS pos, CAST(last_pos + i AS DOUBLE) / last_pos AS t, b FROM n JOIN fit USING (series_id), range(1, 31) g(i))
+SELECT series_id, step, pos, {' + '.join(f'b[{i + 1}] * {x}' for i, x in enumerate(BASIS))} AS predicted FROM s""", "predicted", 4))
 def forecast_trend_changepoints(spark, sf):
-    return _show(fc.forecast_trend(li_day(spark, sf), 30, changepoints=5), 4)
+    return _show(fc.forecast_trend(li_day(spark, sf), 30, changepoints=KNOT), 4)
+
+
+@query("forecast_trend_sparse")
+def forecast_trend_sparse(spark, sf):
+    """Up to 25 changes of slope, kept where they pay."""
+    return _show(fc.forecast_trend(li_day(spark, sf), 30, changepoints=25, penalty=1.0), 4)
 
 
 @query("zscore", rsql(f"""WITH {DEG}, z AS (SELECT series_id, avg(value) AS mu, stddev_samp(value) AS s FROM deg GROUP BY ALL)
@@ -171,11 +198,34 @@ def forecast(spark, sf):
     return rounded(out.select("source_type", "series_id", "model", "prediction_model", "step", "pos", "predicted"), 8)
 
 
-@query("forecast_all_models")
+def _all_models_sql() -> str:
+    """Every closed form on original and repaired sources; a source is a series of its own."""
+    src = f"""{DEG}, {KNOTS}, s0 AS (SELECT *, count(*) OVER (PARTITION BY series_id) AS n FROM ev),
+src AS (SELECT 'original|' || series_id AS series_id, pos, value FROM s0 WHERE pos < CASE WHEN n > 12 THEN n - 12 ELSE n - greatest(1, n // 5) END
+  UNION ALL SELECT 'reconstructed|' || series_id, pos, coalesce(value, {_line('pos')}) FROM kn)""".replace("ev AS (", "RECURSIVE ev AS (", 1)
+    states = ", ".join([STATE, EW[len(BASE) + 2:], DE[len("RECURSIVE ") + len(BASE) + 2:], "hv AS (SELECT series_id, r, value AS v FROM o)", _holt_cte("hv"),
+                        ARI[len(EW) + 2:], "tl AS (SELECT series_id, regr_slope(value, pos) AS ts, regr_intercept(value, pos) AS tc FROM deg GROUP BY ALL)"])
+    forms = {
+        "last_value": "y", "drift10": "CASE WHEN k >= 2 THEN y + step * (y - y10) / (k - 1) ELSE y END", "last_diff": DIFF2,
+        "secant10": f"CASE WHEN m >= 5 THEN y + step * (y - y10) / CAST(k AS DOUBLE) ELSE {DIFF2} END", "exp_weighted_drift": _EWX,
+        "double_exp20": f"CASE WHEN m >= 5 THEN dl.level + step * dl.trend ELSE {DIFF2} END",
+        "holt": "CASE WHEN m >= 2 THEN hl.level + step * hl.trend ELSE y END",
+        "ari1": f"coalesce(CASE WHEN m >= 5 THEN y + step * mn + (y - y2 - mn) * phi * (1 - pow(phi, step)) / (1 - phi) END, {_EWX})",
+        "trend": "tc + ts * (last_pos + step)",
+    }
+    case = " ".join(f"WHEN '{name}' THEN {form}" for name, form in forms.items())
+    return f"""WITH {src}, {states.replace('FROM deg', 'FROM src')}
+SELECT split_part(series_id, '|', 1) AS source_type, split_part(series_id, '|', 2) AS series_id, pm AS prediction_model, step, last_pos + step AS pos,
+  CASE pm {case} END AS predicted
+FROM steps LEFT JOIN ew USING (series_id) LEFT JOIN dl USING (series_id) LEFT JOIN hl USING (series_id) LEFT JOIN ari USING (series_id) JOIN tl USING (series_id),
+  (VALUES {', '.join(f"('{name}')" for name in forms)}) v(pm)"""
+
+
+@query("forecast_all_models", rsql(_all_models_sql(), "predicted", 5))
 def forecast_all_models(spark, sf):
     """All closed-form forecasters over original and repaired sources."""
     out = fc.forecast(_sources(spark, sf), list(fc.FORECASTERS), H)
-    return rounded(out.groupBy("source_type", "prediction_model").agg(F.count("predicted").alias("n"), F.avg("predicted").alias("mean")), 4)
+    return rounded(out.select("source_type", "series_id", "prediction_model", "step", "pos", "predicted"), 5)
 
 
 @query("clean_train_allowlist", rsql(f"WITH {EXTERNAL} SELECT series_id, pos, value FROM medium", "value", 4).replace(
@@ -186,26 +236,90 @@ def clean_train_allowlist(spark, sf):
     return rounded(out.select("series_id", "pos", "value"), 4)
 
 
-# ---- one learner over all series -------------------------------------------------------------------
-# small ensembles here; the defaults of the library are larger
+# ---- learners --------------------------------------------------------------------------------------
 
-def _features(spark, sf):
-    return stored(spark, sf, "li_lags", lambda: fc.lag_features(li_day(spark, sf), 5))
+LAGS = 5
 
 
-@query("boosted_lag_model")
-def boosted_lag_model(spark, sf):
-    model = fc.train_global_lag_model(_features(spark, sf), trees=5, depth=3, seed=43)
-    return rounded(fc.forecast_recursive(model, li_day(spark, sf), 12, 5).select("series_id", "step", "predicted"), 2)
+def _ols_sql(lags: int, source: str, name: str = "ols") -> str:
+    """Least squares of a value on its lags over all series of ``source``: normal equations by elimination."""
+    xs = ["1", *[f"lag_{i}" for i in range(1, lags + 1)]]
+    moments = ", ".join("[" + ", ".join([f"sum(CAST({x} AS DOUBLE) * {y})" for y in xs] + [f"sum({x} * y)"]) + "]" for x in xs)
+    return f"""lg AS (SELECT series_id, pos, value AS y, {', '.join(f'lag(value, {i}) OVER w AS lag_{i}' for i in range(1, lags + 1))}
+  FROM {source} WINDOW w AS (PARTITION BY series_id ORDER BY pos)),
+nm AS (SELECT 'all' AS series_id, [{moments}] AS m FROM lg WHERE pos >= {lags} AND y + {' + '.join(xs)} IS NOT NULL), {gauss_sql(name, 'nm', lags + 1)}"""
+
 
+def _roll_sql(lags: int, source: str, h: str, name: str = "ols") -> str:
+    """The recursion of a linear model from the last values of each series; ``h``: steps, or a column of ``source``."""
+    value = "b[1] + " + " + ".join(f"b[{i + 1}] * hist[{lags + 1 - i}]" for i in range(1, lags + 1))
+    return f"""hs AS (SELECT series_id, list(value ORDER BY pos)[-{lags}:] AS hist, max(pos) AS last_pos FROM {source} GROUP BY series_id),
+roll(series_id, step, last_pos, hist, predicted) AS (SELECT series_id, CAST(0 AS BIGINT), last_pos, hist, CAST(NULL AS DOUBLE) FROM hs
+  UNION ALL SELECT roll.series_id, step + 1, last_pos, list_append(hist[2:], {value}), {value} FROM roll, {name} WHERE step < {h})"""
 
-@query("linear_lag_model")
+
+@query("linear_lag_model", rsql(f"""WITH RECURSIVE {LI}, {_ols_sql(LAGS, 'li')}, {_roll_sql(LAGS, 'li', '12')}
+SELECT series_id, step, last_pos + step AS pos, predicted FROM roll WHERE step > 0""", "predicted", 4))
 def linear_lag_model(spark, sf):
-    model = fc.train_global_lag_model(_features(spark, sf), learner="linear")
-    return rounded(fc.forecast_recursive(model, li_day(spark, sf), 12, 5).select("series_id", "step", "predicted"), 2)
+    features = stored(spark, sf, "li_lags", lambda: fc.lag_features(li_day(spark, sf), LAGS))
+    model = fc.train_global_lag_model(features, learner="linear")
+    return _show(fc.forecast_recursive(model, li_day(spark, sf), 12, LAGS), 4)
+
+
+def _counters(spark, sf):
+    """Per user a counter that wraps at five, shifted by the user: one model over all series can learn it exactly."""
+    return stored(spark, sf, "counters", lambda: ev_user(spark, sf).select(
+        "series_id", "pos", "ts", "x", ((F.col("pos") + F.col("series_id").cast("long")) % 5).cast("double").alias("value")))
+
+
+_COUNT = f"""{EV}, n AS (SELECT series_id, count(*) AS n FROM ev GROUP BY ALL)
+SELECT series_id, {{}}CAST(i AS BIGINT) AS step, CAST((n + i - 1 + CAST(series_id AS BIGINT)) % 5 AS DOUBLE) AS predicted FROM n, range(1, 13) g(i)"""
+
+
+@query("boosted_lag_model", rsql("WITH " + _COUNT.format(""), "predicted", 1))
+def boosted_lag_model(spark, sf):
+    """The library's boosting (100 trees of depth 6 on 10 lags) over all series, stopped early by the last fifth of each."""
+    features = stored(spark, sf, "counter_lags", lambda: fc.lag_features(cl.train_val_split(_counters(spark, sf)), 10))
+    model = fc.train_global_lag_model(features, tolerance=0.0)
+    return rounded(fc.forecast_recursive(model, _counters(spark, sf), 12).select("series_id", "step", "predicted"), 1)
+
+
+@query("replicate_forecasts", rsql("WITH " + _COUNT.format("m AS prediction_model, CAST(k AS INTEGER) AS prediction_iteration, ").replace(
+    "range(1, 13) g(i)", "range(1, 13) g(i), (VALUES ('boosting', 1), ('boosting', 2), ('boosting', 3)) v(m, k)"), "predicted", 1))
+def replicate_forecasts(spark, sf):
+    """Three replicates of a seeded learner."""
+    features = fc.lag_features(_counters(spark, sf), 5)
+    models, _ = fc.fit_replicates(features, ["boosting"], 3, trees=30, depth=5, lr=0.3)
+    out = None
+    for (name, i), model in models.items():
+        part = fc.forecast_recursive(model, _counters(spark, sf), 12, 5, name=name, iteration=i)
+        out = part if out is None else out.unionByName(part)
+    return rounded(out.select("series_id", "prediction_model", "prediction_iteration", "step", "predicted"), 1)
+
+
+PERIOD = 6
 
 
-@query("per_series_boosting")
+@query("per_series_boosting", rsql(f"""WITH {EV}, n AS (SELECT series_id, count(*) AS n FROM ev GROUP BY ALL)
+SELECT series_id, CAST(i AS BIGINT) AS step, value AS predicted FROM n JOIN ev USING (series_id), range(1, 13) g(i) WHERE pos = (n + i - 1) % {PERIOD}""", "predicted", 3))
 def per_series_boosting(spark, sf):
-    model = fc.per_series_boosting(_features(spark, sf), trees=5, depth=3, seed=43)
-    return rounded(fc.forecast_recursive(model, li_day(spark, sf), 12, 5).select("series_id", "step", "predicted"), 2)
+    """The first values of each user, repeated: only a model of its own continues every series."""
+    points = stored(spark, sf, "repeated", lambda: ev_user(spark, sf).select("series_id", "pos", "value").join(
+        ev_user(spark, sf).where(F.col("pos") < PERIOD).select("series_id", F.col("pos").alias("_p"), F.col("value").alias("_v")), "series_id"
+    ).where(F.col("pos") % PERIOD == F.col("_p")).select("series_id", "pos", F.col("_v").alias("value")))
+    model = per_series(points, lr=0.3)
+    return rounded(fc.forecast_recursive(model, points, 12).select("series_id", "step", "predicted"), 3)
+
+
+@query("per_series_boosting_days")
+def per_series_boosting_days(spark, sf):
+    """Daily revenue with the library's parameters, trees kept by the last fifth of each series."""
+    split = cl.train_val_split(li_day(spark, sf))
+    return _show(fc.forecast_recursive(per_series(split), li_day(spark, sf), 12), 2)
+
+
+@query("training_metrics")
+def training_metrics(spark, sf):
+    """Trees kept and losses of each series."""
+    split = cl.train_val_split(li_day(spark, sf))
+    return rounded(per_series(split).select("series_id", "epochs_trained", "best_val_loss", "final_train_loss"), 3)

@@ -17,14 +17,25 @@ def test_p_values(spark):
         assert row[0] == pytest.approx(want, rel=1e-4), (t, n)
 
 
-def test_both_p_formulas_meet(spark):
-    from mendcast.functions import ttest as tt
-
-    df = spark.createDataFrame([(t, 19_999 + o) for t in (0.3, 1.0, 1.96, 2.6, 4.0) for o in (0, 1)], "t double, n bigint")
-    exact, wide = two_sided_p(F.col("t"), F.col("n")), tt._normal_tail(
-        (8 * F.col("n") + 1) / (8 * F.col("n") + 3) * F.sqrt(F.col("n") * F.log1p(F.col("t") * F.col("t") / F.col("n"))))
-    for a, b in df.select(exact, wide).collect():
-        assert a == pytest.approx(b, abs=2e-9)
+def cosine_series(t, df):
+    """The finite series for whole degrees of freedom: df / 2 terms."""
+    theta = math.atan(abs(t) / math.sqrt(df))
+    s, c, odd = math.sin(theta), math.cos(theta), df % 2 == 1
+    if df == 1:
+        return 1 - 2 * theta / math.pi
+    total, term = 0.0, c if odd else 1.0
+    for k in range((df - 3 if odd else df - 2) // 2 + 1):
+        if k:
+            term *= (2 * k / (2 * k + 1) if odd else (2 * k - 1) / (2 * k)) * c * c
+        total += term
+    return 1 - (2 / math.pi * (theta + s * total) if odd else s * total)
+
+
+def test_p_equals_the_finite_series(spark):
+    cells = [(t, n) for t in (1e-7, 0.01, 0.3, 0.9, 1.0, 1.2, 1.7, 2.4, 3.0, 4.5, 9.0, 60.0) for n in (1, 2, 3, 4, 5, 7, 10, 31, 200, 1001, 20_000, 20_001, 50_000)]
+    df = spark.createDataFrame(cells, "t double, n bigint")
+    for (t, n), row in zip(cells, df.select(two_sided_p(F.col("t"), F.col("n"))).collect()):
+        assert row[0] == pytest.approx(cosine_series(t, n), abs=1e-12), (t, n)
 
 
 def test_significance(spark):

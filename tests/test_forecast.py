@@ -122,3 +122,26 @@ def test_lag_model(make):
     assert got["short"] == [8.0] * 10
     parts = cl.train_val_split(make({"a": [1.0] * 20, "b": [1.0] * 9}))
     assert parts.where("part = 'val'").count() == 4
+
+
+def test_sparse_changepoints_meet_the_optimality_conditions(make):
+    r = random.Random(2)
+    bent = [float(i) if i < 100 else 100.0 - 2 * (i - 100) + 0.2 * r.gauss(0, 1) for i in range(200)]
+    noise = [3.0 + 0.1 * i + r.gauss(0, 2) for i in range(200)]
+    n, k, penalty = 200, 9, 0.02
+    t = np.arange(n) / (n - 1)
+    basis = np.stack([np.ones(n), t, *[np.maximum(t - (i + 1) / (k + 1), 0) for i in range(k)]])
+    xx = np.stack([basis @ basis.T / n + fc.RIDGE * np.eye(k + 2)] * 2)
+    xy = np.stack([basis @ np.array(v) / n for v in (bent, noise)])
+    beta = fc.sparse_coefficients(xx, xy, 2, penalty)
+    slope = xy - np.einsum("nij,nj->ni", xx, beta)  # of the squared error
+    assert np.abs(slope[:, :2]).max() < 1e-9
+    on = beta[:, 2:] != 0
+    assert np.abs(slope[:, 2:][on] - penalty * np.sign(beta[:, 2:][on])).max() < 1e-8
+    assert (np.abs(slope[:, 2:][~on]) <= penalty + 1e-9).all()
+    assert on[0].sum() <= 4 and on[1].sum() <= 2
+    points = make({"bent": bent, "noise": noise})
+    got = paths(fc.forecast_trend(points, 3, changepoints=k, penalty=penalty))
+    future = (n - 1 + np.arange(1, 4)) / (n - 1)
+    wide = np.stack([np.ones(3), future, *[np.maximum(future - (i + 1) / (k + 1), 0) for i in range(k)]])
+    assert got["bent"] == pytest.approx((beta[0] @ wide).tolist()) and got["noise"] == pytest.approx((beta[1] @ wide).tolist())
