@@ -22,6 +22,7 @@ class Metric:
     value_is_percent: bool = False
     needs_train: bool = False
     compute: Callable | None = None
+    merged: object | None = None  # a MergedMetric
 
 
 def _error(t, p):

@@ -4,10 +4,11 @@ Contracts:
 
 * ``kind="frame"`` (default) - a DataFrame transform, or for metrics a function that builds an aggregate Column, which Spark
   merges from partial results. Runs like a built-in.
-* ``kind="block"`` - for repairs: a pandas function over a block of a series and ``halo`` rows on either side of it. Long series
-  are spread over their blocks.
-* ``kind="series"`` - a pandas function over one whole series. One task then holds one series by definition; this form is
-  there for methods that exist as such functions.
+* ``kind="block"`` - functions over blocks of a series, which spreads long series: a ``BlockMethod`` whose blocks receive the state of the
+  blocks before them, or for repairs also a pandas function over a block and ``halo`` rows on either side of it.
+* ``kind="merge"`` - for metrics: a ``MergedMetric`` of states that tasks update and Spark merges.
+* ``kind="series"`` - a pandas function over one whole series (for metrics: a configuration). One task then holds it by definition; this
+  form is there for methods that exist as such functions.
 """
 
 from __future__ import annotations
@@ -19,7 +20,8 @@ import pandas as pd
 from pyspark.sql import DataFrame, functions as F
 
 from mendcast.functions.metrics import PRED_METRICS, PRED_RESERVED, RECON_METRICS, RECON_RESERVED, Metric
-from mendcast.layout import BLOCK, config_keys, with_halo
+from mendcast.layout import BLOCK, attach_by_block, config_keys, with_halo
+from mendcast.plans.blockwise import BlockMethod, MergedMetric, merged_metrics, nullable, over_blocks, series_states
 
 
 @dataclass(frozen=True)
@@ -40,28 +42,36 @@ _BUILTIN_METRICS = (frozenset(RECON_METRICS), frozenset(PRED_METRICS))
 def _register(table: dict, name: str, plugin: Plugin, overwrite: bool) -> None:
     if not isinstance(name, str) or not name.strip():
         raise ValueError("name must be a non-empty string")
-    if not callable(plugin.fn):
-        raise TypeError("a callable is required")
-    kinds = ("series", "frame", "block") if table is _MODELS else ("series", "frame")
+    kinds = ("series", "frame", "block")
     if plugin.kind not in kinds:
         raise ValueError(f"kind must be one of {kinds}")
+    in_blocks = isinstance(plugin.fn, BlockMethod)
+    if in_blocks and plugin.kind != "block":
+        raise TypeError("a BlockMethod goes with kind='block'")
+    if not in_blocks and not callable(plugin.fn):
+        raise TypeError("a callable is required")
+    if not in_blocks and plugin.kind == "block" and table is not _MODELS:
+        raise ValueError("kind='block' needs a BlockMethod")
     if name in table and not overwrite:
         raise ValueError(f"{name!r} is already registered")
     table[name] = plugin
 
 
 def register_missingness_technique(name, fn, overwrite=False, kind="frame"):
-    """``(series, rate, seed) -> series`` or ``(points, cells) -> degraded with truth``."""
+    """``(series, rate, seed) -> series``, ``(points, cells) -> degraded with truth`` or a ``BlockMethod``."""
     _register(_TECHNIQUES, name, Plugin(fn, kind), overwrite)
 
 
 def register_reconstruction_model(name, fn, overwrite=False, kind="frame", halo=0):
-    """``(points) -> points``, or ``(series) -> series`` over blocks or whole series. Takes precedence over a built-in of that name."""
+    """``(points) -> points``, a ``BlockMethod``, or ``(series) -> series`` over blocks with a halo or whole series.
+
+    Takes precedence over a built-in of that name.
+    """
     _register(_MODELS, name, Plugin(fn, kind, halo), overwrite)
 
 
 def register_prediction_model(name, fn, gpu=False, deterministic=True, overwrite=False, kind="frame"):
-    """``(train, horizon) -> values`` or ``(points, horizons) -> predictions``."""
+    """``(train, horizon) -> values``, ``(points, horizons) -> predictions`` or a ``BlockMethod``."""
     _register(_FORECASTERS, name, Plugin(fn, kind, gpu=gpu, deterministic=deterministic), overwrite)
 
 
@@ -75,24 +85,30 @@ def _register_metric(table, builtin, reserved, metric: Metric, overwrite):
         raise ValueError(f"built-in metric {key!r} cannot be overridden")
     if key in table and not overwrite:
         raise ValueError(f"{key!r} is already registered")
-    if not callable(metric.compute or metric.expr):
-        raise TypeError("a callable is required")
+    if not isinstance(metric.merged, MergedMetric) and not callable(metric.compute or metric.expr):
+        raise TypeError("a callable or a MergedMetric is required")
     table[key] = metric
 
 
+def _forms(compute, kind: str) -> dict:
+    names = {"frame": "expr", "series": "compute", "merge": "merged"}
+    if kind not in names:
+        raise ValueError(f"kind must be one of {tuple(names)}")
+    return {names[kind]: compute}
+
+
 def register_reconstruction_metric(key, label, lower_is_better, compute, overwrite=False, kind="frame"):
-    """``(y_true, y_pred) -> float`` over arrays, or over Columns with ``kind="frame"``."""
-    expr, fn = (compute, None) if kind == "frame" else (None, compute)
-    metric = Metric(key.strip().lower(), label, lower_is_better, expr, compute=fn)
+    """``(y_true, y_pred) -> float`` over arrays, over Columns with ``kind="frame"``, or a ``MergedMetric`` with ``kind="merge"``."""
+    metric = Metric(key.strip().lower(), label, lower_is_better, **_forms(compute, kind))
     _register_metric(RECON_METRICS, _BUILTIN_METRICS[0], RECON_RESERVED, metric, overwrite)
 
 
 def register_prediction_metric(
     key, label, lower_is_better, compute, needs_train=False, value_is_percent=False, overwrite=False, kind="frame"
 ):
-    """``(y_true, y_pred[, train]) -> float`` over arrays, or over Columns with ``kind="frame"``."""
-    expr, fn = (compute, None) if kind == "frame" else (None, compute)
-    metric = Metric(key.strip().lower(), label, lower_is_better, expr, value_is_percent, needs_train, fn)
+    """``(y_true, y_pred[, train]) -> float`` over arrays, over Columns with ``kind="frame"``, or a ``MergedMetric`` with ``kind="merge"``."""
+    needs_train = needs_train or (isinstance(compute, MergedMetric) and compute.train is not None)
+    metric = Metric(key.strip().lower(), label, lower_is_better, value_is_percent=value_is_percent, needs_train=needs_train, **_forms(compute, kind))
     _register_metric(PRED_METRICS, _BUILTIN_METRICS[1], PRED_RESERVED, metric, overwrite)
 
 
@@ -123,17 +139,23 @@ def run_custom_technique(name: str, points: DataFrame, cells: DataFrame) -> Data
         return plugin.fn(points, cells)
     fn = plugin.fn
     keys = ["series_id", "technique", "rate_percent", "iteration"]
-    rows = points.join(cells, "series_id").withColumn("truth", F.col("value"))
+    ends = points.groupBy("series_id").agg(F.max("pos").alias("_last"))
+    rows = attach_by_block(points, cells.join(ends, "series_id"), ["series_id"]).withColumn("truth", F.col("value"))
     out = rows.drop("rate", "seed")
     kept = out.columns
+    columns = [*keys, *[c for c in points.columns if c not in ("series_id", "value")], "value", "truth"]
+    if plugin.kind == "block":
+        def change(pdf: pd.DataFrame, place):
+            return fn.apply(pdf["value"].to_numpy(float), float(pdf["rate"].iloc[0]), int(pdf["seed"].iloc[0]), place)
+
+        return over_blocks(rows, keys, fn, change).withColumn("value", F.nanvl("value", F.lit(None))).select(*columns)
 
     def mask(pdf: pd.DataFrame) -> pd.DataFrame:
         pdf = pdf.sort_values("pos").reset_index(drop=True)
         pdf["value"] = fn(pdf["value"].copy(), float(pdf["rate"].iloc[0]), int(pdf["seed"].iloc[0])).to_numpy()
         return pdf[kept]
 
-    columns = [*keys, *[c for c in points.columns if c not in ("series_id", "value")], "value", "truth"]
-    return rows.groupBy(*keys).applyInPandas(mask, out.schema).select(*columns)
+    return rows.groupBy(*keys).applyInPandas(mask, nullable(out)).select(*columns)
 
 
 def run_custom_model(name: str, degraded: DataFrame) -> DataFrame:
@@ -143,6 +165,13 @@ def run_custom_model(name: str, degraded: DataFrame) -> DataFrame:
         return plugin.fn(degraded).withColumn("model", F.lit(name)).select(*rest, "model", "value")
     fn = plugin.fn
     keys = config_keys(degraded)
+    if isinstance(fn, BlockMethod):
+        def change(pdf: pd.DataFrame, place):
+            filled = fn.apply(pdf["value"].to_numpy(float), place)
+            return pdf["value"].where(pdf["value"].notna(), filled)
+
+        done = over_blocks(degraded, keys, fn, change)
+        return done.withColumn("model", F.lit(name)).select(*rest, "model", "value")
 
     def repair(pdf: pd.DataFrame) -> pd.DataFrame:
         pdf = pdf.sort_values("pos").reset_index(drop=True)
@@ -170,7 +199,20 @@ def run_custom_forecaster(name: str, points: DataFrame, horizons: DataFrame, key
     if plugin.kind == "frame":
         return plugin.fn(points, horizons)
     fn = plugin.fn
-    rows = points.select(*keys, "pos", "value").join(horizons, "series_id")
+    if plugin.kind == "block":
+        states = series_states(points, keys, fn).join(horizons, "series_id")
+
+        def expand(frames):
+            for pdf in frames:
+                paths = [[float(v) for v in fn.apply(list(s), int(h))] for s, h in zip(pdf["state"], pdf["h"])]
+                yield pdf[keys].assign(path=paths)
+
+        kinds = dict(points.dtypes)
+        paths = states.mapInPandas(expand, ", ".join(f"`{k}` {kinds[k]}" for k in keys) + ", path array<double>")
+        return paths.select(*keys, F.posexplode("path").alias("_i", "predicted")).select(
+            *keys, (F.col("_i") + 1).cast("long").alias("step"), "predicted")
+    ends = points.groupBy(*keys).agg(F.max("pos").alias("_last")).join(horizons, "series_id")
+    rows = attach_by_block(points.select(*keys, "pos", "value"), ends, keys)
     schema = ", ".join(f"`{k}` {dict(points.dtypes)[k]}" for k in keys) + ", step bigint, predicted double"
 
     def predict(pdf: pd.DataFrame) -> pd.DataFrame:
@@ -198,7 +240,10 @@ def null_safe_join(left: DataFrame, right: DataFrame, keys: list[str], how: str
 def add_custom_metrics(
     out: DataFrame, pairs: DataFrame, by: list[str], metrics: list[Metric], train: DataFrame | None = None
 ) -> DataFrame:
-    """Columns of user metrics given as array functions, by one grouped pandas function for all of them."""
+    """Columns of user metrics: merged from states, or by one grouped pandas function for all array functions."""
+    merged = {m.key: m.merged for m in metrics if m.merged is not None}
+    if merged:
+        out = null_safe_join(out, merged_metrics(pairs, by, merged, train), by)
     own = [m for m in metrics if m.compute is not None]
     if not own:
         return out

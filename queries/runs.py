@@ -1,9 +1,12 @@
 """Whole runs and user-supplied methods."""
 
+import numpy as np
+import pandas as pd
 from pyspark.sql import functions as F
 
-from mendcast.operators import mask, repair as rp, score as sc
+from mendcast.operators import clean as cl, forecast as fc, mask, repair as rp, score as sc
 from mendcast.plans import pipeline as pl, registry as rg
+from mendcast.plans.blockwise import BlockMethod, MergedMetric
 from queries import query
 from queries.cleaning import _MANIFEST
 from queries.fixtures import EV, ev_deg, ev_hour, ev_user, grid_for, masked_sql, ord_day, rounded, rsql
@@ -81,7 +84,7 @@ def plugin_repair_frame(spark, sf):
 
 @query("plugin_repair_series", rsql(f"WITH {EV}, {masked_sql('ev', 'deg')} SELECT series_id, pos, coalesce(value, 42) AS value FROM deg", "value"))
 def plugin_repair_series(spark, sf):
-    rg.register_reconstruction_model("constant_42", lambda s: s.fillna(42.0), overwrite=True, kind="series")
+    rg.register_reconstruction_model("constant_42", lambda s: s.fillna(42.0), overwrite=True, kind="block")
     return rounded(rp.reconstruct(ev_deg(spark, sf), ["constant_42"]).select("series_id", "pos", "value"))
 
 
@@ -96,32 +99,105 @@ def plugin_repair_block(spark, sf):
     return rounded(rp.reconstruct(ev_deg(spark, sf), ["near_mean"]).select("series_id", "pos", "value"))
 
 
-def _head_mask(series, rate, seed):
-    series.iloc[: int(len(series) * rate)] = None
-    return series
+def _count(values):
+    return [len(values)]
+
+
+def _head_mask(values, rate, seed, place):
+    """The first ``rate`` of the series, whichever blocks that covers."""
+    values[: max(0, int(place.n * rate) - place.start)] = float("nan")
+    return values
+
+
+HEAD = BlockMethod(_count, lambda a, b: [a[0] + b[0]], _head_mask)
 
 
 @query("plugin_mask_series", f"""WITH {EV}, c AS (SELECT *, count(*) OVER (PARTITION BY series_id) AS n FROM ev)
 SELECT series_id, pos, CASE WHEN pos < floor(n * CAST(0.2 AS DOUBLE)) THEN NULL ELSE value END AS value FROM c""")
 def plugin_mask_series(spark, sf):
-    rg.register_missingness_technique("HEAD", _head_mask, overwrite=True, kind="series")
+    rg.register_missingness_technique("HEAD", HEAD, overwrite=True, kind="block")
     points = ev_user(spark, sf)
     return mask.degrade(points, grid_for(points, ("HEAD",))).select("series_id", "pos", "value")
 
 
+def _observed(values):
+    seen = values[~np.isnan(values)]
+    return [seen.sum(), len(seen), seen[-1] if len(seen) else float("nan")]
+
+
+def _join_observed(a, b):
+    return [a[0] + b[0], a[1] + b[1], b[2] if b[1] else a[2]]
+
+
+def _last_seen(values, place):
+    """Forward fill across blocks; a head without a value takes the mean of the series."""
+    filled = pd.Series(values).ffill().to_numpy()
+    known = place.before[2] if place.before and place.before[1] else place.total[0] / place.total[1]
+    return np.where(np.isnan(filled), known, filled)
+
+
+@query("plugin_repair_state", rsql(f"""WITH {EV}, {masked_sql('ev', 'deg')} SELECT series_id, pos, coalesce(value,
+  last_value(value IGNORE NULLS) OVER (PARTITION BY series_id ORDER BY pos), avg(value) OVER (PARTITION BY series_id)) AS value FROM deg""", "value"))
+def plugin_repair_state(spark, sf):
+    rg.register_reconstruction_model("last_seen", BlockMethod(_observed, _join_observed, _last_seen), overwrite=True, kind="block")
+    return rounded(rp.reconstruct(ev_deg(spark, sf), ["last_seen"]).select("series_id", "pos", "value"))
+
+
+WORST = MergedMetric(lambda t, p: [abs(t - p).max()], lambda a, b: [max(a[0], b[0])], lambda s, train: s[0])
+
+
 @query("plugin_metric", rsql(f"""WITH {EV}, {masked_sql('ev', 'deg')}, {KNOTS} SELECT series_id, max(abs(truth - coalesce(value, {_line('pos')}))) AS worst,
   max(abs(truth - coalesce(value, {_line('pos')}))) AS worst_frame FROM kn WHERE value IS NULL AND {_line('pos')} IS NOT NULL GROUP BY ALL""", "worst worst_frame"))
 def plugin_metric(spark, sf):
-    rg.register_reconstruction_metric("worst", "Worst", True, lambda t, p: abs(t - p).max(), overwrite=True, kind="series")
+    rg.register_reconstruction_metric("worst", "Worst", True, WORST, overwrite=True, kind="merge")
     rg.register_reconstruction_metric("worst_frame", "Worst", True, lambda t, p: F.max(F.abs(t - p)), overwrite=True, kind="frame")
     rep = rp.reconstruct(ev_deg(spark, sf).withColumn("masked", F.col("value").isNull()), ["linear"])
     return rounded(sc.score_reconstruction(sc.pairs_from_truth(rep), ["worst", "worst_frame"]).select("series_id", "worst", "worst_frame"))
 
 
+def _steps(values):
+    """Sum and number of squared steps between neighbours, and the values at both ends."""
+    seen = values[~np.isnan(values)]
+    return [(np.diff(seen) ** 2).sum(), max(len(seen) - 1, 0), *((seen[0], seen[-1]) if len(seen) else (float("nan"),) * 2)]
+
+
+def _join_steps(a, b):
+    if a[2] != a[2]:
+        return b
+    if b[2] != b[2]:
+        return a
+    return [a[0] + b[0] + (b[2] - a[3]) ** 2, a[1] + b[1] + 1, a[2], b[3]]
+
+
+#: Mean squared error over the mean squared step of the training series, and the share of forecasts that are too low.
+RELATIVE = MergedMetric(
+    lambda t, p: [((t - p) ** 2).sum(), len(t)], lambda a, b: [a[0] + b[0], a[1] + b[1]],
+    lambda s, train: s[0] / s[1] / (train[0] / train[1]) if train and train[1] and train[0] else None, BlockMethod(_steps, _join_steps, None))
+TOO_LOW = MergedMetric(lambda t, p: [(p < t).sum(), len(t)], lambda a, b: [a[0] + b[0], a[1] + b[1]], lambda s, train: s[0] / s[1])
+
+
+@query("plugin_prediction_metric", rsql(f"""WITH {EV}, s0 AS (SELECT *, count(*) OVER (PARTITION BY series_id) AS n FROM ev),
+tr AS (SELECT series_id, pos, value FROM s0 WHERE pos < CASE WHEN n > 12 THEN n - 12 ELSE n - greatest(1, n // 5) END),
+te AS (SELECT series_id, value AS t FROM s0 WHERE pos >= CASE WHEN n > 12 THEN n - 12 ELSE n - greatest(1, n // 5) END),
+d AS (SELECT series_id, value - lag(value) OVER (PARTITION BY series_id ORDER BY pos) AS d FROM tr),
+sc AS (SELECT series_id, avg(d * d) AS scale FROM d GROUP BY ALL), y AS (SELECT series_id, max_by(value, pos) AS y FROM tr GROUP BY ALL)
+SELECT series_id, 'last_value' AS prediction_model, avg((t - y) * (t - y)) / any_value(scale) AS relative, avg(CASE WHEN y < t THEN 1.0::DOUBLE ELSE 0 END) AS too_low
+FROM te JOIN y USING (series_id) JOIN sc USING (series_id) GROUP BY ALL""", "relative too_low"))
+def plugin_prediction_metric(spark, sf):
+    rg.register_prediction_metric("relative", "Relative MSE", True, RELATIVE, overwrite=True, kind="merge")
+    rg.register_prediction_metric("too_low", "Too low", True, TOO_LOW, overwrite=True, kind="merge")
+    split = cl.temporal_split(ev_user(spark, sf), 12)
+    train, test = split.where("part = 'train'").drop("part", "step"), split.where("part = 'test'")
+    preds = fc.forecast(train, ["last_value"], 12)
+    pairs, _ = sc.attach_truth(preds, test)
+    return rounded(sc.score_prediction(pairs, train, ["relative", "too_low"]).select("series_id", "prediction_model", "relative", "too_low"))
+
+
+FLAT_MEAN = BlockMethod(_observed, _join_observed, lambda total, h: [total[0] / total[1]] * h)
+
+
 @query("plugin_forecaster", rsql(f"""WITH {EV}, {masked_sql('ev', 'deg')}, a AS (SELECT series_id, avg(value) AS predicted FROM deg GROUP BY ALL)
 SELECT series_id, CAST(i AS BIGINT) AS step, predicted FROM a, range(1, 4) g(i)""", "predicted"))
 def plugin_forecaster(spark, sf):
-    from mendcast.operators import forecast as fc
-
-    rg.register_prediction_model("flat_mean", lambda train, h: [train.mean()] * h, overwrite=True, kind="series")
+    rg.register_prediction_model("flat_mean", FLAT_MEAN, overwrite=True, kind="block")
     return rounded(fc.forecast(ev_deg(spark, sf), ["flat_mean"], 3).select("series_id", "step", "predicted"))
