@@ -521,6 +521,8 @@ def forecast(sources: DataFrame, models: Sequence[str], h: int | DataFrame, bloc
             *keys, *attrs, F.lit(name).alias("prediction_model"), F.lit(1).alias("prediction_iteration"),
             F.col("step").cast("long").alias("step"), (F.col("_p") + F.col("step")).alias("pos"), "predicted",
         )
+        # a user's forecast that is not finite at some step falls back as a whole
+        done = finite_guard_fallback(done, forecast_last_diff(sources, h, block), forecast_last_value(sources, h, block))
         out = done if out is None else out.unionByName(done)
     return out
 
@@ -555,8 +557,8 @@ def _lag_names(features: DataFrame) -> list[str]:
     return sorted((c for c in features.columns if c.startswith("lag_")), key=lambda c: int(c[4:]))
 
 
-#: Learners over all series and whether a seed changes nothing about them.
-LEARNERS = {"boosting": False, "linear": True}
+#: Learners and whether a seed changes nothing about them: one model over all series, or one for each.
+LEARNERS = {"boosting": False, "linear": True, "series_boosting": True}
 
 
 def train_global_lag_model(
@@ -572,7 +574,7 @@ def train_global_lag_model(
     from pyspark.ml.feature import VectorAssembler
     from pyspark.ml.regression import GBTRegressor, LinearRegression
 
-    if learner not in LEARNERS:
+    if learner not in ("boosting", "linear"):
         raise KeyError(f"unknown learner {learner!r}")
     assemble = VectorAssembler(inputCols=_lag_names(features), outputCol="features")
     is_val = F.coalesce(F.col("part") == "val", F.lit(False)) if "part" in features.columns else F.lit(False)
@@ -588,6 +590,10 @@ def train_global_lag_model(
 
 def training_metrics(model, features: DataFrame) -> dict:
     """Trees kept (none for the linear learner) and mean squared errors of the fitted and of the validation rows."""
+    if isinstance(model, DataFrame):  # one model per series: means over the series
+        return model.agg(
+            F.round(F.avg("epochs_trained")).cast("int").alias("epochs_trained"), F.avg("final_train_loss").alias("final_train_loss"),
+            F.avg("best_val_loss").alias("best_val_loss")).first().asDict()
     is_val = F.coalesce(F.col("part") == "val", F.lit(False)) if "part" in features.columns else F.lit(False)
     error = F.pow(F.col("prediction") - F.col("y"), 2)
     scored = model.transform(features.withColumn("_val", is_val)).agg(
@@ -596,24 +602,41 @@ def training_metrics(model, features: DataFrame) -> dict:
     return {"epochs_trained": getattr(last, "getNumTrees", None), **scored.first().asDict()}
 
 
+def fit_learner(points: DataFrame, name: str, seed: int, lag: int, trees: int, depth: int, block: int = BLOCK, features: DataFrame | None = None, **kw):
+    """A model of one learner on the sources of ``points`` and its training metrics."""
+    from mendcast.operators.boosting import per_series_boosting
+
+    if name == "series_boosting":
+        model = per_series_boosting(points, lag, trees, depth, block=block)
+        return model, training_metrics(model, points)
+    features = lag_features(points, lag, block) if features is None else features
+    model = train_global_lag_model(features, trees, depth, seed=seed, learner=name, **kw)
+    return model, training_metrics(model, features)
+
+
 def fit_replicates(
     features: DataFrame, learners: Sequence[str], n: int = 1, base_seed: int = 42, **kw
 ) -> tuple[dict[tuple[str, int], object], DataFrame]:
     """Models by (learner, iteration) and the table of their training: seeds base+1..base+n, a deterministic learner once."""
     models, rows = {}, []
-    for name, iteration, seed in _replicates(learners, n, base_seed):
+    for name, iteration, seed in replicate_plan(learners, n, base_seed):
         start = time.time()
         models[name, iteration] = model = train_global_lag_model(features, seed=seed, learner=name, **kw)
         rows.append({"model": name, "iteration": iteration, "seed": seed, "time_seconds": time.time() - start, **training_metrics(model, features)})
-    return models, features.sparkSession.createDataFrame(
-        [tuple(r[c] for c in METRIC_COLUMNS) for r in rows],
-        "model string, iteration int, seed long, epochs_trained int, best_val_loss double, final_train_loss double, time_seconds double")
+    return models, metrics_table(features.sparkSession, rows)
+
+
+def metrics_table(spark, rows: list[dict]) -> DataFrame:
+    """One row per trained model: learners times replicates."""
+    kinds = ("string", "int", "long", "int", "double", "double", "double")
+    return spark.createDataFrame(
+        [tuple(r[c] for c in METRIC_COLUMNS) for r in rows], ", ".join(f"{c} {t}" for c, t in zip(METRIC_COLUMNS, kinds)))
 
 
 METRIC_COLUMNS = ("model", "iteration", "seed", "epochs_trained", "best_val_loss", "final_train_loss", "time_seconds")
 
 
-def _replicates(learners: Sequence[str], n: int, base_seed: int) -> list[tuple[str, int, int]]:
+def replicate_plan(learners: Sequence[str], n: int, base_seed: int) -> list[tuple[str, int, int]]:
     """The plan of ``grid.seed_replicates``: one row per model that is trained."""
     from mendcast.operators.grid import seed_replicates
 

@@ -253,7 +253,7 @@ nm AS (SELECT 'all' AS series_id, [{moments}] AS m FROM lg WHERE pos >= {lags} A
 def _roll_sql(lags: int, source: str, h: str, name: str = "ols") -> str:
     """The recursion of a linear model from the last values of each series; ``h``: steps, or a column of ``source``."""
     value = "b[1] + " + " + ".join(f"b[{i + 1}] * hist[{lags + 1 - i}]" for i in range(1, lags + 1))
-    return f"""hs AS (SELECT series_id, list(value ORDER BY pos)[-{lags}:] AS hist, max(pos) AS last_pos FROM {source} GROUP BY series_id),
+    return f"""hs AS (SELECT series_id, (list(value ORDER BY pos) FILTER (value IS NOT NULL))[-{lags}:] AS hist, max(pos) AS last_pos FROM {source} GROUP BY series_id),
 roll(series_id, step, last_pos, hist, predicted) AS (SELECT series_id, CAST(0 AS BIGINT), last_pos, hist, CAST(NULL AS DOUBLE) FROM hs
   UNION ALL SELECT roll.series_id, step + 1, last_pos, list_append(hist[2:], {value}), {value} FROM roll, {name} WHERE step < {h})"""
 

@@ -4,6 +4,7 @@ import numpy as np
 import pandas as pd
 from pyspark.sql import functions as F
 
+from mendcast.layout import new_table_path
 from mendcast.operators import clean as cl, forecast as fc, mask, repair as rp, score as sc
 from mendcast.plans import pipeline as pl, registry as rg
 from mendcast.plans.blockwise import BlockMethod, MergedMetric
@@ -50,12 +51,43 @@ def full_run_scores(spark, sf):
     return rounded(run["pred_results"].select("source_type", "reconstruction_model", "series_id", "prediction_model", "mae", "n_samples"))
 
 
-@query("full_run_with_learner")
+FULL = f"""{RUN}, src AS (SELECT 'original||' || series_id AS series_id, pos, value FROM tr
+  UNION ALL SELECT 'reconstructed|' || model || '|' || series_id, pos, value FROM rep)"""
+_KEYS = """split_part(series_id, '|', 1) AS source_type, nullif(split_part(series_id, '|', 2), '') AS reconstruction_model, split_part(series_id, '|', 3) AS series_id"""
+
+
+def _full_sql() -> str:
+    """A linear model on five lags over all sources, and the drift, scored against the held-out values."""
+    from queries.forecasting import LAGS, _ols_sql, _roll_sql
+
+    full = FULL.replace("ev AS (", "RECURSIVE ev AS (", 1)
+    return rsql(f"""WITH {full}, {_ols_sql(LAGS, 'src')}, {_roll_sql(LAGS, 'src', '12')},
+bk AS (SELECT series_id, value, row_number() OVER (PARTITION BY series_id ORDER BY pos DESC) AS b, least(10, count(*) OVER (PARTITION BY series_id)) AS k
+  FROM src WHERE value IS NOT NULL),
+dr AS (SELECT series_id, max(value) FILTER (b = 1) AS y, max(value) FILTER (b = k) AS y10, any_value(k) AS k FROM bk GROUP BY series_id),
+pr AS (SELECT {_KEYS}, 'lag_model' AS prediction_model, step, predicted FROM roll WHERE step > 0
+  UNION ALL SELECT {_KEYS}, 'drift10', CAST(i AS BIGINT), y + i * (y - y10) / (k - 1) FROM dr, range(1, 13) g(i)
+  UNION ALL SELECT {_KEYS}, 'last_value', CAST(i AS BIGINT), y FROM dr, range(1, 13) g(i))
+SELECT source_type, reconstruction_model, series_id, prediction_model, avg(abs(t - predicted)) AS mae, count(*) AS n_samples
+FROM pr JOIN te USING (series_id, step) GROUP BY ALL""", "mae", 4)
+
+
+@query("full_run_with_learner", _full_sql())
 def full_run_with_learner(spark, sf):
     """All eight steps with a linear model trained over all series."""
     run = pl.pipeline_full(spark, _config(spark, sf, forecasters=("last_value", "drift10"), learner="linear", lags=5))
-    return rounded(run["pred_results"].groupBy("source_type", "prediction_model").agg(
-        F.count("*").alias("n"), F.avg("mae").alias("mae"), F.avg("mase").alias("mase")), 3)
+    return rounded(run["pred_results"].select("source_type", "reconstruction_model", "series_id", "prediction_model", "mae", "n_samples"), 4)
+
+
+@query("resumed_run_scores", _full_sql())
+def resumed_run_scores(spark, sf):
+    """The same run in a stored folder: first with one repair and no learner, then going on with what is missing."""
+    path = new_table_path(spark)
+    part = _config(spark, sf, forecasters=("last_value",), store=path, lags=5)
+    part.models = ("mean",)
+    pl.pipeline_full(spark, part)
+    run = pl.pipeline_full(spark, _config(spark, sf, forecasters=("last_value", "drift10"), learner="linear", lags=5, store=path))
+    return rounded(run["pred_results"].select("source_type", "reconstruction_model", "series_id", "prediction_model", "mae", "n_samples"), 4)
 
 
 @query("external_run_scores")
