@@ -10,7 +10,7 @@ import math
 
 from pyspark.sql import Column, DataFrame, functions as F
 
-from mendcast.layout import attach_by_block, attach_salted, config_keys, materialise
+from mendcast.layout import BLOCK, attach_by_block, attach_salted, config_keys, materialise
 
 
 def _with_length(points: DataFrame, keys: list[str]) -> DataFrame:
@@ -136,7 +136,7 @@ def encode_spectrogram(points: DataFrame, nperseg: int | None = None) -> DataFra
     im = F.aggregate("_t", F.lit(0.0), lambda a, e: a + e["y"] * F.sin(angle(e["k"])))
     sides = F.when((F.col("i") == 0) | (2 * F.col("i") == F.col("_m")), F.lit(1.0)).otherwise(F.lit(2.0))
     power = (re * re + im * im) * sides / F.col("_e")
-    return freq.select(*keys, "i", F.col("j").cast("int").alias("j"), (10 * F.log10(power + F.lit(1e-10))).alias("v"))
+    return freq.select(*keys, F.col("i").cast("int").alias("i"), F.col("j").cast("int").alias("j"), (10 * F.log10(power + F.lit(1e-10))).alias("v"))
 
 
 def encode_mask(degraded: DataFrame, size: int = 512, time_axis_only: bool = False) -> DataFrame:
@@ -171,51 +171,61 @@ def scale_to_uint8(matrix: DataFrame) -> DataFrame:
     )
 
 
-def _stretch(profile: DataFrame, points: DataFrame, low: float, high: float) -> DataFrame:
+def _stretch(profile: DataFrame, points: DataFrame, low: float, high: float, block: int = BLOCK) -> DataFrame:
     """Profile values (``i``, ``v``) stretched over the positions and mapped from [low, high] to the observed range.
 
-    Every position is joined with the profile entry below it, which carries its successor, so neither a profile nor a series is
-    gathered anywhere.
+    Every block of positions gets the range of profile entries that it lies between as a short array, so points and entries meet on
+    (series, block) and neither a profile nor a series is gathered anywhere.
     """
     keys = config_keys(points)
-    entry = F.col("i").cast("long")
-    following = profile.select(*keys, (entry - 1).alias("_i"), F.col("v").alias("_b"))
-    entries = profile.select(*keys, entry.alias("_i"), F.col("v").alias("_a")).join(following, [*keys, "_i"], "left")
     facts = points.groupBy(*keys).agg(
         F.count("*").alias("_n"), F.min("value").alias("_lo"), F.max("value").alias("_hi"), F.max("pos").alias("_last")
-    ).join(profile.groupBy(*keys).agg(F.count("*").alias("_size")), keys)
+    ).join(profile.groupBy(*keys).agg((F.max("i") + 1).cast("long").alias("_size")), keys)
+    # entry i bounds the positions between those that lie at i - 1 and i + 1
+    wide = (F.col("_n") - 1) / F.greatest(F.col("_size") - 1, F.lit(1))
+    from_block = F.floor(F.greatest((F.col("i") - 1) * wide - 1, F.lit(0.0)) / block)
+    to_block = F.floor(F.least((F.col("i") + 1) * wide + 1, F.col("_last").cast("double")) / block)
+    sized = facts.select(*keys, "_n", "_size", F.col("_last").alias("_until"), (F.col("_size") - 1).alias("_last"))
+    entries = attach_by_block(profile.withColumn("i", F.col("i").cast("long")), sized, keys, by="i", block=block).withColumn("_last", F.col("_until"))
+    ranges = (
+        entries.withColumn("_b", F.explode(F.sequence(from_block.cast("long"), F.greatest(to_block, from_block).cast("long"))))
+        .groupBy(*keys, "_b").agg(F.sort_array(F.collect_list(F.struct("i", "v"))).alias("_near"))
+        .select(*keys, "_b", F.get("_near", F.lit(0))["i"].alias("_first"), F.transform("_near", lambda e: e["v"]).alias("_near"))
+    )
     at = F.when(F.col("_n") > 1, F.col("pos") * (F.col("_size") - 1) / (F.col("_n") - 1)).otherwise(F.lit(0.0))
-    value = F.col("_a") + (F.coalesce("_b", "_a") - F.col("_a")) * (F.col("_at") - F.col("_i"))
+    k = (F.floor("_at") - F.col("_first")).cast("int")
+    a = F.get("_near", k)
+    value = a + (F.coalesce(F.get("_near", k + 1), a) - a) * (F.col("_at") - F.floor("_at"))
     span = F.col("_hi") - F.col("_lo")
     mapped = F.when(span > 0, (value - low) / (high - low) * span + F.col("_lo")).otherwise(F.col("_lo"))
-    placed = attach_by_block(points, facts, keys).withColumn("_at", at).withColumn("_i", F.floor("_at").cast("long"))
-    return placed.join(entries, [*keys, "_i"]).select(
+    placed = attach_by_block(points, facts, keys, block=block).withColumn("_at", at).withColumn("_b", F.expr(f"pos div {int(block)}"))
+    return placed.join(ranges, [*keys, "_b"]).select(
         *[mapped.alias("value") if c == "value" else F.col(c) for c in points.columns]
     )
 
 
-def decode_diagonal(matrix: DataFrame, points: DataFrame, cosine: bool = False) -> DataFrame:
+def decode_diagonal(matrix: DataFrame, points: DataFrame, cosine: bool = False, block: int = BLOCK) -> DataFrame:
     """Diagonal as profile: ``cosine=True`` for GAF matrices (cos of the diagonal, range [-1, 1])."""
     keys = config_keys(matrix)
     diagonal = matrix.where(F.col("i") == F.col("j")).select(
         *keys, "i", (F.cos("v") if cosine else F.col("v")).alias("v")
     )
-    return _stretch(diagonal, points, -1.0 if cosine else 0.0, 1.0)
+    return _stretch(diagonal, points, -1.0 if cosine else 0.0, 1.0, block)
 
 
-def decode_row_mean(matrix: DataFrame, points: DataFrame) -> DataFrame:
+def decode_row_mean(matrix: DataFrame, points: DataFrame, block: int = BLOCK) -> DataFrame:
     """Row means as profile (recurrence matrices)."""
     keys = config_keys(matrix)
-    return _stretch(matrix.groupBy(*keys, "i").agg(F.avg("v").alias("v")), points, 0.0, 1.0)
+    return _stretch(matrix.groupBy(*keys, "i").agg(F.avg("v").alias("v")), points, 0.0, 1.0, block)
 
 
-def decode_column_mean(matrix: DataFrame, points: DataFrame) -> DataFrame:
+def decode_column_mean(matrix: DataFrame, points: DataFrame, block: int = BLOCK) -> DataFrame:
     """Column means, min-max normalised, as profile (spectrograms)."""
     keys = config_keys(matrix)
-    columns = matrix.groupBy(*keys, F.col("j").alias("i")).agg(F.avg("v").alias("v"))
-    ends = columns.groupBy(*keys).agg(F.min("v").alias("_lo"), F.max("v").alias("_hi"))
+    columns = matrix.groupBy(*keys, F.col("j").cast("long").alias("i")).agg(F.avg("v").alias("v"))
+    ends = columns.groupBy(*keys).agg(F.min("v").alias("_lo"), F.max("v").alias("_hi"), F.max("i").alias("_last"))
     span = F.col("_hi") - F.col("_lo")
-    unit = columns.join(ends, keys).select(
+    unit = attach_by_block(columns, ends, keys, by="i").select(
         *keys, "i", F.when(span > 0, (F.col("v") - F.col("_lo")) / span).otherwise(F.lit(0.0)).alias("v")
     )
-    return _stretch(unit, points, 0.0, 1.0)
+    return _stretch(unit, points, 0.0, 1.0, block)

@@ -60,6 +60,9 @@ METHODS: dict[str, Method] = {
     ),
 }
 
+#: Names for one formula: with a single feature column the nearest rows of a missing one are all rows.
+SAME_AS = {"polynomial": "quadratic", "knn": "mean"}
+
 PHI_LIMIT = 0.99
 
 
@@ -124,10 +127,10 @@ def _prepared(points: DataFrame, methods: Sequence[Method], settings: Settings,
     return rows if stats is None else attach_by_block(rows, stats, block=block)
 
 
-def reconstruct(
+def reconstruct_gaps(
     degraded: DataFrame, models: Sequence[str], settings: Settings = Settings(), block: int = BLOCK
 ) -> DataFrame:
-    """Repairs every configuration with every model: one row per point and model."""
+    """Only the missing points, once per model: what repairs add. Observed points stay in ``degraded``, see ``with_observed``."""
     from mendcast.plans.registry import custom_models, run_custom_model
 
     own = custom_models()
@@ -135,30 +138,38 @@ def reconstruct(
     if unknown:
         raise KeyError(f"unknown reconstruction models: {unknown}")
     names = [m for m in models if m in METHODS and m not in own]
+    rest = [col for col in degraded.columns if col != "value"]
     out = None
     if names:
         methods = [METHODS[m] for m in names]
-        fills = F.array(
-            *[
-                F.struct(
-                    F.lit(n).alias("model"),
-                    merge_keep_observed("value", m.value(settings).cast("double")).alias("value"),
-                )
-                for n, m in zip(names, methods)
-            ]
-        )
-        rest = [col for col in degraded.columns if col != "value"]
+        # methods that are the same formula share its column
+        formula = {n: SAME_AS.get(n, n) for n in names}
+        staged = [METHODS[n].value(settings).cast("double").alias(f"_as_{n}") for n in dict.fromkeys(formula.values())]
+        fills = F.array(*[F.struct(F.lit(n).alias("model"), F.col(f"_as_{formula[n]}").alias("value")) for n in names])
         out = (
-            _prepared(degraded, methods, settings, block)
-            .withColumn("_fill", F.explode(fills))
+            _prepared(degraded, methods, settings, block).where(F.col("value").isNull())
+            .select(*rest, *staged).withColumn("_fill", F.explode(fills))
             .select(*rest, "_fill.model", "_fill.value")
         )
     for name in [m for m in models if m in own]:
-        done = run_custom_model(name, degraded)
+        done = run_custom_model(name, degraded.withColumn("_gap", F.col("value").isNull())).where("_gap").drop("_gap")
         out = done if out is None else out.unionByName(done)
     return out
 
 
+def with_observed(gaps: DataFrame, degraded: DataFrame, models: Sequence[str]) -> DataFrame:
+    """Repaired series: the observed points of ``degraded`` once per model, united with the repaired ones. Nothing is shuffled."""
+    seen = degraded.where(F.col("value").isNotNull()).withColumn("model", F.explode(F.array(*[F.lit(m) for m in models])))
+    return gaps.unionByName(seen.select(*gaps.columns))
+
+
+def reconstruct(
+    degraded: DataFrame, models: Sequence[str], settings: Settings = Settings(), block: int = BLOCK
+) -> DataFrame:
+    """Repairs every configuration with every model: one row per point and model."""
+    return with_observed(reconstruct_gaps(degraded, models, settings, block), degraded, models)
+
+
 def _single(points: DataFrame, model: str, settings: Settings = Settings(), block: int = BLOCK) -> DataFrame:
     method = METHODS[model]
     fill = merge_keep_observed("value", method.value(settings).cast("double"))

@@ -5,7 +5,7 @@ from pyspark.sql import functions as F
 from mendcast.operators import cost as co, sweep as sw
 from queries import query
 from queries.fixtures import COST, DEG, DEG_KEYS, PRED, TRAINING, cost_rows, ev_deg, pred_results, rounded, rsql, training_rows
-from queries.repairing import KNOTS
+from queries.repairing import KNOTS, _line
 
 T9 = "CAST(1e-9 AS DOUBLE)"
 EFF = f"""{COST}, b AS (SELECT min(time_seconds) AS t0, max(time_seconds) AS t1, min(memory_mb) AS m0, max(memory_mb) AS m1 FROM cost),
@@ -33,10 +33,9 @@ CM = """cm AS (SELECT model, avg(quality) AS quality, avg(time_seconds) AS time_
 
 
 @query("quality_x_cost_join", rsql(f"""WITH {COST}, {PRED}, {CM}, q AS (SELECT reconstruction_model AS model, avg(mape) AS q FROM pred WHERE reconstruction_model IS NOT NULL GROUP BY ALL)
-SELECT model, q.q AS quality, time_seconds, cpu_cores_used, memory_mb FROM cm JOIN q USING (model) WHERE model < 'Brand#4'""", "quality time_seconds cpu_cores_used memory_mb", 4))
+SELECT model, q.q AS quality, time_seconds, cpu_cores_used, memory_mb FROM cm JOIN q USING (model)""", "quality time_seconds cpu_cores_used memory_mb", 4))
 def quality_x_cost_join(spark, sf):
-    cost = cost_rows(spark, sf).where(F.col("model") < "Brand#4")
-    return rounded(co.quality_x_cost_join(pred_results(spark, sf), cost, "mape").select(
+    return rounded(co.quality_x_cost_join(pred_results(spark, sf), cost_rows(spark, sf), "mape").select(
         "model", "quality", "time_seconds", "cpu_cores_used", "memory_mb"), 4)
 
 
@@ -48,7 +47,9 @@ def cost_restricted_to_quality_datasets(spark, sf):
 
 @query("models_without_cost", f"WITH {PRED} SELECT DISTINCT reconstruction_model AS model FROM pred WHERE reconstruction_model >= 'Brand#4'")
 def models_without_cost(spark, sf):
-    return co.models_without_cost(pred_results(spark, sf), cost_rows(spark, sf).where(F.col("model") < "Brand#4"))
+    """The costs of some models are filed under another name."""
+    renamed = F.when(F.col("model") >= "Brand#4", F.concat("model", F.lit(" v2"))).otherwise(F.col("model"))
+    return co.models_without_cost(pred_results(spark, sf), cost_rows(spark, sf).withColumn("model", renamed))
 
 
 TRADE = f"""{COST}, {CM}, md AS (SELECT cpu_cores_total AS cores FROM cm GROUP BY ALL ORDER BY count(*) DESC, cores LIMIT 1),
@@ -214,8 +215,24 @@ def sweep_best(spark, sf):
     return rounded(sw.sweep_best(scores, "rmse", True))
 
 
-@query("sweep_windows")
+def _parabola(h: int) -> str:
+    """The rolling fit with ``h`` rows on each side, as sums over the observed rows of a self join."""
+    return f"""SELECT k.series_id, k.pos, {h} AS param, any_value(k.truth) AS t, count(*) FILTER (o.value IS NOT NULL) AS m, any_value(k.line) AS line,
+  list({{'u': CAST(o.pos - k.pos AS DOUBLE), 'v': o.value}}) FILTER (o.value IS NOT NULL) AS ks
+FROM kl k JOIN deg o ON o.series_id = k.series_id AND abs(o.pos - k.pos) <= {h} WHERE k.value IS NULL GROUP BY k.series_id, k.pos"""
+
+
+_SUMS = ", ".join([f"list_sum(list_transform(us, lambda k: pow(k.u, {i}))) AS s{i}" for i in range(5)]
+                  + [f"list_sum(list_transform(us, lambda k: k.v * pow(k.u, {i}))) AS t{i}" for i in range(3)])
+_FIT = """coalesce(CASE WHEN m >= 3 THEN (t0 * (s2 * s4 - s3 * s3) - s1 * (t1 * s4 - s3 * t2) + s2 * (t1 * s3 - s2 * t2))
+  / (s0 * (s2 * s4 - s3 * s3) - s1 * (s1 * s4 - s2 * s3) + s2 * (s1 * s3 - s2 * s2))
+  WHEN m = 2 THEN (t0 * s2 - s1 * t1) / (s0 * s2 - s1 * s1) WHEN m = 1 THEN t0 END, line)"""
+
+
+@query("sweep_windows", rsql(f"""WITH {DEG}, {KNOTS}, kl AS (SELECT *, {_line('pos')} AS line FROM kn), w AS ({' UNION ALL '.join(_parabola(h) for h in (2, 4, 8))}),
+u AS (SELECT *, list_max(list_transform(ks, lambda k: abs(k.u))) AS sc FROM w), n AS (SELECT *, list_transform(ks, lambda k: {{'u': k.u / sc, 'v': k.v}}) AS us FROM u),
+f AS (SELECT *, {_SUMS} FROM n), p AS (SELECT series_id, param, t, {_FIT} AS p FROM f)
+SELECT series_id, param, sqrt(avg((t - p) * (t - p))) AS rmse, count(*) AS n_missing FROM p WHERE p IS NOT NULL GROUP BY ALL""", "rmse", 5))
 def sweep_windows(spark, sf):
-    """Half windows of the rolling fit."""
     scores = sw.sweep_scores(ev_deg(spark, sf), [2, 4, 8], "spline", ["rmse"])
-    return rounded(scores.groupBy("param").agg(F.avg("rmse").alias("rmse"), F.count("*").alias("n")), 4)
+    return rounded(scores.select("series_id", "param", "rmse", "n_missing"), 5)

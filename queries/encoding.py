@@ -1,12 +1,13 @@
-"""Series as matrices: user series resampled to a small size."""
+"""Series as matrices: user series resampled to 64 values, spectrograms with the library's own window."""
 
 from pyspark.sql import functions as F
 
 from mendcast.operators import encode as en, repair as rp
 from queries import query
+from queries.repairing import KNOTS, _line
 from queries.fixtures import DEG, EV, ev_deg, ev_user, li_day, rounded, rsql, stored, LI
 
-N = 8
+N = 64
 RES = f"""{EV}, cn AS (SELECT series_id, count(*) AS n FROM ev GROUP BY ALL),
 tg AS (SELECT series_id, n, CAST(i AS INTEGER) AS i, i * ((n - 1) / CAST({N - 1} AS DOUBLE)) AS s FROM cn, range(0, {N}) g(i)),
 tf AS (SELECT *, least(CAST(floor(s) AS BIGINT), greatest(n - 2, 0)) AS b FROM tg),
@@ -47,10 +48,10 @@ def encode_rp(spark, sf):
     return en.encode_rp(ev_user(spark, sf), N)
 
 
-M = 32
+M = 256  # the default window of these series: min(256, a quarter of the length)
 HOP = M - M // 8
 SPEC = f"""{LI}, ln AS (SELECT series_id, count(*) AS n FROM li GROUP BY ALL),
-wd AS (SELECT li.series_id, CAST(j AS INTEGER) AS j, li.pos - j * {HOP} AS k, li.value FROM li JOIN ln USING (series_id), range(0, 1000) g(j)
+wd AS (SELECT li.series_id, CAST(j AS INTEGER) AS j, li.pos - j * {HOP} AS k, li.value FROM li JOIN ln USING (series_id), range(0, 100000) g(j)
   WHERE li.pos >= j * {HOP} AND li.pos < j * {HOP} + {M} AND j * {HOP} + {M} <= n),
 wm AS (SELECT *, value - avg(value) OVER (PARTITION BY series_id, j) AS c, 0.5 - 0.5 * cos(2 * pi() * k / {M}) AS h FROM wd),
 fq AS (SELECT series_id, CAST(f AS INTEGER) AS i, j, sum(c * h * cos(2 * pi() * ((k * f) % {M}) / {M})) AS re, sum(c * h * sin(2 * pi() * ((k * f) % {M}) / {M})) AS im,
@@ -60,7 +61,7 @@ spec AS (SELECT series_id, i, j, 10 * log10((re * re + im * im) * CASE WHEN i =
 
 @query("encode_spectrogram", rsql(f"WITH {SPEC} SELECT * FROM spec", "v", 5))
 def encode_spectrogram(spark, sf):
-    return rounded(en.encode_spectrogram(li_day(spark, sf), M), 5)
+    return rounded(en.encode_spectrogram(li_day(spark, sf)), 5)
 
 
 @query("encode_mask", f"""WITH {DEG}, c AS (SELECT series_id, count(*) AS n FROM deg GROUP BY ALL),
@@ -102,12 +103,18 @@ def decode_row_mean(spark, sf):
     "SELECT series_id, j AS i, (c - min(c) OVER (PARTITION BY series_id)) / (max(c) OVER (PARTITION BY series_id) - min(c) OVER (PARTITION BY series_id)) AS v "
     "FROM (SELECT series_id, j, avg(v) AS c FROM spec GROUP BY ALL)", "0", "1").replace("FROM ev GROUP", "FROM li GROUP").replace("FROM ev JOIN", "FROM li ev JOIN"), "value", 5))
 def decode_column_mean(spark, sf):
-    matrix = en.encode_spectrogram(li_day(spark, sf), M)
+    matrix = en.encode_spectrogram(li_day(spark, sf))
     return rounded(en.decode_column_mean(matrix, li_day(spark, sf)).select("series_id", "pos", "value"), 5)
 
 
-@query("encode_degraded_gaf")
+FILLED = f"""{DEG}, {KNOTS}, fl AS (SELECT series_id, pos, coalesce(value, {_line('pos')}, r1v, 0) AS value FROM kn)"""
+_FILLED = FILLED + GAF[len(EV):].replace("FROM ev GROUP", "FROM fl GROUP").replace("JOIN ev ", "JOIN fl ")
+
+
+@query("encode_degraded_gaf", f"""WITH {_FILLED}, m AS (SELECT {CELLS}, {_GAF} AS v FROM {PAIRED}),
+r AS (SELECT *, min(v) OVER (PARTITION BY series_id) AS lo, max(v) OVER (PARTITION BY series_id) AS hi FROM m)
+SELECT series_id, i, j, CAST(CASE WHEN hi > lo THEN floor(round((v - lo) / (hi - lo) * 255, 6)) ELSE 0 END AS INTEGER) AS v FROM r""")
 def encode_degraded_gaf(spark, sf):
     """Data preparation of the image methods: both-sided linear fill, encoding, 8-bit scaling."""
     filled = rp.interpolate_linear_both(ev_deg(spark, sf))
-    return en.scale_to_uint8(en.encode_gaf(filled, N)).groupBy("series_id").agg(F.sum("v").alias("total"), F.count("*").alias("cells"))
+    return en.scale_to_uint8(en.encode_gaf(filled, N)).select("series_id", "i", "j", "v")

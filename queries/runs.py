@@ -9,7 +9,7 @@ from mendcast.operators import clean as cl, forecast as fc, mask, repair as rp,
 from mendcast.plans import pipeline as pl, registry as rg
 from mendcast.plans.blockwise import BlockMethod, MergedMetric
 from queries import query
-from queries.cleaning import _MANIFEST
+from queries.cleaning import _MANIFEST, EXTERNAL
 from queries.fixtures import EV, ev_deg, ev_hour, ev_user, grid_for, masked_sql, ord_day, rounded, rsql
 from queries.repairing import KNOTS, _line
 
@@ -90,7 +90,21 @@ def resumed_run_scores(spark, sf):
     return rounded(run["pred_results"].select("source_type", "reconstruction_model", "series_id", "prediction_model", "mae", "n_samples"), 4)
 
 
-@query("external_run_scores")
+_EXT = f"""{EXTERNAL}, click AS (SELECT *, last_value(CASE WHEN value IS NOT NULL THEN pos END IGNORE NULLS) OVER (ORDER BY pos) AS lp FROM evh WHERE series_id = 'click'),
+src AS (SELECT 'urgent' AS series_id, m AS reconstruction_model, pos, value FROM urgent, (VALUES ('linear'), ('mean')) v(m) WHERE pos < n - 30
+  UNION ALL SELECT 'pair', 'mean', pos, coalesce(value, avg(value) OVER ()) FROM click
+  UNION ALL SELECT 'pair', 'linear', c.pos, coalesce(c.value, CASE WHEN r.pos IS NULL THEN l.value ELSE l.value + (r.value - l.value) / CAST(r.pos - l.pos AS DOUBLE) * (c.pos - l.pos) END)
+    FROM click c LEFT JOIN click l ON l.pos = c.lp LEFT JOIN click r ON r.pos = (SELECT min(x.pos) FROM click x WHERE x.value IS NOT NULL AND x.pos > c.pos)),
+te AS (SELECT 'urgent' AS series_id, pos - (n - 30) + 1 AS step, value AS t FROM urgent WHERE pos >= n - 30
+  UNION ALL SELECT 'pair', pos + 1, value FROM ord WHERE series_id = '2-HIGH'),
+bk AS (SELECT *, row_number() OVER w AS b, least(10, count(*) OVER (PARTITION BY series_id, reconstruction_model)) AS k FROM src WHERE value IS NOT NULL
+  WINDOW w AS (PARTITION BY series_id, reconstruction_model ORDER BY pos DESC)),
+st AS (SELECT series_id, reconstruction_model, max(value) FILTER (b = 1) AS y, max(value) FILTER (b = k) AS y10, any_value(k) AS k FROM bk GROUP BY ALL)"""
+
+
+@query("external_run_scores", rsql(f"""WITH {_EXT} SELECT series_id, reconstruction_model, m AS prediction_model,
+  avg(abs(t - CASE m WHEN 'drift10' THEN y + step * (y - y10) / (k - 1) ELSE y END)) AS mae, count(*) AS n_samples
+FROM st JOIN te USING (series_id), (VALUES ('last_value'), ('drift10')) v(m) WHERE t IS NOT NULL GROUP BY ALL""", "mae", 3))
 def external_run_scores(spark, sf):
     """Series with their own gaps: ingest, repair, forecast, score."""
     tag = lambda df, t: df.withColumn("series_id", F.concat(F.lit(t), "series_id"))

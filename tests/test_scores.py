@@ -1,5 +1,7 @@
 import math
 
+
+import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
@@ -86,3 +88,24 @@ def test_pairs_and_alignment(spark, make):
     none = repaired.withColumn("model", F.lit("other")).withColumn("value", F.lit(None).cast("double"))
     errors = sc.unscored(repaired.unionByName(none), sc.scoring_pairs(truth, degraded, repaired)).collect()
     assert [r.model for r in errors] == ["other"]
+
+
+def test_profiles_meet_positions_in_blocks(make, values, spark):
+    """One series with nine tenths of all rows: decoding in small blocks equals plain interpolation of the profile."""
+    from mendcast.operators import encode as en
+
+    series = {"hot": [float((i * 37) % 101) for i in range(900)], "a": [1.0, 5.0, 2.0], "one": [3.0], "b": [float(i % 9) for i in range(97)]}
+    points = make(series)
+    profile = {"hot": [0.0, 1.0, 0.25, 0.5, 0.75], "a": [0.5, 0.0, 1.0, 0.1, 0.9], "one": [0.5] * 5, "b": [0.2, 0.4, 0.6, 0.8, 1.0]}
+    rows = [(k, i, j, v) for k, p in profile.items() for i, v in enumerate(p) for j in range(2)]
+    matrix = spark.createDataFrame(rows, "series_id string, i int, j int, v double")
+    for block in (1 << 16, 16):
+        got = values(en.decode_row_mean(matrix, points, block=block))
+        for name, v in series.items():
+            at = np.linspace(0, 4, len(v)) if len(v) > 1 else np.zeros(1)
+            want = np.interp(at, range(5), profile[name]) * (max(v) - min(v)) + min(v)
+            assert got[name] == pytest.approx(want.tolist()), (name, block)
+    wide = spark.createDataFrame([("hot", 0, j, float(j % 7)) for j in range(60)] + [("b", 0, 0, 2.0)], "series_id string, i int, j int, v double")
+    got = values(en.decode_column_mean(wide, points.where("series_id IN ('hot', 'b')"), block=16))
+    want = np.interp(np.linspace(0, 59, 900), range(60), [j % 7 / 6 for j in range(60)]) * 100
+    assert got["hot"] == pytest.approx(want.tolist()) and got["b"] == [0.0] * 97
