@@ -2,10 +2,11 @@
 
 A file that was compressed as a whole can only be read from its start. The normaliser inflates such a stream once, in
 pieces, and rewrites every record as a gzip member of its own; next to the archive it writes a sidecar with offset and length
-of each member, so a reader fetches any record by itself. Memory holds one piece of the stream and one record.
+of each member, so a reader fetches any record by itself: reading back starts from the sidecars alone. Memory holds one piece of the
+stream and one record.
 
 Of records with equal payloads the one with the largest id is the response, the others are revisits that carry headers only.
-Defined results: a null payload is empty; rows that repeat the largest id of their payload are all responses; null ids sort
+Defined results: ids may be of any ordered type; a null payload is empty; rows that repeat the largest id of their payload are all responses; null ids sort
 below all others; an empty table writes no archive; further columns are ignored.
 """
 
@@ -17,26 +18,32 @@ import json
 import uuid
 import zlib
 from collections.abc import Iterator
+from urllib.parse import quote, unquote
 
 import pandas as pd
 from pyspark.sql import DataFrame, functions as F
 
-from mendcast.layout import materialise, scratch_dir
+from mendcast.layout import materialise, new_table_path
 from mendcast.llm.common import shared_files, text_or_empty
 
 CRLF = b"\r\n"
 ARCHIVE_BYTES = 1 << 28
 PIECE = 1 << 20
 READ_BYTES = 1 << 24
-RESULT = "_id {id}, payload_bytes long, payload_digest string, record_type string, refers_to {id}"
+RESULT = "_id string, payload_bytes long, payload_digest string, record_type string, refers_to string"
 
 
 def base32_sha1(payload: bytes) -> str:
     return base64.b32encode(hashlib.sha1(payload).digest()).decode()
 
 
-def record_name(key) -> str:
-    return f"<urn:page:{'' if key is None else key}>"
+def record_name(key: str | None) -> str:
+    return "<urn:page>" if key is None else f"<urn:page:{quote(key, safe='')}>"
+
+
+def record_key(name: str | None) -> str | None:
+    """The id in a record's name; a missing name and a missing id are both None."""
+    return unquote(name[len("<urn:page:"): -1]) if name and name != "<urn:page>" else None
 
 
 def record_bytes(key: str | None, url: str | None, payload: bytes, refers_to: str | None) -> bytes:
@@ -143,7 +150,7 @@ def records(pieces: Iterator[bytes]) -> Iterator[bytes]:
 
 
 def normalise_archives(archives: DataFrame, source: str, target: str) -> DataFrame:
-    """Rewrites archives with a gzip member per record; returns the stored index (``file``, ``offset``, ``length``)."""
+    """Rewrites archives with a gzip member per record and a sidecar; returns the stored list of new files."""
 
     def rewrite(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         files, root = shared_files(source)
@@ -158,21 +165,35 @@ def normalise_archives(archives: DataFrame, source: str, target: str) -> DataFra
                         pack = zlib.compressobj(6, wbits=31)
                         member = pack.compress(record) + pack.flush()
                         out.write(member)
-                        rows.append((new, offset, len(member)))
+                        rows.append((offset, len(member)))
                         offset += len(member)
                 with files.open_output_stream(f"{out_root}/{new}.idx", compression=None) as side:
-                    side.write("".join(json.dumps({"offset": o, "length": n}) + "\n" for _, o, n in rows).encode())
-                yield pd.DataFrame(rows, columns=["file", "offset", "length"])
+                    side.write("".join(json.dumps({"offset": o, "length": n}) + "\n" for o, n in rows).encode())
+                yield pd.DataFrame({"file": [new]})
 
     files, root = shared_files(target)
     files.create_dir(root, recursive=True)
     # a number is given because the list of names is far too small for Spark to see the work behind it
     spread = archives.repartition(max(1, archives.count()))
-    return materialise(spread.mapInPandas(rewrite, "file string, offset long, length long"))
+    return materialise(spread.mapInPandas(rewrite, "file string"))
+
+
+def read_sidecars(archives: DataFrame, folder: str) -> DataFrame:
+    """Stored: ``file, offset, length`` of every record, from the sidecars next to the archives."""
+
+    def read(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        files, root = shared_files(folder)
+        for batch in batches:
+            for name in batch["file"]:
+                with files.open_input_stream(f"{root}/{name}.idx", compression=None) as side:
+                    entries = [json.loads(line) for line in side.read().decode().splitlines()]
+                yield pd.DataFrame({"file": [name] * len(entries), "offset": [e["offset"] for e in entries], "length": [e["length"] for e in entries]})
+
+    return materialise(archives.mapInPandas(read, "file string, offset long, length long"))
 
 
-def read_records(index: DataFrame, folder: str, kind: str = "long") -> DataFrame:
-    """Every record by its index entry: id, full payload size and digest, type and the response that it refers to."""
+def read_records(index: DataFrame, folder: str) -> DataFrame:
+    """Every record by its index entry: id, full payload size and digest, type and the response that it refers to; ids as text."""
 
     def read(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         files, root = shared_files(folder)
@@ -191,22 +212,23 @@ def read_records(index: DataFrame, folder: str, kind: str = "long") -> DataFrame
                         payload = block[body + 4:]
                         if head["warc-type"] == "response" and (len(payload), base32_sha1(payload)) != (size, digest):
                             raise ValueError(f"payload of {head['warc-record-id']} differs from its header")
-                        ids = [head.get(k, "<urn:page:>")[len("<urn:page:"):-1] for k in ("warc-record-id", "warc-refers-to")]
-                        rows.append((int(ids[0]) if ids[0] else None, size, digest, head["warc-type"], int(ids[1]) if ids[1] else None))
-            out = pd.DataFrame(rows, columns=columns)
-            yield out.astype({"_id": "Int64", "refers_to": "Int64"})
+                        rows.append((record_key(head["warc-record-id"]), size, digest, head["warc-type"], record_key(head.get("warc-refers-to"))))
+            yield pd.DataFrame(rows, columns=columns)
 
     parts = 1 + (index.agg(F.sum("length")).first()[0] or 0) // READ_BYTES
     spread = index.repartitionByRange(parts, "file", "offset").sortWithinPartitions("file", "offset")
-    return spread.mapInPandas(read, RESULT.format(id=kind))
+    return spread.mapInPandas(read, RESULT)
 
 
 def archive_round_trip(
     pages: DataFrame, least_bytes: int = 0, id_col: str = "page_id", payload_col: str = "html", url_col: str = "url"
 ) -> DataFrame:
-    """Writes all pages, normalises the archives, and reads every record back through the index."""
-    folder = f"{scratch_dir(pages.sparkSession)}/mendcast/warc-{uuid.uuid4().hex}"
+    """Writes all pages, normalises the archives, and reads every record back through their sidecars."""
+    folder = new_table_path(pages.sparkSession)
     rows = with_revisits(pages, id_col, payload_col, url_col, least_bytes)
     archives = write_archives(rows, f"{folder}/stream")
-    index = normalise_archives(archives, f"{folder}/stream", f"{folder}/members")
-    return read_records(index, f"{folder}/members").withColumnRenamed("_id", id_col)
+    normal = normalise_archives(archives, f"{folder}/stream", f"{folder}/members")
+    found = read_records(read_sidecars(normal, f"{folder}/members"), f"{folder}/members")
+    kind = dict(pages.dtypes)[id_col]
+    return found.select(
+        F.col("_id").cast(kind).alias(id_col), "payload_bytes", "payload_digest", "record_type", F.col("refers_to").cast(kind).alias("refers_to"))
