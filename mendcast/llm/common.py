@@ -5,7 +5,7 @@ from __future__ import annotations
 import numpy as np
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
-from mendcast.layout import materialise
+from mendcast.layout import attach_salted, materialise
 
 SPACE = r"[\x20\x09-\x0D]+"
 
@@ -46,6 +46,22 @@ def crc_of_id(name: str = "doc_id") -> Column:
     return F.crc32(F.col(name).cast("string"))
 
 
+SMALL = 10_000
+
+
+def attach_small(rows: DataFrame, facts: DataFrame, keys: list[str], spread_by: str, how: str = "inner") -> DataFrame:
+    """Joins a stored table with one short row per group, without sending a group to one task.
+
+    Up to ``SMALL`` rows are broadcast, counted first; beyond that hot groups are salted (``facts`` then holds their sizes as ``_n``).
+    """
+    if facts.limit(SMALL + 1).count() <= SMALL:
+        return rows.join(F.broadcast(facts), keys, how)
+    if how == "left":
+        lone = rows.join(facts.select(*keys), keys, "left_anti")
+        return attach_salted(rows, facts, keys, spread_by).unionByName(lone, allowMissingColumns=True)
+    return attach_salted(rows, facts, keys, spread_by)
+
+
 def mix64(x: np.ndarray) -> np.ndarray:
     """Finaliser that spreads every input bit over all 64 output bits."""
     x = x ^ (x >> np.uint64(33))

@@ -19,10 +19,10 @@ columns are ignored.
 from __future__ import annotations
 
 import numpy as np
-from pyspark.sql import Column, DataFrame, functions as F
+from pyspark.sql import Column, DataFrame, Window as W, functions as F
 
 from mendcast.layout import materialise
-from mendcast.llm.common import WordTable, map_batches, numbered
+from mendcast.llm.common import WordTable, attach_small, map_batches, numbered
 
 STATS = {
     "lang": "string", "n_words": "long", "word_chars": "long", "n_symbols": "long", "n_dup_lines": "long", "n_repeat_words": "long",
@@ -153,17 +153,35 @@ def base_failed(least_words: int = 50, repeat_percent: int = 50) -> Column:
     return (F.col("n_words") < least_words) | (100 * F.col("n_repeat_words") > repeat_percent * F.col("n_words"))
 
 
+#: Width of a histogram cell: what bands are rounded to.
+CELL = 1e-4
+
+
+def quantiles(rows: DataFrame, measures: dict[str, Column], probs: dict[str, float]) -> DataFrame:
+    """``_group, _n`` and a column ``{measure}_{name}`` for each measure and probability.
+
+    Values are counted in cells of ``CELL``: whole numbers that add up to the same however rows are dealt out, so the bands do not
+    depend on partitions or retries. Counts are combined before the shuffle; a window sees the cells of one group and measure.
+    """
+    pairs = F.array(*[F.struct(F.lit(m).alias("m"), F.round(v / CELL).cast("long").alias("cell")) for m, v in measures.items()])
+    cells = rows.select("_group", F.explode(pairs).alias("_p")).groupBy("_group", "_p.m", "_p.cell").agg(F.count("*").alias("c"))
+    order = W.partitionBy("_group", "m").orderBy("cell")
+    upto = F.sum("c").over(order)
+    counted = cells.withColumn("upto", upto).withColumn("n", F.sum("c").over(W.partitionBy("_group", "m")))
+    found = [
+        F.min(F.when((F.col("m") == m) & (F.col("upto") >= F.ceil(p * F.col("n"))), F.col("cell") * CELL)).alias(f"{m}_{name}")
+        for m in measures for name, p in probs.items()
+    ]
+    return counted.groupBy("_group").agg(F.max("n").alias("_n"), *found)
+
+
 def fertility_bands(stats: DataFrame, least: int, settled: int) -> DataFrame:
-    """Centre and spread of every measure per group, over the documents that passed the base rule."""
+    """Stored: centre and spread of every measure per group, over the documents that passed the base rule."""
     passed = stats.where(~F.col("base_failed"))
-    centres = passed.groupBy("_group").agg(
-        F.count("*").alias("_n"), *[F.percentile_approx(m, 0.5, 1000).alias(f"{m}_centre") for m in MEASURES]
-    ).where(F.col("_n") >= least)
-    spread = [
-        (F.percentile_approx(scaled(m, settled), 0.75, 1000) - F.percentile_approx(scaled(m, settled), 0.25, 1000)).alias(f"{m}_spread")
-        for m in MEASURES
-    ]
-    return centres.join(passed.join(centres, "_group").groupBy("_group").agg(*spread), "_group")
+    centres = materialise(quantiles(passed, {m: F.col(m) for m in MEASURES}, {"centre": 0.5}).where(F.col("_n") >= least))
+    quarters = quantiles(attach_small(passed, centres, ["_group"], "_id"), {m: scaled(m, settled) for m in MEASURES}, {"low": 0.25, "high": 0.75})
+    spread = [(F.col(f"{m}_high") - F.col(f"{m}_low")).alias(f"{m}_spread") for m in MEASURES]
+    return materialise(centres.join(quarters.select("_group", *spread), "_group"))
 
 
 def scaled(m: str, settled: int) -> Column:
@@ -190,7 +208,7 @@ def fertility_quality(
         F.when(below["token_entropy"], F.lit("low token entropy")),
     )
     return (
-        stats.join(bands, "_group", "left").withColumn("verdict", verdict)
+        attach_small(stats, bands, ["_group"], "_id", "left").withColumn("verdict", verdict)
         .select(
             F.col("_id").alias(id_col), "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed",
             F.col("verdict").isNull().alias("kept"), "verdict", F.col("_group").alias("band_group"), "n_tokens", *MEASURES,
