@@ -4,10 +4,10 @@ The index has one entry per 64-bit text hash. Its directory starts with one buck
 ``capacity`` is split on the next hash bit, which doubles the part of the directory above it, until every bucket fits.
 All depths are counted in one aggregation over a histogram, so the splits need no pass over the texts. Owners are ranges
 of buckets; they write their entries as Parquet into the shared folder. Entries that several rows share form chains:
-the rows of a chain are compared byte by byte by grouping on the text itself, which partial aggregation does before the
-shuffle, so a text that makes up a third of all rows reaches its owner as one row per task.
+only their rows are read again, and compared byte by byte in their bucket by grouping on the text itself. Partial aggregation
+does that before the shuffle, so a text that makes up a third of all rows reaches its owner as one row per task.
 
-Defined results: a null text counts as empty, null ids sort last, of repeated rows with the same id and text exactly
+Defined results: ids may be of any ordered type; a null text counts as empty, null ids sort last, of repeated rows with the same id and text exactly
 one is kept, an empty table gives an empty result, further columns are ignored.
 """
 
@@ -20,8 +20,6 @@ from pyspark.sql import DataFrame, functions as F
 from mendcast.layout import materialise
 from mendcast.llm.common import one_spaced, text_or_empty
 
-LAST = (1 << 63) - 1
-
 
 def finest_depth(n_entries: int, capacity: int) -> int:
     """Depth of the histogram: 64 cells for each bucket that uniform hashes would need."""
@@ -57,18 +55,20 @@ def build_index(entries: DataFrame, capacity: int) -> DataFrame:
 
 
 def chains(docs: DataFrame, index: DataFrame, id_col: str, text_col: str) -> DataFrame:
-    """Texts that occur more than once, found by their bytes: (``_h``, ``text_sha256``, ``keep_id``, ``group_size``, ``bucket``).
+    """Texts that occur more than once: (``_h``, ``text_sha256``, ``keep_id``, ``group_size``, ``bucket``).
 
-    All texts are grouped, not only those that the index calls shared: a join that picks the shared ones first would either
-    broadcast a list that grows with the table or send a frequent text's rows to one task before they are added up.
+    The index tells which hashes several rows share; only those rows are looked at again. They meet in their bucket, where the
+    texts themselves are compared, so a collision of hashes gives chains of their own. Spark chooses how the rows meet the shared
+    hashes (a hot hash is a skewed join with one row on the other side) and adds up equal texts before they reach their owner.
     """
-    grouped = (
-        docs.select(F.col(id_col).alias("_id"), one_spaced(text_or_empty(text_col)).alias("_text"))
-        .groupBy(F.xxhash64("_text").alias("_h"), "_text").agg(F.min("_id").alias("keep_id"), F.count("*").alias("group_size"))
+    shared = index.where(F.col("_n") > 1).select("_h", "bucket")
+    rows = docs.select(F.col(id_col).alias("_id"), one_spaced(text_or_empty(text_col)).alias("_text"))
+    return (
+        rows.withColumn("_h", F.xxhash64("_text")).join(shared, "_h")
+        .groupBy("bucket", "_h", "_text").agg(F.min("_id").alias("keep_id"), F.count("*").alias("group_size"))
         .where(F.col("group_size") > 1)
-        .select("_h", F.sha2("_text", 256).alias("text_sha256"), "keep_id", "group_size")
+        .select("bucket", "_h", F.sha2("_text", 256).alias("text_sha256"), "keep_id", "group_size")
     )
-    return grouped.join(index.where(F.col("_n") > 1).select("_h", "bucket"), "_h")
 
 
 def exact_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", capacity: int = 4096) -> DataFrame:
@@ -82,7 +82,7 @@ def exact_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     heads = chains(docs, build_index(entries, capacity), id_col, text_col)
     first = (
         entries.groupBy("_h", "text_sha256")
-        .agg(F.min_by("_row", F.coalesce(F.col("_id").cast("long"), F.lit(LAST))).alias("_first"), F.count("*").alias("_k"))
+        .agg(F.min_by("_row", F.struct(F.col("_id").isNull(), F.col("_id"))).alias("_first"), F.count("*").alias("_k"))
         .where(F.col("_k") > 1).drop("_k")
     )
     facts = materialise(heads.join(first, ["_h", "text_sha256"]))  # stored, so that the next join can split a frequent text

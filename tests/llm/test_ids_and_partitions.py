@@ -16,6 +16,23 @@ def test_exact_dedup_with_text_ids(spark):
     assert sorted(r.doc_id for r in got if r.kept) == ["a", "c", "d"]
 
 
+def test_copies_come_from_the_index(spark, monkeypatch):
+    """Entries that the index does not call shared are not compared; two texts under one hash stay apart."""
+    from mendcast.llm import exact_dedup as ed
+
+    docs = spark.createDataFrame([(i, t) for i, t in enumerate(["a", "a", "b", "b", "c"])], "doc_id long, text string")
+    whole = ed.build_index
+    monkeypatch.setattr(ed, "build_index", lambda entries, capacity: whole(entries, capacity).withColumn("_n", F.lit(1)))
+    assert all(r.group_size == 1 and r.kept for r in ed.exact_dedup(docs).collect())
+    monkeypatch.undo()
+    one = spark.createDataFrame([(0, 5, 0, 5)], "bucket long, local_depth int, _h long, _n long")
+    real = F.xxhash64
+    monkeypatch.setattr(ed.F, "xxhash64", lambda *c: F.lit(0).cast("long"))
+    found = {(r.keep_id, r.group_size) for r in ed.chains(docs, one, "doc_id", "text").collect()}
+    monkeypatch.setattr(ed.F, "xxhash64", real)
+    assert found == {(0, 2), (2, 2)}
+
+
 def test_archives_with_text_ids(spark):
     from mendcast.llm.warc import archive_round_trip
 
