@@ -58,10 +58,11 @@ def chains(docs: DataFrame, index: DataFrame, id_col: str, text_col: str) -> Dat
     """Texts that occur more than once: (``_h``, ``text_sha256``, ``keep_id``, ``group_size``, ``bucket``).
 
     The index tells which hashes several rows share; only those rows are looked at again. They meet in their bucket, where the
-    texts themselves are compared, so a collision of hashes gives chains of their own. Spark chooses how the rows meet the shared
-    hashes (a hot hash is a skewed join with one row on the other side) and adds up equal texts before they reach their owner.
+    texts themselves are compared, so a collision of hashes gives chains of their own. The shared hashes grow with the table, so
+    they are never broadcast; a hot hash is a skewed join with one row on the other side. Equal texts are added up before they reach
+    their owner.
     """
-    shared = index.where(F.col("_n") > 1).select("_h", "bucket")
+    shared = index.where(F.col("_n") > 1).select("_h", "bucket").hint("shuffle_hash")
     rows = docs.select(F.col(id_col).alias("_id"), one_spaced(text_or_empty(text_col)).alias("_text"))
     return (
         rows.withColumn("_h", F.xxhash64("_text")).join(shared, "_h")
