@@ -165,19 +165,23 @@ HOT_GROUPS = 1000
 ROWS_PER_SALT = 1 << 20
 
 
-def attach_salted(rows: DataFrame, facts: DataFrame, keys: list[str], spread_by: str) -> DataFrame:
+def attach_salted(
+    rows: DataFrame, facts: DataFrame, keys: list[str], spread_by: str, per_salt: int = ROWS_PER_SALT, hint: str | None = None,
+) -> DataFrame:
     """Same for rows without a position: ``facts`` (a stored table) has the group size ``_n``, hot groups are salted.
 
-    Hot means more than a thousandth of all rows, so there are never more than ``HOT_GROUPS`` of them and
-    only their keys are broadcast. Each gets one salt per ``ROWS_PER_SALT`` rows; other groups keep salt 0.
+    Hot means more than a thousandth of the rows of ``facts``, so there are never more than ``HOT_GROUPS`` of them and
+    only their keys are broadcast. Each gets one salt per ``per_salt`` rows; other groups keep salt 0. ``hint`` names the
+    join of the others, where Spark's choice should not change with the size.
     """
     share = facts.agg((F.sum("_n") / HOT_GROUPS).alias("s")).scalar()
-    salts = F.ceil(F.col("_n") / ROWS_PER_SALT)
+    salts = F.ceil(F.col("_n") / per_salt)
     sized = facts.withColumn(
-        "_salts", F.when((F.col("_n") > share) & (F.col("_n") > ROWS_PER_SALT), salts).otherwise(F.lit(1))
+        "_salts", F.when((F.col("_n") > share) & (F.col("_n") > per_salt), salts).otherwise(F.lit(1))
     )
     hot = F.broadcast(sized.where(F.col("_salts") > 1).select(*keys, F.col("_salts").alias("_k")))
     salted = sized.withColumn("_salt", F.explode(F.sequence(F.lit(0).cast("long"), F.col("_salts") - 1))).drop("_salts")
+    salted = salted.hint(hint) if hint else salted
     return (
         rows.join(hot, keys, "left")
         .withColumn("_salt", F.pmod(F.xxhash64(spread_by), F.coalesce("_k", F.lit(1).cast("long"))))
