@@ -17,9 +17,12 @@ import math
 
 from pyspark.sql import DataFrame, functions as F
 
-from mendcast.layout import materialise
+from mendcast.layout import attach_salted, materialise
 from mendcast.llm.common import one_spaced, text_or_empty
 
+#: Rows of a hot hash that one task compares.
+ROWS_PER_SALT = 1024
+
 
 def finest_depth(n_entries: int, capacity: int) -> int:
     """Depth of the histogram: 64 cells for each bucket that uniform hashes would need."""
@@ -59,13 +62,14 @@ def chains(docs: DataFrame, index: DataFrame, id_col: str, text_col: str) -> Dat
 
     The index tells which hashes several rows share; only those rows are looked at again. They meet in their bucket, where the
     texts themselves are compared, so a collision of hashes gives chains of their own. The shared hashes grow with the table, so
-    they are never broadcast; a hot hash is a skewed join with one row on the other side. Equal texts are added up before they reach
-    their owner.
+    they are never broadcast; the rows of a hot hash, whose number the index holds, are salted. Equal texts are added up before
+    they reach their owner.
     """
-    shared = index.where(F.col("_n") > 1).select("_h", "bucket").hint("shuffle_hash")
+    shared = index.where(F.col("_n") > 1).select("_h", "bucket", "_n")
     rows = docs.select(F.col(id_col).alias("_id"), one_spaced(text_or_empty(text_col)).alias("_text"))
+    numbered = rows.withColumns({"_h": F.xxhash64("_text"), "_row": F.monotonically_increasing_id()})
     return (
-        rows.withColumn("_h", F.xxhash64("_text")).join(shared, "_h")
+        attach_salted(numbered, shared, ["_h"], "_row", ROWS_PER_SALT, "shuffle_hash")
         .groupBy("bucket", "_h", "_text").agg(F.min("_id").alias("keep_id"), F.count("*").alias("group_size"))
         .where(F.col("group_size") > 1)
         .select("bucket", "_h", F.sha2("_text", 256).alias("text_sha256"), "keep_id", "group_size")
