@@ -13,8 +13,9 @@ small sets use anyway). With single shingles every set has enough, so no deletio
 would cost as many entries as the segment has elements, and a further segment costs one.
 
 Candidates are verified on the whole sets. Sets that share a segment are first compared with the most central set among them and joined into
-components; pairs inside one component need no comparison, and only pairs between components remain, so a group of k near copies
-costs about k comparisons. The result is exact: every pair of sets that could link was compared or is already connected.
+components; pairs inside one component need no comparison, and only pairs between components remain. For these the partition
+is refined to single shingles, rarest first (``remaining_pairs``), so a group of k near copies costs about k comparisons. The result
+is exact: every pair of sets that could link was compared or is already connected.
 
 Defined results: a text without words has the empty set and is alone; fewer words than a shingle form one shingle; equal sets
 are one set; null ids sort last and repeated rows share a class; an empty table gives an empty result; further columns are
@@ -26,7 +27,7 @@ from __future__ import annotations
 import math
 
 import numpy as np
-from pyspark.sql import DataFrame, Window as W, functions as F
+from pyspark.sql import Column, DataFrame, Window as W, functions as F
 
 from mendcast.layout import materialise
 from mendcast.llm.common import map_batches, mix64, numbered
@@ -267,8 +268,8 @@ def chosen_members(shared: DataFrame, facts: DataFrame) -> DataFrame:
     per_set = rows.groupBy("k", "scheme").agg(F.count("*").alias("_shared")).join(uses, ["k", "scheme"])
     wanted = per_set.select(
         "k", "scheme", "n", "total", F.col("_shared").alias("have"), (F.col("_shared") / F.col("total")).alias("central"),
-        F.when(F.col("probe") > 0, F.col("probe") - (F.col("total") - F.col("_shared"))).otherwise(0).alias("_wanted"),
-    )
+        F.when(F.col("probe") > 0, F.col("probe") - (F.col("total") - F.col("_shared"))).otherwise(0).alias("_wanted"), "probe",
+    ).where((F.col("probe") == 0) | (F.col("_wanted") > 0)).drop("probe")  # the others have no partner, so they are none either
     cheapest = F.row_number().over(W.partitionBy("k", "scheme").orderBy("cost", "sig"))
     ranked = rows.join(wanted, ["k", "scheme"]).withColumn("chosen", cheapest <= F.col("_wanted"))
     probed = ranked.where("chosen").select("sig").distinct()
@@ -361,18 +362,58 @@ def star_pairs(members: DataFrame, labels: DataFrame | None, tried: DataFrame |
     return _pairs(first, "k", "pk", tried)
 
 
-def remaining_pairs(members: DataFrame, labels: DataFrame | None, tried: DataFrame | None, percent: int) -> DataFrame:
-    """Every probe with every set of another component that shares the segment.
+CLASS_RATIO = 1.03
+
+
+def size_class(n: Column) -> Column:
+    return F.floor(F.log(n.cast("double")) / math.log(CLASS_RATIO)).cast("int")
+
+
+def remaining_pairs(sets: DataFrame, labels: DataFrame | None, tried: DataFrame | None, percent: int) -> DataFrame:
+    """Pairs of different components that single shingles do not rule out.
 
-    The largest component of a segment is never joined with itself: its probes meet the other sets only.
+    Two sets that link share ``least`` shingles, so one of the first ``n - least + 1`` of either set, in any order, is among them.
+    Of two components the smaller one asks, with its sets' rarest shingles first. A set just below the threshold to the centre of its
+    group has that many shingles which hardly any other set holds, so it meets next to nobody, however large the group is. ``least`` grows
+    with the partner's size: a question goes only to those classes of sizes for which it is early enough.
     """
-    rows = _labelled(members, labels)
-    sizes = rows.groupBy("sig", "label").agg(F.count("*").alias("c"))
-    top = sizes.groupBy("sig").agg(F.max(F.struct("c", "label")).alias("t"), F.count("*").alias("parts")).where("parts > 1")
-    rows = rows.join(top.select("sig", F.col("t.label").alias("tl")), "sig").withColumn("small", F.col("label") != F.col("tl"))
-    probes = rows.where("chosen").select("sig", *[F.col(c).alias(f"a{c}") for c in ("k", "n", "label", "total", "small")])
-    meet = probes.where("asmall").join(rows, "sig").unionByName(probes.where("NOT asmall").join(rows.where("small"), "sig"))
-    return _pairs(meet.where((F.col("alabel") != F.col("label")) & _may_link("an", "atotal", "n", "have", percent)), "ak", "k", tried)
+    import pyarrow as pa
+
+    def unfold(batches):
+        for batch in batches:
+            ids, labelled, tokens = batch.column("k").to_numpy(), batch.column("label").to_numpy(), [np.frombuffer(t.as_buffer(), np.int64) for t in batch.column("tokens")]
+            for i in range(0, len(tokens), 1024):
+                part = tokens[i: i + 1024]
+                sizes = np.array([len(t) for t in part], np.int64)
+                if sizes.sum():
+                    columns = [np.repeat(ids[i: i + 1024], sizes), np.repeat(labelled[i: i + 1024], sizes), np.repeat(sizes, sizes), np.concatenate(part)]
+                    yield pa.RecordBatch.from_arrays([pa.array(c) for c in columns], ["k", "label", "n", "token"])
+
+    rows = _labelled(sets, labels).select("k", "label", "tokens").mapInArrow(unfold, "k long, label long, n long, token long")
+    sizes = _labelled(sets.select("k"), labels).groupBy("label").agg(F.count("*").alias("weight"))
+    heavy = sizes.where("weight > 1")
+    counted = rows.groupBy("token").agg(F.count("*").alias("df")).where("df > 1")
+    # only shingles of two sets and more can be shared; the rest come first in every set's order and need no row
+    held = materialise(rows.join(counted, "token").join(heavy, "label", "left").withColumn("weight", F.coalesce("weight", F.lit(1))))
+    shared = held.groupBy("k").agg(F.count("*").alias("_shared"))
+    place = F.row_number().over(W.partitionBy("k").orderBy("df", "token"))
+    ranked = held.join(shared, "k").withColumn("place", F.col("n") - F.col("_shared") + place)
+
+    def least(a, b):
+        return F.ceil(percent * (a + b) / (100 + percent))
+
+    smallest = F.ceil(F.col("n") * percent / 100)
+    asked = ranked.where(F.col("place") <= F.col("n") - least(F.col("n"), smallest) + 1).select(
+        "token", *[F.col(c).alias(f"a{c}") for c in ("k", "label", "n", "weight", "place")])
+    there = held.select("token", "k", "label", "n", "weight", size_class(F.col("n")).alias("size"))
+    classes = there.groupBy("token", "size").agg(F.min("n").alias("_n"), F.max(F.struct("weight", "label")).alias("_top"), F.max("n").alias("_most"))
+    near = (F.col("aplace") <= F.col("an") - least(F.col("an"), F.col("_n")) + 1) & (100 * F.col("_most") >= percent * F.col("an")) & (
+        100 * F.col("an") >= percent * F.col("_n")) & (F.struct(F.col("aweight").alias("weight"), F.col("alabel").alias("label")) < F.col("_top"))
+    questions = asked.join(classes, "token").where(near).select("token", "size", "ak", "alabel", "an", "aweight", "aplace")
+    a, b = F.col("an"), F.col("n")
+    later = F.struct(F.col("aweight").alias("weight"), F.col("alabel").alias("label")) < F.struct("weight", "label")
+    fits = (F.col("aplace") <= a - least(a, b) + 1) & (100 * F.least(a, b) >= percent * F.greatest(a, b))
+    return _pairs(questions.join(there, ["token", "size"]).where(later & fits), "ak", "k", tried)
 
 
 def near_duplicate_classes(
@@ -392,8 +433,8 @@ def near_duplicate_classes(
         sets = needed_sets(docs, facts, members, words, text_col)
         links = tried = None
         for turn in range(STAR_ROUNDS + 1):
-            form = star_pairs if turn < STAR_ROUNDS else remaining_pairs
-            pairs = materialise(form(members, labels, tried, percent))
+            pairs = materialise(
+                star_pairs(members, labels, tried, percent) if turn < STAR_ROUNDS else remaining_pairs(sets, labels, tried, percent))
             if pairs.isEmpty():
                 continue
             found = materialise(verified(pairs, sets, percent))

@@ -88,3 +88,45 @@ def test_large_facts_are_salted_not_broadcast(spark, monkeypatch):
     pick = ["_id", "k", "_n", "m"]
     assert sorted(map(str, small.select(*pick).collect())) == sorted(map(str, large.select(*pick).collect()))
     assert common.attach_small(rows, facts, ["k"], "_id").count() == rows.where("k < 5").count()
+
+
+def test_near_copies_just_below_the_threshold(spark, monkeypatch):
+    """A group of near copies of which a third lies just below the threshold to the centre, some of them linked to each other."""
+    import itertools
+    import random
+
+    from mendcast.llm import jaccard_join as jj
+
+    rng = random.Random(12)
+    base = [f"w{i}" for i in range(150)]
+
+    def edited(words, n):
+        words = list(words)
+        for i in rng.sample(range(0, 150, 5), n):
+            words[i] = f"e{rng.randrange(60)}"
+        return words
+
+    texts = [base] + [edited(base, rng.randint(0, 4)) for _ in range(60)] + [edited(base, rng.randint(5, 9)) for _ in range(40)]
+    for _ in range(12):
+        far = edited(base, 7)
+        texts += [far, edited(far, 1), far[:-30]]
+    texts += [base[:110], base[:105], base[40:], ["z"] + base[:112]]
+    texts = [" ".join(t) for t in texts]
+    sets = [{tuple(t.split()[i: i + 5]) for i in range(max(1, len(t.split()) - 4))} for t in texts]
+    parent = list(range(len(texts)))
+
+    def root(i):
+        while parent[i] != i:
+            i = parent[i]
+        return i
+
+    for i, j in itertools.combinations(range(len(texts)), 2):
+        if 100 * len(sets[i] & sets[j]) >= 75 * len(sets[i] | sets[j]):
+            parent[max(root(i), root(j))] = min(root(i), root(j))
+    docs = spark.createDataFrame([(i, t) for i, t in enumerate(texts)], "doc_id long, text string").repartition(3)
+    rounds = {}
+    for n in (0, 2):  # without star rounds every link comes from the questions
+        monkeypatch.setattr(jj, "STAR_ROUNDS", n)
+        rounds[n] = {r.doc_id: r.component_id for r in jj.near_duplicate_classes(docs).collect()}
+        assert rounds[n] == {i: root(i) for i in range(len(texts))}
+    assert len(set(rounds[2].values())) > 20
