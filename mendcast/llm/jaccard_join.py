@@ -30,7 +30,7 @@ import numpy as np
 from pyspark.sql import Column, DataFrame, Window as W, functions as F
 
 from mendcast.layout import materialise
-from mendcast.llm.common import map_batches, mix64, numbered
+from mendcast.llm.common import mix64, numbered
 
 WORDS, PERCENT = 5, 75
 FIRST_BAND, RATIO, SPARE, SPARE_SHARE = 64, 4, 16, 0.15
@@ -185,48 +185,37 @@ def set_key(tokens: np.ndarray) -> int:
     return int(mix64(total ^ mix64(np.array([len(tokens)], np.uint64))).view(np.int64)[0])
 
 
-def set_facts(docs: DataFrame, schemes: Schemes, words: int, id_col: str, text_col: str) -> DataFrame:
-    """Stored: id, text hash ``th``, set key ``k``, size ``n``, and for each scheme the entries and the number to probe."""
-    text = F.col(text_col)
-    rows = docs.select(F.struct(F.col(id_col).alias("id"), F.xxhash64(text).alias("th")).alias("_id"), text.alias("_text"))
-
-    def maker():
-        shingles = Shingles(words)
-
-        def work(batch) -> dict:
-            out = {"n": [], "k": [], "scheme": [], "total": [], "probe": []}
-            for text in batch.column("_text"):
-                tokens = shingles.of(text.as_py())
-                uses = schemes.uses(len(tokens)) if len(tokens) else []
-                out["n"].append(len(tokens))
-                out["k"].append(set_key(tokens))
-                out["scheme"].append([k for k, _ in uses])
-                out["total"].append([schemes.total(k, tokens) for k, _ in uses])
-                out["probe"].append([p for _, p in uses])
-            return out | {c: pa.array(out[c], pa.list_(pa.int32())) for c in ("scheme", "total", "probe")}
-
-        return work
-
-    import pyarrow as pa
+def segments_and_facts(docs: DataFrame, schemes: Schemes, words: int, id_col: str, text_col: str) -> tuple[DataFrame, DataFrame]:
+    """Two views of one stored table, made in a single pass over the texts.
 
-    derived = {"n": "long", "k": "long", "scheme": "array<int>", "total": "array<int>", "probe": "array<int>"}
-    return materialise(map_batches(rows, maker, derived).select("_id.*", *derived))
-
-
-def index_entries(docs: DataFrame, schemes: Schemes, words: int, text_col: str) -> DataFrame:
-    """(``sig``, ``k``): every indexed segment of every set; a task gives equal sets once."""
+    Segments: (``sig``, ``k``, ``cost``) of the indexed segments that at least two sets hold, ``cost`` = number of entries; a task gives
+    equal sets once. Facts: a row per document with its id, text hash ``th``, set key ``k``, size ``n``, and for each scheme the entries
+    and the number to probe; they travel with the entries under numbers of their own.
+    """
     import pyarrow as pa
+    from pyspark import TaskContext
 
-    def flushed(sigs, keys):
-        return pa.RecordBatch.from_arrays([pa.array(np.concatenate(sigs).view(np.int64)), pa.array(np.concatenate(keys))], ["sig", "k"])
+    names = ["id", "th", "k", "n", "scheme", "total", "probe"]
+    numbers = [pa.int64()] * 3 + [pa.list_(pa.int32())] * 3
+    text = F.col(text_col)
+    rows = docs.select(F.col(id_col).alias("_id"), F.xxhash64(text).alias("_th"), text.alias("_text"))
 
     def run(batches):
-        shingles, seen = Shingles(words), set()
+        shingles, seen, kind = Shingles(words), set(), None
+        own = np.uint64(TaskContext.get().partitionId()) << np.uint64(40)
         for batch in batches:
-            sigs, keys, held = [], [], 0
+            kind = pa.struct(list(zip(names, [batch.schema.field("_id").type, *numbers])))
+
+            def entries(sigs, keys):
+                sig, k = np.concatenate(sigs).view(np.int64), np.concatenate(keys)
+                return pa.RecordBatch.from_arrays([pa.array(sig), pa.array(k), pa.nulls(len(k), kind)], ["sig", "k", "fact"])
+
+            sigs, keys, held, facts = [], [], 0, []
             for text in batch.column("_text"):
                 tokens = shingles.of(text.as_py())
                 key = set_key(tokens)
+                uses = schemes.uses(len(tokens)) if len(tokens) else []
+                facts.append((key, len(tokens), [k for k, _ in uses], [schemes.total(k, tokens) for k, _ in uses], [p for _, p in uses]))
                 if not len(tokens) or key in seen:
                     continue
                 seen.add(key)
@@ -235,23 +224,30 @@ def index_entries(docs: DataFrame, schemes: Schemes, words: int, text_col: str)
                 keys.append(np.full(len(sig), key))
                 held += len(sig)
                 if held > 200_000:
-                    yield flushed(sigs, keys)
+                    yield entries(sigs, keys)
                     sigs, keys, held = [], [], 0
             if held:
-                yield flushed(sigs, keys)
-
-    return docs.select(F.col(text_col).alias("_text")).mapInArrow(run, "sig long, k long")
-
-
-def shared_segments(entries: DataFrame) -> DataFrame:
-    """Stored: entries whose segment belongs to at least two sets, with ``cost`` = number of its entries."""
-    of_sig = W.partitionBy("sig")
-    return materialise(
-        entries.withColumn("_low", F.min("k").over(of_sig)).withColumn("_high", F.max("k").over(of_sig))
-        .withColumn("cost", F.count("*").over(of_sig))
-        .where(F.col("_low") != F.col("_high"))
-        .dropDuplicates(["sig", "k"]).select("sig", "k", "cost")
+                yield entries(sigs, keys)
+            if facts:
+                columns = [batch.column("_id"), batch.column("_th"), *[pa.array(c, t) for c, t in zip(zip(*facts), numbers[1:])]]
+                place = own + np.arange(len(facts), dtype=np.uint64)
+                own += np.uint64(len(facts))
+                sig = ((place << np.uint64(SCHEME_BITS)) | np.uint64((1 << SCHEME_BITS) - 1)).view(np.int64)
+                yield pa.RecordBatch.from_arrays(
+                    [pa.array(sig), columns[2], pa.StructArray.from_arrays(columns, fields=list(kind))], ["sig", "k", "fact"])
+
+    fact = f"struct<id:{dict(rows.dtypes)['_id']},th:bigint,k:bigint,n:bigint,scheme:array<int>,total:array<int>,probe:array<int>>"
+    of_sig = W.partitionBy("sig").orderBy("k")
+    whole = of_sig.rowsBetween(W.unboundedPreceding, W.unboundedFollowing)
+    before = F.lag("k").over(of_sig)
+    stored = materialise(
+        rows.mapInArrow(run, f"sig long, k long, fact {fact}")
+        .withColumn("_low", F.first("k").over(whole)).withColumn("_high", F.last("k").over(whole))
+        .withColumn("cost", F.count("*").over(whole)).withColumn("_again", F.coalesce(before == F.col("k"), F.lit(False)))
+        .where(F.col("fact").isNotNull() | ((F.col("_low") != F.col("_high")) & ~F.col("_again")))
+        .select("sig", "k", "cost", "fact")
     )
+    return stored.where("fact IS NULL").select("sig", "k", "cost"), stored.where("fact IS NOT NULL").select("fact.*")
 
 
 def chosen_members(shared: DataFrame, facts: DataFrame) -> DataFrame:
@@ -369,8 +365,8 @@ def size_class(n: Column) -> Column:
     return F.floor(F.log(n.cast("double")) / math.log(CLASS_RATIO)).cast("int")
 
 
-def remaining_pairs(sets: DataFrame, labels: DataFrame | None, tried: DataFrame | None, percent: int) -> DataFrame:
-    """Pairs of different components that single shingles do not rule out.
+def remaining_pairs(members: DataFrame, sets: DataFrame, labels: DataFrame | None, tried: DataFrame | None, percent: int) -> DataFrame:
+    """Pairs of different components that share a segment and that single shingles do not rule out.
 
     Two sets that link share ``least`` shingles, so one of the first ``n - least + 1`` of either set, in any order, is among them.
     Of two components the smaller one asks, with its sets' rarest shingles first. A set just below the threshold to the centre of its
@@ -389,15 +385,22 @@ def remaining_pairs(sets: DataFrame, labels: DataFrame | None, tried: DataFrame
                     columns = [np.repeat(ids[i: i + 1024], sizes), np.repeat(labelled[i: i + 1024], sizes), np.repeat(sizes, sizes), np.concatenate(part)]
                     yield pa.RecordBatch.from_arrays([pa.array(c) for c in columns], ["k", "label", "n", "token"])
 
+    met = _labelled(members, labels)
+    open_segments = met.groupBy("sig").agg(F.min("label").alias("_low"), F.max("label").alias("_high")).where("_low <> _high").select("sig")
+    sets = sets.join(met.join(open_segments, "sig", "left_semi").select("k").distinct(), "k", "left_semi")
     rows = _labelled(sets, labels).select("k", "label", "tokens").mapInArrow(unfold, "k long, label long, n long, token long")
     sizes = _labelled(sets.select("k"), labels).groupBy("label").agg(F.count("*").alias("weight"))
     heavy = sizes.where("weight > 1")
-    counted = rows.groupBy("token").agg(F.count("*").alias("df")).where("df > 1")
-    # only shingles of two sets and more can be shared; the rest come first in every set's order and need no row
-    held = materialise(rows.join(counted, "token").join(heavy, "label", "left").withColumn("weight", F.coalesce("weight", F.lit(1))))
-    shared = held.groupBy("k").agg(F.count("*").alias("_shared"))
+    counted = rows.groupBy("token").agg(
+        F.count("*").alias("df"), F.min("label").alias("_low"), F.max("label").alias("_high")).where("_low <> _high").select("token", "df")
+    # only shingles that two components hold can be shared by a pair; the rest come first in every set's order and need no row
+    met = rows.join(counted, "token")
+    # a partner shares at least the threshold of either set
+    enough = met.groupBy("k", "n").agg(F.count("*").alias("_shared")).where(100 * F.col("_shared") >= percent * F.col("n")).drop("n")
+    held = materialise(
+        met.join(enough, "k").join(heavy, "label", "left").withColumn("weight", F.coalesce("weight", F.lit(1))))
     place = F.row_number().over(W.partitionBy("k").orderBy("df", "token"))
-    ranked = held.join(shared, "k").withColumn("place", F.col("n") - F.col("_shared") + place)
+    ranked = held.withColumn("place", F.col("n") - F.col("_shared") + place)
 
     def least(a, b):
         return F.ceil(percent * (a + b) / (100 + percent))
@@ -421,20 +424,20 @@ def near_duplicate_classes(
 ) -> DataFrame:
     """One row per document: id, ``n_shingles``, ``component_id`` (smallest id reachable by links)."""
     schemes = Schemes(percent)
-    facts = set_facts(docs, schemes, words, id_col, text_col)
+    shared, facts = segments_and_facts(docs, schemes, words, id_col, text_col)
     lacking = F.exists(F.arrays_zip("scheme", "total", "probe"), lambda u: (u["scheme"] > 0) & (u["total"] < u["probe"]))
     sizes = facts.where(lacking).select(F.expr(f"int(floor(log({RATIO}, n / {FIRST_BAND}D))) + 1").alias("band")).distinct().collect()
     if sizes:  # a set with too few filled segments: its band is indexed by single shingles as well
         schemes = Schemes(percent, tuple(sorted({b for r in sizes for b in (r["band"] - 1, r["band"], r["band"] + 1)})))
-        facts = set_facts(docs, schemes, words, id_col, text_col)
-    members = chosen_members(shared_segments(index_entries(docs, schemes, words, text_col)), facts)
+        shared, facts = segments_and_facts(docs, schemes, words, id_col, text_col)
+    members = chosen_members(shared, facts)
     labels = None
     if not members.isEmpty():
         sets = needed_sets(docs, facts, members, words, text_col)
         links = tried = None
         for turn in range(STAR_ROUNDS + 1):
             pairs = materialise(
-                star_pairs(members, labels, tried, percent) if turn < STAR_ROUNDS else remaining_pairs(sets, labels, tried, percent))
+                star_pairs(members, labels, tried, percent) if turn < STAR_ROUNDS else remaining_pairs(members, sets, labels, tried, percent))
             if pairs.isEmpty():
                 continue
             found = materialise(verified(pairs, sets, percent))
