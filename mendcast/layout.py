@@ -72,6 +72,17 @@ def delete_stored(spark: SparkSession, path: str) -> None:
     where.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(where, True)
 
 
+@contextmanager
+def noted_tables():
+    """The paths of the tables stored inside the block, for a caller that deletes them later."""
+    tables: list[str] = []
+    _RUNS.append(tables)
+    try:
+        yield tables
+    finally:
+        _RUNS[:] = [open_run for open_run in _RUNS if open_run is not tables]
+
+
 @contextmanager
 def scratch_run(spark: SparkSession):
     """Deletes the tables stored inside the block when it ends. Results must be written before that."""
