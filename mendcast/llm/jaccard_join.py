@@ -30,7 +30,7 @@ import numpy as np
 from pyspark.sql import Column, DataFrame, Window as W, functions as F
 
 from mendcast.layout import materialise
-from mendcast.llm.common import mix64, numbered
+from mendcast.llm.common import mix64
 
 WORDS, PERCENT = 5, 75
 FIRST_BAND, RATIO, SPARE, SPARE_SHARE = 64, 4, 16, 0.15
@@ -38,6 +38,7 @@ STEPS = 24
 SCHEME_BITS = 5
 STAR_ROUNDS = 2
 KNOWN_WORDS = 500_000
+WORD = r"[^\x20\x09-\x0D]"
 
 
 def most_different(a: int, b: int, percent: int) -> int:
@@ -459,9 +460,29 @@ def near_duplicate_classes(
 
 
 def keep_class_representatives(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """``docs`` with the row of the smallest id of every class, all columns kept. The stage form of the join."""
-    stored = numbered(docs)
-    place = F.struct(F.col(f"_doc.{id_col}").isNull().alias("no_id"), F.col(f"_doc.{id_col}").alias("id"), F.col("_row").alias("row"))
-    view = stored.select(place.alias("place"), F.col(f"_doc.{text_col}").alias("text"))
-    first = near_duplicate_classes(view, id_col="place", text_col="text").where(F.col("place") == F.col("component_id"))
-    return stored.join(first.select(F.col("place.row").alias("_row")), "_row", "left_semi").select("_doc.*")
+    """``docs`` with the row of the smallest id of every class, all columns kept. The stage form of the join.
+
+    A row is known by its id and 128 bits of its text, so no numbered copy of the rows is stored; ``docs`` is read several times. Texts
+    without words all stay. Of rows that repeat both id and text one stays, whichever its other columns are.
+    """
+    text = F.col(text_col)
+    place = F.struct(
+        F.col(id_col).isNull().alias("no_id"), F.col(id_col).alias("id"), F.xxhash64(text).alias("h1"), F.xxhash64(F.lit(1), text).alias("h2"))
+    view = docs.select(place.alias("place"), text.alias("text"))
+    first = near_duplicate_classes(view, id_col="place", text_col="text").where((F.col("n_shingles") > 0) & (F.col("place") == F.col("component_id")))
+    winners = materialise(first.groupBy("place").agg(F.count("*").alias("_n")))
+
+    names = [f"_c{i}" for i in range(len(docs.columns))]
+    keyed = docs.select(place.alias("_place"), F.coalesce(text.rlike(WORD), F.lit(False)).alias("_worded"), F.struct(*[
+        docs[c].alias(n) for c, n in zip(docs.columns, names)]).alias("_doc"))
+
+    def rows_of(places: DataFrame) -> DataFrame:
+        places = places.select(*[F.col(f"place.{c}").alias(f"_{c}") for c in ("no_id", "id", "h1", "h2")])
+        same = [F.col(f"_place.{c}").eqNullSafe(F.col(f"_{c}")) for c in ("no_id", "id", "h1", "h2")]
+        return keyed.where("_worded").join(places, same, "left_semi")
+
+    kept = rows_of(winners.where("_n = 1")).select("_doc")
+    repeated = winners.where("_n > 1")
+    if not repeated.isEmpty():
+        kept = kept.union(rows_of(repeated).groupBy("_place").agg(F.first("_doc").alias("_doc")).select("_doc"))
+    return kept.union(keyed.where("NOT _worded").select("_doc")).select(*[F.col(f"_doc.{n}").alias(c) for n, c in zip(names, docs.columns)])

@@ -294,6 +294,26 @@ def test_jaccard_join(docs, none, rows):
     assert near_duplicate_classes(none).count() == 0 and keep_class_representatives(none).count() == 0
 
 
+def test_representatives_of_repeated_and_unnamed_rows(spark):
+    """Null ids sort last, one of repeated rows stays, texts without words all stay, whatever the partitions and column names."""
+    from mendcast.llm.jaccard_join import keep_class_representatives
+
+    rng = random.Random(11)
+    a, b, c = (prose(rng, 80) for _ in range(3))
+    near = a.rsplit(" ", 1)[0] + " other"
+    data = [(5, a), (5, a), (2, near), (None, a), (None, b), (None, b), (7, b + " x"), (9, c), (9, c.upper()), (9, None), (9, None), (9, ""), (None, " ")]
+    want = collections.Counter([(2, near), (7, b + " x"), (9, None), (9, None), (9, ""), (None, " ")])
+    for parts in (1, 4):
+        docs = spark.createDataFrame([(*r, {"k": "v"}, "p") for r in data], "doc_id bigint, text string, _doc map<string,string>, _place string").repartition(parts)
+        kept = keep_class_representatives(docs)
+        assert kept.columns == docs.columns
+        got = collections.Counter((r.doc_id, r.text) for r in kept.collect())
+        assert [got.pop((9, t), 0) for t in (c, c.upper())] in ([0, 1], [1, 0])
+        assert got == want
+    lone = spark.createDataFrame([(3, a), (3, a)], "doc_id bigint, text string")
+    assert keep_class_representatives(lone).count() == 1
+
+
 @pytest.mark.parametrize("size", [40, 70, 250, 300, 1100])
 def test_pigeonhole_loses_no_pair(size):
     """Any two sets over the threshold share a segment that the smaller one may probe, whichever it picks."""
