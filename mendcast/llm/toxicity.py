@@ -2,8 +2,9 @@
 
 Word evidence: each word stands for itself and for its prefixes. For every such feature the labelled rows give the number of
 documents and of toxic documents that hold it, added up over all of them by the feature's 63-bit hash: of N features about N^2 / 2^64
-pairs would be confused. Features that ``SUPPORT`` documents hold are stored; scoring reads them past the words of a batch of
-texts, so neither the driver nor a worker holds the table, which grows with the corpus. With a Dirichlet prior whose mass
+pairs would be confused. The labelled rows are bounded: beyond ``LABELLED`` of them (in expectation) a sample by id is learned from.
+Features that ``SUPPORT`` documents hold are stored, so the table is bounded with them; each worker loads it once, 16 bytes a
+feature, and neither the driver nor a batch of texts reads it. With a Dirichlet prior whose mass
 ``PRIOR`` is spread like the corpus, a feature seen in n documents of which t are toxic has the log-odds
 log((t + PRIOR) / (n * share + PRIOR)), share being the part of toxic documents; a word takes the value of its longest
 feature that at least ``SUPPORT`` documents hold. A constant ``DRIFT`` is subtracted, so that ordinary text loses score.
@@ -19,12 +20,14 @@ labelled rows that holds ``SAMPLE`` documents in expectation. There every docume
 not been counted, so the fit sees the values that an unlabelled text would get.
 
 Defined results: null and empty texts have no passage; without both labels among the rows to learn from every score is 0;
-null labels and ids teach nothing; repeated rows count as rows; further columns are ignored.
+null labels and ids teach nothing; a document with labels that contradict each other is toxic; repeated rows count as rows; further
+columns are ignored.
 """
 
 from __future__ import annotations
 
 from dataclasses import dataclass
+from functools import lru_cache
 from hashlib import blake2b
 
 import numpy as np
@@ -36,6 +39,8 @@ from mendcast.llm.common import WordTable, crc_of_id, map_batches, shared_files
 PREFIXES = (4, 5, 6)
 PRIOR, SUPPORT, DRIFT, SIGNIFICANT = 1.0, 5, 0.8, 0.05
 SAMPLE = 8000
+#: Labelled rows that are learned from, in expectation. It bounds the stored table and the training, never what is scored.
+LABELLED = 200_000
 STEP, LOWEST = 0.05, -8.0
 TRIMMED = "".join(chr(i) for i in range(33, 127) if not chr(i).isalnum())
 LEVELS = len(PREFIXES) + 1
@@ -59,6 +64,23 @@ def level_log_odds(toxic: np.ndarray, seen: np.ndarray, share: float) -> np.ndar
     return np.log((toxic + PRIOR) / (seen * share + PRIOR))
 
 
+@lru_cache(maxsize=1)
+def loaded(files: tuple[str, ...]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """The stored table of a model by ascending key: keys, documents, toxic documents. The last one stays in the worker."""
+    import pyarrow.parquet as pq
+
+    columns: tuple[list, list, list] = ([np.zeros(0, np.int64)], [np.zeros(0, np.int32)], [np.zeros(0, np.int32)])
+    for name in files:
+        folder, path = shared_files(name)
+        with folder.open_input_file(path) as source:
+            part = pq.read_table(source, columns=["key", "seen", "toxic"])
+        for held, column, kind in zip(columns, ("key", "seen", "toxic"), (np.int64, np.int32, np.int32)):
+            held.append(part[column].to_numpy().astype(kind))
+    keys, seen, toxic = map(np.concatenate, columns)
+    order = np.argsort(keys)[np.count_nonzero(keys < 0):]  # the row of totals is no feature
+    return keys[order], seen[order], toxic[order]
+
+
 @dataclass
 class ToxicModel:
     """Files with the counts per feature; ``lam`` and ``log_k`` of the extreme-value law; logistic weights for (1, best, sum)."""
@@ -71,21 +93,12 @@ class ToxicModel:
 
     def counts(self, at: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """Documents and toxic documents of every key; 0 for those that are not stored."""
-        import pyarrow.parquet as pq
-
-        want, place = np.unique(at, return_inverse=True)
-        found = np.zeros((2, len(want)), np.int64)
-        for name in self.files:
-            files, path = shared_files(name)
-            with files.open_input_file(path) as source:
-                stored = pq.ParquetFile(source)
-                for group in range(stored.num_row_groups):
-                    part = stored.read_row_group(group, ["key", "seen", "toxic"])
-                    keys = part["key"].to_numpy()
-                    where = np.minimum(np.searchsorted(want, keys), len(want) - 1)
-                    hit = (want[where] == keys) & (keys >= 0)
-                    found[:, where[hit]] = part["seen"].to_numpy()[hit], part["toxic"].to_numpy()[hit]
-        return found[0][place].reshape(at.shape), found[1][place].reshape(at.shape)
+        keys, seen, toxic = loaded(tuple(self.files))
+        if not len(keys):
+            return np.zeros(at.shape, np.int64), np.zeros(at.shape, np.int64)
+        where = np.minimum(np.searchsorted(keys, at), len(keys) - 1)
+        hit = keys[where] == at
+        return np.where(hit, seen[where], 0).astype(np.int64), np.where(hit, toxic[where], 0).astype(np.int64)
 
     def word_scores(self, label: int | None):
         """Function from words to scores. With a label, as if one document of that label had not been counted."""
@@ -106,14 +119,6 @@ class ToxicModel:
         return score
 
 
-def look_up_words(memo: WordTable, texts) -> None:
-    """Looks up the words of all these texts at once, so that the stored table is read once for them."""
-    words = set()
-    for text in texts:
-        words.update((text or "").encode("utf-8").split())
-    memo.ids(list(words))
-
-
 def maximal_segments(scores: np.ndarray) -> list[tuple[int, int, float]]:
     """All maximal segments of positive sum as (first, last, sum); only positive words are visited."""
     total = np.concatenate(([0.0], np.cumsum(scores)))
@@ -173,17 +178,22 @@ def fit_logistic(x: np.ndarray, y: np.ndarray, ridge: float = 1e-2) -> np.ndarra
     return w
 
 
-def labelled_rows(docs: DataFrame, labels: DataFrame, id_col: str, text_col: str, label_col: str, held_out_remainder: int) -> DataFrame:
-    """Stored: (``_id``, ``_text``, ``_label``) of the rows that may be learned from.
+def labelled_rows(
+    docs: DataFrame, labels: DataFrame, id_col: str, text_col: str, label_col: str, held_out_remainder: int, most: int = LABELLED,
+) -> DataFrame:
+    """Stored: (``_id``, ``_text``, ``_label``) of the rows that are learned from, at most ``most`` labels in expectation.
 
-    The join is always a shuffle of the texts that may be learned from, done once: whether labels are small enough to be sent
-    everywhere would change with the size of the table.
+    The join is always a shuffle of these texts, done once: whether labels are small enough to be sent everywhere would change with the
+    size of the table.
     """
-    given = (
-        labels.where(F.col(label_col).isNotNull() & (crc_of_id(id_col) % 3 != held_out_remainder))
-        .groupBy(F.col(id_col).alias("_key")).agg(F.max(F.col(label_col).cast("int")).alias("_label"))
-    )
-    texts = docs.where(crc_of_id(id_col) % 3 != held_out_remainder).select(F.col(id_col).alias("_doc"), F.col(text_col).alias("_text"))
+    usable = labels.where(F.col(label_col).isNotNull() & (crc_of_id(id_col) % 3 != held_out_remainder))
+    share = min(1.0, most / max(usable.count(), 1))
+
+    def drawn(name: str):
+        return F.pmod(F.xxhash64(F.col(name).cast("string"), F.lit("labelled")), F.lit(1 << 30)) < int(share * (1 << 30))
+
+    given = usable.where(drawn(id_col)).groupBy(F.col(id_col).alias("_key")).agg(F.max(F.col(label_col).cast("int")).alias("_label"))
+    texts = docs.where((crc_of_id(id_col) % 3 != held_out_remainder) & drawn(id_col)).select(F.col(id_col).alias("_doc"), F.col(text_col).alias("_text"))
     joined = texts.join(given.hint("merge"), F.col("_doc") == F.col("_key"))
     return materialise(joined.select(F.col("_key").cast("string").alias("_id"), "_text", (F.col("_label") > 0).cast("int").alias("_label")))
 
@@ -244,8 +254,6 @@ def calibrate(model: ToxicModel, rows: DataFrame, n_rows: int, sample: int) -> T
 
         def work(batch) -> dict:
             out = {"label": [], "n": [], "sums": [], "bins": []}
-            for label, memo in enumerate(memos):
-                look_up_words(memo, [t.as_py() for t, at in zip(batch.column("_text"), batch.column("_label")) if at.as_py() == label])
             for text, label in zip(batch.column("_text"), batch.column("_label")):
                 memo = memos[label.as_py()]
                 ids = memo.ids((text.as_py() or "").encode("utf-8").split())
@@ -303,8 +311,6 @@ def score_documents(docs: DataFrame, model: ToxicModel | None, id_col: str = "do
             return float(score), found
 
         def work(batch) -> dict:
-            if memo is not None:
-                look_up_words(memo, (t.as_py() for t in batch.column("_text")))
             rows = [one(t.as_py()) for t in batch.column("_text")]
             return {"score": [r[0] for r in rows], "passages": pa.array([r[1] for r in rows], passage)}
 
