@@ -526,6 +526,21 @@ def test_toxicity(spark, none):
     assert {r.score for r in detect_toxicity(d, lab.limit(0)).collect()} == {0.0}
 
 
+def test_labelled_rows_are_bounded(spark):
+    """The bound draws by id, alike in every partitioning; contradicting labels are toxic; null labels and ids are left out."""
+    from mendcast.llm.toxicity import labelled_rows
+
+    docs = spark.createDataFrame([(i, f"text {i}") for i in range(2000)] + [(None, "x")], "doc_id bigint, text string")
+    labels = [(i, 0) for i in range(2000)] + [(7, 1), (8, None), (None, 1)]
+    found = []
+    for parts in (1, 5):
+        lab = spark.createDataFrame(labels, "doc_id bigint, toxic int").repartition(parts)
+        whole = {r._id: r._label for r in labelled_rows(docs.repartition(parts), lab, "doc_id", "text", "toxic", 3).collect()}
+        assert whole == {str(i): int(i == 7) for i in range(2000)}
+        found.append(sorted(r._id for r in labelled_rows(docs, lab, "doc_id", "text", "toxic", 3, most=200).collect()))
+    assert found[0] == found[1] and 140 < len(found[0]) < 260 and set(found[0]) <= set(whole)
+
+
 def test_toxic_words_are_told_apart(spark, monkeypatch):
     """Counts equal those of whole strings, also for a word that shares its 20-bit hash with a toxic one."""
     from mendcast.llm import toxicity
