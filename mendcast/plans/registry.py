@@ -21,7 +21,7 @@ from pyspark.sql import DataFrame, functions as F
 
 from mendcast.functions.metrics import PRED_METRICS, PRED_RESERVED, RECON_METRICS, RECON_RESERVED, Metric
 from mendcast.layout import BLOCK, attach_by_block, config_keys, with_halo
-from mendcast.plans.blockwise import BlockMethod, MergedMetric, merged_metrics, nullable, over_blocks, series_states
+from mendcast.plans.blockwise import BlockMethod, MergedMetric, change_groups, merged_metrics, nullable, over_blocks, packed_rows, series_states
 
 
 @dataclass(frozen=True)
@@ -173,23 +173,17 @@ def run_custom_model(name: str, degraded: DataFrame) -> DataFrame:
         done = over_blocks(degraded, keys, fn, change)
         return done.withColumn("model", F.lit(name)).select(*rest, "model", "value")
 
-    def repair(pdf: pd.DataFrame) -> pd.DataFrame:
-        pdf = pdf.sort_values("pos").reset_index(drop=True)
-        filled = pd.Series(fn(pdf["value"].copy())).to_numpy()
-        pdf["value"] = pdf["value"].where(pdf["value"].notna(), filled)
-        return pdf
+    def repair(part: pd.DataFrame, *_):
+        return part["value"].where(part["value"].notna(), pd.Series(fn(part["value"].copy())).to_numpy())
 
     if plugin.kind == "block":
-        columns = degraded.columns
-
-        def repair_block(pdf: pd.DataFrame) -> pd.DataFrame:
-            done = repair(pdf)
-            return done.loc[~done["halo"], columns]
-
         cut = with_halo(degraded, plugin.halo, plugin.halo, BLOCK)
-        done = cut.groupBy(*keys, "block").applyInPandas(repair_block, degraded.schema)
+        names = [*degraded.columns, "halo"]
+        packed = packed_rows(cut, [*keys, "block"], names)
+        done = change_groups(packed, nullable(cut.select(*names)), repair).where(~F.col("halo")).drop("halo")
     else:
-        done = degraded.groupBy(*keys).applyInPandas(repair, degraded.schema)
+        packed = packed_rows(degraded, keys, degraded.columns)
+        done = change_groups(packed, nullable(degraded), repair)
     return done.withColumn("model", F.lit(name)).select(*rest, "model", "value")
 
 

@@ -86,3 +86,20 @@ def test_registration_of_forms(make):
     pairs = out.withColumnRenamed("predicted", "p").withColumn("t", F.lit(2.5))
     scores = sc.score_prediction(pairs, None, ["too_low", "mae"]).collect()
     assert {r.prediction_model: r.too_low for r in scores} == {"flat": 1.0, "last_value": 0.0}
+
+
+def test_a_task_call_covers_many_series(make, series, capsys):
+    points = make(series).withColumn("technique", F.when(F.col("series_id") != "one", F.lit("T")))
+    keys, method = ["series_id", "technique"], bw.BlockMethod(runs._observed, runs._join_observed, None)
+    states = bw.series_states(points, keys, method, 8)
+    changed = bw.over_blocks(points, keys, method, lambda part, place: part["value"].fillna(place.total[1]), 8)
+    pairs = points.withColumns({"t": F.lit(1.0), "p": F.col("pos") + 1.0})
+    scores = bw.merged_metrics(pairs, keys, {"worst": runs.WORST}, None)
+    for df in (states, changed, scores):
+        df.explain()
+        assert "GroupsInPandas" not in capsys.readouterr().out  # one call for every series and block
+    seen = {k: [x for x in v if x is not None] for k, v in series.items()}
+    assert {r.series_id: (r.n, r.state[1]) for r in states.collect()} == {k: (len(v), len(seen[k])) for k, v in series.items()}
+    assert {r.series_id: r.worst for r in scores.collect()} == {k: len(v) - 1.0 for k, v in series.items()}
+    got = {(r.series_id, r.pos): (r.technique, r.value) for r in changed.collect()}
+    assert got == {(k, i): (None if k == "one" else "T", len(seen[k]) if x is None else x) for k, v in series.items() for i, x in enumerate(v)}
