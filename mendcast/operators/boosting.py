@@ -21,8 +21,10 @@ from pyspark.sql import DataFrame, functions as F
 
 from mendcast.layout import BLOCK, assign_positions, config_keys, delete_stored, materialise, new_table_path, scratch_run, with_halo
 
-#: Rows and series that one task boosts together.
-TOGETHER_ROWS, TOGETHER_SERIES = 1 << 19, 64
+#: Rows, and series times the bins that they use, that one task boosts together.
+TOGETHER_ROWS, TOGETHER_BINS = 1 << 19, 1 << 12
+#: Nodes of trees that one task follows together.
+TOGETHER_NODES = 1 << 21
 #: A split must lower the squared error by this share of that of the mean; equal gains differ by less than this share.
 LEAST_GAIN, ROUNDING, TIE = 1e-20, 1e-13, 1e-9
 
@@ -118,8 +120,11 @@ def best_round(losses: list[float], patience: int) -> tuple[int, bool]:
 
 
 def boost(series: np.ndarray, binned: np.ndarray, y: np.ndarray, val: np.ndarray, n: int, p: Params):
-    """Trees of ``n`` series whose rows are given whole: base values, trees, and losses per series."""
-    train = ~val
+    """Trees of ``n`` series whose rows are given whole: base values, trees, and losses per series.
+
+    Histograms end at the last bin that holds a row: no cut behind it has rows on both sides.
+    """
+    train, bins = ~val, max(int(binned.max(initial=0)) + 1, 2)
     count = np.bincount(series[train], minlength=n)
     base = np.divide(np.bincount(series[train], y[train], n), count, out=np.zeros(n), where=count > 0)
     score = base[series]
@@ -145,7 +150,7 @@ def boost(series: np.ndarray, binned: np.ndarray, y: np.ndarray, val: np.ndarray
             if not len(slots):
                 break
             s, k = np.divmod(slots, 1 << p.depth + 1)
-            split, feature, cut, values = best_splits(*cells(at, binned[open_rows], residual[open_rows], len(slots), p.bins), p.reg, error[s])
+            split, feature, cut, values = best_splits(*cells(at, binned[open_rows], residual[open_rows], len(slots), bins), p.reg, error[s])
             if level == 0:
                 tree.value[s, 0] = values[0]
                 grows[s] = split
@@ -171,16 +176,13 @@ def model_row(base, cuts, trees: list, s: int, val_n, val_loss, train_loss, p: P
     """The trees of one series that are kept, as flat arrays of their nodes."""
     grown = len(train_loss) - 1
     kept = best_round(val_loss, p.patience)[0] if val_n else grown
-    out = {"tree": [], "node": [], "feature": [], "cut": [], "value": []}
-    for t in range(kept):
-        tree = trees[t]
-        inner = np.flatnonzero(tree.feature[s] >= 0)
-        nodes = np.union1d(0, np.concatenate((inner, 2 * inner + 1, 2 * inner + 2)))
-        out["tree"] += [t] * len(nodes)
-        out["node"] += nodes.tolist()
-        for name, column in (("feature", tree.feature), ("cut", tree.cut), ("value", tree.value)):
-            out[name] += column[s, nodes].tolist()
-    return {"base": float(base), "cuts": cuts.tolist(), **out, "epochs_trained": kept,
+    shape = kept, 2 ** (p.depth + 1) - 1
+    grown_trees = {c: np.array([getattr(t, c)[s] for t in trees[:kept]]).reshape(shape) for c in ("feature", "cut", "value")}
+    inner, there = grown_trees["feature"][:, : 2**p.depth - 1] >= 0, np.zeros(shape, bool)
+    there[:, 0], there[:, 1::2], there[:, 2::2] = True, inner, inner  # the root, and both children of inner nodes
+    tree, node = np.nonzero(there)
+    out = {"tree": tree, "node": node, **{c: v[tree, node] for c, v in grown_trees.items()}}
+    return {"base": float(base), "cuts": cuts, **out, "epochs_trained": kept,
             "best_val_loss": float(val_loss[kept]) if val_n else None, "final_train_loss": float(train_loss[kept])}
 
 
@@ -245,13 +247,14 @@ def _fit_whole(packed: DataFrame, p: Params) -> DataFrame:
     def run(batches):
         for batch in batches:
             kinds = model_types()
-            held, size = [], 0
+            held, size, most = [], 0, 0
             for i, seen, y, x, val in _packed(batch, p.lag):
-                if held and (size + len(y) > TOGETHER_ROWS or len(held) >= TOGETHER_SERIES):
+                cuts = cut_points(np.sort(seen), p.bins)
+                if held and (size + len(y) > TOGETHER_ROWS or (len(held) + 1) * max(most, len(cuts) + 1) > TOGETHER_BINS):
                     yield fit(batch, held, kinds)
-                    held, size = [], 0
-                held.append((i, cut_points(np.sort(seen), p.bins), y, x, val))
-                size += len(y)
+                    held, size, most = [], 0, 0
+                held.append((i, cuts, y, x, val))
+                size, most = size + len(y), max(most, len(cuts) + 1)
             if held:
                 yield fit(batch, held, kinds)
 
@@ -502,15 +505,65 @@ class Forest:
         return out
 
 
+def _lists(column) -> tuple[np.ndarray, np.ndarray]:
+    """The numbers of an Arrow list column, and for every list where it starts and ends among them."""
+    return _numbers_of(column.flatten()), np.concatenate(([0], np.cumsum(column.value_lengths().to_numpy(zero_copy_only=False)))).astype(np.int64)
+
+
+def _numbers_of(values) -> np.ndarray:
+    return values.to_numpy(zero_copy_only=False)
+
+
+def _paths(batch, some: np.ndarray) -> np.ndarray:
+    """Forecasts of the rows ``some`` of a batch, up to the longest horizon among them: the trees of all their models are followed together."""
+    tree, ends = _lists(batch.column("tree"))
+    size = np.diff(ends)[some]
+    at = np.repeat(ends[some] - np.concatenate(([0], np.cumsum(size)[:-1])), size) + np.arange(size.sum())
+    own, tree = np.repeat(np.arange(len(some)), size), tree[at].astype(np.int64)
+    node, feature, cut, value = (_lists(batch.column(c))[0][at] for c in ("node", "feature", "cut", "value"))
+    base, lr, depth, h = (_numbers_of(batch.column(c))[some] for c in ("base", "lr", "depth", "h"))
+    shape = len(some), int(tree.max(initial=-1)) + 1, 2 ** (int(depth.max()) + 1) - 1
+    features, cuts, values = np.full(shape, -1, np.int16), np.zeros(shape), np.zeros(shape)
+    points, starts = _lists(batch.column("cuts"))
+    points = np.append(points.astype(float), np.inf)
+    features[own, tree, node], values[own, tree, node] = feature, value
+    cuts[own, tree, node] = points[np.where(feature < 0, len(points) - 1, starts[some][own] + cut)]
+    hist, starts = _lists(batch.column("hist"))
+    lags = hist.astype(float)[starts[some + 1][:, None] - 1 - np.arange(batch.column("lag")[int(some[0])].as_py())]  # nearest first
+    row, column, out = np.arange(shape[0])[:, None], np.arange(shape[1])[None, :], np.zeros((len(some), int(h.max())))
+    for step in range(out.shape[1]):
+        at = np.zeros(shape[:2], np.int64)
+        for _ in range(int(depth.max())):
+            f = features[row, column, at]
+            at = np.where(f < 0, at, 2 * at + 1 + (lags[row, np.maximum(f, 0)] > cuts[row, column, at]))
+        out[:, step] = base + lr * values[row, column, at].sum(axis=1)
+        lags = np.concatenate((out[:, step: step + 1], lags[:, :-1]), axis=1)
+    return out
+
+
 def forest_paths(states: DataFrame) -> DataFrame:
-    """``path`` for rows with ``hist`` (oldest first), ``h`` and the columns of a model: one task row per source, no job per step."""
+    """``path`` for rows with ``hist`` (oldest first), ``h`` and the columns of a model: many models at a time, no job per step."""
     import pyarrow as pa
 
     def run(batches):
         for batch in batches:
-            paths = []
-            for r in batch.select(["hist", "h", "lag", "base", "lr", "depth", "cuts", "tree", "node", "feature", "cut", "value"]).to_pylist():
-                paths.append(Forest(r).path(np.array(r["hist"], float), r["h"]) if len(r["hist"]) == r["lag"] else None)
+            n = batch.num_rows
+            h, lag, depth = (_numbers_of(batch.column(c)) for c in ("h", "lag", "depth"))
+            full = np.flatnonzero(batch.column("hist").value_lengths().to_numpy(zero_copy_only=False) == lag)
+            tree, ends = _lists(batch.column("tree"))
+            trees = np.array([tree[b - 1] + 1 if b > a else 1 for a, b in zip(ends, ends[1:])], np.int64)  # trees are stored in order
+            nodes, paths, start = trees * 2 ** (depth.astype(np.int64) + 1), [None] * n, 0
+            while start < len(full):
+                end, most = start + 1, nodes[full[start]]
+                while end < len(full) and lag[full[end]] == lag[full[start]]:
+                    wider = max(most, nodes[full[end]])
+                    if wider * (end + 1 - start) > TOGETHER_NODES:
+                        break
+                    end, most = end + 1, wider
+                some = full[start:end]
+                for i, path in zip(some, _paths(batch, some)):
+                    paths[i] = path[: h[i]]
+                start = end
             yield pa.RecordBatch.from_arrays(
                 [batch.column("_id"), pa.array(paths, pa.list_(pa.float64()))], ["_id", "path"])
 

@@ -170,3 +170,44 @@ def test_replicates_and_early_stopping(make):
     assert rows["boosting", 1].epochs_trained < 30  # noise: more trees do not help
     assert rows["linear", 1].best_val_loss > 0 and rows["linear", 1].epochs_trained is None
     assert rows["boosting", 1].final_train_loss < rows["linear", 1].final_train_loss
+
+
+def test_histograms_are_as_wide_as_the_bins_in_use(monkeypatch):
+    widths, real = [], bo.best_splits
+    monkeypatch.setattr(bo, "best_splits", lambda g, h, *rest: widths.append(h.shape[2]) or real(g, h, *rest))
+    r = random.Random(4)
+    y = np.array([r.choice([1.0, 5.0, 2.0]) for _ in range(80)])
+    binned = np.array([[r.randrange(3) for _ in range(4)] for _ in range(80)], np.uint8)
+    bo.boost(np.arange(80) % 2, binned, y, np.zeros(80, bool), 2, bo.Params(lag=4, trees=3, depth=3))
+    assert widths and set(widths) == {3}
+
+
+def test_paths_of_many_models_are_followed_together(monkeypatch):
+    """Trees of different numbers and shapes, one without any, a short history, other horizons: equal to one model at a time."""
+    import pyarrow as pa
+
+    r, rows = np.random.default_rng(5), []
+    for i in range(7):
+        v = r.uniform(0, 9, 40 + i).round(2)
+        y, x, place = bo.lag_rows(v, 0, 3)
+        cuts = bo.cut_points(np.sort(v), 8)
+        p = bo.Params(lag=3, trees=i, depth=2 + i % 2, bins=8) if i else bo.Params(lag=3, trees=1, depth=1, bins=8, reg=1e12)
+        base, trees, n, val, train = bo.boost(np.zeros(len(y), int), np.searchsorted(cuts, x).astype(np.uint8), y, place >= 99, 1, p)
+        row = bo.model_row(base[0], cuts, trees, 0, n[0], val[0], train[0], p)
+        rows.append({**row, "_id": i, "hist": v[-3:] if i != 5 else v[:1], "h": 4 + i, "lag": 3, "depth": p.depth, "lr": p.lr})
+    kinds = {**bo.model_types(), "_id": pa.int32(), "hist": pa.list_(pa.float64()), "h": pa.int32(), "lag": pa.int32(), "depth": pa.int32(), "lr": pa.float64()}
+    batch = pa.RecordBatch.from_arrays([pa.array([row[c] for row in rows], t) for c, t in kinds.items()], list(kinds))
+    want = [bo.Forest(row).path(row["hist"], row["h"]) if len(row["hist"]) == 3 else None for row in rows]
+
+    class States:
+        dtypes = [("_id", "int")]
+
+        def mapInArrow(self, run, schema):  # noqa: N802
+            return next(run([batch])).column("path").to_pylist()
+
+    monkeypatch.setattr(bo, "Forest", None)
+    for room in (bo.TOGETHER_NODES, 64):
+        monkeypatch.setattr(bo, "TOGETHER_NODES", room)
+        got = bo.forest_paths(States())
+        assert [w is None for w in want] == [g is None for g in got]
+        assert all(g == pytest.approx(w) for g, w in zip(got, want) if w is not None)
