@@ -15,7 +15,7 @@ import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame, Window as W, functions as F
 
-from mendcast.layout import BLOCK, add_block, attach_by_block, config_keys, with_halo, with_observed_rank
+from mendcast.layout import BLOCK, add_block, attach_by_block, config_keys, materialise, with_halo, with_observed_rank
 
 SOURCE_COLUMNS = ("source_type", "series_id", "technique", "rate_percent", "iteration", "model")
 TAIL = 20
@@ -617,8 +617,11 @@ def fit_learner(points: DataFrame, name: str, seed: int, lag: int, trees: int, d
 def fit_replicates(
     features: DataFrame, learners: Sequence[str], n: int = 1, base_seed: int = 42, **kw
 ) -> tuple[dict[tuple[str, int], object], DataFrame]:
-    """Models by (learner, iteration) and the table of their training: seeds base+1..base+n, a deterministic learner once."""
-    models, rows = {}, []
+    """Models by (learner, iteration) and the table of their training: seeds base+1..base+n, a deterministic learner once.
+
+    The features are stored once: every fit reads them several times.
+    """
+    models, rows, features = {}, [], materialise(features)
     for name, iteration, seed in replicate_plan(learners, n, base_seed):
         start = time.time()
         models[name, iteration] = model = train_global_lag_model(features, seed=seed, learner=name, **kw)
@@ -644,6 +647,11 @@ def replicate_plan(learners: Sequence[str], n: int, base_seed: int) -> list[tupl
     return sorted((r["model"], r["iteration"], r["seed"]) for r in plan)
 
 
+def histories(points: DataFrame, h: int | DataFrame, lag: int = 10, block: int = BLOCK) -> DataFrame:
+    """Stored: what ``forecast_recursive`` needs of the sources, for several models with the same lags and horizons."""
+    return materialise(_histories(points, h, lag, block))
+
+
 def _histories(points: DataFrame, h: int | DataFrame, lag: int, block: int) -> DataFrame:
     """One row per source: ``hist`` (its last ``lag`` values, oldest first), ``h``, and ``_flat`` for sources that are too short."""
     state = observed_tail(points, lag, block).select(
@@ -746,16 +754,17 @@ def _tree_paths(states: DataFrame, row: dict) -> DataFrame:
 
 def forecast_recursive(
     model, points: DataFrame, h: int | DataFrame, lag: int = 10, block: int = BLOCK, name: str = "lag_model", iteration: int = 1,
+    states: DataFrame | None = None,
 ) -> DataFrame:
     """Each predicted step enters the history of the next; one row per source and step, in one pass over the sources.
 
     ``model`` is a fitted pipeline of ``train_global_lag_model`` or the table of ``per_series_boosting``. A history shorter than ``lag``
-    repeats its last value (0 without any).
+    repeats its last value (0 without any). ``states`` are the ``histories`` of the same arguments, if they are there already.
     """
     from mendcast.operators.boosting import forest_paths
 
     keys, attrs = config_keys(points), _attributes(points)
-    state = _histories(points, h, lag, block)
+    state = histories(points, h, lag, block) if states is None else states  # a row per source, read twice
     rows = state.select(F.struct(*keys).alias("_id"), "hist", "h")
     if isinstance(model, DataFrame):
         known = model.select(F.struct(*keys).alias("_id"), *[c for c in model.columns if c not in keys])

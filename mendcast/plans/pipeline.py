@@ -246,8 +246,10 @@ def _predicted(sources, source_cells, horizon, models, cfg, store) -> DataFrame:
         for i in sorted({i for m, i in own if (m, i) not in named}):
             plain = [m for m, j in own if j == i and (m, j) not in named]
             parts.append(fc.forecast(some, plain, horizon, cfg.block).withColumns({"prediction_iteration": F.lit(i), "trained_on": F.lit("")}))
-        for name, i in [k for k in own if k in named]:
-            part = fc.forecast_recursive(named[name, i], some, horizon, cfg.lags, cfg.block, name=name, iteration=i)
+        trained = [k for k in own if k in named]
+        states = fc.histories(some, horizon, cfg.lags, cfg.block) if trained else None
+        for name, i in trained:
+            part = fc.forecast_recursive(named[name, i], some, horizon, cfg.lags, cfg.block, name=name, iteration=i, states=states)
             parts.append(part.withColumn("trained_on", F.lit(trained_on)))
         return parts
 

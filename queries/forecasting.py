@@ -290,9 +290,9 @@ def replicate_forecasts(spark, sf):
     """Three replicates of a seeded learner."""
     features = fc.lag_features(_counters(spark, sf), 5)
     models, _ = fc.fit_replicates(features, ["boosting"], 3, trees=30, depth=5, lr=0.3)
-    out = None
+    out, states = None, fc.histories(_counters(spark, sf), 12, 5)
     for (name, i), model in models.items():
-        part = fc.forecast_recursive(model, _counters(spark, sf), 12, 5, name=name, iteration=i)
+        part = fc.forecast_recursive(model, _counters(spark, sf), 12, 5, name=name, iteration=i, states=states)
         out = part if out is None else out.unionByName(part)
     return rounded(out.select("series_id", "prediction_model", "prediction_iteration", "step", "predicted"), 1)
 

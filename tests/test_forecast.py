@@ -145,3 +145,21 @@ def test_sparse_changepoints_meet_the_optimality_conditions(make):
     future = (n - 1 + np.arange(1, 4)) / (n - 1)
     wide = np.stack([np.ones(3), future, *[np.maximum(future - (i + 1) / (k + 1), 0) for i in range(k)]])
     assert got["bent"] == pytest.approx((beta[0] @ wide).tolist()) and got["noise"] == pytest.approx((beta[1] @ wide).tolist())
+
+
+def test_replicates_read_their_features_once(spark, make):
+    seen = spark.sparkContext.accumulator(0)
+
+    @F.udf("double")
+    def counted(v):
+        seen.add(1)
+        return v
+
+    points = make({"a": [float(i % 5) for i in range(40)]})
+    features = fc.lag_features(points, 3).repartition(2).withColumn("y", counted("y"))
+    models, _ = fc.fit_replicates(features, ["boosting"], 2, trees=2, depth=2)
+    assert len(models) == 2 and seen.value == 37
+    states = fc.histories(points, 4, 3)
+    for (name, i), model in models.items():
+        plain, shared = (fc.forecast_recursive(model, points, 4, 3, name=name, iteration=i, states=s) for s in (None, states))
+        assert sorted(plain.collect()) == sorted(shared.collect()) and shared.count() == 4
