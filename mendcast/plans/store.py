@@ -76,7 +76,10 @@ class RunStore:
 
 
 def wanted(rows: DataFrame, cells: Sequence[dict]) -> DataFrame:
-    """Rows of the given cells, by the keys that are columns (missing matches missing); the cells are a short list."""
+    """Rows of the given cells, by the keys that are columns (missing matches missing); the cells are a short list.
+
+    It is broadcast: a cell holds a share of all rows, so a shuffle by these keys would gather that share in one task.
+    """
     keys = [k for k in cells[0] if k in rows.columns] if cells else []
     if not keys:
         return rows
@@ -86,7 +89,7 @@ def wanted(rows: DataFrame, cells: Sequence[dict]) -> DataFrame:
     same = F.lit(True)
     for k in keys:
         same = same & F.col(k).eqNullSafe(F.col(f"_{k}"))
-    return rows.join(grid, same, "left_semi")
+    return rows.join(F.broadcast(grid), same, "left_semi")
 
 
 def _text(cell: dict) -> str:

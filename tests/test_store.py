@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from mendcast.operators import forecast as fc
 from mendcast.plans import pipeline as pl, registry as rg
-from mendcast.plans.store import RunStore, load_model, save_model
+from mendcast.plans.store import RunStore, load_model, save_model, wanted
 
 
 @pytest.fixture
@@ -101,3 +101,12 @@ def test_replicated_and_guarded_user_forecasts(spark, points):
         paths.setdefault((r.series_id, r.prediction_model, r.prediction_iteration), []).append(r.predicted)
     assert paths["a", "broken", 1] == paths["a", "last_diff", 1] and paths["a", "broken", 2] == paths["a", "last_diff", 1]
     assert len(set(paths["c", "broken", 1])) == 1
+
+
+def test_a_cell_is_not_gathered_to_be_found(make, capsys):
+    points = make({"a": [1.0, 2.0], "b": [3.0]}).withColumn("model", F.lit(None).cast("string"))
+    some = wanted(points, [{"series_id": "a", "model": None, "other": 1}])
+    some.explain()
+    plan = capsys.readouterr().out
+    assert "BroadcastHashJoin" in plan and "SortMergeJoin" not in plan
+    assert sorted(r.value for r in some.collect()) == [1.0, 2.0]
