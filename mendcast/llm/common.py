@@ -71,6 +71,18 @@ def mix64(x: np.ndarray) -> np.ndarray:
     return x ^ (x >> np.uint64(33))
 
 
+def portions(column, most: int):
+    """(from, to) of the rows of an Arrow column of strings that together have at most ``most`` bytes, or are one row."""
+    import pyarrow.compute as pc
+
+    ends = np.cumsum(pc.binary_length(column).fill_null(0).to_numpy(zero_copy_only=False).astype(np.int64))
+    at = 0
+    while at < len(ends):
+        until = max(at + 1, int(np.searchsorted(ends, (ends[at - 1] if at else 0) + most, side="right")))
+        yield at, until
+        at = until
+
+
 def numbered(docs: DataFrame) -> DataFrame:
     """Stored: ``_row``, a number for every row, and ``_doc``, all columns of the row, whatever their names."""
     return materialise(docs.select(F.monotonically_increasing_id().alias("_row"), F.struct(*[docs[c] for c in docs.columns]).alias("_doc")))

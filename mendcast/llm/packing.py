@@ -14,19 +14,23 @@ columns are ignored.
 
 from __future__ import annotations
 
+import functools
 import zlib
 
 import numpy as np
 from pyspark.sql import DataFrame, functions as F
 
 from mendcast.layout import materialise
-from mendcast.llm.common import mix64
-from mendcast.llm.tokens import WordwiseTokens
+from mendcast.llm.common import mix64, portions
+from mendcast.llm.tokens import gathered, tokens_of
 
 WINDOW, END = 2048, 1
 BUCKETS = 1 << 18
 SHARD_TOKENS = 1 << 22
+PORTION, BLOCK = 1 << 23, 1 << 17
 K1, B = 1.2, 0.75
+#: Used documents leave the index whenever this share of those in it is left.
+KEEP = 0.9
 
 
 class Words:
@@ -42,15 +46,52 @@ class Words:
             self.final[i] = name.endswith("</w>") or name.startswith("<|")
         self.hash = mix64(np.arange(1, size + 1, dtype=np.uint64))
 
-    def of(self, ids: np.ndarray) -> np.ndarray:
+    def of(self, ids: np.ndarray, begin: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Buckets of the words in rows laid one after the other, and where each row's begin there, the end of the last included."""
         if not len(ids):
-            return np.zeros(0, np.int64)
-        first = np.flatnonzero(np.concatenate(([True], self.final[ids[:-1]])))
-        begins = np.zeros(len(ids), np.int64)
-        begins[first] = first
-        within = np.arange(len(ids)) - np.maximum.accumulate(begins)
+            return np.zeros(0, np.int64), np.zeros(len(begin), np.int64)
+        starts = np.concatenate(([True], self.final[ids[:-1]]))
+        starts[begin[:-1][begin[:-1] < begin[1:]]] = True
+        first = np.flatnonzero(starts)
+        within = np.arange(len(ids)) - np.repeat(first, np.diff(first, append=len(ids)))
         parts = self.hash[ids] * (2 * within.astype(np.uint64) + np.uint64(1))
-        return (mix64(np.add.reduceat(parts, first)) % np.uint64(BUCKETS)).astype(np.int64)
+        return (mix64(np.add.reduceat(parts, first)) % np.uint64(BUCKETS)).astype(np.int64), np.searchsorted(first, begin)
+
+    def of_rows(self, rows: list[np.ndarray], lengths: np.ndarray) -> list[np.ndarray]:
+        """Buckets of the words of every row, whose last id is not read; blocks of rows are small enough for a processor's cache."""
+        out, block = [], np.cumsum(lengths) // BLOCK
+        cuts = np.flatnonzero(np.diff(block)) + 1
+        for at, until in zip([0, *cuts.tolist()], [*cuts.tolist(), len(rows)]):
+            begin = np.concatenate(([0], np.cumsum(lengths[at: until] - 1)))
+            of, begin = self.of(np.concatenate([r[:-1] for r in rows[at: until]]), begin)
+            out += np.split(of, begin[1:-1])
+        return out
+
+
+@functools.lru_cache(maxsize=2)
+def words_of(vocabulary: str) -> Words:
+    """A worker reads the vocabulary once for all its tasks."""
+    return Words(vocabulary)
+
+
+def distinct_words(words: np.ndarray, begin: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Row, bucket and number of every distinct bucket of a row, in order of row and bucket."""
+    pairs = np.sort(np.repeat(np.arange(len(begin) - 1) * BUCKETS, np.diff(begin)) + words)
+    first = np.flatnonzero(np.concatenate((np.ones(len(pairs[:1]), bool), pairs[1:] != pairs[:-1])))
+    return pairs[first] // BUCKETS, pairs[first] % BUCKETS, np.diff(first, append=len(pairs))
+
+
+def two_least(row: np.ndarray, bucket: np.ndarray, n: int) -> tuple[np.ndarray, np.ndarray]:
+    """The two smallest word hashes of every row; the smallest again where there is one, 0 where there is none."""
+    least, second = np.zeros(n, np.int64), np.zeros(n, np.int64)
+    if len(row):
+        hashes = mix64(bucket.astype(np.uint64) + np.uint64(1)).view(np.int64)
+        first = np.flatnonzero(np.concatenate(([True], row[1:] != row[:-1])))
+        sizes = np.diff(first, append=len(row))
+        low = np.minimum.reduceat(hashes, first)
+        others = np.where(hashes == np.repeat(low, sizes), np.iinfo(np.int64).max, hashes)
+        least[row[first]], second[row[first]] = low, np.where(sizes > 1, np.minimum.reduceat(others, first), low)
+    return least, second
 
 
 def tokenise(docs: DataFrame, vocabulary: str, id_col: str, text_col: str) -> tuple[DataFrame, DataFrame]:
@@ -65,25 +106,24 @@ def tokenise(docs: DataFrame, vocabulary: str, id_col: str, text_col: str) -> tu
     names, kinds = ["_id", "ids", "tokens", "near", "next"], [pa.binary(), pa.int64(), pa.int64(), pa.int64()]
 
     def run(batches):
-        tokens, words = WordwiseTokens(vocabulary, plain=False), Words(vocabulary)
+        tokens, words = tokens_of(vocabulary, plain=False), words_of(vocabulary)
         seen, n_docs, n_words, kind = np.zeros(BUCKETS, np.int32), 0, 0, None
         for batch in batches:
             kind = batch.schema.field("_id").type
-            out = []
-            for text in batch.column("_text"):
-                ids = tokens.encode(text.as_py())
-                of = words.of(ids)
-                used = np.unique(of)
-                seen[used] += 1
-                n_docs, n_words = n_docs + 1, n_words + len(of)
-                least = np.sort(mix64(used.astype(np.uint64) + np.uint64(1)).view(np.int64))[:2]
-                out.append((
-                    np.append(ids, np.uint16(END)).astype("<u2").tobytes(), len(ids) + 1,
-                    int(least[0]) if len(least) else 0, int(least[-1]) if len(least) else 0,
-                ))
-            if out:
-                columns = [pa.array(c, t) for c, t in zip(zip(*out), kinds)]
-                yield pa.RecordBatch.from_arrays([batch.column("_id"), *columns], names)
+            for at, until in portions(batch.column("_text"), PORTION):
+                ids, begin, codes, bounds = tokens.encode_pieces(batch.column("_text").slice(at, until - at))
+                n = until - at
+                of, of_begin = gathered(*words.of(ids, begin), codes)
+                row, bucket, _ = distinct_words(of, of_begin[bounds])
+                seen += np.bincount(bucket, minlength=BUCKETS).astype(np.int32)
+                n_docs, n_words = n_docs + n, n_words + len(of)
+                flat, starts = gathered(ids, begin, codes)
+                ends = starts[bounds]
+                flat = np.insert(flat, ends[1:], np.uint16(END)).astype("<u2")
+                rows = pa.LargeBinaryArray.from_buffers(
+                    pa.large_binary(), n, [None, pa.py_buffer(2 * (ends + np.arange(n + 1))), pa.py_buffer(flat)]).cast(pa.binary())
+                columns = [pa.array(c) for c in (np.diff(ends) + 1, *two_least(row, bucket, n))]
+                yield pa.RecordBatch.from_arrays([batch.column("_id").slice(at, n), rows, *columns], names)
         if kind is not None:
             at = np.flatnonzero(seen)
             packed = np.stack((at, seen[at])).astype("<i4").tobytes()
@@ -117,39 +157,53 @@ class Index:
     """BM25 over the documents of one shard."""
 
     def __init__(self, terms: list[np.ndarray], idf: np.ndarray, mean_words: float):
-        counted = [np.unique(t, return_counts=True) for t in terms]
-        sizes = np.array([len(t) for t, _ in counted])
-        self.begin = np.concatenate(([0], np.cumsum(sizes)))
-        term = np.concatenate([t for t, _ in counted]) if len(counted) else np.zeros(0, np.int64)
-        tf = np.concatenate([c for _, c in counted]).astype(float) if len(counted) else np.zeros(0)
-        doc = np.repeat(np.arange(len(terms)), sizes)
-        length = np.array([len(t) for t in terms], float)
+        begin = np.concatenate(([0], np.cumsum([len(t) for t in terms], dtype=np.int64)))
+        doc, term, tf = distinct_words(np.concatenate([np.zeros(0, np.int64), *terms]), begin)
+        self.n = len(terms)
+        self.begin = np.concatenate(([0], np.cumsum(np.bincount(doc, minlength=self.n))))
+        tf, length = tf.astype(float), np.diff(begin).astype(float)
         weight = idf[term] * tf * (K1 + 1) / (tf + K1 * (1 - B + B * length[doc] / max(mean_words, 1e-9)))
-        order = np.argsort(term, kind="stable")
+        place = np.arange(len(term))
+        order = np.sort(term << 40 | place) & ((1 << 40) - 1)
         self.doc, self.weight = doc[order], weight[order]
         ranked = term[order]
-        first = np.flatnonzero(np.concatenate(([True], ranked[1:] != ranked[:-1]))) if len(ranked) else np.zeros(0, np.int64)
-        number = np.cumsum(np.concatenate(([0], (ranked[1:] != ranked[:-1]).astype(np.int64)))) if len(ranked) else first
-        self.post = np.concatenate((first, [len(ranked)]))
+        new = np.concatenate((np.zeros(len(ranked[:1]), bool), ranked[1:] != ranked[:-1]))
+        self.post = np.concatenate(([0], np.flatnonzero(new), [len(ranked)]))
         self.rank = np.empty(len(term), np.int64)
-        self.rank[order] = number
-        self.n = len(terms)
+        self.rank[order] = np.cumsum(new)
+        self.count, self.met, self.gain = np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0)
+
+    def keep(self, wanted: np.ndarray) -> None:
+        """From now on only the documents that are ``wanted`` are scored; all others score 0."""
+        kept = wanted[self.doc]
+        before = np.concatenate(([0], np.cumsum(kept)))
+        self.doc, self.weight, self.post = self.doc[kept], self.weight[kept], before[self.post]
 
     def scores(self, d: int) -> np.ndarray:
         """Score of every document of the shard for the words of document ``d``."""
         ranks = self.rank[self.begin[d]: self.begin[d + 1]]
         first, sizes = self.post[ranks], self.post[ranks + 1] - self.post[ranks]
-        total = int(sizes.sum())
-        at = np.repeat(first - np.concatenate(([0], np.cumsum(sizes)[:-1])), sizes) + np.arange(total)
-        return np.bincount(self.doc[at], weights=self.weight[at], minlength=self.n)
+        ends = np.cumsum(sizes)
+        total = int(ends[-1]) if len(ends) else 0
+        if total > len(self.met):  # kept from call to call
+            self.count, self.met, self.gain = np.arange(2 * total), np.empty(2 * total, np.int64), np.empty(2 * total)
+        at = np.repeat(first - ends + sizes, sizes)
+        at += self.count[:total]
+        met, gain = self.met[:total], self.gain[:total]
+        np.take(self.doc, at, out=met, mode="clip")
+        np.take(self.weight, at, out=gain, mode="clip")
+        return np.bincount(met, weights=gain, minlength=self.n)
 
 
 def retrieval_order(index: Index, lengths: np.ndarray, window: int) -> list[int]:
-    """Documents in the order in which they fill consecutive windows."""
+    """Documents in the order in which they fill consecutive windows. The index is used up."""
     unused = np.ones(len(lengths), bool)
-    order, filled, seed, cursor = [], 0, None, 0
+    order, filled, seed, cursor, kept = [], 0, None, 0, len(lengths)
     while len(order) < len(lengths):
         picks: list[int] = []
+        if len(lengths) - len(order) < KEEP * kept:
+            index.keep(unused)
+            kept = len(lengths) - len(order)
         if seed is not None:
             scores = np.where(unused, index.scores(seed), 0.0)
             k = min(len(scores), 32)
@@ -207,13 +261,13 @@ def pack_by_retrieval(
     def pack(batches):
         from pyspark import TaskContext
 
-        words, (idf, mean_words) = Words(vocabulary), shared.value
+        words, (idf, mean_words) = words_of(vocabulary), shared.value
         base = TaskContext.get().partitionId() << 33
 
         def shard(keys, rows):
             nonlocal base
             lengths = np.array([len(r) for r in rows])
-            index = Index([words.of(r[:-1]) for r in rows], idf, mean_words)
+            index = Index(words.of_rows(rows, lengths), idf, mean_words)
             pieces = cut_sequences(retrieval_order(index, lengths, window), lengths, window)
             parts = [rows[d][s: s + n].astype("<u4").tobytes() for d, s, n, _, _ in pieces]
             d, s, n, q, o = (np.array(c, np.int64) for c in zip(*pieces))

@@ -604,3 +604,33 @@ def test_word_by_word_ids_equal_the_tokenizer():
         tokens = WordwiseTokens(vocabulary("word_bpe_49k.json"), plain)
         for (_, t), ids in zip(rows, reference_ids(rows, plain)):
             assert tokens.encode(t).tolist() == ids
+
+
+def test_columns_of_texts_give_the_ids_of_single_texts():
+    import pyarrow as pa
+
+    from mendcast.llm.common import vocabulary
+    from mendcast.llm.tokens import gathered, tokens_of
+
+    rng = random.Random(3)
+    letters = "etaoinABCDÀÖØÞßöÿĀįİıĲĸŉſŸžŽ×÷019.,!?<>|*#  \t\n\v'’´日é́ \x00\x1cΣ"
+    mixed = ["".join(rng.choices(letters, k=rng.randint(0, 40))) for _ in range(3000)]
+    column = pa.array([None, "", "  ", "x" * 100 + " " + "é" * 40 + " <|endoftext|>z"] + mixed + ["".join(rng.choices("etaoinshr", k=k)) for k in range(40)])
+    tokens = tokens_of(vocabulary("word_bpe_49k.json"), False)
+    for part in (column, column.slice(2, 500), column.slice(1, 2), column.slice(0, 0)):
+        ids, begin, codes, bounds = tokens.encode_pieces(part)
+        flat, starts = gathered(ids, begin, codes)
+        got = [flat[starts[a]: starts[b]].tolist() for a, b in zip(bounds, bounds[1:])]
+        assert got == [tokens.encode(t).tolist() for t in part.to_pylist()]
+    assert tokens_of(vocabulary("word_bpe_49k.json"), False) is tokens
+
+
+def test_packing_scores_only_documents_in_the_index():
+    from mendcast.llm.packing import Index
+
+    rng = np.random.default_rng(1)
+    terms = [rng.integers(0, 50, n) for n in (40, 5, 0, 60, 12, 30)]
+    index = Index(terms, np.ones(64, np.float32), 20.0)
+    before, wanted = index.scores(3), np.array([True, False, True, False, True, True])
+    index.keep(wanted)
+    assert np.array_equal(index.scores(3), np.where(wanted, before, 0))
