@@ -30,14 +30,14 @@ import numpy as np
 from pyspark.sql import Column, DataFrame, Window as W, functions as F
 
 from mendcast.layout import materialise
-from mendcast.llm.common import mix64
+from mendcast.llm.common import mix64, portions, utf8
 
 WORDS, PERCENT = 5, 75
 FIRST_BAND, RATIO, SPARE, SPARE_SHARE = 64, 4, 16, 0.15
 STEPS = 24
 SCHEME_BITS = 5
 STAR_ROUNDS = 2
-KNOWN_WORDS = 500_000
+PORTION = 1 << 21
 WORD = r"[^\x20\x09-\x0D]"
 
 
@@ -99,7 +99,7 @@ class Band:
         segment, tokens = segment[kept], tokens[kept]
         if not len(segment):
             return tokens
-        order = np.argsort(segment, kind="stable")
+        order = np.sort(segment << np.uint64(32) | np.arange(len(segment), dtype=np.uint64)) & np.uint64(0xFFFFFFFF)
         segment, held = segment[order], mix64(tokens[order] + np.uint64(1))
         first = np.flatnonzero(np.concatenate(([True], segment[1:] != segment[:-1])))
         return self.tagged(mix64(np.add.reduceat(held, first) + mix64(segment[first] + np.uint64(1))))
@@ -145,37 +145,60 @@ class Schemes:
         ])
 
 
+#: Whether a byte of UTF-8 belongs to a word, and a number for it; A-Z count as a-z.
+IN_WORD = np.array([b not in b" \t\n\v\f\r" for b in range(256)])
+BYTE_HASH = mix64(np.array([ord(chr(b).lower()) if b < 0x80 else b for b in range(256)], np.uint64) + np.uint64(1))
+
+
 class Shingles:
-    """``of(text)``: the sorted distinct 64-bit shingles of a text."""
+    """``of(texts)``: the sorted distinct 64-bit shingles of every text of an Arrow column, a portion of the texts at a time."""
 
     def __init__(self, words: int):
-        import xxhash
-
-        self.words, self.hash = words, xxhash.xxh3_64_intdigest
-        self.known: dict[bytes, int] = {}
-
-    def hashes(self, words: list[bytes]) -> np.ndarray:
-        """Word hashes through a bounded memo."""
-        known = self.known
-        try:
-            return np.fromiter(map(known.__getitem__, words), np.uint64, len(words))
-        except KeyError:
-            if len(known) > KNOWN_WORDS:
-                known.clear()
-            known.update((w, self.hash(w)) for w in words if w not in known)
-            return np.fromiter(map(known.__getitem__, words), np.uint64, len(words))
-
-    def of(self, text: str | None) -> np.ndarray:
-        words = (text or "").encode("utf-8").lower().split()
-        if not words:
-            return np.zeros(0, np.uint64)
-        hashes = self.hashes(words)
-        width = min(self.words, len(words))
-        count = len(words) - width + 1
-        total = np.full(count, width, np.uint64)
+        self.words = words
+
+    def of(self, texts):
+        for at, until in portions(texts, PORTION):
+            yield from self._portion(utf8(texts.slice(at, until - at)))
+
+    def hashes(self, data: np.ndarray, ends: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Hash of every word of texts that lie one after the other, and how many words come before each text and at the end."""
+        worded = IN_WORD[data]
+        first = worded.copy()
+        first[1:] &= ~worded[:-1]
+        begins = ends[:-1][ends[:-1] < ends[1:]]
+        first[begins] = worded[begins]
+        at = np.flatnonzero(first)
+        if not len(at):
+            return np.zeros(0, np.uint64), np.zeros(len(ends), np.int64)
+        held, byte = np.flatnonzero(worded), BYTE_HASH[data[worded]]
+        begin = np.searchsorted(held, at)
+        sizes = np.diff(begin, append=len(held))
+        factors = mix64(np.arange(1, sizes.max() + 1, dtype=np.uint64)) | np.uint64(1)
+        byte *= factors[np.arange(len(held)) - np.repeat(begin, sizes)]
+        return mix64(np.add.reduceat(byte, begin)), np.searchsorted(at, ends)
+
+    def _shingles(self, hashes: np.ndarray, width: int) -> np.ndarray:
+        total = np.full(max(0, len(hashes) - width + 1), width, np.uint64)
         for k in range(width):
-            total = total * np.uint64(0x9E3779B97F4A7C15) + hashes[k: k + count]
-        return np.unique(mix64(total))
+            total = total * np.uint64(0x9E3779B97F4A7C15) + hashes[k: k + len(total)]
+        return mix64(total)
+
+    def _portion(self, texts):
+        import pyarrow as pa
+
+        texts = texts.cast(pa.large_binary()).fill_null(b"")
+        ends = np.frombuffer(texts.buffers()[1], np.int64)[texts.offset: texts.offset + len(texts) + 1]
+        if ends[0] == ends[-1]:
+            yield from (np.zeros(0, np.uint64) for _ in range(len(texts)))
+            return
+        hashes, bounds = self.hashes(np.frombuffer(texts.buffers()[2], np.uint8)[ends[0]: ends[-1]], ends - ends[0])
+        whole, bounds = self._shingles(hashes, self.words), bounds.tolist()
+        for at, until in zip(bounds, bounds[1:]):
+            if until - at < self.words:
+                yield self._shingles(hashes[at: until], until - at) if until > at else np.zeros(0, np.uint64)
+            else:
+                tokens = np.sort(whole[at: until - self.words + 1])
+                yield tokens[np.concatenate(([True], tokens[1:] != tokens[:-1]))]
 
 
 def set_key(tokens: np.ndarray) -> int:
@@ -212,8 +235,7 @@ def segments_and_facts(docs: DataFrame, schemes: Schemes, words: int, id_col: st
                 return pa.RecordBatch.from_arrays([pa.array(sig), pa.array(k), pa.nulls(len(k), kind)], ["sig", "k", "fact"])
 
             sigs, keys, held, facts = [], [], 0, []
-            for text in batch.column("_text"):
-                tokens = shingles.of(text.as_py())
+            for tokens in shingles.of(batch.column("_text")):
                 key = set_key(tokens)
                 uses = schemes.uses(len(tokens)) if len(tokens) else []
                 facts.append((key, len(tokens), [k for k, _ in uses], [schemes.total(k, tokens) for k, _ in uses], [p for _, p in uses]))
@@ -286,7 +308,7 @@ def needed_sets(docs: DataFrame, facts: DataFrame, members: DataFrame, words: in
     def run(batches):
         shingles = Shingles(words)
         for batch in batches:
-            found = [shingles.of(t.as_py()).tobytes() for t in batch.column("_text")]
+            found = [tokens.tobytes() for tokens in shingles.of(batch.column("_text"))]
             yield pa.RecordBatch.from_arrays([batch.column("k"), pa.array(found, pa.binary())], ["k", "tokens"])
 
     return materialise(texts.join(wanted, "th").select("k", "_text").mapInArrow(run, "k long, tokens binary"))

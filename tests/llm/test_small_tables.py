@@ -634,3 +634,24 @@ def test_packing_scores_only_documents_in_the_index():
     before, wanted = index.scores(3), np.array([True, False, True, False, True, True])
     index.keep(wanted)
     assert np.array_equal(index.scores(3), np.where(wanted, before, 0))
+
+
+def test_shingles_of_a_column_are_those_of_its_texts():
+    import pyarrow as pa
+
+    from mendcast.llm import jaccard_join
+
+    rng = random.Random(5)
+    mixed = ["".join(rng.choices("abABé日 \t\n\x0b\x1c\x85", k=rng.randint(0, 60))) for _ in range(800)]
+    column = pa.array([None, "", " \n", "a b c", "A\tB  c", "a b c d e", "x" * 300 + " y"] + mixed + mixed[:50])
+    shingles = jaccard_join.Shingles(5)
+    for part in (column, column.slice(3, 200), column.slice(0, 3), column.slice(0, 0)):
+        got = [t.tolist() for t in shingles.of(part)]
+        words = [re.findall(rb"[^\x20\x09-\x0D]+", (t or "").encode().lower()) for t in part.to_pylist()]
+        want = [{tuple(w[i: i + 5]) for i in range(max(1, len(w) - 4))} if w else set() for w in words]
+        assert all(g == sorted(set(g)) for g in got) and [len(g) for g in got] == [len(w) for w in want]
+        named = collections.defaultdict(set)
+        for g, w in zip(got, want):
+            named[tuple(g)].add(frozenset(w))
+        assert all(len(sets) == 1 for sets in named.values())
+        assert len({n for g in got for n in g}) == len(set().union(*want)) if want else not got
